@@ -211,18 +211,24 @@ def guard_fires(consistent: Column, inconsistent: Column, ties: bool = False) ->
 def outcome_tier(runs: DataFrame) -> DataFrame:
     """Adds tier, is_refusal and is_fault by precedence: fault, outage, gate, reading, explanation.
 
-    ``runs`` has call_state, considered, retrieval_ran, gate_decision, gate_reason, reading_made, decision, consistent, inconsistent, confidence.
+    ``runs`` has call_state, considered, retrieval_ran, gate_decision, gate_reason, reading_made, decision,
+    consistent, inconsistent, confidence, accepted, citations_resolve and citations_flagged. An explanation is
+    strong if its confidence is high, no evidence conflicts, every citation resolves and none is flagged;
+    without a reading it also needs two accepted documents.
     """
-    refused_reading = F.col("decision") == "INSUFFICIENT_EVIDENCE"
+    refused = F.col("decision") == "INSUFFICIENT_EVIDENCE"
     quiet = F.col("gate_reason").isin("no_documents_retrieved", "all_documents_below_noise_floor")
+    gated = (F.col("gate_decision") != "EXPLAIN") & ~F.col("reading_made")
+    against = F.when(F.col("reading_made"), F.coalesce("inconsistent", F.lit(0)) > 0).otherwise(guard_fires(F.col("consistent"), F.col("inconsistent"), ties=True))
+    strong = (F.col("confidence") == "high") & ~guard_fires(F.col("consistent"), F.col("inconsistent"), ties=True) & F.coalesce("citations_resolve", F.lit(True)) & (F.coalesce("citations_flagged", F.lit(0)) == 0) & (F.col("reading_made") | (F.col("accepted") >= 2))
     tier = (
         F.when(F.col("call_state").isin("API_ERROR", "PARSE_ERROR"), "SYSTEM_ERROR")
         .when((F.col("considered") == 0) & ~F.col("retrieval_ran"), "RETRIEVAL_FAILED")
-        .when((F.col("gate_decision") != "EXPLAIN") & ~F.col("reading_made") & quiet, "REFUSED_NO_EVIDENCE")
-        .when((F.col("gate_decision") != "EXPLAIN") & ~F.col("reading_made"), "REFUSED_WEAK_EVIDENCE")
-        .when(refused_reading & (F.coalesce("inconsistent", F.lit(0)) > 0), "REFUSED_CONFLICTING")
-        .when(refused_reading, "REFUSED_WEAK_EVIDENCE")
-        .when(F.col("confidence") == "high", "EXPLAINED_STRONG")
+        .when(gated & quiet, "REFUSED_NO_EVIDENCE")
+        .when(gated, "REFUSED_WEAK_EVIDENCE")
+        .when(refused & against, "REFUSED_CONFLICTING")
+        .when(refused, "REFUSED_WEAK_EVIDENCE")
+        .when(F.coalesce(strong, F.lit(False)), "EXPLAINED_STRONG")
         .otherwise("EXPLAINED_TENTATIVE")
     )
     out = runs.withColumn("tier", tier)
@@ -251,12 +257,45 @@ def packed(docs: DataFrame, keys: list[str], budget: int, steps: tuple[int, ...]
     return kept.select(*keys, "document_id", "place", F.substring("text", F.lit(1), F.col("chars")).alias("excerpt"), "chars")
 
 
-def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.3, low_rank: int = 5) -> DataFrame:
-    """For each cited claim: was the document shown, does it support the claim in words, and how does it rank among those shown."""
-    scored = citations.join(shown, "run_id").withColumn("_s", T.lexical_support("claim", "text"))
-    w = Window.partitionBy("run_id", "claim_id").orderBy(F.col("_s").desc(), "document_id")
-    ranked = scored.withColumn("_r", F.row_number().over(w))
-    own = F.col("document_id") == F.col("cited_id")
-    out = ranked.groupBy("run_id", "claim_id", "cited_id").agg(F.max(F.when(own, F.col("_s"))).alias("support"), F.min(F.when(own, F.col("_r"))).alias("support_rank"))
-    flag = F.when(F.col("support").isNull(), "missing_document").when(F.col("support") < weak, "weak_support").when(F.col("support_rank") > low_rank, "low_rank").otherwise("ok")
+def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.15, top: int = 3, least_shown: int = 6) -> DataFrame:
+    """For each cited claim: was the document shown, do words or numbers support the claim, and how does it rank among those shown.
+
+    A claim that shares a number with its document is never weak or low.
+    """
+    claims = citations.withColumn("_id", T.citation_id("cited_id"))
+    scored = claims.join(shown.withColumn("_doc", T.citation_id("document_id")), "run_id").withColumns({"_s": T.lexical_support("claim", "text"), "_n": F.size(F.array_intersect(T.numbers("claim"), T.numbers("text")))})
+    w = Window.partitionBy("run_id", "claim_id")
+    ranked = scored.withColumns({"_r": F.row_number().over(w.orderBy(F.col("_s").desc(), "_doc")), "_of": F.count(F.lit(1)).over(w)})
+    own = F.col("_doc") == F.col("_id")
+    found = ranked.groupBy("run_id", "claim_id").agg(F.max(F.when(own, F.col("_s"))).alias("support"), F.min(F.when(own, F.col("_r"))).alias("support_rank"), F.max("_of").alias("shown"), F.max(F.when(own, F.col("_n"))).alias("shared_numbers"))
+    out = claims.select("run_id", "claim_id", F.col("_id").alias("document_id")).join(found, ["run_id", "claim_id"], "left")
+    plain = F.col("shared_numbers") == 0
+    flag = F.when(F.col("support").isNull(), "missing_document").when(plain & (F.col("support") < weak), "weak_support").when(plain & (F.col("shown") >= least_shown) & (F.col("support_rank") > top), "low_rank").otherwise("ok")
     return out.withColumn("flag", flag)
+
+
+def unresolved_inline(explanations: DataFrame, shown: DataFrame) -> DataFrame:
+    """Ids that an explanation names in its text although no such document was shown."""
+    named = explanations.select("run_id", F.explode(T.inline_sources("explanation")).alias("document_id"))
+    return named.join(shown.select("run_id", T.citation_id("document_id").alias("document_id")), ["run_id", "document_id"], "left_anti")
+
+
+def stance(document_direction: Column, move_direction: Column) -> Column:
+    """consistent, inconsistent or neutral; a document without a direction never contradicts."""
+    known = move_direction.isNotNull() & (document_direction != "neutral")
+    return F.when(F.coalesce(known, F.lit(False)), F.when(document_direction == move_direction, "consistent").otherwise("inconsistent")).otherwise("neutral")
+
+
+def explanation_text(days: DataFrame, sources: DataFrame) -> DataFrame:
+    """One line for each supporting source in reading order, then one for each opposing source."""
+    ordered = F.array_sort(F.collect_list(F.struct((~F.col("supports")).alias("o"), F.col("place"), F.col("line"))))
+    lines = sources.withColumn("line", F.concat(F.when(F.col("supports"), F.lit("")).otherwise(F.lit("Against: ")), F.col("title"), F.lit(" (source: "), F.col("document_id").cast("string"), F.lit(")")))
+    text = lines.groupBy("series", "day").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("explanation"))
+    return days.join(text, ["series", "day"], "left")
+
+
+def request_plan(days: DataFrame, queries: DataFrame, before: int = 7, recent: int = 2) -> DataFrame:
+    """Full-window, recent and day-only requests of each day and query, from a start to before an end."""
+    spans = F.array(F.struct(F.lit("full").alias("span"), F.lit(before).alias("d")), F.struct(F.lit("recent").alias("span"), F.lit(recent).alias("d")), F.struct(F.lit("day").alias("span"), F.lit(0).alias("d")))
+    plan = days.join(F.broadcast(queries), "series").withColumn("_s", F.explode(spans))
+    return plan.select("series", "day", "query", F.col("_s.span").alias("span"), F.expr("date_sub(day, _s.d)").alias("start"), F.date_add("day", 1).alias("end"))
