@@ -44,7 +44,7 @@ def interval_95(k: str | Column, n: str | Column) -> tuple[Column, Column]:
     p = col(k) / n
     centre, scale = p + z2 / (2 * n), 1 + z2 / n
     half = F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) * 1.96
-    return tuple(F.round(100 * F.least(F.greatest((centre + sign * half) / scale, F.lit(0.0)), F.lit(1.0)), 1) for sign in (-1, 1))
+    return tuple(F.when(n.isNotNull(), F.round(100 * F.least(F.greatest((centre + sign * half) / scale, F.lit(0.0)), F.lit(1.0)), 1)) for sign in (-1, 1))
 
 
 def rate(k: str | Column, n: str | Column) -> Column:
