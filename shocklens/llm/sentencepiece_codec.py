@@ -27,22 +27,34 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters indexed in one go, words relaxed side by side, words a worker remembers.
 INDEXED = 1 << 19
 SIDE_BY_SIDE = 128
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Characters of documents whose ids are put together in one go.
 PENDING = 1 << 21
 
 
 def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
-    """Suffix order by the first ``width`` characters at least, by prefix doubling."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    order, step = np.argsort(rank, kind="stable"), 1
+    """Suffix order by the first ``width`` characters at least.
+
+    The characters, numbered densely, are packed as many to a word as fit; one
+    sort orders suffixes by that many, and prefix doubling does the rest.
+    """
+    seen = np.zeros(int(codes.max()) + 1, bool)
+    seen[codes] = True
+    dense = np.cumsum(seen)[codes].astype(np.int64)
+    bits = int(dense.max()).bit_length()
+    step = min(width, 62 // bits)
+    key = np.zeros(len(dense), np.int64)
+    for i in range(step):
+        key <<= bits
+        key[: max(len(dense) - i, 0)] |= dense[i:]
+    order = np.argsort(key)
     while step < width:
-        after = np.zeros(len(rank), np.int64)
-        after[:-step or None] = rank[step:] + 1
-        key = rank * (len(rank) + 2) + after
-        order = np.argsort(key, kind="stable")
         sorted_key = key[order]
+        rank = np.empty(len(key), np.int64)
         rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
+        key = rank * (len(rank) + 2)
+        key[:-step] += rank[step:] + 1
+        order = np.argsort(key)
         step *= 2
     return order
 
@@ -132,19 +144,25 @@ class Codec:
                 break
             # Only the merged symbols and their left neighbours span something new.
             at = moved[left]
-            at = np.unique(np.r_[at, at[at > 0] - 1])
+            changed = np.zeros(len(row), bool)
+            changed[at] = changed[np.maximum(at - 1, 0)] = True
+            at = np.flatnonzero(changed)
             inner = at[at + 1 < len(row)]
             inner = inner[row[inner] == row[inner + 1]]
             span[at] = -1
             span[inner] = self._found(start[inner], end[inner + 1], keys, piece)
         row, start, end = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((start, row))
+        # Words lie in the text in the order of their rows.
+        order = np.argsort(start)
         row, start, end = row[order], start[order], end[order]
         index = self._found(start, end, keys, piece)
         ids = np.where(index >= 0, self.ids[index], -1)
-        cuts = np.searchsorted(row, np.arange(len(words) + 1))
-        for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            self.known[w] = self._bytes(ids[a:b], codes, start[a:b])
+        cuts = np.searchsorted(row, np.arange(len(words) + 1)).tolist()
+        whole = ids.astype("<u4").tobytes()
+        self.known.update((w, whole[4 * a : 4 * b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False))
+        for w in np.unique(row[ids < 0]).tolist():
+            a, b = cuts[w], cuts[w + 1]
+            self.known[words[w]] = self._bytes(ids[a:b], codes, start[a:b])
 
     def _bytes(self, ids: np.ndarray, codes: np.ndarray, start: np.ndarray) -> bytes:
         if (ids >= 0).all():
