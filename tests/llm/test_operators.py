@@ -58,7 +58,7 @@ def test_simhash_fingerprint(text):
     assert simhash.fingerprint(text) == want
 
 
-def _components(fps):
+def _components(fps, radius=2):
     root = {i: i for i in fps}
     ids = sorted(fps)
 
@@ -69,7 +69,7 @@ def _components(fps):
 
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if bin(fps[a] ^ fps[b]).count("1") <= 2:
+            if bin(fps[a] ^ fps[b]).count("1") <= radius:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: find(i) for i in ids}
@@ -111,6 +111,40 @@ def test_simhash_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(odd).columns == odd.columns
     assert {r.doc_id for r in simhash.keep_one(odd).collect()} >= {1, 6, None} and simhash.keep_one(odd).where("doc_id IN (2, 3, 7)").count() == 0
+    assert simhash.keep_one(empty).count() == 0
+
+
+def _five(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_documents(spark):
+    rng = random.Random(8)
+    docs, group = [], {}
+    for g in range(60):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.choice([40, 150, 600]))]
+        for k in range(rng.choice([1, 2, 3, 40 if g == 5 else 4])):
+            words = list(base)
+            for _ in range(k and rng.randint(0, max(1, len(base) // 70))):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            group[len(docs)] = g
+            docs.append((len(docs), " ".join(words)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert all(group[i] == group[c] for i, c in got.items())
+    sets = [_five(t) for _, t in docs]
+    close = [(a, b) for a in range(len(docs)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.82]
+    assert np.mean([got[a] == got[b] for a, b in close]) >= 0.99
+
+
+def test_sketch_estimates_similarity():
+    rng = random.Random(4)
+    assert simhash.sketch("") == simhash.sketch(None) == ([0] * 4, []) and simhash.sketch("one")[1]
+    base = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    far = [f"x{i}" for i in range(20_000)]
+    a, b, c = (simhash.sketch(" ".join(x))[0] for x in (base, base[:19_000], far))
+    distance = lambda p, q: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(p, q, strict=True))
+    assert distance(a, b) < simhash.furthest(0.8) < 60 < distance(a, c)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -351,7 +385,9 @@ def test_pipeline_against_plain_python(spark, sf_dir, docs):
             if len(key(x)) >= 10:
                 first.setdefault(key(x), i)
     rows = {i: "\n".join(x for x in t.split("\n") if first.get(key(x), i) == i) for i, t in rows.items()}
-    comp = _components({i: simhash.fingerprint(t) for i, t in rows.items()})
+    sketched = {i: simhash.sketch(t) for i, t in rows.items()}
+    whole = {i: sum((h & (1 << 64) - 1) << 64 * k for k, h in enumerate(s)) for i, (s, _) in sketched.items()}
+    comp = _components(whole, simhash.furthest(0.8))
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     own = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = {}
