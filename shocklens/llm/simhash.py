@@ -165,10 +165,10 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def furthest(similarity: float) -> int:
-    """Differing bits of 256 up to which sets count as that similar: the expected number and one and a quarter deviations."""
+    """Differing bits of 256 up to which sets count as that similar: the expected number and two deviations."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = 64 * WORDS
-    return round(n * p + 1.25 * (n * p * (1 - p)) ** 0.5)
+    return round(n * p + 2 * (n * p * (1 - p)) ** 0.5)
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, small: int = SMALL_BUCKET) -> DataFrame:
