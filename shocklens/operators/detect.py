@@ -145,3 +145,12 @@ def calibration(df: DataFrame) -> DataFrame:
     q = F.percentile(F.abs(z), F.array(F.lit(0.95), F.lit(0.98), F.lit(0.99)))
     out = df.groupBy("series").agg(F.avg((F.abs(z) >= 2).cast("double")).alias("measured_at_2"), sample_kurtosis(z).alias("excess_kurtosis"), q.alias("_q"))
     return out.select("series", "measured_at_2", "excess_kurtosis", *(F.col("_q")[i].alias(n) for i, n in enumerate(("z_for_05", "z_for_02", "z_for_01"))))
+
+
+def latest_streak(df: DataFrame, lean: str) -> DataFrame:
+    """Length, first and last day of each series' newest run of equal leans."""
+    w = by_series()
+    turned = df.withColumn("_new", (~F.col(lean).eqNullSafe(F.lag(lean).over(w))).cast("int"))
+    runs = turned.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = runs.groupBy("series", "_run").agg(F.first(lean).alias("lean"), F.count(F.lit(1)).alias("length"), F.min("date").alias("since"), F.max("date").alias("until"))
+    return each.groupBy("series").agg(F.max_by(F.struct("lean", "length", "since", "until"), "_run").alias("_r")).select("series", "_r.*")

@@ -130,10 +130,10 @@ def market_report_score(title: str | Column, text: str | Column) -> Column:
 def price_direction(title: str | Column, text: str | Column, up: dict[str, float], down: dict[str, float]) -> Column:
     """struct(up, down, direction, confidence) from weighted word counts, the title twice."""
     def weight(words: dict[str, float]) -> Column:
+        values = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+
         def inside(x: Column) -> Column:
-            tokens = T.word_tokens(x)
-            each = [F.lit(w) * F.size(F.filter(tokens, lambda t, k=k: t == k)) for k, w in words.items()]
-            return sum(each[1:], each[0])
+            return F.aggregate(T.word_tokens(x), F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(values, t), F.lit(0.0)))
 
         return 2 * inside(F.col(title) if isinstance(title, str) else title) + inside(F.col(text) if isinstance(text, str) else text)
 
@@ -299,3 +299,44 @@ def request_plan(days: DataFrame, queries: DataFrame, before: int = 7, recent: i
     spans = F.array(F.struct(F.lit("full").alias("span"), F.lit(before).alias("d")), F.struct(F.lit("recent").alias("span"), F.lit(recent).alias("d")), F.struct(F.lit("day").alias("span"), F.lit(0).alias("d")))
     plan = days.join(F.broadcast(queries), "series").withColumn("_s", F.explode(spans))
     return plan.select("series", "day", "query", F.col("_s.span").alias("span"), F.expr("date_sub(day, _s.d)").alias("start"), F.date_add("day", 1).alias("end"))
+
+
+def with_fallback(levels: DataFrame, needed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(levels, provenance): for each name the rows of its first source by priority, whole names at a time; a needed name without rows is an error."""
+    chosen = levels.where("value IS NOT NULL").groupBy("name").agg(F.min(F.struct("priority", "source")).alias("_s")).select("name", "_s.priority", "_s.source").cache()
+    if absent := set(needed) - {r["name"] for r in chosen.where(F.col("name").isin(*needed)).select("name").collect()}:
+        raise ValueError(f"no source for {sorted(absent)}")
+    return levels.join(chosen, ["name", "priority", "source"]).select("date", "name", "value"), chosen.withColumn("substitute", F.col("priority") > 0)
+
+
+def posture(title: str, supply: list[str], demand: list[str], event: list[str]) -> Column:
+    """supply, demand, event or other, by which list shares most words with the title; earlier lists win ties."""
+    tokens = T.ascii_tokens(title)
+    s, d, e = (F.size(F.array_intersect(tokens, F.array(*map(F.lit, words)))) for words in (supply, demand, event))
+    return F.when((s == 0) & (d == 0) & (e == 0), "other").when((s >= d) & (s >= e), "supply").when(d >= e, "demand").otherwise("event")
+
+
+def focus_text(text: str | Column, subject: list[str], limit: int = 1200) -> Column:
+    """The opening sentence and the sentences on the subject, most telling first, up to a length."""
+    sentences = F.filter(F.split(T.given(text), r"(?<=[.!?])\s+"), lambda s: s != "")
+
+    def telling(s: Column) -> Column:
+        words = T.ascii_tokens(s)
+        return F.size(F.array_intersect(words, F.array(*map(F.lit, subject)))) * 2 + s.rlike(r"\d").cast("int")
+
+    scored = F.transform(sentences, lambda s, i: F.struct(F.when(i == 0, -1000).otherwise(-telling(s)).alias("w"), i.alias("i"), s.alias("s")))
+    chosen = F.array_sort(F.filter(scored, lambda x: x["w"] < -1))
+    return F.substring(F.array_join(F.transform(chosen, lambda x: x["s"]), " "), 1, limit)
+
+
+def normalised_readings(shown: DataFrame, answers: DataFrame) -> DataFrame:
+    """One checked reading for every shown document; the first answer of an id wins, unread documents stay.
+
+    ``answers`` has series, day, position and the raw fields of each answer.
+    """
+    w = Window.partitionBy("series", "day", "_id").orderBy("position")
+    first = answers.withColumn("_id", T.citation_id("raw_id")).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    fields = first.select("series", "day", F.col("_id").alias("document_id"), T.clean_choice("raw_direction", ["up", "down", "unclear"], "unclear").alias("direction"), T.clean_choice("raw_kind", ["report", "pressure"], "report").alias("kind"),
+        F.nullif(F.trim(T.given("raw_cause")), F.lit("")).alias("cause"), T.clean_percent("raw_move").alias("move_pct"), "raw_quote", F.lit(True).alias("read"))
+    out = shown.join(fields, ["series", "day", "document_id"], "left").withColumn("quote_found", F.coalesce(T.quote_in_text("raw_quote", "text"), F.lit(False)))
+    return out.withColumn("read", F.coalesce("read", F.lit(False))).drop("raw_quote", "text")
