@@ -119,8 +119,9 @@ def agg_23_left_out_selection(spark, sf_dir):
     return evaluate.left_out_selection(scored(spark, sf_dir), "grp")
 
 
-@query(f"""{_SCORED} SELECT a.lang, CAST(max(p) AS BIGINT) AS n_relevant, CAST(max(n) AS BIGINT) AS n_other, round(sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / (max(p) * max(n)), 6) AS auc
-FROM scored a JOIN scored b ON a.lang = b.lang AND a.relevant AND NOT b.relevant JOIN (SELECT lang, count(*) FILTER (relevant) AS p, count(*) FILTER (NOT relevant) AS n FROM scored GROUP BY lang) c ON c.lang = a.lang GROUP BY a.lang""")
+@query(f"""{_SCORED}, c AS (SELECT lang, count(*) FILTER (relevant) AS p, count(*) FILTER (NOT relevant) AS n FROM scored GROUP BY lang),
+w AS (SELECT a.lang, sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS won FROM scored a JOIN scored b ON a.lang = b.lang AND a.relevant AND NOT b.relevant GROUP BY a.lang)
+SELECT lang, p AS n_relevant, n AS n_other, round(coalesce(won, 0) / nullif(p * n, 0), 6) AS auc FROM c LEFT JOIN w USING (lang)""")
 def agg_24_auc(spark, sf_dir):
     return evaluate.auc(scored(spark, sf_dir), "lang")
 
