@@ -153,3 +153,12 @@ def clean_percent(value: str | Column) -> Column:
 
 def signed_percent(x: str | Column) -> Column:
     return F.when(col(x).isNotNull(), F.format_string("%+.1f%%", col(x)))
+
+
+def provider(model: str | Column, known: dict[str, str]) -> Column:
+    """Provider of a model name: the listed one, else the first listed name part it contains, else other."""
+    plain = F.lower(given(model))
+    out = F.lit("other")
+    for part, name in reversed(known.items()):
+        out = F.when(F.contains(plain, F.lit(part)), name).otherwise(out)
+    return F.coalesce(*[F.when(plain == part, name) for part, name in known.items()], out)

@@ -182,3 +182,27 @@ def extracted_pages(pages: DataFrame, least: int = 200) -> DataFrame:
     """Page text with the reason of a failure."""
     out = pages.withColumn("text", page_text("html"))
     return out.withColumn("failure", F.when(F.coalesce("html", F.lit("")) == "", "no page").when(F.length("text") < least, "too little text"))
+
+
+def weather_in_context(phase: Column, dryness_z: Column, frost: Column) -> Column:
+    """What the weather means in the crop's phase; frost counts where the phase is at risk of it."""
+    dry = F.when(dryness_z >= 2.5, "severe drought").when(dryness_z >= 1.5, "drought").when(dryness_z <= -1.5, "excess rain")
+    tender = phase.isin("flowering", "development")
+    return F.concat_ws("; ", F.when(frost & tender, F.concat(F.lit("frost during "), phase)), F.when(dry.isNotNull(), F.concat(dry, F.lit(" during "), phase)), F.when(~(frost & tender) & dry.isNull(), F.concat(F.lit("nothing unusual during "), phase)))
+
+
+def currency_position(rates: DataFrame) -> DataFrame:
+    """Week and month change of the newest rate, and its rank among the last 365 days in percent."""
+    back = Window.partitionBy("series").orderBy(F.col("_d")).rangeBetween(-365, 0)
+    rows = rates.withColumn("_d", F.datediff("date", F.to_date(F.lit("1970-01-01")))).withColumn("_year", F.collect_list("rate").over(back))
+    week, month = (F.max_by(F.when(F.col("date") <= F.date_sub("_last", n), F.col("rate")), F.when(F.col("date") <= F.date_sub("_last", n), F.col("date"))) for n in (7, 30))
+    last = rows.withColumn("_last", F.max("date").over(Window.partitionBy("series")))
+    out = last.groupBy("series").agg(F.max_by("rate", "date").alias("rate"), week.alias("_w"), month.alias("_m"), F.max_by("_year", "date").alias("_y"))
+    below = F.size(F.filter("_y", lambda x: x < F.col("rate")))
+    return out.select("series", "rate", (ratio("rate", "_w") - 1).alias("week_change"), (ratio("rate", "_m") - 1).alias("month_change"), (100 * ratio(below, F.size("_y"))).alias("percentile"))
+
+
+def observe_currency(position: DataFrame) -> DataFrame:
+    p = F.col("percentile")
+    text = F.when(p >= 85, "near its year's high").when(p <= 15, "near its year's low").otherwise("within its range")
+    return position.select(*observation("currency", F.when((p >= 85) | (p <= 15), USUAL).otherwise(MINOR), text))

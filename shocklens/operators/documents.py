@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shocklens.functions import text as T
+from shocklens.functions.dates import trading_days_before
 from shocklens.functions.numbers import ratio
+from shocklens.operators.graph import connected_components
 from shocklens.operators.rank import top_by
 
 KEYWORD, SEMANTIC, FLOOR, NEAR = 0.4, 0.85, 0.05, 0.80
@@ -114,6 +116,26 @@ def story_edges(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> D
     return same.unionByName(alike).distinct()
 
 
+def collapse_stories(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> DataFrame:
+    """One document of each story, the one of the smallest id, with the number of copies, their urls and hosts.
+
+    Stories are connected components of title and text links. An edge lies
+    within one key, and ids name one document, so one graph serves all keys.
+    """
+    roots = connected_components(story_edges(docs, keys, similar)).withColumnsRenamed({"node": "document_id", "root": "_story"})
+    grouped = docs.join(roots, "document_id", "left").withColumn("_story", F.coalesce("_story", "document_id"))
+    copies = grouped.groupBy("_story").agg(F.count(F.lit(1)).alias("n_copies"), F.array_sort(F.collect_set("url")).alias("duplicate_urls"), F.array_sort(F.collect_set(T.host("url"))).alias("syndication_domains"))
+    return docs.join(copies.withColumnRenamed("_story", "document_id"), "document_id")
+
+
+def prepared_candidates(docs: DataFrame, keys: list[str], before: int, terms: list[str], vocabulary: list[str]) -> DataFrame:
+    """Documents of the window, first of each url, one of each story, scored and aged, in this order."""
+    inside = age_window(docs, before).where("drop_reason IS NULL")
+    single = first_by(inside, F.concat_ws("|", *keys, url_key("url")), F.col("document_id"))
+    stories = collapse_stories(single, keys)
+    return stories.withColumns({"keyword_score": T.keyword_score("title", "text", terms, vocabulary), "report_score": market_report_score("title", "text"), "age": trading_days_before("published", "day")})
+
+
 def market_report_score(title: str | Column, text: str | Column) -> Column:
     """0 to 7 by what a report on a market says; news of shop prices is held below a report.
 

@@ -288,3 +288,86 @@ def win_09_cumulated(spark, sf_dir):
     return factors.cumulated(cases(spark, sf_dir), FACTORS).select("series", "date", "y", "f_market")
 
 
+
+
+@query()
+def set_07_stories(spark, sf_dir):
+    return documents.collapse_stories(dated(spark, sf_dir), ["series"]).select("series", "document_id", "n_copies", F.size("duplicate_urls").alias("urls"), F.array_join("syndication_domains", ",").alias("domains"))
+
+
+@query()
+def rule_11_candidates(spark, sf_dir):
+    d = dated(spark, sf_dir).withColumn("day", F.to_date(F.lit("1999-02-15")))
+    return documents.prepared_candidates(d, ["series"], 30, ["the", "tion"], ["and", "was"]).select("series", "document_id", "n_copies", "keyword_score", "report_score", "age")
+
+
+@query(f"{_SCORES} SELECT document_id FROM sc WHERE best >= 0.05")
+def prj_11_noise_floor(spark, sf_dir):
+    return with_scores(spark, sf_dir).where(documents.best_score() >= documents.FLOOR).select("document_id")
+
+
+@query(f"{_SCORES} SELECT document_id, round(best, 6) AS best_score FROM sc")
+def fn_42_best_scores(spark, sf_dir):
+    return with_scores(spark, sf_dir).select("document_id", documents.best_score().alias("best_score"))
+
+
+@query("""r AS (SELECT conv_id, turn, CASE length(text) % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'unclear' END AS direction, CASE WHEN turn % 3 = 0 THEN 'pressure' ELSE 'report' END AS kind, turn % 4 AS age, length(text) > 30 AS found FROM conversations)
+SELECT conv_id, turn FROM r WHERE direction <> 'unclear' AND found AND age BETWEEN 0 AND 2 AND kind = 'report'""")
+def prj_15_usable_readings(spark, sf_dir):
+    from shocklens.plans.documents import _days_and_readings
+
+    days, rows = _days_and_readings(spark, sf_dir)
+    out = documents.usable_readings(rows.join(days.select("series", "day", "move"), ["series", "day"]), ("reports_only",))
+    return out.select(F.col("day").alias("conv_id"), F.col("document_id").alias("turn"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 OR conv_id % 5 = 0 THEN true WHEN turn % 3 = 0 THEN false WHEN turn % 2 = 0 THEN (turn % 4) >= 0.25 * (conv_id % 7) AND turn % 4 <> 0 OR (turn % 4 = 0 AND length(text) > 60) ELSE length(text) > 60 END AS matches FROM conversations""")
+def prj_16_size_matches(spark, sf_dir):
+    c = tables.table(spark, sf_dir, "conversations")
+    rows = c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "pressure").otherwise("report").alias("kind"), F.when(F.col("turn") % 2 == 0, (F.col("turn") % 4).cast("double")).alias("move_pct"), F.when(F.length("text") > 60, "large").alias("move_size"), F.when(F.col("conv_id") % 5 != 0, (F.col("conv_id") % 7).cast("double")).alias("move"))
+    return rows.select("conv_id", "turn", documents.matches_size(F.col("move")).alias("matches"))
+
+
+@query()
+def join_14_shifted_documents(spark, sf_dir):
+    days = detect.move_record(detected(spark, sf_dir)).where("anomaly_flag AND direction IS NOT NULL").select("series", "date", "direction")
+    pairs = joins.donors(days)
+    docs = dated(spark, sf_dir).select("document_id", "published", F.col("published").alias("date")).crossJoin(F.broadcast(days.select("series").distinct()))
+    return joins.shifted_documents(pairs, docs).select("series", "date", "donor", "document_id", "published")
+
+
+@query(as_text=("date",), sql="""d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), cal(origin, ord, phase, a, b) AS (VALUES ('north', 1, 'harvest', 5, 8), ('north', 2, 'flowering', 8, 11), ('south', 1, 'rest', 1, 4))
+SELECT date, origin, arg_min(phase, ord) AS phase FROM d JOIN cal ON month(date) BETWEEN a AND b GROUP BY date, origin""")
+def fn_31_seasons(spark, sf_dir):
+    calendar = spark.createDataFrame([("north", 1, "harvest", "rain", [5, 6, 7, 8]), ("north", 2, "flowering", "frost", [8, 9, 10, 11]), ("south", 1, "rest", "none", [1, 2, 3, 4])], "origin string, ord int, phase string, risk string, months array<int>")
+    days = tables.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return brief.seasons(days, calendar).select("date", "origin", "phase")
+
+
+@query()
+def fn_32_weather_in_context(spark, sf_dir):
+    w = brief.dryness(weather(spark, sf_dir)).where("dryness_z IS NOT NULL")
+    return w.select("station_id", "date", brief.weather_in_context(F.when(F.month("date") < 7, "flowering").otherwise("harvest"), F.col("dryness_z"), F.col("frost_7") > 3).alias("note"))
+
+
+@query(f"""{PRICES}, l AS (SELECT *, max(date) OVER (PARTITION BY series) AS last FROM prices), n AS (SELECT series, arg_max(price, date) AS rate, arg_max(price, date) FILTER (date <= last - 7) AS w, arg_max(price, date) FILTER (date <= last - 30) AS m FROM l GROUP BY series)
+SELECT n.series, round(rate, 4) AS rate, round(rate / w - 1, 4) AS week_change, round(rate / m - 1, 4) AS month_change, round((SELECT 100 * avg(CAST(price < rate AS INTEGER)) FROM l WHERE l.series = n.series AND date >= last - 365), 4) AS percentile FROM n""", digits=4)
+def dom_07_currency_position(spark, sf_dir):
+    return brief.currency_position(tables.daily_prices(spark, sf_dir).withColumnRenamed("price", "rate"))
+
+
+@query()
+def dom_06_positioning_observations(spark, sf_dir):
+    from shocklens.plans.prices import agg_17_positioning
+
+    return brief.observe_positioning(agg_17_positioning(spark, sf_dir))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(source, 'src1') THEN 'one' ELSE 'other' END AS provider FROM documents""")
+def fn_44_providers(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", T.provider("source", {"src1": "one", "src2$": "none"}).alias("provider"))
+
+
+@query("""SELECT event_id, try_cast(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events""")
+def fn_43_nested_fields(spark, sf_dir):
+    return tables.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))

@@ -314,3 +314,11 @@ def test_tags_and_rates(spark):
     with pytest.raises(ValueError):
         runs.tagged(F.lit(1), "guess", "x")
     assert one(spark.range(1).select(runs.tagged(F.lit(1), "tested", "x").alias("t"))).t.tag == "tested"
+
+
+def test_stories_collapse(spark):
+    titles = ["Frost hits the crop - AP News - AP News", "Frost hits the crop - Reuters", "FROST hits the crop!", "Frost spares the crop"]
+    docs = spark.createDataFrame([("s", i, t, f"text number {i}", f"https://www.h{i}.org/x") for i, t in enumerate(titles)], "series string, document_id int, title string, text string, url string")
+    got = {r.document_id: (r.n_copies, len(r.duplicate_urls), r.syndication_domains) for r in documents.collapse_stories(docs, ["series"]).collect()}
+    assert got == {0: (3, 3, ["h0.org", "h1.org", "h2.org"]), 3: (1, 1, ["h3.org"])}
+    assert documents.collapse_stories(docs.limit(0), ["series"]).count() == 0
