@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shocklens.session import shared_folder
+from shocklens.session import saved
+
+__all__ = ["BLANKS", "ascii_lower", "saved"]
 
 # The six ASCII white-space characters, space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -16,13 +18,3 @@ BLANKS = " \t\n\x0b\x0c\r"
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder; its lineage ends there.
-
-    Any executor can read it again after another one is lost, and Spark's
-    cleaner removes it once nothing refers to it.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
