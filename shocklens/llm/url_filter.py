@@ -116,11 +116,12 @@ def _by_digest(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """The same rule for a list of any size: candidates of each distinct url meet the list by key."""
-    lengths = rules.select(F.expr("length(substring_index(rule, '/', 1))").alias("h"), F.length("rule").alias("n"))
-    spans = F.broadcast(lengths.select((F.col("n") - F.col("h")).alias("span")).distinct().agg(F.collect_list("span").alias("spans")))
-    urls = pages.select("host", "path").distinct().crossJoin(spans)
+    # The distinct lengths of the rules' paths, as many as the longest path at most.
+    lengths = rules.select(F.expr("length(rule) - length(substring_index(rule, '/', 1)) AS span")).distinct().collect()
+    spans = F.array(*[F.lit(r.span) for r in lengths]).cast("array<int>")
+    urls = pages.select("host", "path").distinct()
     tails = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")
-    probes = urls.select("host", "path", F.explode(tails).alias("tail"), "spans").select("host", "path", "tail", F.explode("spans").alias("span"))
+    probes = urls.select("host", "path", F.explode(tails).alias("tail")).select("host", "path", "tail", F.explode(spans).alias("span"))
     probes = probes.where("span <= length(path)").withColumn("rule", F.expr("concat(tail, substring(path, 1, span))"))
     best = probes.join(rules.select("rule"), "rule").groupBy("host", "path").agg(F.max_by("rule", F.length("rule")).alias("rule"))
     return pages.join(best, ["host", "path"], "left")
