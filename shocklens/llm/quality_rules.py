@@ -16,6 +16,9 @@ from shocklens.llm.common import BLANKS, saved
 MIN_WORDS = 50
 #: A host is rejected if its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
+#: Rejected hosts that are broadcast at most, and the shares of a host beyond that.
+MAX_BROADCAST_HOSTS = 200_000
+SALTS = 64
 # Fixed value of the rule: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -82,9 +85,18 @@ def judge_quality(docs: DataFrame, host: str = "source", max_host_rate: float =
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
 
 
-def keep_good(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that pass the rules and whose host is not rejected."""
+def keep_good(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE, max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
+    """The rows of ``docs`` that pass the rules and whose host is not rejected.
+
+    Texts do not move: the rejected hosts are broadcast, up to ``max_broadcast``
+    of them. More are joined by host and salt, so that one host's documents
+    spread over many tasks.
+    """
     measured = saved(with_metrics(docs.select("text", F.col(host).alias("host"))).select("host", "base_failed"))
-    rejected = host_rates(measured, "host").where(F.col("host_rate") > max_host_rate).select(F.col("host").alias("_host"))
+    rejected = saved(host_rates(measured, "host").where(F.col("host_rate") > max_host_rate).select(F.col("host").alias("_host")))
     good = with_metrics(docs.select(F.struct("*").alias("_row"), F.col("text"), F.col(host).alias("host"))).where(~F.col("base_failed"))
-    return good.join(rejected, F.col("host").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")
+    same = F.col("host").eqNullSafe(F.col("_host"))
+    if rejected.count() <= max_broadcast:
+        return good.join(F.broadcast(rejected), same, "left_anti").select("_row.*")
+    salted = rejected.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return good.withColumn("_part", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_part") == F.col("_salt")), "left_anti").select("_row.*")

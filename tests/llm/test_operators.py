@@ -208,6 +208,7 @@ def test_quality_rejects_bad_hosts(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r.doc_id for r in quality_rules.judge_quality(table).where("kept").collect()}
     assert {i for i, t, s in rows if t == good and s != "bad"} == kept == {r.doc_id for r in quality_rules.keep_good(table).collect()}
+    assert kept == {r.doc_id for r in quality_rules.keep_good(table, max_broadcast=0).collect()}
     rates = {r.host: r.host_rate for r in quality_rules.host_rates(quality_rules.with_metrics(table)).collect()}
     assert 0.2 < rates["once"] < 1 and rates["bad"] > 0.5 > rates["host1"]
 
