@@ -112,9 +112,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, small: int = SMALL_BUCKET)
 # differ, so no block of a fingerprint is both long enough to be selective and shared by most close pairs.
 # There a block is the fingerprint of a small sample of the shingles instead: the two of smallest hash
 # under one of twelve orders. Two sets of similarity j share a block with probability 1 - (1 - j^2)^12,
-# at 0.8 over 0.99999. Then 256 bits are compared.
+# at 0.8 over 0.99999. Then 256 bits are compared: pairs far nearer than the bound are linked, pairs far
+# beyond it are not, and those in between are compared by their sets.
 ORDERS = 12
 WORDS = 4
+#: Deviations of the Hamming distance at the bound, on either side of which it decides alone.
+SURE = 4.0
+#: Members of a bucket outside its centre's component up to which they are compared with the whole bucket.
+FEW = 64
+#: Shares that the members of a bucket are dealt to.
+SALTS = 8
 _rng = np.random.default_rng(23)
 _ORDER = _rng.integers(1, 1 << 63, ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPREAD = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,19 +133,29 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def sketch(text: str | None, width: int = 5) -> tuple[list[int], list[int]]:
-    """(four fingerprint words, twelve blocks) of the set of shingles, signed; no blocks without words."""
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, ascending; of all words if they are fewer; empty without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * WORDS, []
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = np.array([digest(joined)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(sizes)
-        starts = (ends - sizes)[: len(words) - width + 1].tolist()
-        hashes = np.unique(np.fromiter((digest(joined[s:e]) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
+        return np.array([digest(joined)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes)[: len(words) - width + 1].tolist()
+    return np.unique(np.fromiter((digest(joined[s:e]) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def content_key(hashes: np.ndarray) -> int:
+    """One signed number for a shingle set."""
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes()))
+
+
+def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """(four fingerprint words, twelve blocks) of a shingle set, signed; no blocks for an empty one."""
+    if not len(hashes):
+        return [0] * WORDS, []
     ones = np.zeros(64 * WORDS, np.int64)
     least = np.full((2, ORDERS), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 1 << 12):
@@ -152,50 +169,132 @@ def sketch(text: str | None, width: int = 5) -> tuple[list[int], list[int]]:
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, h0, h1, h2, h3, blocks) for every row with a doc_id."""
-    schema = "doc_id long, " + ", ".join(f"{h} long" for h in _SKETCH) + ", blocks array<long>"
+    """(doc_id, content, size, h0, h1, h2, h3, blocks) for every row with a doc_id; content names the shingle set."""
+    schema = "doc_id long, content long, size long, " + ", ".join(f"{h} long" for h in _SKETCH) + ", blocks array<long>"
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [sketch(t.as_py(), width) for t in batch.column(1)]
-            columns = [pa.array([f[0][i] for f in found], pa.int64()) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", *_SKETCH, "blocks"])
+            found = []
+            for text in batch.column(1):
+                hashes = shingle_set(text.as_py(), width)
+                found.append((content_key(hashes), len(hashes), *sketch(hashes)))
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)] + [pa.array([f[2][i] for f in found], pa.int64()) for i in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([f[3] for f in found], pa.list_(pa.int64()))], ["doc_id", "content", "size", *_SKETCH, "blocks"])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, schema)
 
 
-def furthest(similarity: float) -> int:
-    """Differing bits of 256 up to which sets count as that similar: the expected number and two deviations."""
+def distance_bounds(similarity: float) -> tuple[int, int]:
+    """Bits of 256 up to which two sets are surely that similar, and beyond which they surely are not."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = 64 * WORDS
-    return round(n * p + 2 * (n * p * (1 - p)) ** 0.5)
+    spread = SURE * (n * p * (1 - p)) ** 0.5
+    return max(0, int(n * p - spread)), round(n * p + spread)
+
+
+def _apart(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}.{h} ^ {b}.{h})" for h in _SKETCH)
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, small: int = SMALL_BUCKET) -> DataFrame:
-    """(doc_id, component_id) of every row with a doc_id, linked by the estimated similarity of their shingle sets.
+def _linked(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of those ``pairs`` (a, b, bits) whose sets are similar.
 
-    In buckets of few distinct texts all pairs are compared. In larger ones each
-    text is compared with the bucket's centre, which is another one in each of
-    its twelve buckets; a group stays one component although not all its pairs
-    are formed. Texts without words are one group. Other columns are ignored.
+    Only the sets of pairs between the two bounds are made and moved, as 32
+    bits of each hash. They go by the pair's members, so a text that is the
+    centre of many pairs is met in a stream, not gathered.
+    """
+    surely, _ = distance_bounds(similarity)
+    pairs = saved(pairs.distinct())
+    open_ = pairs.where(F.col("bits") > surely).select("a", "b")
+    wanted = open_.select(F.col("a").alias("content")).unionByName(open_.select(F.col("b").alias("content"))).distinct()
+    ids = wanted.join(firsts, "content").select(F.col("doc_id").alias("_id"))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+            held = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h in found]
+            yield pa.RecordBatch.from_arrays([pa.array([content_key(h) for h in found], pa.int64()), pa.array(held, pa.binary())], ["content", "held"])
+
+    texts = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").select(F.col("text").cast("string"))
+    sets = texts.mapInArrow(batches, "content long, held binary").dropDuplicates(["content"])
+
+    @F.arrow_udf("boolean")
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            x, y = (np.frombuffer(z.as_py(), "<u4") for z in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    one, two = (sets.select(F.col("content").alias(c), F.col("held").alias(f"_{c}")) for c in "ab")
+    compared = open_.join(two, "b").join(one, "a").where(similar("_a", "_b")).select("a", "b")
+    return saved(pairs.where(F.col("bits") <= surely).select("a", "b").unionByName(compared))
+
+
+def _crossing(members: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Pairs (a, b, bits) of two components that share ``keys``, one of them outside the component ``main``.
+
+    Members are dealt by salt, so that no task holds a bucket; pairs are formed
+    by the join and leave it only if their distance and sizes allow a link.
+    """
+    _, beyond = distance_bounds(similarity)
+    others = members.where("root <> main").select(*keys, F.col("m").alias("x"), F.col("root").alias("x_root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    all_ = members.select(*keys, F.col("m").alias("y"), F.col("root").alias("y_root"), F.col("main").alias("y_main"), F.pmod(F.xxhash64("m.content"), F.lit(SALTS)).cast("int").alias("salt"))
+    # Of two members outside the main component only one order is formed.
+    met = others.join(all_, [*keys, "salt"]).where("x_root <> y_root AND (y_root = y_main OR x.content < y.content)")
+    return _candidates(met, "x", "y", similarity, beyond)
+
+
+def _candidates(met: DataFrame, x: str, y: str, similarity: float, beyond: int) -> DataFrame:
+    sized = f"least({x}.size, {y}.size) >= {similarity} * greatest({x}.size, {y}.size) - 1e-9"
+    return met.where(sized).select(F.expr(f"least({x}.content, {y}.content) AS a"), F.expr(f"greatest({x}.content, {y}.content) AS b"), F.expr(f"{_apart(x, y)} AS bits")).where(F.col("bits") <= beyond)
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, few: int = FEW) -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id, linked by the similarity of their shingle sets.
+
+    First each text is compared with the centre of its twelve buckets. That
+    joins most groups, and pairs inside a component need no second look. Then
+    every member outside its centre's component is compared with all members of
+    the bucket that are in other components. Where a bucket has more than
+    ``few`` such members, as around a passage that unlike texts share, pairs
+    must share a second block. Texts without words are one group. Rows that
+    repeat a doc_id are compared by each of their texts. Other columns are
+    ignored.
     """
     drawn = saved(sketches(docs, width))
-    groups = saved(drawn.groupBy(*_SKETCH).agg(F.min("doc_id").alias("node"), F.first("blocks").alias("blocks")))
-    bits = furthest(similarity)
-    keys = groups.select("node", *_SKETCH, F.posexplode("blocks").alias("part", "block"))
-    member = F.struct("node", *_SKETCH)
-    buckets = keys.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.min_by(member, F.xxhash64("part", "node")).alias("c")).where("n > 1")
-    met = saved(keys.join(buckets, ["part", "block"]))
-
-    def close(a: str, b: str) -> str:
-        return " + ".join(f"bit_count({a}.{h} ^ {b}.{h})" for h in _SKETCH) + f" <= {bits}"
-
-    stars = met.select("c", member.alias("m")).where("c.node <> m.node").where(close("c", "m")).select(F.col("c.node").alias("a"), F.col("m.node").alias("b"))
-    each = met.where(F.col("n").between(3, small)).groupBy("part", "block").agg(F.collect_list(member).alias("m"))
-    each = each.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {small}), y -> {close('x', 'y')}), y -> struct(x.node AS a, y.node AS b))))")).alias("e"))
-    roots = connected_components(stars.unionByName(each.select("e.a", "e.b")))
-    named = groups.join(roots, "node", "left").select(*_SKETCH, F.coalesce("root", "node").alias("component_id"))
-    return drawn.join(named, _SKETCH).select("doc_id", "component_id")
+    groups = drawn.groupBy("content").agg(F.min(F.struct("doc_id", "size", *_SKETCH, "blocks")).alias("g")).select("content", "g.*")
+    groups = saved(groups)
+    _, beyond = distance_bounds(similarity)
+    member = F.struct("content", "size", *_SKETCH)
+    keys = groups.select(member.alias("m"), F.posexplode("blocks").alias("part", "block"))
+    # The same text is the centre wherever it is met, so a group has few different pairs with centres.
+    buckets = keys.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.min_by("m", F.xxhash64("m.content")).alias("c")).where("n > 1")
+    met = saved(keys.join(buckets.drop("n"), ["part", "block"]))
+    firsts = groups.select("content", "doc_id")
+    stars = _linked(_candidates(met.where("c.content <> m.content"), "c", "m", similarity, beyond), docs, firsts, width, similarity)
+    roots = connected_components(stars)
+
+    def rooted(df: DataFrame, of: str, name: str) -> DataFrame:
+        found = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        return df.join(found, F.col(of) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", of)).drop("_node", "_root")
+
+    # Centres have been compared with all their members.
+    placed = rooted(rooted(met, "m.content", "root"), "c.content", "main").where("c.content <> m.content").drop("c")
+    outside = placed.where("root <> main").groupBy("part", "block").agg(F.count(F.lit(1)).alias("outside"))
+    left = saved(placed.join(outside, ["part", "block"]))
+    pairs = _crossing(left.where(F.col("outside") <= few), ["part", "block"], similarity)
+    crowded = left.where(F.col("outside") > few)
+    second = crowded.join(groups.select(F.col("content").alias("_content"), "blocks"), F.col("m.content") == F.col("_content"))
+    second = second.select("part", "block", "m", "root", "main", F.posexplode("blocks").alias("part2", "block2")).where("part2 > part")
+    pairs = pairs.unionByName(_crossing(second, ["part", "block", "part2", "block2"], similarity))
+    later = _linked(pairs, docs, firsts, width, similarity)
+    found = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(later))
+    rooted_groups = groups.join(found, F.col("content") == F.col("node"), "left").select("content", "doc_id", F.coalesce("root", "content").alias("root"))
+    least = rooted_groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = rooted_groups.join(least, "root").select("content", "component_id")
+    return drawn.join(named, "content").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

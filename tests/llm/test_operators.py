@@ -119,6 +119,30 @@ def _five(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def _similar_components(texts, least=0.8):
+    """Components of all pairs whose five-word shingle sets have a Jaccard similarity of ``least`` or more."""
+    sets = {i: _five(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = {}
+    for i in sorted(sets):
+        met = {}
+        for g in sets[i] or {None}:
+            for j in holders.setdefault(g, []):
+                met[j] = met.get(j, 0) + 1
+            holders[g].append(i)
+        for j, n in met.items():
+            if not sets[i] or n >= least * (len(sets[i]) + len(sets[j]) - n):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in texts}
+
+
 def test_similar_documents(spark):
     rng = random.Random(8)
     docs, group = [], {}
@@ -130,21 +154,41 @@ def test_similar_documents(spark):
                 words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
             group[len(docs)] = g
             docs.append((len(docs), " ".join(words)))
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
-    assert all(group[i] == group[c] for i, c in got.items())
-    sets = [_five(t) for _, t in docs]
-    close = [(a, b) for a in range(len(docs)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.82]
-    assert np.mean([got[a] == got[b] for a, b in close]) >= 0.99
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = _similar_components(dict(docs))
+    assert len(set(want.values())) > len(set(group.values()))
+    for few in (simhash.FEW, 0):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(table, few=few).collect()}
+        assert got == want
+
+
+def test_similar_documents_chain_and_shared_passage(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(120)]
+    docs = [(i, " ".join([*passage, *(f"u{i}_{k}" for k in range(60))])) for i in range(90)]
+    # Each text of the chain is close to its neighbours, and its ends are far apart.
+    words = [f"c{i}" for i in range(200)]
+    for i in range(100, 120):
+        docs.append((i, " ".join(words)))
+        words = words[12:] + [f"c{i}_{k}" for k in range(12)]
+    rng.shuffle(docs)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = _similar_components(dict(docs))
+    assert want[119] == 100 and want[89] == 89
+    for few in (simhash.FEW, 0):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(table, few=few).collect()} == want
 
 
 def test_sketch_estimates_similarity():
     rng = random.Random(4)
-    assert simhash.sketch("") == simhash.sketch(None) == ([0] * 4, []) and simhash.sketch("one")[1]
+    sketch = lambda t: simhash.sketch(simhash.shingle_set(t))
+    assert sketch("") == sketch(None) == ([0] * 4, []) and sketch("one")[1]
     base = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
     far = [f"x{i}" for i in range(20_000)]
-    a, b, c = (simhash.sketch(" ".join(x))[0] for x in (base, base[:19_000], far))
+    a, b, c = (sketch(" ".join(x))[0] for x in (base, base[:19_000], far))
     distance = lambda p, q: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(p, q, strict=True))
-    assert distance(a, b) < simhash.furthest(0.8) < 60 < distance(a, c)
+    surely, beyond = simhash.distance_bounds(0.8)
+    assert surely < distance(a, b) < beyond < 70 < distance(a, c)
 
 
 def test_components_of_chains_and_stars(spark):
@@ -386,9 +430,7 @@ def test_pipeline_against_plain_python(spark, sf_dir, docs):
             if len(key(x)) >= 10:
                 first.setdefault(key(x), i)
     rows = {i: "\n".join(x for x in t.split("\n") if first.get(key(x), i) == i) for i, t in rows.items()}
-    sketched = {i: simhash.sketch(t) for i, t in rows.items()}
-    whole = {i: sum((h & (1 << 64) - 1) << 64 * k for k, h in enumerate(s)) for i, (s, _) in sketched.items()}
-    comp = _components(whole, simhash.furthest(0.8))
+    comp = _similar_components(rows)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     own = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = {}
