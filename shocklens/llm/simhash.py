@@ -112,7 +112,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, small: int = SMALL_BUCKET)
 # differ, so no block of a fingerprint is both long enough to be selective and shared by most close pairs.
 # There a block is the fingerprint of a small sample of the shingles instead: the two of smallest hash
 # under one of twelve orders. Two sets of similarity j share a block with probability 1 - (1 - j^2)^12,
-# at 0.8 over 0.99999. Then 256 bits are compared.
+# at 0.8 over 0.99999. Then 256 bits are compared, and the sets themselves where these leave it open.
 ORDERS = 12
 WORDS = 4
 _rng = np.random.default_rng(23)
@@ -126,19 +126,33 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def sketch(text: str | None, width: int = 5) -> tuple[list[int], list[int]]:
-    """(four fingerprint words, twelve blocks) of the set of shingles, signed; no blocks without words."""
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, ascending; of all words if they are fewer; empty without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * WORDS, []
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = np.array([digest(joined)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(sizes)
-        starts = (ends - sizes)[: len(words) - width + 1].tolist()
-        hashes = np.unique(np.fromiter((digest(joined[s:e]) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
+        return np.array([digest(joined)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes)[: len(words) - width + 1].tolist()
+    return np.unique(np.fromiter((digest(joined[s:e]) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def content_key(hashes: np.ndarray) -> int:
+    """One signed number that names a shingle set."""
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes()))
+
+
+def sketch(text: str | None, width: int = 5) -> tuple[list[int], list[int]]:
+    """(four fingerprint words, twelve blocks) of the set of shingles, signed; no blocks without words."""
+    return _sketch(shingle_set(text, width))
+
+
+def _sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    if not len(hashes):
+        return [0] * WORDS, []
     ones = np.zeros(64 * WORDS, np.int64)
     least = np.full((2, ORDERS), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 1 << 12):
@@ -152,50 +166,85 @@ def sketch(text: str | None, width: int = 5) -> tuple[list[int], list[int]]:
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, h0, h1, h2, h3, blocks) for every row with a doc_id."""
-    schema = "doc_id long, " + ", ".join(f"{h} long" for h in _SKETCH) + ", blocks array<long>"
+    """(doc_id, content, size, h0, h1, h2, h3, blocks) for every row with a doc_id; content names the shingle set."""
+    schema = "doc_id long, content long, size long, " + ", ".join(f"{h} long" for h in _SKETCH) + ", blocks array<long>"
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [sketch(t.as_py(), width) for t in batch.column(1)]
-            columns = [pa.array([f[0][i] for f in found], pa.int64()) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", *_SKETCH, "blocks"])
+            sets = (shingle_set(t.as_py(), width) for t in batch.column(1))
+            found = [(content_key(s), len(s), *_sketch(s)) for s in sets]
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)] + [pa.array([f[2][i] for f in found], pa.int64()) for i in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([f[3] for f in found], pa.list_(pa.int64()))], ["doc_id", "content", "size", *_SKETCH, "blocks"])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, schema)
 
 
-def furthest(similarity: float) -> int:
-    """Differing bits of 256 up to which sets count as that similar: the expected number and two deviations."""
+def furthest(similarity: float, deviations: float = 2.0) -> int:
+    """Differing bits of 256 of sets that similar: the expected number and as many deviations."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     n = 64 * WORDS
-    return round(n * p + 2 * (n * p * (1 - p)) ** 0.5)
+    return round(n * p + deviations * (n * p * (1 - p)) ** 0.5)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those ``pairs`` (a, b) of contents whose shingle sets are similar; ``firsts`` is a (content, doc_id) for each.
+
+    Sets are made only of texts in a pair. The join carries one set a pair, so
+    a text in many pairs is met in a stream and not gathered.
+    """
+    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
+    ids = wanted.join(firsts, "content").select(F.col("doc_id").alias("_id"))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(content_key, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["content", "held"])
+
+    @F.arrow_udf("boolean")
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    texts = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").select(F.col("text").cast("string"))
+    sets = texts.mapInArrow(batches, "content long, held binary").dropDuplicates(["content"])
+    one, two = (sets.select(F.col("content").alias(c), F.col("held").alias(f"_{c}")) for c in "ab")
+    return pairs.join(two, "b").join(one, "a").where(similar("_a", "_b")).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, small: int = SMALL_BUCKET) -> DataFrame:
-    """(doc_id, component_id) of every row with a doc_id, linked by the estimated similarity of their shingle sets.
+    """(doc_id, component_id) of every row with a doc_id, linked by the similarity of their shingle sets.
 
     In buckets of few distinct texts all pairs are compared. In larger ones each
     text is compared with the bucket's centre, which is another one in each of
     its twelve buckets; a group stays one component although not all its pairs
-    are formed. Texts without words are one group. Other columns are ignored.
+    are formed. Sizes and fingerprints, to four deviations, only choose the pairs
+    to compare: a link is always confirmed by the two shingle sets. Texts without
+    words are one group. Other columns are ignored.
     """
     drawn = saved(sketches(docs, width))
-    groups = saved(drawn.groupBy(*_SKETCH).agg(F.min("doc_id").alias("node"), F.first("blocks").alias("blocks")))
-    bits = furthest(similarity)
-    keys = groups.select("node", *_SKETCH, F.posexplode("blocks").alias("part", "block"))
-    member = F.struct("node", *_SKETCH)
-    buckets = keys.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.min_by(member, F.xxhash64("part", "node")).alias("c")).where("n > 1")
+    groups = saved(drawn.groupBy("content").agg(F.min(F.struct("doc_id", "size", *_SKETCH, "blocks")).alias("g")).select("content", "g.*"))
+    bits = furthest(similarity, 4.0)
+    member = F.struct("content", "size", *_SKETCH)
+    keys = groups.select("content", "size", *_SKETCH, F.posexplode("blocks").alias("part", "block"))
+    buckets = keys.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.min_by(member, F.xxhash64("part", "content")).alias("c")).where("n > 1")
     met = saved(keys.join(buckets, ["part", "block"]))
 
     def close(a: str, b: str) -> str:
-        return " + ".join(f"bit_count({a}.{h} ^ {b}.{h})" for h in _SKETCH) + f" <= {bits}"
+        sized = f"least({a}.size, {b}.size) >= {similarity} * greatest({a}.size, {b}.size) - 1e-9"
+        return f"{sized} AND " + " + ".join(f"bit_count({a}.{h} ^ {b}.{h})" for h in _SKETCH) + f" <= {bits}"
 
-    stars = met.select("c", member.alias("m")).where("c.node <> m.node").where(close("c", "m")).select(F.col("c.node").alias("a"), F.col("m.node").alias("b"))
+    stars = met.select("c", member.alias("m")).where("c.content <> m.content").where(close("c", "m")).select(F.col("c.content").alias("a"), F.col("m.content").alias("b"))
     each = met.where(F.col("n").between(3, small)).groupBy("part", "block").agg(F.collect_list(member).alias("m"))
-    each = each.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {small}), y -> {close('x', 'y')}), y -> struct(x.node AS a, y.node AS b))))")).alias("e"))
-    roots = connected_components(stars.unionByName(each.select("e.a", "e.b")))
-    named = groups.join(roots, "node", "left").select(*_SKETCH, F.coalesce("root", "node").alias("component_id"))
-    return drawn.join(named, _SKETCH).select("doc_id", "component_id")
+    each = each.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {small}), y -> {close('x', 'y')}), y -> struct(x.content AS a, y.content AS b))))")).alias("e"))
+    pairs = stars.unionByName(each.select("e.a", "e.b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = connected_components(confirmed(saved(pairs), docs, groups.select("content", "doc_id"), width, similarity))
+    rooted = saved(groups.select("content", "doc_id").join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "doc_id", F.coalesce("root", "content").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("content", "component_id")
+    return drawn.join(named, "content").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -137,6 +137,20 @@ def test_similar_documents(spark):
     assert np.mean([got[a] == got[b] for a, b in close]) >= 0.99
 
 
+def test_similar_documents_are_confirmed_by_their_sets(spark):
+    rng = random.Random(31)
+    docs = []
+    for g in range(150):
+        base = [f"w{g}x{i}" for i in range(204)]
+        far = list(base)
+        for i in range(5):
+            far[20 + 40 * i] = f"n{rng.randrange(10**9)}"
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(far))]
+    sets = {i: _five(t) for i, t in docs}
+    assert {round(len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]), 3) for g in range(150)} == {round(175 / 225, 3)}
+    assert all(r.doc_id == r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+
+
 def test_sketch_estimates_similarity():
     rng = random.Random(4)
     assert simhash.sketch("") == simhash.sketch(None) == ([0] * 4, []) and simhash.sketch("one")[1]
