@@ -115,6 +115,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, small: int = SMALL_BUCKET)
 # at 0.8 over 0.99999. Then 256 bits are compared, and the sets themselves where these leave it open.
 ORDERS = 12
 WORDS = 4
+#: Members of a crowded bucket that a task compares with its others.
+SHARE = 1024
 _rng = np.random.default_rng(23)
 _ORDER = _rng.integers(1, 1 << 63, ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPREAD = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,62 +188,71 @@ def furthest(similarity: float, deviations: float = 2.0) -> int:
     return round(n * p + deviations * (n * p * (1 - p)) ** 0.5)
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(content, held) with the shingle set of each ``wanted`` (content, doc_id); no other text is cut up."""
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(content_key, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["content", "held"])
+
+    texts = docs.join(wanted.select(F.col("doc_id").alias("_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_semi").select(F.col("text").cast("string"))
+    return texts.mapInArrow(batches, "content long, held array<long>").dropDuplicates(["content"])
+
+
+def _similar(a: str, b: str, similarity: float) -> str:
+    return f"size(array_intersect({a}, {b})) * {1 + similarity}D >= {similarity}D * (size({a}) + size({b})) - 1e-6D"
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those ``pairs`` (a, b) of contents whose shingle sets are similar; ``firsts`` is a (content, doc_id) for each.
 
-    Sets are made only of texts in a pair. The join carries one set a pair, so
-    a text in many pairs is met in a stream and not gathered.
+    The join carries one set a pair, so a text in many pairs is met in a stream
+    and not gathered.
     """
     wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
-    ids = wanted.join(firsts, "content").select(F.col("doc_id").alias("_id"))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(content_key, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["content", "held"])
-
-    @F.arrow_udf("boolean")
-    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-        return pa.array(out, pa.bool_())
-
-    texts = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").select(F.col("text").cast("string"))
-    sets = texts.mapInArrow(batches, "content long, held binary").dropDuplicates(["content"])
+    sets = shingle_sets(docs, wanted.join(firsts, "content"), width)
     one, two = (sets.select(F.col("content").alias(c), F.col("held").alias(f"_{c}")) for c in "ab")
-    return pairs.join(two, "b").join(one, "a").where(similar("_a", "_b")).select("a", "b")
+    return pairs.join(two, "b").join(one, "a").where(_similar("_a", "_b", similarity)).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, small: int = SMALL_BUCKET) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id, linked by the similarity of their shingle sets.
 
-    In buckets of few distinct texts all pairs are compared. In larger ones each
-    text is compared with the bucket's centre, which is another one in each of
-    its twelve buckets; a group stays one component although not all its pairs
-    are formed. Sizes and fingerprints, to four deviations, only choose the pairs
-    to compare: a link is always confirmed by the two shingle sets. Texts without
-    words are one group. Other columns are ignored.
+    All pairs that share one of twelve buckets are compared. Sizes and
+    fingerprints, to four deviations, only choose which of them have their
+    shingle sets compared: a link is always confirmed by the two sets. Members
+    of crowded buckets carry their sets, and the join that forms their pairs
+    tests them, so no table holds more than the links of a large group. Texts
+    without words are one group. Other columns are ignored.
     """
     drawn = saved(sketches(docs, width))
     groups = saved(drawn.groupBy("content").agg(F.min(F.struct("doc_id", "size", *_SKETCH, "blocks")).alias("g")).select("content", "g.*"))
     bits = furthest(similarity, 4.0)
     member = F.struct("content", "size", *_SKETCH)
     keys = groups.select("content", "size", *_SKETCH, F.posexplode("blocks").alias("part", "block"))
-    buckets = keys.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.min_by(member, F.xxhash64("part", "content")).alias("c")).where("n > 1")
+    buckets = keys.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = saved(keys.join(buckets, ["part", "block"]))
 
     def close(a: str, b: str) -> str:
         sized = f"least({a}.size, {b}.size) >= {similarity} * greatest({a}.size, {b}.size) - 1e-9"
         return f"{sized} AND " + " + ".join(f"bit_count({a}.{h} ^ {b}.{h})" for h in _SKETCH) + f" <= {bits}"
 
-    stars = met.select("c", member.alias("m")).where("c.content <> m.content").where(close("c", "m")).select(F.col("c.content").alias("a"), F.col("m.content").alias("b"))
-    each = met.where(F.col("n").between(3, small)).groupBy("part", "block").agg(F.collect_list(member).alias("m"))
+    each = met.where(F.col("n") <= small).groupBy("part", "block").agg(F.collect_list(member).alias("m"))
     each = each.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {small}), y -> {close('x', 'y')}), y -> struct(x.content AS a, y.content AS b))))")).alias("e"))
-    pairs = stars.unionByName(each.select("e.a", "e.b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = connected_components(confirmed(saved(pairs), docs, groups.select("content", "doc_id"), width, similarity))
+    pairs = each.select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct()
+    firsts = groups.select("content", "doc_id")
+    linked = confirmed(saved(pairs), docs, firsts, width, similarity)
+
+    places = met.where(F.col("n") > small).select("part", "block", "n", "content")
+    sets = shingle_sets(docs, places.select("content").distinct().join(firsts, "content"), width)
+    members = groups.select("content", "size", *_SKETCH, "blocks").join(sets, "content").select("content", F.struct("content", "size", *_SKETCH, "blocks", "held").alias("m"))
+    # A bucket's members are dealt to shares of some SHARE, so that no task forms all its pairs.
+    crowd = places.withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")).join(members, "content")
+    left = crowd.select("part", "block", F.col("m").alias("x"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    right = crowd.select(F.col("part").alias("_part"), F.col("block").alias("_block"), F.col("m").alias("y"), F.expr("pmod(xxhash64(content), shares)").cast("int").alias("_share"))
+    once = "CASE " + " ".join(f"WHEN x.blocks[{i}] = y.blocks[{i}] THEN {i}" for i in range(ORDERS)) + " END = part"
+    crossed = left.join(right, F.expr(f"part = _part AND block = _block AND share = _share AND x.content < y.content AND {close('x', 'y')} AND {once} AND {_similar('x.held', 'y.held', similarity)}"))
+    roots = connected_components(linked.unionByName(crossed.selectExpr("x.content AS a", "y.content AS b")))
     rooted = saved(groups.select("content", "doc_id").join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "doc_id", F.coalesce("root", "content").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("content", "component_id")
     return drawn.join(named, "content").select("doc_id", "component_id")

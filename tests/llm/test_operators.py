@@ -151,6 +151,29 @@ def test_similar_documents_are_confirmed_by_their_sets(spark):
     assert all(r.doc_id == r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect())
 
 
+def test_similar_documents_inside_a_crowded_bucket(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    docs, texts = [], [base]
+    for i in range(260):
+        words = list(rng.choice(texts))
+        for _ in range(rng.randint(2, 5)):
+            words[rng.randrange(5, len(words))] = f"n{rng.randrange(10**9)}"
+        texts.append(words)
+        docs.append((i, " ".join(words)))
+    sets = [_five(t) for _, t in docs]
+    up = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and up[a] != up[b]:
+                least, most = sorted((up[a], up[b]))
+                up = [least if x == most else x for x in up]
+    assert 20 < len(set(up)) < 240 and max(map(up.count, set(up))) > 3
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for small in (2, 16, 1000):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame, small=small).collect()} == dict(enumerate(up))
+
+
 def test_sketch_estimates_similarity():
     rng = random.Random(4)
     assert simhash.sketch("") == simhash.sketch(None) == ([0] * 4, []) and simhash.sketch("one")[1]
