@@ -82,18 +82,24 @@ def currency_rows(returns: DataFrame, fx: DataFrame, names: list[str]) -> DataFr
 
 
 def donors(days: DataFrame, least_days: int = 60, seed: int = 11) -> DataFrame:
-    """For each flagged day another of the same series and direction at least ``least_days`` away, by seeded order.
+    """For each flagged day another of the same series and direction at least ``least_days`` away, by seeded draw.
 
-    A day's partner is its neighbour in the shuffled ring of its group, or the
-    next one far enough along the ring's following ``reach`` places.
+    All days far enough before or after are candidates, and each is drawn alike;
+    only a day without any is left out.
     """
-    reach = 40
-    ring = Window.partitionBy("series", "direction").orderBy(F.xxhash64(F.lit(seed), "date"), "date")
-    ordered = days.withColumn("_i", F.row_number().over(ring)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("series", "direction")))
-    tries = ordered.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("_j", F.pmod(F.col("_i") - 1 + F.col("_step"), F.col("_n")) + 1)
-    other = ordered.select("series", "direction", F.col("_i").alias("_j"), F.col("date").alias("donor"))
-    met = tries.join(other, ["series", "direction", "_j"]).where(F.abs(F.datediff("date", "donor")) >= least_days)
-    return met.groupBy("series", "direction", "date").agg(F.min_by("donor", "_step").alias("donor"))
+    group = Window.partitionBy("series", "direction")
+    order = group.orderBy("_day")
+    ranked = days.select("series", "direction", "date").distinct().withColumn("_day", F.unix_date(F.col("date").cast("date")))
+    ranked = ranked.withColumns({
+        "_i": F.row_number().over(order),
+        "_before": F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, -least_days)),
+        "_near": F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, least_days - 1)),
+        "_n": F.count(F.lit(1)).over(group),
+    })
+    far = ranked.withColumn("_far", F.col("_before") + F.col("_n") - F.col("_near")).where("_far > 0")
+    drawn = far.withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "series", "direction", "date"), F.col("_far")) + 1)
+    drawn = drawn.select("series", "direction", "date", F.expr("int(if(_k <= _before, _k, _near + _k - _before))").alias("_i"))
+    return drawn.join(ranked.select("series", "direction", "_i", F.col("date").alias("donor")), ["series", "direction", "_i"]).drop("_i")
 
 
 def shifted_documents(pairs: DataFrame, documents: DataFrame) -> DataFrame:

@@ -115,6 +115,18 @@ def test_as_of_takes_the_row_known_on_the_day(spark):
     assert [r.v for r in joins.as_of(left, right, ["series"], "at", "known", ["v"]).orderBy("at").collect()] == [None, 1.0, 2.0]
 
 
+def test_every_day_with_a_far_day_has_a_donor(spark):
+    start = dt.date(2020, 1, 1)
+    days = [("a", start + dt.timedelta(i), "up") for i in [*range(60), 150]] + [("a", start + dt.timedelta(400), "down"), ("b", start, "up"), ("b", start + dt.timedelta(59), "up")]
+    got = {(r.series, r.date): r.donor for r in joins.donors(spark.createDataFrame(days, "series string, date date, direction string")).collect()}
+    assert set(got) == {("a", d) for _, d, w in days[:61]}
+    assert all(got["a", start + dt.timedelta(i)] == start + dt.timedelta(150) for i in range(60))
+    spread = [("a", start + dt.timedelta(7 * i), "up") for i in range(300)]
+    drawn = {r.date: r.donor for r in joins.donors(spark.createDataFrame(spread, "series string, date date, direction string")).collect()}
+    assert len(drawn) == 300 and all(abs((a - b).days) >= 60 for a, b in drawn.items())
+    assert {a < b for a, b in drawn.items()} == {True, False} and len(set(drawn.values())) > 150
+
+
 def test_month_gap_is_not_bridged(spark):
     months = [("s", dt.date(2020, m, 1), float(m)) for m in (1, 2, 4, 5)]
     df = monthly.month_changes(monthly.month_spine(spark.createDataFrame(months, "series string, month date, value double"), ["series"]), ["series"])
