@@ -53,6 +53,10 @@ def assign_shards(docs: DataFrame, limit: int) -> DataFrame:
     oversized. Null texts have no bytes. Rows without a doc_id are spread by
     their text. Other columns are ignored; an empty table gives an empty one.
     """
+    return _placed(docs, limit).drop("bits")
+
+
+def _placed(docs: DataFrame, limit: int) -> DataFrame:
     text = F.col("text").cast("string")
     rows = saved(docs.select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(shard_key(F.col("doc_id"), text)).alias("bits")))
     open_rows, done, above = rows, [], 0
@@ -65,7 +69,7 @@ def assign_shards(docs: DataFrame, limit: int) -> DataFrame:
         if last:
             whole = sizes.groupBy("bits").agg(F.sum("size").alias("all_bytes"))
             placed = placed.join(whole, "bits").withColumns({"depth": F.coalesce("depth", F.lit(HASH_BITS)), "shard_bytes": F.coalesce("shard_bytes", "all_bytes")})
-        done.append(placed.where("depth IS NOT NULL").select("doc_id", "n_bytes", F.expr("substring(bits, 1, depth)").alias("shard"), "depth", "shard_bytes"))
+        done.append(placed.where("depth IS NOT NULL").select("doc_id", "n_bytes", "bits", F.expr("substring(bits, 1, depth)").alias("shard"), "depth", "shard_bytes"))
         if last or level.where("depth IS NULL").limit(1).count() == 0:
             break
         open_rows = saved(placed.where("depth IS NULL").select("doc_id", "n_bytes", "bits"))
@@ -74,6 +78,7 @@ def assign_shards(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, limit: int, folder: str) -> None:
-    """Write ``docs`` (unique doc_ids) with one folder for each shard."""
-    named = assign_shards(docs, limit).select("doc_id", "shard")
-    docs.drop("shard").join(named, "doc_id").repartition("shard").write.partitionBy("shard").parquet(folder)
+    """Write every row of ``docs`` with one folder for each shard; a row finds its shard by its hash, which has one."""
+    shards = _placed(docs, limit).select(F.col("bits").alias("_bits"), "shard").distinct()
+    rows = docs.drop("shard").withColumn("_bits", hash_bits(shard_key(F.col("doc_id"), F.col("text").cast("string"))))
+    rows.join(shards, "_bits").drop("_bits").repartition("shard").write.partitionBy("shard").parquet(folder)

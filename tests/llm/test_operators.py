@@ -231,6 +231,15 @@ def test_shards(odd, empty, docs, tmp_path):
     assert odd.sparkSession.read.parquet(str(tmp_path / "shards")).count() == unique.count()
 
 
+def test_written_shards_hold_every_row(odd, tmp_path):
+    sharding.write_shards(odd, 4_000, str(tmp_path / "all"))
+    got = odd.sparkSession.read.parquet(str(tmp_path / "all"))
+    key = lambda r: (r.doc_id or 0, r.doc_id is None, r.text or "", r.text is None)
+    assert sorted(map(key, got.collect())) == sorted(map(key, odd.collect()))
+    sizes = got.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.collect_set("doc_id").alias("ids")).collect()
+    assert all((r.n or 0) <= 4_000 or r.ids in ([11], [12]) for r in sizes)
+
+
 def test_quality_odd_rows(odd, empty):
     rows = {r.doc_id: r for r in quality_rules.judge_quality(odd).collect() if r.doc_id}
     assert (rows[1].n_words, rows[3].n_words, rows[11].n_words) == (0, 0, 3000)
