@@ -62,6 +62,11 @@ def fn_12_lexical_support(spark, sf_dir):
     return dated(spark, sf_dir).select("document_id", T.lexical_support("title", F.substring("text", 1, 400)).alias("support"))
 
 
+@query()
+def fn_12_whole_text_support(spark, sf_dir):
+    return dated(spark, sf_dir).select("document_id", T.lexical_support("title", "text").alias("support"))
+
+
 @query()
 def fn_14_quotes_checked(spark, sf_dir):
     items = F.broadcast(tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")))

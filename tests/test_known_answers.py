@@ -184,6 +184,14 @@ def test_titles_and_quotes(spark):
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == ("ab", ["9f", "77"], ["1.5", "20"], 3.5, "up", True, None)
 
 
+def test_support_is_found_in_the_whole_text(spark, monkeypatch):
+    from shocklens.plans import more
+
+    frame = spark.createDataFrame([(1, "late word", "x " * 400 + "late word"), (2, "none", "x " * 400)], "document_id long, title string, text string")
+    monkeypatch.setattr(more, "dated", lambda *_: frame)
+    assert {r.document_id: r.support for r in more.fn_12_whole_text_support(spark, "").collect()} == {1: 1.0, 2: 0.0}
+
+
 def test_story_edges_against_brute_force(spark):
     rng = random.Random(4)
     base = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(6)]
