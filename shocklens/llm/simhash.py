@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shocklens.llm.common import saved
@@ -115,8 +115,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, small: int = SMALL_BUCKET)
 # at 0.8 over 0.99999. Then 256 bits are compared, and the sets themselves where these leave it open.
 ORDERS = 12
 WORDS = 4
-#: Members of a crowded bucket that a task compares with its others.
-SHARE = 1024
+#: Members of a crowded bucket that a task compares at once, and their shingles together.
+SHARE, SHARE_SHINGLES = 256, 1 << 18
+#: Columns of the membership matrix of a share that are held at once.
+_WIDE = 1 << 13
 _rng = np.random.default_rng(23)
 _ORDER = _rng.integers(1, 1 << 63, ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPREAD = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -199,61 +201,142 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(batches, "content long, held array<long>").dropDuplicates(["content"])
 
 
-def _similar(a: str, b: str, similarity: float) -> str:
-    return f"size(array_intersect({a}, {b})) * {1 + similarity}D >= {similarity}D * (size({a}) + size({b})) - 1e-6D"
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those ``pairs`` (a, b) of contents whose shingle sets are similar; ``firsts`` is a (content, doc_id) for each.
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those ``pairs`` (a, b) of contents whose shingle sets are similar.
 
     The join carries one set a pair, so a text in many pairs is met in a stream
     and not gathered.
     """
-    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
-    sets = shingle_sets(docs, wanted.join(firsts, "content"), width)
     one, two = (sets.select(F.col("content").alias(c), F.col("held").alias(f"_{c}")) for c in "ab")
-    return pairs.join(two, "b").join(one, "a").where(_similar("_a", "_b", similarity)).select("a", "b")
+    similar = f"size(array_intersect(_a, _b)) * {1 + similarity}D >= {similarity}D * (size(_a) + size(_b)) - 1e-6D"
+    return pairs.join(two, "b").join(one, "a").where(similar).select("a", "b")
+
+
+def similar_pairs(held: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Square table: which of these shingle sets are similar, from exact counts of their common shingles."""
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    owner = np.repeat(np.arange(len(held)), sizes)
+    _, place, often = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    # Shingles of one set alone are in no intersection.
+    column = np.cumsum(often > 1) - 1
+    shared = often[place] > 1
+    owner, place = owner[shared], column[place[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((len(held), len(held)), np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, _WIDE):
+        low, high = np.searchsorted(place, [at, at + _WIDE])
+        member = np.zeros((len(held), _WIDE), np.float32)
+        member[owner[low:high], place[low:high] - at] = 1
+        common += member @ member.T
+    np.fill_diagonal(common, sizes)
+    return common.astype(float) * (1 + similarity) >= similarity * (sizes[:, None] + sizes) - 1e-6
+
+
+def spanning(similar: np.ndarray) -> np.ndarray:
+    """For each member the smallest one that it reaches."""
+    label = np.arange(len(similar))
+    while True:
+        least = np.minimum(label, np.where(similar, label, len(similar)).min(axis=1))
+        if (least == label).all():
+            return label
+        label = least[least]
+
+
+def _linked_in_tiles(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the roots that similar members of a tile join; ``rows`` is (tile, content, root)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        roots = table.column("root").to_numpy()
+        if len(roots) < 2:
+            return schema.empty_table()
+        first = spanning(similar_pairs([x.values.to_numpy() for x in table.column("held")], similarity))
+        joined = roots != roots[first]
+        return pa.table([pa.array(roots[first][joined]), pa.array(roots[joined])], schema=schema)
+
+    return rows.join(sets, "content").select("tile", "root", "held").groupBy("tile").applyInArrow(compare, "a long, b long")
+
+
+def _n_shares(n: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / SHARE), F.ceil(F.col(shingles) / SHARE_SHINGLES), F.lit(1)).cast("int")
+
+
+def _share_of(shares: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("share"), "content"), F.col(shares)).cast("int")
+
+
+def _first_tiles(crowd: DataFrame) -> DataFrame:
+    """(tile, content, root): the members of a crowded bucket in shares, with its centre in each of them."""
+    shares = F.when(F.col("content") == F.col("centre"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(_share_of("shares")))
+    dealt = crowd.select("block", "content", F.explode(shares).alias("share"))
+    return dealt.select(F.xxhash64("block", "share").alias("tile"), "content", F.col("content").alias("root"))
+
+
+def _second_tiles(crowd: DataFrame) -> DataFrame | None:
+    """(tile, content, root) such that members of a bucket with different roots meet in some tile; None if there are none.
+
+    A root of many members has shares of its own, the others of a bucket have
+    shares together. A tile is two shares that are not of one root.
+    """
+    counted = saved(crowd.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w")))
+    mixed = counted.groupBy("block").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("block")
+    if mixed.isEmpty():
+        return None
+    counted = counted.join(mixed, "block").withColumn("k", _n_shares("n", "w"))
+    own = counted.where("k > 1").select("block", "root", "k")
+    pool = counted.where("k = 1").groupBy("block").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).select("block", _n_shares("n", "w").alias("pool"))
+    listed = own.select("block", F.col("root").alias("owner"), "k").unionByName(pool.select("block", F.lit(None).cast("long").alias("owner"), F.col("pool").alias("k")))
+    name = F.xxhash64("owner", "i")
+    listed = saved(listed.select("block", "owner", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select("block", "owner", name.alias("share")))
+    other = listed.select(F.col("block").alias("_block"), F.col("owner").alias("_owner"), F.col("share").alias("_share"))
+    tiles = listed.join(other, F.expr("block = _block AND share <= _share AND coalesce(owner <> _owner, true)"))
+    ends = tiles.select("block", F.explode(F.array_distinct(F.array("share", "_share"))).alias("share"), F.xxhash64("block", "share", "_share").alias("tile"))
+    placed = crowd.join(own, ["block", "root"], "left").join(pool, "block", "left")
+    placed = placed.select("block", "content", "root", F.when(F.col("k").isNotNull(), F.col("root")).alias("owner"), F.coalesce("k", "pool").alias("k"))
+    placed = placed.where("k IS NOT NULL").withColumn("i", _share_of("k")).select("block", "content", "root", name.alias("share"))
+    return placed.join(ends, ["block", "share"]).select("tile", "content", "root")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, small: int = SMALL_BUCKET) -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id, linked by the similarity of their shingle sets.
 
-    All pairs that share one of twelve buckets are compared. Sizes and
-    fingerprints, to four deviations, only choose which of them have their
-    shingle sets compared: a link is always confirmed by the two sets. Members
-    of crowded buckets carry their sets, and the join that forms their pairs
-    tests them, so no table holds more than the links of a large group. Texts
-    without words are one group. Other columns are ignored.
+    All pairs that share one of twelve buckets are decided, and a link is
+    always confirmed by the two shingle sets. In buckets of up to ``small``
+    texts, sizes and fingerprints to four deviations choose the pairs whose
+    sets are compared. Larger buckets are dealt to shares of bounded size, each
+    with the bucket's centre; a share counts the common shingles of its members
+    by matrix products. What is still apart then meets share by share: work
+    beyond a bucket's size is done only between members that are in different
+    groups so far. Texts without words are one group. Other columns are
+    ignored.
     """
     drawn = saved(sketches(docs, width))
     groups = saved(drawn.groupBy("content").agg(F.min(F.struct("doc_id", "size", *_SKETCH, "blocks")).alias("g")).select("content", "g.*"))
     bits = furthest(similarity, 4.0)
-    member = F.struct("content", "size", *_SKETCH)
-    keys = groups.select("content", "size", *_SKETCH, F.posexplode("blocks").alias("part", "block"))
-    buckets = keys.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = saved(keys.join(buckets, ["part", "block"]))
+    keys = groups.select("content", "size", *_SKETCH, F.explode("blocks").alias("block"))
+    buckets = keys.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"), F.min("content").alias("centre")).where("n > 1")
+    met = saved(keys.join(buckets, "block"))
 
     def close(a: str, b: str) -> str:
         sized = f"least({a}.size, {b}.size) >= {similarity} * greatest({a}.size, {b}.size) - 1e-9"
         return f"{sized} AND " + " + ".join(f"bit_count({a}.{h} ^ {b}.{h})" for h in _SKETCH) + f" <= {bits}"
 
-    each = met.where(F.col("n") <= small).groupBy("part", "block").agg(F.collect_list(member).alias("m"))
+    each = met.where(F.col("n") <= small).groupBy("block").agg(F.collect_list(F.struct("content", "size", *_SKETCH)).alias("m"))
     each = each.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {small}), y -> {close('x', 'y')}), y -> struct(x.content AS a, y.content AS b))))")).alias("e"))
-    pairs = each.select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct()
-    firsts = groups.select("content", "doc_id")
-    linked = confirmed(saved(pairs), docs, firsts, width, similarity)
-
-    places = met.where(F.col("n") > small).select("part", "block", "n", "content")
-    sets = shingle_sets(docs, places.select("content").distinct().join(firsts, "content"), width)
-    members = groups.select("content", "size", *_SKETCH, "blocks").join(sets, "content").select("content", F.struct("content", "size", *_SKETCH, "blocks", "held").alias("m"))
-    # A bucket's members are dealt to shares of some SHARE, so that no task forms all its pairs.
-    crowd = places.withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")).join(members, "content")
-    left = crowd.select("part", "block", F.col("m").alias("x"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    right = crowd.select(F.col("part").alias("_part"), F.col("block").alias("_block"), F.col("m").alias("y"), F.expr("pmod(xxhash64(content), shares)").cast("int").alias("_share"))
-    once = "CASE " + " ".join(f"WHEN x.blocks[{i}] = y.blocks[{i}] THEN {i}" for i in range(ORDERS)) + " END = part"
-    crossed = left.join(right, F.expr(f"part = _part AND block = _block AND share = _share AND x.content < y.content AND {close('x', 'y')} AND {once} AND {_similar('x.held', 'y.held', similarity)}"))
-    roots = connected_components(linked.unionByName(crossed.selectExpr("x.content AS a", "y.content AS b")))
-    rooted = saved(groups.select("content", "doc_id").join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "doc_id", F.coalesce("root", "content").alias("root")))
+    pairs = saved(each.select(F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).distinct())
+    crowd = saved(met.where(F.col("n") > small).select("block", "content", "size", "centre", _n_shares("n", "w").alias("shares")))
+    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).unionByName(crowd.select("content")).distinct()
+    sets = saved(shingle_sets(docs, wanted.join(groups.select("content", "doc_id"), "content"), width))
+
+    roots = saved(connected_components(confirmed(pairs, sets, similarity).unionByName(_linked_in_tiles(_first_tiles(crowd), sets, similarity))))
+    rooted = groups.select("content", "doc_id").join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "doc_id", F.coalesce("root", "content").alias("root"))
+    apart = crowd.where("shares > 1").join(roots.withColumnRenamed("node", "content"), "content", "left").select("block", "content", "size", F.coalesce("root", "content").alias("root"))
+    tiles = _second_tiles(saved(apart))
+    if tiles is not None:
+        above = connected_components(_linked_in_tiles(tiles, sets, similarity)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rooted = rooted.join(above, "root", "left").select("content", "doc_id", F.coalesce("top", "root").alias("root"))
+    rooted = saved(rooted)
     named = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("content", "component_id")
     return drawn.join(named, "content").select("doc_id", "component_id")
 

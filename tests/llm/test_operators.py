@@ -151,7 +151,7 @@ def test_similar_documents_are_confirmed_by_their_sets(spark):
     assert all(r.doc_id == r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect())
 
 
-def test_similar_documents_inside_a_crowded_bucket(spark):
+def test_similar_documents_inside_a_crowded_bucket(spark, monkeypatch):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(150)]
     docs, texts = [], [base]
@@ -172,6 +172,61 @@ def test_similar_documents_inside_a_crowded_bucket(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     for small in (2, 16, 1000):
         assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame, small=small).collect()} == dict(enumerate(up))
+    monkeypatch.setattr(simhash, "SHARE", 9)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame, small=2).collect()} == dict(enumerate(up))
+    # One family of far more texts than a share holds, all close to one of them: no second round is needed for it.
+    many = [(i, " ".join(base if i == 90 else [*base[: i % 50 + 40], f"n{i}", *base[i % 50 + 41 :]])) for i in range(120)]
+    assert {r.component_id for r in simhash.similar_documents(spark.createDataFrame(many, "doc_id long, text string"), small=2).collect()} == {0}
+
+
+@pytest.mark.parametrize("wide", [3, 1 << 13])
+def test_similar_pairs_counts_common_shingles(monkeypatch, wide):
+    monkeypatch.setattr(simhash, "_WIDE", wide)
+    rng = np.random.default_rng(2)
+    held = [np.unique(rng.integers(0, 40, n)) for n in (0, 1, 5, 30, 30, 60, 200, 200)] + [np.arange(66), np.r_[np.arange(56), 100:104]]
+    got = simhash.similar_pairs(held, 0.8)
+    for i, a in enumerate(held):
+        for j, b in enumerate(held):
+            both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            assert got[i, j] == (10 * both >= 8 * either), (i, j)
+    assert got[8, 9]  # exactly 0.8: 56 of 70
+    assert simhash.similar_pairs([], 0.8).shape == (0, 0)
+
+
+def _similar_components(texts):
+    """{id: smallest id reachable} by exact similarity of five-word shingle sets, over all pairs that share a shingle."""
+    sets = {i: _five(t) for i, t in texts.items()}
+    kinds, held = {}, {}
+    for i in sorted(sets):
+        kinds.setdefault(frozenset(sets[i]), []).append(i)
+    for s in kinds:
+        for x in s:
+            held.setdefault(x, []).append(s)
+    root = {s: s for s in kinds}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for s in kinds:
+        common = {}
+        for x in s:
+            for t in held[x]:
+                common[t] = common.get(t, 0) + 1
+        for t, n in common.items():
+            if 10 * n >= 8 * (len(s) + len(t) - n) and find(s) is not find(t):
+                root[find(s)] = find(t)
+    least = {}
+    for s, ids in kinds.items():
+        least[find(s)] = min(least.get(find(s), ids[0]), ids[0])
+    return {i: least[find(s)] for s, ids in kinds.items() for i in ids}
+
+
+def test_similar_documents_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = _similar_components({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
 
 
 def test_sketch_estimates_similarity():
@@ -255,6 +310,7 @@ def test_quality_rejects_bad_hosts(spark):
     kept = {r.doc_id for r in quality_rules.judge_quality(table).where("kept").collect()}
     assert {i for i, t, s in rows if t == good and s != "bad"} == kept == {r.doc_id for r in quality_rules.keep_good(table).collect()}
     assert kept == {r.doc_id for r in quality_rules.keep_good(table, max_broadcast=0).collect()}
+    assert kept == {r.doc_id for r in quality_rules.judge_quality(table, max_broadcast=0).where("kept").collect()}
     rates = {r.host: r.host_rate for r in quality_rules.host_rates(quality_rules.with_metrics(table)).collect()}
     assert 0.2 < rates["once"] < 1 and rates["bad"] > 0.5 > rates["host1"]
 
@@ -432,9 +488,7 @@ def test_pipeline_against_plain_python(spark, sf_dir, docs):
             if len(key(x)) >= 10:
                 first.setdefault(key(x), i)
     rows = {i: "\n".join(x for x in t.split("\n") if first.get(key(x), i) == i) for i, t in rows.items()}
-    sketched = {i: simhash.sketch(t) for i, t in rows.items()}
-    whole = {i: sum((h & (1 << 64) - 1) << 64 * k for k, h in enumerate(s)) for i, (s, _) in sketched.items()}
-    comp = _components(whole, simhash.furthest(0.8))
+    comp = _similar_components(rows)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     own = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = {}
@@ -443,3 +497,16 @@ def test_pipeline_against_plain_python(spark, sf_dir, docs):
         if comp[i] == i and not (h > 0 and 20 * h >= n):
             want[i] = own.encode(t)
     assert got == want
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, empty, sf_dir):
+    import corpus_pipeline
+
+    clash = odd.withColumns({"_row": F.lit(1), "_host": F.lit("h"), "row": F.lit(2), "bitmap": F.lit("b"), "_doc_id": F.lit(3), "host": F.lit("x"), "component_id": F.lit(5), "_o": F.lit(0), "n_words": F.lit(9)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (odd, empty, clash):
+            out = stage(spark, table, sf_dir)
+            assert out.columns == table.columns, name
+            assert out.count() <= table.count(), name
+    assert line_dedup.without_repeated_lines(clash).select("doc_id", "text", "_doc_id").count() == len(ODD)
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).count() == len(ODD) and corpus_pipeline.STAGES[-1][1](spark, empty, sf_dir).count() == 0
