@@ -67,7 +67,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, place) of every line that an earlier document holds; a place may repeat."""
-    found = saved(hashed_lines(docs, min_chars).repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "place").mapInArrow(_runs, _FOUND))
+    # Hashed once: the range bounds are sampled from the stored hashes, not from the texts.
+    found = saved(saved(hashed_lines(docs, min_chars)).repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "place").mapInArrow(_runs, _FOUND))
     # At most one row for each task.
     ends = found.where("kind = 'end'").groupBy("h1", "h2").agg(F.min("task").alias("since"))
     late = found.where("kind = 'open'").join(ends, ["h1", "h2"]).where("since < task")
@@ -117,7 +118,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     code points and occurs in several documents stays only in the one with the
     smallest doc_id, there as often as it occurs. Null and empty texts are one
     empty line. Rows without a doc_id take no part: all their lines stay. Rows
-    that repeat a doc_id are one document. Other columns are ignored.
+    that repeat a doc_id are one document. Other columns are ignored. Lines are
+    held equal by 128 bits of hash; their texts are not compared.
     """
     @F.arrow_udf("struct<n_lines long, n_dropped long, kept_sha256 string>")
     def digest(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
@@ -130,13 +132,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the kept lines as text; n_chars, where there is one, follows the new text."""
+    """``docs`` with the kept lines as text; n_chars, where there is one, follows the new text.
+
+    Rows and lines are treated as in ``dedup_lines``; all columns stay, whatever
+    their names.
+    """
     @F.arrow_udf("string")
     def kept(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
         return pa.array((t if b is None else kept_lines(t, b)[2] for t, b in ((t.as_py(), b.as_py()) for t, b in zip(texts, bitmaps, strict=True))), pa.string())
 
-    bitmaps = keep_bitmaps(docs, min_chars).withColumnsRenamed({"doc_id": "_doc_id", "bitmap": "_bitmap"})
-    joined = docs.join(bitmaps, docs["doc_id"] == F.col("_doc_id"), "left").withColumn("text", kept("text", "_bitmap"))
+    rows = docs.select("doc_id", F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(keep_bitmaps(docs, min_chars), "doc_id", "left").select("row", kept("text", "bitmap").alias("text"))
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+        row = row.withField("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return joined.select(row.alias("row")).select("row.*")

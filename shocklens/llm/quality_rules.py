@@ -72,7 +72,7 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).selectExpr("host", "n_docs", "n_failed", f"{shrunk} AS host_rate")
 
 
-def judge_quality(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+def judge_quality(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE, max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
     """Metrics, base_failed, host_rate and kept for every row of ``docs`` (doc_id, text, ``host``).
 
     Null texts have no words and fail. Documents without a host form one host
@@ -80,23 +80,31 @@ def judge_quality(docs: DataFrame, host: str = "source", max_host_rate: float =
     ignored; an empty table gives an empty one.
     """
     measured = saved(with_metrics(docs.select("doc_id", "text", F.col(host).alias("host"))).drop("text"))
-    rates = host_rates(measured, "host").select("host", "host_rate").withColumnRenamed("host", "_host")
-    joined = measured.join(rates, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    rates = saved(host_rates(measured, "host").select(F.col("host").alias("_host"), "host_rate"))
+    joined = _by_host(measured.withColumn("_spread", F.xxhash64("doc_id", "word_chars")), rates, "inner", max_broadcast).drop("_host", "_spread")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
 
 
+def _by_host(rows: DataFrame, hosts: DataFrame, how: str, max_broadcast: int) -> DataFrame:
+    """``rows`` (host, _spread) joined to ``hosts`` (_host): by broadcast up to ``max_broadcast`` hosts, else by host and salt."""
+    same = F.col("host").eqNullSafe(F.col("_host"))
+    if hosts.count() <= max_broadcast:
+        return rows.join(F.broadcast(hosts), same, how)
+    salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_part", F.pmod("_spread", F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, same & (F.col("_part") == F.col("_salt")), how).drop("_part", "_salt")
+
+
 def keep_good(docs: DataFrame, host: str = "source", max_host_rate: float = MAX_HOST_RATE, max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
     """The rows of ``docs`` that pass the rules and whose host is not rejected.
 
-    Texts do not move: the rejected hosts are broadcast, up to ``max_broadcast``
-    of them. More are joined by host and salt, so that one host's documents
-    spread over many tasks.
+    Every text is measured once; what passes waits in the shared folder for the
+    hosts' verdicts. Texts do not move: the rejected hosts are broadcast, up to
+    ``max_broadcast`` of them. More are joined by host and salt, so that one
+    host's documents spread over many tasks. Null texts fail; documents without
+    a host are one host; repeated rows stay as often as they are given.
     """
-    measured = saved(with_metrics(docs.select("text", F.col(host).alias("host"))).select("host", "base_failed"))
+    measured = with_metrics(docs.select(F.struct("*").alias("_row"), F.col("text"), F.col(host).alias("host")))
+    measured = saved(measured.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "host", "base_failed", F.xxhash64("text").alias("_spread")))
     rejected = saved(host_rates(measured, "host").where(F.col("host_rate") > max_host_rate).select(F.col("host").alias("_host")))
-    good = with_metrics(docs.select(F.struct("*").alias("_row"), F.col("text"), F.col(host).alias("host"))).where(~F.col("base_failed"))
-    same = F.col("host").eqNullSafe(F.col("_host"))
-    if rejected.count() <= max_broadcast:
-        return good.join(F.broadcast(rejected), same, "left_anti").select("_row.*")
-    salted = rejected.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return good.withColumn("_part", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_part") == F.col("_salt")), "left_anti").select("_row.*")
+    return _by_host(measured.where(~F.col("base_failed")), rejected, "left_anti", max_broadcast).select("_row.*")
