@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-#: Benchmark text searched for in one pass over the documents; more takes more passes.
+#: Benchmark text whose searchers are held at once.
 SLICE_BYTES = 2 << 20
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_STATE = "struct<n_words long, n_hit long, hits binary, items array<string>>"
-_STATE_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string()))])
+_STATE = "struct<n_words long, n_hit long, items array<string>>"
+_STATE_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,25 +84,34 @@ def build(items: list[tuple[str, str | None]]) -> list[WuManber]:
 _ready: dict[str, list[WuManber]] = {}
 
 
-def _searchers(name: str, items: list[tuple[str, str | None]]) -> list[WuManber]:
-    """The searchers of one slice, built once in a worker; the last two slices stay."""
+def _searchers(name: str, sent: Broadcast) -> list[WuManber]:
+    """The searchers of one slice, built in the worker; the last two slices stay."""
     if name not in _ready:
         while len(_ready) > 1:
             del _ready[next(iter(_ready))]
-        _ready[name] = build(items)
+        _ready[name] = build(sent.value)
+        if getattr(sent, "_path", None):
+            # A slice is read from the worker's file again when it is needed again.
+            vars(sent).pop("_value", None)
     return _ready[name]
 
 
-def scan(text: str | None, searchers: list[WuManber], before: dict | None = None) -> tuple[int, int, bytes, list[str]]:
-    """(words, hit words, their bitmap, ids of found items), with what ``before`` had found."""
-    words = words_of(text)
-    hit = np.zeros(len(words), bool)
-    items = set(before["items"]) if before else set()
-    if before:
-        hit |= np.unpackbits(np.frombuffer(before["hits"], np.uint8), count=len(words)).astype(bool)
-    for searcher in searchers:
-        searcher.search(words, hit, items)
-    return len(words), int(hit.sum()), np.packbits(hit).tobytes() if hit.any() else bytes((len(words) + 7) // 8), sorted(items)
+class Found:
+    """Hit words and found items of one text."""
+
+    def __init__(self):
+        self.hit: np.ndarray | None = None
+        self.items: set[str] = set()
+
+    def search(self, text: str | None, searchers: list[WuManber]) -> None:
+        words = words_of(text)
+        if self.hit is None:
+            self.hit = np.zeros(len(words), bool)
+        for searcher in searchers:
+            searcher.search(words, self.hit, self.items)
+
+    def state(self) -> tuple[int, int, list[str]]:
+        return len(self.hit), int(self.hit.sum()), sorted(self.items)
 
 
 def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -119,27 +128,25 @@ def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str,
 
 
 def overlap(benchmark: DataFrame, text: Column, slice_bytes: int = SLICE_BYTES) -> Column:
-    """struct(n_words, n_hit, hits, items) of a text column: one pass for each slice of the benchmark."""
-    context = benchmark.sparkSession.sparkContext
-    state = None
-    for group in _slices(benchmark, slice_bytes):
-        first, later = _passes(uuid.uuid4().hex, context.broadcast(group))
-        # Not moved or copied by the optimizer: a filter on the result must not search twice.
-        state = F.arrow_udf(first, _STATE).asNondeterministic()(text) if state is None else F.arrow_udf(later, _STATE).asNondeterministic()(text, state)
-    return state
-
-
-def _passes(name: str, sent: Broadcast) -> tuple:
-    """The first search of a text, and one that adds to an earlier one, over the slice ``sent``."""
-    def first(texts: pa.Array) -> pa.Array:
-        searchers = _searchers(name, sent.value)
-        return pa.array([scan(t.as_py(), searchers) for t in texts], _STATE_ARROW)
-
-    def later(texts: pa.Array, before: pa.Array) -> pa.Array:
-        searchers = _searchers(name, sent.value)
-        return pa.array([scan(t.as_py(), searchers, b.as_py()) for t, b in zip(texts, before, strict=True)], _STATE_ARROW)
-
-    return first, later
+    """struct(n_words, n_hit, items) of a text column.
+
+    One Python step whatever the size of the benchmark: a batch of texts is
+    searched slice after slice. The driver and a worker hold one slice at a
+    time (a worker two searchers); what is sent waits on disk.
+    """
+    context, name = benchmark.sparkSession.sparkContext, uuid.uuid4().hex
+    sent = [context.broadcast(group) for group in _slices(benchmark, slice_bytes)]
+
+    def search(texts: pa.Array) -> pa.Array:
+        found = [Found() for _ in range(len(texts))]
+        for k, part in enumerate(sent):
+            searchers = _searchers(f"{name}-{k}", part)
+            for f, t in zip(found, texts, strict=True):
+                f.search(t.as_py(), searchers)
+        return pa.array([f.state() for f in found], _STATE_ARROW)
+
+    # Not moved or copied by the optimizer: a filter on the result must not search twice.
+    return F.arrow_udf(search, _STATE).asNondeterministic()(text)
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
