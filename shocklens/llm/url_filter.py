@@ -41,10 +41,18 @@ class DigestArray:
         ends = np.concatenate([[0], np.cumsum([len(x) for _, x in hashed])]).astype("<u8")
         return np.uint64(len(hashed)).tobytes() + keys.tobytes() + ends.tobytes() + b"".join(x for _, x in hashed)
 
+    @staticmethod
+    def name(packed: bytes) -> str:
+        return hashlib.sha256(packed).hexdigest()[:24]
+
     @classmethod
-    def mapped(cls, packed: bytes) -> DigestArray:
-        """Written once to the worker's own temp folder, then mapped read-only."""
-        path = os.path.join(tempfile.gettempdir(), f"digest-{hashlib.sha256(packed).hexdigest()[:24]}")
+    def mapped(cls, packed: bytes, name: str) -> DigestArray:
+        """Written once to the worker's own temp folder, then mapped read-only.
+
+        The file only mirrors what the worker was sent: one that is lost is
+        written again.
+        """
+        path = os.path.join(tempfile.gettempdir(), f"digest-{name}")
         if not os.path.exists(path):
             handle, part = tempfile.mkstemp(dir=os.path.dirname(path))
             with os.fdopen(handle, "wb") as out:
@@ -83,8 +91,8 @@ def _suffixes(host: str) -> list[str]:
     return [".".join(labels[i:]) for i in range(len(labels))]
 
 
-def _longest(hosts: list[str], paths: list[str], listed: DigestArray, lengths: list[int]) -> list[str | None]:
-    """The longest listed host suffix + path prefix of each url."""
+def _longest(hosts: list[str], paths: list[str], listed: DigestArray, lengths: list[int]) -> list[int]:
+    """Place of the longest listed host suffix + path prefix of each url, -1 for none; of equally long ones that of the longer host."""
     probes, owner = [], []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
         for tail in _suffixes(host):
@@ -92,26 +100,37 @@ def _longest(hosts: list[str], paths: list[str], listed: DigestArray, lengths: l
                 if n <= len(path):
                     probes.append((tail + path[:n]).encode())
                     owner.append(i)
-    best: list[str | None] = [None] * len(hosts)
+    best, size = [-1] * len(hosts), [0] * len(hosts)
     found = listed.find(probes)
+    # A url's probes come by host, the longest first.
     for j in np.flatnonzero(found >= 0).tolist():
-        rule = probes[j].decode()
-        if len(rule) > len(best[owner[j]] or ""):
-            best[owner[j]] = rule
+        n = len(probes[j].decode())
+        if n > size[owner[j]]:
+            best[owner[j]], size[owner[j]] = int(found[j]), n
     return best
 
 
+_mapped: dict[str, DigestArray] = {}
+
+
 def _by_digest(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    spark = pages.sparkSession
-    packed = spark.sparkContext.broadcast(DigestArray.pack([r.encode() for r, _ in rules]))
+    packed = DigestArray.pack([r.encode() for r, _ in rules])
+    listed, name, verdict_of = DigestArray(np.frombuffer(packed, np.uint8)), DigestArray.name(packed), dict(rules)
+    verdicts = [verdict_of[listed.entry(k).decode()] for k in range(len(listed.keys))]
+    sent = pages.sparkSession.sparkContext.broadcast((packed, verdicts))
     lengths = sorted({len(r) - r.index("/") if "/" in r else 0 for r, _ in rules})
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("struct<rule string, verdict string>")
     def longest(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        listed = DigestArray.mapped(packed.value)
-        return pa.array(_longest(hosts.to_pylist(), paths.to_pylist(), listed, lengths), pa.string())
+        if name not in _mapped:
+            _mapped.clear()
+            _mapped[name] = DigestArray.mapped(sent.value[0], name)
+        entries, verdicts = _mapped[name], sent.value[1]
+        best = _longest(hosts.to_pylist(), paths.to_pylist(), entries, lengths)
+        kind = pa.struct([("rule", pa.string()), ("verdict", pa.string())])
+        return pa.array(((entries.entry(k).decode(), verdicts[k]) if k >= 0 else (None, None) for k in best), kind)
 
-    return pages.withColumn("rule", longest("host", "path"))
+    return pages.withColumn("_best", longest("host", "path"))
 
 
 def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -123,7 +142,8 @@ def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
     tails = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")
     probes = urls.select("host", "path", F.explode(tails).alias("tail")).select("host", "path", "tail", F.explode(spans).alias("span"))
     probes = probes.where("span <= length(path)").withColumn("rule", F.expr("concat(tail, substring(path, 1, span))"))
-    best = probes.join(rules.select("rule"), "rule").groupBy("host", "path").agg(F.max_by("rule", F.length("rule")).alias("rule"))
+    found = probes.join(rules, "rule")
+    best = found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("tail"))).alias("_best"))
     return pages.join(best, ["host", "path"], "left")
 
 
@@ -132,18 +152,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     ``rules`` has columns rule (host followed by a path prefix, as ``net/es/``)
     and verdict. A rule fits its host and all subdomains if the path starts
-    with the rule's; the longest wins. A url that no entry of the list fits
-    gets ``default``. Null urls and urls without ``://`` have empty host and
+    with the rule's; the longest wins, of equally long ones that of the longer
+    host. A url that no entry of the list fits gets ``default``. Null urls and urls without ``://`` have empty host and
     path and get the default. Null or repeated rules are dropped (of two
     verdicts for one rule the smaller string stands). Other columns of
     ``pages`` stay; columns named host, path, rule or verdict are replaced.
     """
     rules = rules.where("rule IS NOT NULL").groupBy("rule").agg(F.min("verdict").alias("verdict"))
     host, path = split_url(F.col(url))
-    pages = pages.drop(*[c for c in ("rule", "verdict") if c != url]).withColumns({"host": host, "path": path})
+    pages = pages.drop(*[c for c in ("rule", "verdict", "_best") if c != url]).withColumns({"host": host, "path": path})
     n_bytes = rules.agg(F.sum(F.octet_length("rule") + 16)).first()[0] or 0
     if n_bytes > max_bytes:
-        return _by_join(pages, rules).join(rules, "rule", "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-    listed = [(r.rule, r.verdict) for r in rules.collect()]
-    ruled = _by_digest(pages, listed) if listed else pages.withColumn("rule", F.lit(None).cast("string"))
-    return ruled.join(F.broadcast(rules), "rule", "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+        ruled = _by_join(pages, rules)
+    elif n_bytes:
+        ruled = _by_digest(pages, [(r.rule, r.verdict) for r in rules.collect()])
+    else:
+        ruled = pages.withColumn("_best", F.lit(None).cast("struct<rule: string, verdict: string>"))
+    return ruled.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")
