@@ -81,6 +81,16 @@ class Codec:
         if self.unknown >= 0:
             self.shown[self.unknown] = " ⁇ ".encode()
         self.known: dict[str, bytes] = {}
+        self._check(model, names)
+
+    def _check(self, model: sentencepiece.SentencePieceProcessor, names: list[str]) -> None:
+        """Refuses a model of another kind: of pieces not merged by score, with a normalizer, or with pieces of the user's."""
+        mixed = "".join(x.replace(SPACE, " ") for x in names[:: max(1, len(names) // 1500)])
+        odd = "Ｆｕｌｌ ﬁ ½ Ⅷ e\u0301 \u00a0 two  spaces   end \t\n İ ß <s> </s> <unk> <pad> "
+        back = " ".join(x[::-1] for x in names[:: max(1, len(names) // 300)])
+        for text in (mixed, odd, back):
+            if next(self.encode(iter([text]))).tolist() != model.encode(text):
+                raise ValueError("only BPE models without a normalizer and without user-defined pieces are supported")
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start * width + length, index of the piece) of every occurrence of every piece, by position."""

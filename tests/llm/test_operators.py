@@ -371,6 +371,40 @@ def test_quality_rank_held_out(spark):
     assert np.mean([(g > p) + 0.5 * (g == p) for g in good for p in poor]) >= 0.9
 
 
+def test_quality_rank_against_plain_python(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    extra = spark.createDataFrame([(1, 0), (1, 1), (None, 1)], "doc_id long, quality int")
+    given = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).unionByName(extra)
+    laid = [quality_rank.rank_quality(docs.repartition(n), given.repartition(n), per_class=20) for n in (1, 7)]
+    one, two = ({r.doc_id: (r.held_out, r.score, r.predicted) for r in x.collect()} for x in laid)
+    assert one == two
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    by = {}
+    for r in given.collect():
+        if r.doc_id is not None and r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5:
+            by.setdefault(r.doc_id, set()).add(r.quality)
+    assert by.get(1, {0, 1}) == {0, 1}
+    hashed = {r.i: r.h for r in spark.createDataFrame([(i,) for i in by], "i long").select("i", F.xxhash64(F.col("i").cast("string")).alias("h")).collect()}
+    sample = [sorted((i for i, q in by.items() if q == {c}), key=lambda i: (hashed[i], i))[:20] for c in (1, 0)]
+    good, poor = (np.array([quality_rank.features(texts[i]) for i in ids if i in texts]) for ids in sample)
+    share = sum(q == {1} for q in by.values()) / sum(len(q) == 1 for q in by.values())
+    # The fit again, by plain gradient steps on the same loss, in loops' terms: mean over pairs of log(1 + exp(-w.d)) + ridge |w|^2 / 2.
+    mean, spread = np.vstack([good, poor]).mean(axis=0), np.vstack([good, poor]).std(axis=0) + 1e-9
+    side = lambda x: np.array([[min(4, max(-4, v)) for v in (r - mean) / spread] for r in x])
+    a, b = (np.hstack([side(x), side(x) ** 2]) for x in (good, poor))
+    rng = np.random.default_rng(7)
+    diff = a[rng.integers(len(a), size=quality_rank.PAIRS)] - b[rng.integers(len(b), size=quality_rank.PAIRS)]
+    model = quality_rank.fit(good, poor, share)
+    slope = diff.T @ (1 / (1 + np.exp(diff @ model["w"]))) / len(diff) - 1e-3 * model["w"]
+    assert np.abs(slope).max() < 1e-6
+    wrong = lambda cut: share * np.mean(a @ model["w"] < cut) + (1 - share) * np.mean(b @ model["w"] >= cut)
+    assert wrong(model["cut"]) <= min(wrong(c) for c in np.r_[a @ model["w"], b @ model["w"]]) + 1e-12
+    for i, t in texts.items():
+        x = side([quality_rank.features(t)])
+        s = 1 / (1 + np.exp(-((np.hstack([x, x**2]) @ model["w"])[0] - model["cut"]) / model["scale"] - np.log(0.3 / 0.7)))
+        assert abs(one[i][1] - s) < 1e-9 and one[i][2] == (s >= 0.3) and one[i][0] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_quality_rank_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(6, 1), (7, 0), (10, 0), (None, 1), (12, 0), (11, None), (14, 1), (14, 1)], "doc_id long, quality int")
     rows = quality_rank.rank_quality(odd, labels).collect()
@@ -382,7 +416,7 @@ def test_quality_rank_odd_rows(odd, empty, spark):
 def test_licenses(spark, odd, empty):
     mit = license_scan.LICENSES["mit-text"]
     filler = " ".join(f"word{i}" for i in range(700))
-    edited = mit.replace("restriction", "limits")
+    edited = mit.replace("merge", "join")
     rows = [(1, f"{filler} {mit} {filler}"), (2, "RELEASED under the (mit) license"), (3, filler), (4, f"{filler} {edited}"), (5, "Licensed under CC BY-NC 4.0." + filler), (6, mit[:40])]
     got = {(r.doc_id, r.license): r.containment for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got) == {(1, "mit-text"), (2, "mit"), (4, "mit-text"), (5, "cc-by-nc-4.0")} and got[1, "mit-text"] == 1 and 0.8 <= got[4, "mit-text"] < 1
@@ -392,6 +426,30 @@ def test_licenses(spark, odd, empty):
     assert [m[0] for m in license_scan.Templates(license_scan.LICENSES).scan(f"{long[:at]} {mit} {long[at:]} {mit}")] == ["mit-text"]
 
 
+def test_licenses_from_a_table(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    known = {f"l{i}": text(rng.choice([5, 9, 40, 300])) for i in range(120)}
+    table = spark.createDataFrame([*known.items(), ("l1", "zz"), (None, "a b c d e f"), ("none", None), ("short", "a b")], "license string, text string")
+    given = license_scan.template_table(table)
+    assert given == known | {"short": "a b"}
+    docs, want = [], set()
+    for i in range(200):
+        words = text(rng.choice([0, 50, 700])).split()
+        name = f"l{rng.randrange(120)}"
+        held = known[name].split()
+        if len(held) > 30 and i % 2:
+            held[3] = "changed"
+        docs.append((i, " ".join([*words, *held, *words])))
+        want.add((i, name))
+    got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    assert got >= want
+    brute = {(i, n) for i, t in docs for n, x in known.items() if len(set(license_scan.shingles(license_scan.words_of(x))) & set(license_scan.shingles(license_scan.words_of(t)))) >= 0.8 * len(set(license_scan.shingles(license_scan.words_of(x))))}
+    assert got <= brute
+    with pytest.raises(ValueError, match="license texts"):
+        license_scan.template_table(table, max_bytes=10)
+
+
 def _contaminated(text, items):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -425,6 +483,32 @@ def test_decontamination(spark, odd, empty, slice_bytes):
     assert decontaminate.find_contamination(empty, bench).count() == 0
 
 
+def test_decontamination_is_one_python_step(odd, spark):
+    rows = [(i, " ".join(f"x{i}y{k}" for k in range(20))) for i in range(10)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    found = decontaminate.find_contamination(odd.unionByName(spark.createDataFrame([(77, rows[7][1], "", "", 1)], odd.schema)), bench, 100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {(r.doc_id, r.n_hit, tuple(r["items"])) for r in found.where("n_hit > 0").collect()} == {(77, 20, ("7",))}
+
+
+def test_sentencepiece_refuses_other_models(tmp_path):
+    import sentencepiece
+
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sentencepiece_codec.Codec(path)
+    for k, change in enumerate((lambda m: setattr(m.trainer_spec, "model_type", 1), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", not m.normalizer_spec.add_dummy_prefix))):
+        model = pb.ModelProto()
+        with open(path, "rb") as file:
+            model.ParseFromString(file.read())
+        change(model)
+        (tmp_path / f"{k}.model").write_bytes(model.SerializeToString())
+        assert sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / f"{k}.model")).get_piece_size()
+        with pytest.raises(ValueError, match="BPE"):
+            sentencepiece_codec.Codec(str(tmp_path / f"{k}.model"))
+
+
 def test_sentencepiece(docs, odd, empty):
     import sentencepiece
 
@@ -464,11 +548,21 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), table).count() == 0
 
 
+def test_url_filter_ties(spark):
+    """Of equally long rules the one of the longer host stands, in both ways of searching."""
+    pages = spark.createDataFrame([(1, "http://a.com/ab?x"), (2, "http://com/ab"), (3, "http://b.a.com/")], "page_id long, url string")
+    for rules in ([("a.com/", "allow"), ("com/ab", "block")], [("com/ab", "block"), ("a.com/", "allow")]):
+        table = spark.createDataFrame(rules, "rule string, verdict string")
+        for n in (1 << 20, 0):
+            got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, table, max_bytes=n).collect()}
+            assert got == {1: ("a.com/", "allow"), 2: ("com/ab", "block"), 3: ("a.com/", "allow")}
+
+
 def test_digest_array_collisions():
     entries = [f"host{i}.com/".encode() for i in range(2000)]
     weak = lambda x: len(x) % 7
     for digest in (weak, xxhash.xxh64_intdigest):
-        listed = url_filter.DigestArray.mapped(url_filter.DigestArray.pack(entries, digest))
+        listed = url_filter.DigestArray.mapped(url_filter.DigestArray.pack(entries, digest), f"test-{digest(b'x')}")
         found = listed.find([*entries, b"absent", b""], digest)
         assert [listed.entry(k) for k in found[:-2].tolist()] == entries and (found[-2:] == -1).all()
 
