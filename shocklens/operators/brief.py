@@ -168,6 +168,41 @@ def seasons(days: DataFrame, calendar: DataFrame) -> DataFrame:
     return met.groupBy("date", "origin").agg(F.min_by("phase", "ord").alias("phase"), F.min_by("risk", "ord").alias("risk"))
 
 
+def observe_season(phases: DataFrame) -> DataFrame:
+    """The newest phase of each origin, and what it risks; ``phases`` is (series, date, origin, phase, risk)."""
+    last = phases.withColumn("_last", F.max("date").over(Window.partitionBy("series"))).where("date = _last")
+    lines = F.array_sort(F.collect_list(F.struct("origin", F.concat("origin", F.lit(": "), "phase").alias("t"), "risk")))
+    out = last.groupBy("series").agg(lines.alias("_l"))
+    text = F.array_join(F.transform("_l", lambda x: x["t"]), ". ")
+    risks = F.array_join(F.array_distinct(F.filter(F.transform("_l", lambda x: x["risk"]), lambda r: r != "none")), ", ")
+    calendar = out.select(*observation("season", F.lit(USUAL), text))
+    return calendar.unionByName(out.where(risks != "").select(*observation("season risk", F.lit(USUAL), risks)))
+
+
+def observe_analogs(week: DataFrame, month: DataFrame) -> DataFrame:
+    """What followed alike days within a week and a month; both are outlooks of one target a series."""
+    def way(median: str) -> Column:
+        return F.when(F.col(median) > 0, "rose").otherwise("fell")
+
+    both = week.select("series", F.col("median").alias("_w")).join(month.select("series", F.col("median").alias("_m")), "series")
+    return both.select(*observation("analogs", F.lit(MINOR), F.concat(F.lit("after alike days the price "), way("_w"), F.lit(" in a week and "), way("_m"), F.lit(" in a month"))))
+
+
+def signals(parts: dict[str, tuple[DataFrame, dict[str, str], str]]) -> DataFrame:
+    """Named figures as rows (series, signal, figure, value, as_of, source).
+
+    A part is its table, the columns to take by figure, and its source; as_of
+    is the table's date where it has one. A series without a row in a part
+    has no such signal.
+    """
+    rows = []
+    for name, (table, figures, source) in parts.items():
+        as_of = F.col("date").cast("string") if "date" in table.columns else F.lit(None).cast("string")
+        each = F.array(*[F.struct(F.lit(f).alias("figure"), F.col(c).cast("double").alias("value")) for f, c in figures.items()])
+        rows.append(table.select("series", F.lit(name).alias("signal"), F.explode(each).alias("_f"), as_of.alias("as_of")).select("series", "signal", "_f.figure", "_f.value", "as_of", F.lit(source).alias("source")))
+    return reduce(DataFrame.unionByName, rows).where("value IS NOT NULL")
+
+
 def page_text(html: str | Column) -> Column:
     """Readable text of a page: scripts, styles, comments and tags go, common entities are read, white space evens out."""
     x = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
@@ -193,13 +228,12 @@ def weather_in_context(phase: Column, dryness_z: Column, frost: Column) -> Colum
 
 def currency_position(rates: DataFrame) -> DataFrame:
     """Week and month change of the newest rate, and its rank among the last 365 days in percent."""
-    back = Window.partitionBy("series").orderBy(F.col("_d")).rangeBetween(-365, 0)
-    rows = rates.withColumn("_d", F.datediff("date", F.to_date(F.lit("1970-01-01")))).withColumn("_year", F.collect_list("rate").over(back))
-    week, month = (F.max_by(F.when(F.col("date") <= F.date_sub("_last", n), F.col("rate")), F.when(F.col("date") <= F.date_sub("_last", n), F.col("date"))) for n in (7, 30))
-    last = rows.withColumn("_last", F.max("date").over(Window.partitionBy("series")))
-    out = last.groupBy("series").agg(F.max_by("rate", "date").alias("rate"), week.alias("_w"), month.alias("_m"), F.max_by("_year", "date").alias("_y"))
-    below = F.size(F.filter("_y", lambda x: x < F.col("rate")))
-    return out.select("series", "rate", (ratio("rate", "_w") - 1).alias("week_change"), (ratio("rate", "_m") - 1).alias("month_change"), (100 * ratio(below, F.size("_y"))).alias("percentile"))
+    ends = rates.where("rate IS NOT NULL").groupBy("series").agg(F.max("date").alias("_last"), F.max_by("rate", "date").alias("rate"))
+    met = rates.withColumnRenamed("rate", "_r").join(ends, "series")
+    week, month = (F.max_by("_r", F.when((F.col("date") <= F.date_sub("_last", n)) & F.col("_r").isNotNull(), F.col("date"))) for n in (7, 30))
+    year = F.col("date") >= F.date_sub("_last", 365)
+    out = met.groupBy("series", "rate").agg(week.alias("_w"), month.alias("_m"), F.avg(F.when(year, (F.col("_r") < F.col("rate")).cast("double"))).alias("_below"))
+    return out.select("series", "rate", (ratio("rate", "_w") - 1).alias("week_change"), (ratio("rate", "_m") - 1).alias("month_change"), (100 * F.col("_below")).alias("percentile"))
 
 
 def observe_currency(position: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,31 +103,47 @@ def story_edges(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> D
     d = docs.select(*keys, "document_id", T.title_key("title").alias("_t"), T.host("url").alias("_h"), T.shingles("text").alias("_s"))
     titled = d.where("_t <> ''")
     same = titled.withColumn("a", F.min("document_id").over(Window.partitionBy(*keys, "_t"))).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
-    # Copies of one text and host are one; their smallest id stands for them.
-    texts = d.where(F.size("_s") > 0).groupBy(*keys, "_h", F.xxhash64("_s").alias("_x")).agg(F.min("document_id").alias("document_id"), F.first("_s").alias("_s"))
-    # Of two sets this alike, each one's rarest-by-hash shingles include a shared one: only that prefix is indexed.
-    ordered = F.array_sort(F.transform("_s", lambda x: F.xxhash64(x)))
-    prefix = F.slice(ordered, 1, (F.size("_s") - F.ceil(F.size("_s") * similar) + 1).cast("int"))
-    index = texts.select(*keys, "document_id", "_h", F.size("_s").alias("_n"), F.explode(prefix).alias("_g"))
-    a = index.select(*keys, "_g", F.col("document_id").alias("a"), F.col("_h").alias("_ha"), F.col("_n").alias("_na"))
-    b = index.select(*keys, "_g", F.col("document_id").alias("b"), F.col("_h").alias("_hb"), F.col("_n").alias("_nb"))
-    pairs = a.join(b, [*keys, "_g"]).where((F.col("a") < F.col("b")) & (F.col("_ha") != F.col("_hb")) & (F.least("_na", "_nb") >= similar * F.greatest("_na", "_nb"))).select(*keys, "a", "b").distinct()
-    sets = texts.select(*keys, "document_id", "_s")
-    checked = pairs.join(sets.withColumnsRenamed({"document_id": "a", "_s": "_sa"}), [*keys, "a"]).join(sets.withColumnsRenamed({"document_id": "b", "_s": "_sb"}), [*keys, "b"])
-    alike = checked.where(T.jaccard("_sa", "_sb") >= similar).select(*keys, "a", "b")
-    return same.unionByName(alike).distinct()
+    # Copies of one text are one on each host; a host's smallest id stands for them there.
+    hosts = d.where(F.size("_s") > 0).groupBy(*keys, "_h", F.xxhash64("_s").alias("_x")).agg(F.min("document_id").alias("document_id"), F.first("_s").alias("_s"))
+    # One text on several hosts is a star, whatever the number of hosts.
+    texts = hosts.groupBy(*keys, "_x").agg(F.min("document_id").alias("a"), F.min("_h").alias("_low"), F.max("_h").alias("_high"), F.first("_s").alias("_s"))
+    copies = hosts.join(texts.select(*keys, "_x", "a"), [*keys, "_x"]).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
+    # Of two sets this alike, the rarest shingles of each include a common one: only they are indexed,
+    # and a shingle that many texts share comes last.
+    one = texts.select(*keys, F.col("a").alias("document_id"), F.explode(F.array_distinct(F.transform("_s", lambda x: F.xxhash64(x)))).alias("_g"))
+    often = one.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_f"))
+    ordered = one.join(often, [*keys, "_g"]).groupBy(*keys, "document_id").agg(F.array_sort(F.collect_list(F.struct("_f", "_g"))).alias("_o"))
+    size = F.size("_o")
+    index = ordered.select(*keys, "document_id", size.alias("_n"), F.explode(F.slice("_o", 1, (size - F.ceil(size * similar) + 1).cast("int"))).alias("_p")).where("_p._f > 1").select(*keys, "document_id", "_n", F.col("_p._g").alias("_g"))
+    left, right = (index.select(*keys, "_g", F.col("document_id").alias(x), F.col("_n").alias(f"_n{x}")) for x in "ab")
+    pairs = left.join(right, [*keys, "_g"]).where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= similar * F.greatest("_na", "_nb"))).select(*keys, "a", "b").distinct()
+    sets = texts.select(*keys, F.col("a").alias("document_id"), "_s", "_low", "_high")
+    first, second = (sets.withColumnsRenamed({"document_id": x, "_s": f"_s{x}", "_low": f"_low{x}", "_high": f"_high{x}"}) for x in "ab")
+    checked = pairs.join(first, [*keys, "a"]).join(second, [*keys, "b"])
+    # Alike texts of one and the same single host are that site's boilerplate.
+    apart = ~((F.col("_lowa") == F.col("_higha")) & (F.col("_lowb") == F.col("_highb")) & (F.col("_lowa") == F.col("_lowb")))
+    alike = checked.where(apart & (T.jaccard("_sa", "_sb") >= similar)).select(*keys, "a", "b")
+    return same.unionByName(copies).unionByName(alike).distinct()
 
 
 def collapse_stories(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> DataFrame:
-    """One document of each story, the one of the smallest id, with the number of copies, their urls and hosts.
+    """One document of each story with the number of copies, the other copies' urls and all hosts.
 
-    Stories are connected components of title and text links. An edge lies
-    within one key, and ids name one document, so one graph serves all keys.
+    The one with a text stands for its story, then that of the best score, the
+    earliest date and the smallest id; a table without scores or dates has
+    none. Stories are connected components of title and text links. An edge
+    lies within one key, and ids name one document, so one graph serves all
+    keys.
     """
     roots = connected_components(story_edges(docs, keys, similar)).withColumnsRenamed({"node": "document_id", "root": "_story"})
     grouped = docs.join(roots, "document_id", "left").withColumn("_story", F.coalesce("_story", "document_id"))
-    copies = grouped.groupBy("_story").agg(F.count(F.lit(1)).alias("n_copies"), F.array_sort(F.collect_set("url")).alias("duplicate_urls"), F.array_sort(F.collect_set(T.host("url"))).alias("syndication_domains"))
-    return docs.join(copies.withColumnRenamed("_story", "document_id"), "document_id")
+    scored = {"keyword_score", "semantic_score"} <= set(docs.columns)
+    dated = F.coalesce(F.col("published").cast("string"), F.lit("9999")) if "published" in docs.columns else F.lit("9999")
+    order = F.struct((F.coalesce("text", F.lit("")) == "").alias("t"), (-best_score() if scored else F.lit(0.0)).alias("s"), dated.alias("d"), F.col("document_id").alias("id"))
+    # As many urls as a story has distinct ones.
+    copies = grouped.groupBy("_story").agg(F.min(order)["id"].alias("document_id"), F.count(F.lit(1)).alias("n_copies"), F.array_sort(F.collect_set("url")).alias("_urls"), F.array_sort(F.collect_set(F.nullif(T.host("url"), F.lit("")))).alias("syndication_domains"))
+    chosen = docs.join(copies.drop("_story"), "document_id")
+    return chosen.withColumn("duplicate_urls", F.filter("_urls", lambda u: u != F.coalesce("url", F.lit("")))).drop("_urls")
 
 
 def prepared_candidates(docs: DataFrame, keys: list[str], before: int, terms: list[str], vocabulary: list[str]) -> DataFrame:
@@ -195,23 +213,33 @@ def matches_size(move: Column) -> Column:
     return F.when(F.coalesce(move, F.lit(0.0)) == 0, True).otherwise(report & by_size)
 
 
-def decide(days: DataFrame, readings: DataFrame, variants: tuple[str, ...] = (), rule: str = "freshest", fresh: int = FRESH) -> DataFrame:
-    """One decision for each day (series, day, direction, move): the newest, most direct readings decide.
-
-    EXPLAIN if at least one reading supports the move and at least as many do as oppose it.
-    """
+def deciding_readings(days: DataFrame, readings: DataFrame, variants: tuple[str, ...] = (), rule: str = "freshest", fresh: int = FRESH) -> DataFrame:
+    """Readings that decide a day: the usable ones, by ``freshest`` only the newest and most direct; along says whether one supports the move, fitting whether it may."""
     keys = ["series", "day"]
     evidence = usable_readings(readings.join(days.select(*keys, F.col("direction").alias("_way"), "move"), keys), variants, fresh)
-    kind = F.when(F.coalesce("kind", F.lit("report")) == "report", 0).otherwise(1)
     if rule == "freshest":
-        evidence = evidence.withColumn("_g", F.struct("age", kind.alias("k")))
-        evidence = evidence.withColumn("_best", F.min("_g").over(Window.partitionBy(*keys))).where("_g = _best")
-    along = F.col("direction") == F.col("_way")
+        evidence = evidence.withColumn("_g", F.struct("age", _directness().alias("k")))
+        evidence = evidence.withColumn("_best", F.min("_g").over(Window.partitionBy(*keys))).where("_g = _best").drop("_g", "_best")
     fitting = F.lit(True)
     if "event_reasons" in variants:
         fitting = fitting & ~F.coalesce(F.col("cause_type") == "trading", F.lit(False))
     if "sized_support" in variants:
         fitting = fitting & matches_size(F.col("move"))
+    return evidence.withColumns({"along": F.col("direction") == F.col("_way"), "fitting": fitting}).drop("_way")
+
+
+def _directness() -> Column:
+    return F.when(F.coalesce("kind", F.lit("report")) == "report", 0).otherwise(1)
+
+
+def decide(days: DataFrame, readings: DataFrame, variants: tuple[str, ...] = (), rule: str = "freshest", fresh: int = FRESH) -> DataFrame:
+    """One decision for each day (series, day, direction, move): the newest, most direct readings decide.
+
+    EXPLAIN if at least one reading supports the move and at least as many do as oppose it.
+    """
+    keys = ["series", "day"]
+    evidence, kind = deciding_readings(days, readings, variants, rule, fresh), _directness()
+    along, fitting = F.col("along"), F.col("fitting")
     pool = evidence.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pool"), F.count_if(along).alias("with_move"), F.count_if(along & fitting).alias("supporting"), F.count_if(~along).alias("opposing"), F.min("age").alias("deciding_age"), F.min(kind).alias("_k"))
     out = days.join(pool, keys, "left").fillna(0, ["pool", "with_move", "supporting", "opposing"])
@@ -279,13 +307,15 @@ def packed(docs: DataFrame, keys: list[str], budget: int, steps: tuple[int, ...]
     return kept.select(*keys, "document_id", "place", F.substring("text", F.lit(1), F.col("chars")).alias("excerpt"), "chars")
 
 
-def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.15, top: int = 3, least_shown: int = 6) -> DataFrame:
+def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.15, top: int = 3, least_shown: int = 6, similarity: Callable[[Column, Column], Column] = T.lexical_support) -> DataFrame:
     """For each cited claim: was the document shown, do words or numbers support the claim, and how does it rank among those shown.
 
     A claim that shares a number with its document is never weak or low.
+    ``similarity`` scores (claim, text) from 0 to 1; the share of the claim's
+    words that the text has, or another one, as a product of vectors.
     """
     claims = citations.withColumn("_id", T.citation_id("cited_id"))
-    scored = claims.join(shown.withColumn("_doc", T.citation_id("document_id")), "run_id").withColumns({"_s": T.lexical_support("claim", "text"), "_n": F.size(F.array_intersect(T.numbers("claim"), T.numbers("text")))})
+    scored = claims.join(shown.withColumn("_doc", T.citation_id("document_id")), "run_id").withColumns({"_s": similarity(F.col("claim"), F.col("text")), "_n": F.size(F.array_intersect(T.numbers("claim"), T.numbers("text")))})
     w = Window.partitionBy("run_id", "claim_id")
     ranked = scored.withColumns({"_r": F.row_number().over(w.orderBy(F.col("_s").desc(), "_doc")), "_of": F.count(F.lit(1)).over(w)})
     own = F.col("_doc") == F.col("_id")
@@ -325,7 +355,7 @@ def request_plan(days: DataFrame, queries: DataFrame, before: int = 7, recent: i
 
 def with_fallback(levels: DataFrame, needed: list[str]) -> tuple[DataFrame, DataFrame]:
     """(levels, provenance): for each name the rows of its first source by priority, whole names at a time; a needed name without rows is an error."""
-    chosen = levels.where("value IS NOT NULL").groupBy("name").agg(F.min(F.struct("priority", "source")).alias("_s")).select("name", "_s.priority", "_s.source").cache()
+    chosen = levels.where("value IS NOT NULL").groupBy("name").agg(F.min(F.struct("priority", "source")).alias("_s")).select("name", "_s.priority", "_s.source")
     if absent := set(needed) - {r["name"] for r in chosen.where(F.col("name").isin(*needed)).select("name").collect()}:
         raise ValueError(f"no source for {sorted(absent)}")
     return levels.join(chosen, ["name", "priority", "source"]).select("date", "name", "value"), chosen.withColumn("substitute", F.col("priority") > 0)

@@ -142,6 +142,12 @@ def wide_returns(levels: DataFrame, names: list[str]) -> DataFrame:
     return wide.select("date", *((x - F.lag(x).over(one)).alias(n) for n, x in logs.items()))
 
 
+def per_dollar(levels: DataFrame, inverted: list[str]) -> DataFrame:
+    """Rates as foreign units for a dollar: those quoted the other way are turned over; a rate of zero is left out."""
+    turned = F.when(F.col("name").isin(*inverted), ratio(F.lit(1.0), F.nullif(F.col("value"), F.lit(0.0)))).otherwise(F.nullif(F.col("value"), F.lit(0.0)))
+    return levels.withColumn("value", turned).where("value IS NOT NULL")
+
+
 def dollar_basket(rates: list[str], least: int = 2) -> Column:
     """Mean of the available log changes of the rates, null below ``least``."""
     seen = F.filter(F.array(*map(F.col, rates)), lambda x: x.isNotNull())

@@ -58,10 +58,11 @@ def decision_scores(judged: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def baselines(judged: DataFrame) -> DataFrame:
-    """Verdict columns of simple rules: always explain, the gate alone, the evidence's direction alone."""
+    """Verdict columns of simple rules: always explain, the gate alone, the evidence's direction alone, never refuse where anything was found."""
     lean = F.coalesce("consistent", F.lit(0)) > F.coalesce("inconsistent", F.lit(0))
     return judged.withColumns({
-        "always_explain": F.lit("EXPLAINED"), "gate_only": F.when(F.col("gate_decision") == "EXPLAIN", "EXPLAINED").otherwise("REFUSED"), "direction_only": F.when(lean, "EXPLAINED").otherwise("REFUSED")})
+        "always_explain": F.lit("EXPLAINED"), "gate_only": F.when(F.col("gate_decision") == "EXPLAIN", "EXPLAINED").otherwise("REFUSED"), "direction_only": F.when(lean, "EXPLAINED").otherwise("REFUSED"),
+        "never_refuse": F.when(F.coalesce("considered", F.lit(0)) > 0, "EXPLAINED").otherwise("REFUSED")})
 
 
 def citation_statistics(citations: DataFrame) -> DataFrame:

@@ -347,13 +347,6 @@ def rank_03_event_days(spark, sf_dir):
     return rank.top_by(joins.in_events(d.where("daily_anomaly_flag"), events_dim(spark, d)), ["series", "label"], 2, F.abs("z_score").desc(), F.col("date")).select("series", "label", "date", "place")
 
 
-@query()
-def rank_12_analogs(spark, sf_dir):
-    frame = forecast.outlook_frame(tables.daily_prices(spark, sf_dir), 20)
-    last = frame.groupBy("series").agg(F.max("rn").alias("rn"))
-    return rank.analog_outlook(rank.analogs(frame, last, ["ret_5", "ret_10", "vol_20", "ma_distance"]))
-
-
 @query(as_text=("date",))
 def rank_13_stratified_days(spark, sf_dir):
     days = detect.move_record(detected(spark, sf_dir)).where("anomaly_flag AND direction IS NOT NULL").select("series", "date", "direction", F.lit(False).alias("forced"))

@@ -43,7 +43,7 @@ def agg_37_refusal_stages(spark, sf_dir):
 
 _SYSTEMS = """j AS (SELECT *, CASE WHEN least % 2 = 0 THEN 'EXPLAIN' ELSE 'REFUSE' END AS expected FROM ve),
 l AS (SELECT expected, 'verdict' AS system, verdict AS said FROM j UNION ALL SELECT expected, 'always_explain', 'EXPLAINED' FROM j UNION ALL SELECT expected, 'gate_only', CASE WHEN gate_decision = 'EXPLAIN' THEN 'EXPLAINED' ELSE 'REFUSED' END FROM j
-  UNION ALL SELECT expected, 'direction_only', CASE WHEN consistent > inconsistent THEN 'EXPLAINED' ELSE 'REFUSED' END FROM j),
+  UNION ALL SELECT expected, 'direction_only', CASE WHEN consistent > inconsistent THEN 'EXPLAINED' ELSE 'REFUSED' END FROM j UNION ALL SELECT expected, 'never_refuse', CASE WHEN considered > 0 THEN 'EXPLAINED' ELSE 'REFUSED' END FROM j),
 c AS (SELECT system, count(*) AS n, count(*) FILTER ((said = 'EXPLAINED') = (expected = 'EXPLAIN')) AS "right", count(*) FILTER (expected = 'EXPLAIN') AS to_explain, count(*) FILTER (expected = 'EXPLAIN' AND said = 'EXPLAINED') AS explained,
   count(*) FILTER (expected = 'REFUSE') AS to_refuse, count(*) FILTER (expected = 'REFUSE' AND said <> 'EXPLAINED') AS refused FROM l WHERE said <> 'FAULT' GROUP BY system)"""
 
@@ -51,7 +51,7 @@ c AS (SELECT system, count(*) AS n, count(*) FILTER ((said = 'EXPLAINED') = (exp
 @query(f'{_RUNS}, {_SYSTEMS} SELECT *, round("right" / n, 6) AS accuracy, round((explained / nullif(to_explain, 0) + refused / nullif(to_refuse, 0)) / 2, 6) AS balanced_accuracy FROM c')
 def agg_30_decision_scores(spark, sf_dir):
     judged = all_runs(spark, sf_dir).withColumn("expected", F.when(F.col("least") % 2 == 0, "EXPLAIN").otherwise("REFUSE"))
-    return runs.decision_scores(runs.baselines(judged), ["verdict", "always_explain", "gate_only", "direction_only"])
+    return runs.decision_scores(runs.baselines(judged), ["verdict", "always_explain", "gate_only", "direction_only", "never_refuse"])
 
 
 @query(f"{_RUNS} SELECT series, count(*) AS runs, count(*) FILTER (consistent > inconsistent) AS leaning, round(100 * count(*) FILTER (consistent > inconsistent) / count(*), 1) AS pct FROM ve GROUP BY series")

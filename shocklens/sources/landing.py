@@ -21,8 +21,57 @@ def series_name() -> Column:
 
 
 def prices(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files of date and price, one for each series."""
-    return spark.read.schema(PRICES).option("header", True).csv(path).select(series_name().alias("series"), "date", F.when(~F.isnan("price"), F.col("price")).alias("price"))
+    """CSV files of date and price, one for each series, or in folders series=…"""
+    rows = spark.read.schema(f"{PRICES}, series STRING").option("header", True).csv(path)
+    return rows.select(F.coalesce("series", series_name()).alias("series"), "date", F.when(~F.isnan("price"), F.col("price")).alias("price"))
+
+
+# Columns of detector output.
+DETECTIONS = "date DATE, price DOUBLE, z_score DOUBLE, cumulative_z_score DOUBLE, rolling_std DOUBLE, anomaly_flag BOOLEAN, anomaly_type STRING"
+
+
+def detections(spark: SparkSession, path: str) -> DataFrame:
+    """CSV of detector output in folders series=…; an absent contract_switch column is false, another absent column an error."""
+    raw = spark.read.option("header", True).csv(path)
+    fields = [f.split() for f in DETECTIONS.split(", ")]
+    if absent := [n for n, _ in fields if n not in raw.columns]:
+        raise ValueError(f"not detector output, columns missing: {absent}")
+    switch = F.coalesce(F.col("contract_switch").try_cast("boolean"), F.lit(False)) if "contract_switch" in raw.columns else F.lit(False)
+    series = F.col("series") if "series" in raw.columns else series_name()
+    return raw.select(series.alias("series"), *(F.col(n).try_cast(t).alias(n) for n, t in fields), switch.alias("contract_switch"))
+
+
+# The parts of a stored run that the evaluation reads; layouts that lack some leave them null.
+RUN = """pipeline_version STRING, decision_mode STRING, documents_retrieved INT, documents_retrieved_recent INT,
+anomaly STRUCT<date: STRING, direction: STRING, pct_move: DOUBLE, z_score: DOUBLE, anomaly_type: STRING, price_is_usable: BOOLEAN>,
+outcome STRUCT<tier: STRING, label: STRING, headline: STRING, detail: STRING, is_refusal: BOOLEAN, is_fault: BOOLEAN>,
+gate_result STRUCT<decision: STRING, reason: STRING, best_score: DOUBLE, accepted_document_count: INT, accepted_document_ids: ARRAY<STRING>, total_documents_considered: INT>,
+direction_summary STRUCT<consistent: INT, neutral: INT, inconsistent: INT>,
+sources ARRAY<STRUCT<document_id: STRING, title: STRING, url: STRING, publication_date: STRING, trading_days_before_anomaly: INT, passed_gate: BOOLEAN, n_copies: INT, retrieval_score: DOUBLE, semantic_score: DOUBLE>>,
+explanation_result STRUCT<decision: STRING, confidence: STRING, reason: STRING, explanation: STRING, model_used: STRING, citations: ARRAY<STRUCT<document_id: STRING, supports: STRING>>>"""
+
+
+def stored_runs(spark: SparkSession, path: str, many_lines: bool = True) -> DataFrame:
+    """Run documents (JSON, one to a file or one to a line) as rows the evaluation takes; series from a folder series=… or the file's name; unreadable ones go."""
+    raw = spark.read.schema(f"{RUN}, series STRING").option("multiLine", many_lines).option("mode", "DROPMALFORMED").json(path)
+    named = F.regexp_extract(F.col("_metadata.file_path"), r"pipeline_output_(.+)_\d{4}-\d{2}-\d{2}\.json$", 1)
+    return raw.select(
+        F.coalesce("series", F.nullif(named, F.lit(""))).alias("series"), F.to_date("anomaly.date").alias("day"), F.col("pipeline_version").try_cast("int").alias("pipeline_version"), F.coalesce("decision_mode", F.lit("legacy")).alias("decision_mode"),
+        "anomaly.direction", F.col("anomaly.pct_move").alias("move"), F.coalesce("anomaly.price_is_usable", F.lit(True)).alias("price_is_usable"), "outcome.tier", F.coalesce("outcome.is_fault", F.lit(False)).alias("is_fault"), F.coalesce("outcome.is_refusal", F.lit(False)).alias("is_refusal"),
+        F.col("gate_result.decision").alias("gate_decision"), F.col("gate_result.reason").alias("gate_reason"), F.coalesce("gate_result.accepted_document_count", F.size("gate_result.accepted_document_ids")).alias("accepted"), F.coalesce("gate_result.total_documents_considered", "documents_retrieved").alias("considered"),
+        "direction_summary.consistent", "direction_summary.inconsistent", "explanation_result.decision", "explanation_result.confidence", F.col("explanation_result.model_used").alias("model"), "sources", "explanation_result.citations")
+
+
+def configured(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(series, events, controls) from JSON lines of configured series: key, name, price_file, known_events, control_period.
+
+    One small row for each series; events and controls have series, label, start and end.
+    """
+    window = "STRUCT<label: STRING, start: DATE, end: DATE, note: STRING>"
+    raw = spark.read.schema(f"key STRING, name STRING, price_file STRING, history_start DATE, known_events ARRAY<{window}>, control_period {window}").json(path)
+    series = raw.select(F.col("key").alias("series"), "name", "price_file", "history_start")
+    events = raw.select(F.col("key").alias("series"), F.explode("known_events").alias("e")).select("series", "e.*")
+    return series, events, raw.where("control_period IS NOT NULL").select(F.col("key").alias("series"), "control_period.*")
 
 
 def factors(spark: SparkSession, path: str, needed: tuple[str, ...] = ("dollar", "equity", "broad_commodity")) -> DataFrame:
@@ -62,7 +111,7 @@ def resolved(df: DataFrame, candidates: dict[str, list[str]], optional: tuple[st
 # Column names of weekly positioning reports.
 POSITIONING = {
     "market": ["Market_and_Exchange_Names", "Market and Exchange Names"],
-    "code": ["CFTC_Commodity_Code", "CFTC Commodity Code"],
+    "code": ["CFTC_Contract_Market_Code", "CFTC Contract Market Code"],
     "report_date": ["Report_Date_as_YYYY-MM-DD", "As of Date in Form YYYY-MM-DD"],
     "open_interest": ["Open_Interest_All", "Open Interest (All)"],
     "noncommercial_long": ["M_Money_Positions_Long_All", "Noncommercial Positions-Long (All)"],

@@ -306,7 +306,7 @@ def test_landing(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("<html>\nno\n")
     with pytest.raises(ValueError):
         landing.macro_series(spark, str(tmp_path / "bad.csv"))
-    head = "Market_and_Exchange_Names,CFTC_Commodity_Code,Report_Date_as_YYYY-MM-DD,Open_Interest_All,M_Money_Positions_Long_All,M_Money_Positions_Short_All"
+    head = "Market_and_Exchange_Names,CFTC_Contract_Market_Code,Report_Date_as_YYYY-MM-DD,Open_Interest_All,M_Money_Positions_Long_All,M_Money_Positions_Short_All"
     (tmp_path / "cot.csv").write_text(f"{head}\nCOFFEE C - ICE, 083 ,2024-01-02,10,5,x\nWHEAT - CBOT,001,2024-01-02,7,1,1\n")
     for code, name in (("083", "nothing"), ("999", "coffee")):
         r = one(landing.positioning(spark, str(tmp_path / "cot.csv"), code, name))
