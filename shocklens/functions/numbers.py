@@ -82,6 +82,12 @@ def holm(p: str, *keys: str) -> Column:
     return step
 
 
+def draw(seed: int, *of: str | Column) -> Column:
+    """A whole number of 60 bits that seed and values fix, the same in every engine: the head of an MD5."""
+    named = F.concat_ws("|", F.lit(str(seed)), *[col(x).cast("string") for x in of])
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
+
+
 def sample_kurtosis(x: str | Column) -> Column:
     """Bias-corrected excess kurtosis; null below four values or without spread."""
     n = F.count(col(x)).cast("double")

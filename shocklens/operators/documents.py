@@ -154,17 +154,19 @@ def prepared_candidates(docs: DataFrame, keys: list[str], before: int, terms: li
     return stories.withColumns({"keyword_score": T.keyword_score("title", "text", terms, vocabulary), "report_score": market_report_score("title", "text"), "age": trading_days_before("published", "day")})
 
 
+# Cue families of market reports, and words of shop news.
+MARKET_CUES = (r"\bfutures?\b", r"\b(settled|closed|traded|opened)\b", r"\b\d+(\.\d+)?\s?(%|percent|cents?)", r"\b(ice|nymex|comex|cbot|lme)\b", r"\b(barrel|bushel|ounce|tonne|pound)s?\b", r"\b(analysts?|traders?|brokers?)\b", r"\b(rose|fell|gained|slipped|rallied|dropped)\b")
+SHOP_WORDS = r"\b(shoppers?|supermarkets?|retail prices?|cafes?|at the pump)\b"
+
+
 def market_report_score(title: str | Column, text: str | Column) -> Column:
     """0 to 7 by what a report on a market says; news of shop prices is held below a report.
 
     English cues only: exchange and contract words, price verbs with numbers, units, sessions.
     """
     both = F.lower(F.concat_ws(" ", T.given(title), T.given(text)))
-    # Cue families.
-    cues = [r"\bfutures?\b", r"\b(settled|closed|traded|opened)\b", r"\b\d+(\.\d+)?\s?(%|percent|cents?)", r"\b(ice|nymex|comex|cbot|lme)\b", r"\b(barrel|bushel|ounce|tonne|pound)s?\b", r"\b(analysts?|traders?|brokers?)\b", r"\b(rose|fell|gained|slipped|rallied|dropped)\b"]
-    score = sum((both.rlike(c).cast("int") for c in cues[1:]), both.rlike(cues[0]).cast("int"))
-    shop = both.rlike(r"\b(shoppers?|supermarkets?|retail prices?|cafes?|at the pump)\b")
-    return F.when(shop, F.least(score, F.lit(2))).otherwise(score)
+    score = sum((both.rlike(c).cast("int") for c in MARKET_CUES[1:]), both.rlike(MARKET_CUES[0]).cast("int"))
+    return F.when(both.rlike(SHOP_WORDS), F.least(score, F.lit(2))).otherwise(score)
 
 
 def price_direction(title: str | Column, text: str | Column, up: dict[str, float], down: dict[str, float]) -> Column:
@@ -332,6 +334,36 @@ def unresolved_inline(explanations: DataFrame, shown: DataFrame) -> DataFrame:
     return named.join(shown.select("run_id", T.citation_id("document_id").alias("document_id")), ["run_id", "document_id"], "left_anti")
 
 
+def quoted(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Pairs (doc_id, item_id) of documents that hold a quote (item_id, quote) by ``quote_squashed``.
+
+    A quote's words but the first and last stand whole in such a text. Those
+    that have three meet the texts by their rarest run of three words, by hash;
+    shorter quotes, a stated few, are looked for in every text.
+    """
+    even = lambda x: F.trim(F.regexp_replace(F.lower(T.given(x)), r"\s+", " "))
+    q = quotes.select("item_id", "quote", F.split(even("quote"), " ").alias("_w")).withColumn("_inner", F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+
+    def runs(words: str) -> Column:
+        return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.element_at(words, i + 2), F.element_at(words, i + 3)))
+
+    texts = docs.select("doc_id", "text", F.split(even("text"), " ").alias("_w"))
+    anchors = q.where(F.size("_inner") >= 3).select("item_id", F.explode(F.array_distinct(runs("_inner"))).alias("_g"))
+    wanted = anchors.select("_g").distinct()
+    grams = texts.select("doc_id", F.explode(F.array_distinct(runs("_w"))).alias("_g"))
+    often = grams.join(wanted, "_g").groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    chosen = anchors.join(often, "_g").groupBy("item_id").agg(F.min(F.struct("_f", "_g")).alias("_a"))
+    # A run of the quote that no text holds leaves the quote without a document.
+    held = anchors.join(often, "_g", "left").groupBy("item_id").agg(F.bool_and(F.col("_f").isNotNull()).alias("_all")).where("_all").select("item_id")
+    chosen = chosen.join(held, "item_id").select("item_id", F.col("_a._g").alias("_g"))
+    met = grams.join(chosen, "_g").select("doc_id", "item_id")
+    pairs = met.join(docs.select("doc_id", "text"), "doc_id").join(quotes.select("item_id", "quote"), "item_id")
+    short = q.where(F.size("_inner") < 3).select("item_id", "quote")
+    found = pairs.where(T.quote_squashed("quote", "text")).select("doc_id", "item_id", "quote", "text")
+    few = docs.select("doc_id", "text").join(short, T.quote_squashed("quote", "text")).select("doc_id", "item_id", "quote", "text")
+    return found.unionByName(few)
+
+
 def stance(document_direction: Column, move_direction: Column) -> Column:
     """consistent, inconsistent or neutral; a document without a direction never contradicts."""
     known = move_direction.isNotNull() & (document_direction != "neutral")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shocklens.functions.numbers import by_series, rate, ratio
+from shocklens.functions.numbers import by_series, draw, let, rate, ratio
 from shocklens.operators.joins import in_events
 
 # The thresholds of a sweep.
@@ -120,7 +124,8 @@ def best_thresholds(curve: DataFrame, *keys: str, precision: float = 0.9, least:
 def left_out_selection(df: DataFrame, fold: str, score: str = "score", relevant: str = "relevant") -> DataFrame:
     """Best-F1 threshold of all other folds, applied to the fold left out, pooled into one confusion row.
 
-    Counts by (fold, score) come first; a fold's curve is the whole curve less its own counts.
+    Counts by (fold, score) come first; a fold's curve adds up those of all other folds, so its
+    work is folds times distinct scores and folds, not rows.
     """
     steps = df.where(F.col(score).isNotNull()).groupBy(fold, score).agg(F.count(F.lit(1)).alias("_n"), F.count_if(relevant).alias("_r"))
     folds = steps.select(F.col(fold).alias("_out")).distinct()
@@ -155,15 +160,16 @@ def top_k_scores(df: DataFrame, group: str, k: int, order: list[Column], relevan
 def bootstrap_auc(df: DataFrame, group: str, samples: int = 2000, seed: int = 11, score: str = "score", relevant: str = "relevant") -> DataFrame:
     """2.5 and 97.5 % order statistics of the AUC over resamples of whole groups.
 
-    A group's count in a resample comes from seeded draws; each resample's AUC
-    is from counts by score, so nothing grows with the square of the rows.
+    A group is in a resample as often as a seeded Poisson draw of mean one
+    says, so groups need no numbers and draws no common table. Each resample's AUC is from counts by score.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(group, score).agg(F.count_if(F.col(relevant)).alias("_p"), F.count_if(~F.col(relevant)).alias("_n"))
-    groups = counts.select(group).distinct().withColumn("_g", F.row_number().over(Window.orderBy(group)))
-    n = groups.count()
-    draws = df.sparkSession.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_j"))
-    draws = draws.withColumn("_g", (F.pmod(F.xxhash64(F.lit(seed), "sample", "_j"), F.lit(n)) + 1).cast("int")).groupBy("sample", "_g").agg(F.count(F.lit(1)).alias("_times"))
-    rows = draws.join(groups, "_g").join(counts, group).groupBy("sample", score).agg(F.sum(F.col("_p") * F.col("_times")).alias("_p"), F.sum(F.col("_n") * F.col("_times")).alias("_n"))
+    # The distribution of a Poisson count of mean one; above 12 it is below 1e-10.
+    steps = F.array(*[F.lit(math.exp(-1) * sum(1 / math.factorial(j) for j in range(n + 1))) for n in range(12)])
+    drawn = counts.select(group).distinct().withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    drawn = drawn.withColumn("_times", let(draw(seed, "sample", group) / F.lit(float(1 << 60)), lambda u: F.size(F.filter(steps, lambda s: u >= s)))).where("_times > 0")
+    rows = drawn.join(counts, group)
+    rows = rows.groupBy("sample", score).agg(F.sum(F.col("_p") * F.col("_times")).alias("_p"), F.sum(F.col("_n") * F.col("_times")).alias("_n"))
     below = Window.partitionBy("sample").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     won = F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2)
     each = rows.withColumn("_w", won).groupBy("sample").agg(ratio(F.sum("_w"), F.sum("_p").cast("double") * F.sum("_n")).alias("auc")).where("auc IS NOT NULL")
@@ -173,16 +179,21 @@ def bootstrap_auc(df: DataFrame, group: str, samples: int = 2000, seed: int = 11
 def permutation_test(df: DataFrame, trials: int = 1000, seed: int = 11) -> DataFrame:
     """The flags' precision in events beside random flags of the same number, by series.
 
-    ``df`` has flag and inside (an event day). A random detector marks the
-    days of the smallest seeded hashes.
+    ``df`` has flag and inside (an event day). The event days that a random
+    detector hits are a hypergeometric draw from a series' three counts, so a
+    trial is one row, whatever the number of days.
     """
-    n = df.groupBy("series").agg(F.count_if("flag").alias("n_flags"), F.count_if(F.col("flag") & F.col("inside")).alias("hits"), F.count_if("inside").alias("inside_days"))
-    rows = df.select("series", "date", "inside", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
-    order = Window.partitionBy("series", "trial").orderBy(F.xxhash64(F.lit(seed), "trial", "series", "date"))
-    picked = rows.withColumn("_rn", F.row_number().over(order)).join(n.select("series", "n_flags", F.col("hits").alias("_hits")), "series").where(F.col("_rn") <= F.col("n_flags"))
-    each = picked.groupBy("series", "trial", "n_flags", "_hits").agg(F.count_if("inside").alias("random_hits"))
-    out = each.groupBy("series").agg(F.avg(ratio("random_hits", "n_flags")).alias("random_precision"), F.avg((F.col("random_hits") < F.col("_hits")).cast("double")).alias("share_beaten"))
-    return n.withColumn("precision", ratio("hits", "n_flags")).join(out, "series")
+    n = df.groupBy("series").agg(F.count_if("flag").alias("n_flags"), F.count_if(F.col("flag") & F.col("inside")).alias("hits"), F.count_if("inside").alias("inside_days"), F.count(F.lit(1)).alias("_days"))
+    trial = n.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("_seed", draw(seed, "series", "trial"))
+
+    @F.arrow_udf("long")
+    def hit(inside: pa.Array, days: pa.Array, flags: pa.Array, seeds: pa.Array) -> pa.Array:
+        rows = zip(*(x.to_pylist() for x in (inside, days, flags, seeds)), strict=True)
+        return pa.array([int(np.random.default_rng(s).hypergeometric(i, d - i, f)) for i, d, f, s in rows], pa.int64())
+
+    each = trial.withColumn("random_hits", hit("inside_days", "_days", "n_flags", "_seed"))
+    out = each.groupBy("series").agg(F.avg(ratio("random_hits", "n_flags")).alias("random_precision"), F.avg((F.col("random_hits") < F.col("hits")).cast("double")).alias("share_beaten"))
+    return n.drop("_days").withColumn("precision", ratio("hits", "n_flags")).join(out, "series")
 
 
 def kappa(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shocklens.functions.numbers import ratio
+from shocklens.functions.numbers import draw, ratio
 
 
 def as_of(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, values: list[str]) -> DataFrame:
@@ -97,15 +97,15 @@ def donors(days: DataFrame, least_days: int = 60, seed: int = 11) -> DataFrame:
         "_n": F.count(F.lit(1)).over(group),
     })
     far = ranked.withColumn("_far", F.col("_before") + F.col("_n") - F.col("_near")).where("_far > 0")
-    drawn = far.withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "series", "direction", "date"), F.col("_far")) + 1)
+    drawn = far.withColumn("_k", F.pmod(draw(seed, "series", "direction", "date"), F.col("_far")) + 1)
     drawn = drawn.select("series", "direction", "date", F.expr("int(if(_k <= _before, _k, _near + _k - _before))").alias("_i"))
     return drawn.join(ranked.select("series", "direction", "_i", F.col("date").alias("donor")), ["series", "direction", "_i"]).drop("_i")
 
 
-def shifted_documents(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The donor's documents dated anew by the gap between the two days."""
+def shifted_documents(pairs: DataFrame, documents: DataFrame, keys: tuple[str, ...] = ("series",)) -> DataFrame:
+    """The donor's documents dated anew by the gap between the two days; without keys a document is of every series."""
     d = documents.withColumnRenamed("date", "donor")
-    return pairs.join(d, ["series", "donor"]).withColumn("published", F.expr("date_add(published, datediff(date, donor))"))
+    return pairs.join(d, [*keys, "donor"]).withColumn("published", F.expr("date_add(published, datediff(date, donor))"))
 
 
 def label_runs(labels: DataFrame, runs: DataFrame, on: list[str]) -> DataFrame:

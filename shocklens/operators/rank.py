@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shocklens.functions.numbers import col, ratio
+from shocklens.functions.numbers import col, draw, let, ratio
 
 REPORT_SCORE = 3
 
@@ -52,20 +54,52 @@ def dot(a: str | Column, b: str | Column) -> Column:
 
 
 def unit(a: str | Column) -> Column:
-    return F.transform(col(a), lambda x: x.cast("double") / F.sqrt(F.aggregate(F.transform(col(a), lambda y: y.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)))
+    """The vector over its length, found once; a vector of zeros has no direction (nulls)."""
+    def over(norm: Column) -> Column:
+        return F.transform(col(a), lambda x: F.try_divide(x.cast("double"), norm))
 
+    return let(F.sqrt(F.aggregate(col(a), F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))), over)
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors (id, v) of each query (query_id, q) by inner product.
 
-    ``queries`` is a stated set, broadcast; every task keeps its own k best of
-    each query before anything is shuffled.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, chunk: int = 32768) -> DataFrame:
+    """The k nearest vectors (id, v) of each query (query_id, q) by inner product, a query's own row left out.
+
+    Queries are dealt to blocks and vectors to chunks of bounded size by hash;
+    each block meets each chunk in one task as a matrix product, and only a
+    query's k best of a chunk are shuffled. Nothing is broadcast. Vectors of
+    another length than the query, or with nulls, are not among its nearest.
     """
-    met = vectors.join(F.broadcast(queries), F.col("id") != F.col("query_id")).select("query_id", "id", dot("v", "q").alias("score"))
+    blocks, chunks = (max(1, -(-t.count() // n)) for t, n in ((queries, block), (vectors, chunk)))
+    q = queries.select(F.col("query_id").cast("long").alias("i"), F.col("q").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("c"))
+    x = vectors.select(F.col("id").cast("long").alias("i"), F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
+
+    def matrices(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        ids, rows = t.column("i").to_numpy(), t.column("v").to_pylist()
+        by: dict[int, list[int]] = {}
+        for n, r in enumerate(rows):
+            if r and None not in r:
+                by.setdefault(len(r), []).append(n)
+        return {size: (ids[held], np.array([rows[n] for n in held])) for size, held in by.items()}
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, given = matrices(left), matrices(right)
+        out = [[], [], []]
+        for size in asked.keys() & given.keys():
+            (qi, qv), (xi, xv) = asked[size], given[size]
+            for at in range(0, len(qi), 256):
+                scores = qv[at : at + 256] @ xv.T
+                scores[qi[at : at + 256, None] == xi] = -np.inf
+                # All that reach the k-th best score, so that ties are settled by id later.
+                bar = np.partition(scores, max(0, len(xi) - k), axis=1)[:, max(0, len(xi) - k)]
+                r, c = np.nonzero((scores >= bar[:, None]) & np.isfinite(scores))
+                for column, values in zip(out, (qi[at + r], xi[c], scores[r, c]), strict=True):
+                    column.append(values)
+        columns = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        return pa.table([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(float))], names=["query_id", "id", "score"])
+
+    met = q.groupBy("b", "c").cogroup(x.groupBy("b", "c")).applyInArrow(meet, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    local = Window.partitionBy("query_id", "_task").orderBy(F.col("score").desc(), "id")
-    best = met.withColumn("_task", F.spark_partition_id()).withColumn("_l", F.row_number().over(local)).where(F.col("_l") <= k)
-    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "id", "score", "place")
+    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "id", "score", "place")
 
 
 def analogs(history: DataFrame, targets: DataFrame, features: list[str], k: int = 25, horizon: int = 20) -> DataFrame:
@@ -97,8 +131,8 @@ def stratified(days: DataFrame, n: int, seed: int = 11) -> DataFrame:
 
     Ranks inside a stratum are distributed; the last step keeps n rows.
     """
-    inside = Window.partitionBy(F.year("date"), "direction").orderBy(F.col("forced").desc(), F.xxhash64(F.lit(seed), "series", "date"), "series", "date")
-    return top(days.withColumn("_turn", F.row_number().over(inside)), n, F.col("forced").desc(), F.col("_turn"), F.xxhash64(F.lit(seed), "series", "date"), F.col("series"), F.col("date")).withColumn("stratum", F.concat_ws("-", F.year("date"), "direction")).drop("_turn")
+    inside = Window.partitionBy(F.year("date"), "direction").orderBy(F.col("forced").desc(), draw(seed, "series", "date"), "series", "date")
+    return top(days.withColumn("_turn", F.row_number().over(inside)), n, F.col("forced").desc(), F.col("_turn"), draw(seed, "series", "date"), F.col("series"), F.col("date")).withColumn("stratum", F.concat_ws("-", F.year("date"), "direction")).drop("_turn")
 
 
 def evenly_spaced(rows: DataFrame, n: int, keys: list[str], *order: Column) -> DataFrame:
@@ -113,7 +147,7 @@ def evenly_spaced(rows: DataFrame, n: int, keys: list[str], *order: Column) -> D
 def quiet_days(df: DataFrame, since: str, n: int, largest: float = 0.5, seed: int = 11) -> DataFrame:
     """Days of small z with no flag near, from ``since`` on, round robin by year; needs near_flag."""
     rows = df.where((F.abs("z_score") < largest) & ~F.col("near_flag") & (F.col("date") >= F.to_date(F.lit(since))))
-    inside = Window.partitionBy("series", F.year("date")).orderBy(F.xxhash64(F.lit(seed), "series", "date"), "date")
+    inside = Window.partitionBy("series", F.year("date")).orderBy(draw(seed, "series", "date"), "date")
     return top_by(rows.withColumn("_turn", F.row_number().over(inside)), ["series"], n, F.col("_turn"), F.year("date")).drop("_turn")
 
 
@@ -122,10 +156,10 @@ def move_donors(quiet: DataFrame, shocks: DataFrame, seed: int = 11) -> DataFram
     w = Window.partitionBy("series").orderBy("date")
     numbered = shocks.select("series", F.row_number().over(w).alias("_k"), F.col("return_pct").alias("move"))
     sizes = numbered.groupBy("series").agg(F.max("_k").alias("_n"))
-    picked = quiet.select("series", "date").join(sizes, "series").withColumn("_k", (F.pmod(F.xxhash64(F.lit(seed), "series", "date"), F.col("_n")) + 1).cast("int"))
+    picked = quiet.select("series", "date").join(sizes, "series").withColumn("_k", (F.pmod(draw(seed, "series", "date"), F.col("_n")) + 1).cast("int"))
     return picked.join(numbered, ["series", "_k"]).select("series", "date", "move", (-F.col("move")).alias("mirror"))
 
 
 def label_sample(flagged: DataFrame, per_series: int, seed: int = 11) -> DataFrame:
     """As many seeded flagged days of each series."""
-    return top_by(flagged, ["series"], per_series, F.xxhash64(F.lit(seed), "date"), F.col("date"))
+    return top_by(flagged, ["series"], per_series, draw(seed, "date"), F.col("date"))

@@ -52,4 +52,4 @@ EVENTS_SQL = "events_dim(label, s, e) AS (VALUES " + ", ".join(f"('{n}', DATE '{
 
 def load() -> None:
     """Import the modules that register queries."""
-    from shocklens.plans import documents, evaluation, landed, more, prices, runs, stage, streams  # noqa: F401
+    from shocklens.plans import checks, documents, evaluation, landed, more, prices, runs, stage, streams  # noqa: F401

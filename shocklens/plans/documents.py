@@ -208,8 +208,8 @@ def rank_11_semantic_score(spark, sf_dir):
 @query("""q AS (SELECT item_id, text FROM benchmark), d AS (SELECT doc_id, text FROM documents), n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM d), m AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM q)
 SELECT doc_id, item_id FROM n JOIN m ON length(m.t) >= 15 AND contains(n.t, m.t)""")
 def fn_15_quotes_found(spark, sf_dir):
-    items = F.broadcast(tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")))
-    return tables.table(spark, sf_dir, "documents").join(items, T.quote_squashed("quote", "text")).select("doc_id", "item_id")
+    items = tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return documents.quoted(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), items).select("doc_id", "item_id")
 
 
 _RULES = """days AS (SELECT DISTINCT 'all' AS series, conv_id AS day, CASE WHEN conv_id % 2 = 0 THEN 'up' ELSE 'down' END AS way, CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id % 7 AS DOUBLE) END AS move FROM conversations),

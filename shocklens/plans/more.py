@@ -69,8 +69,8 @@ def fn_12_whole_text_support(spark, sf_dir):
 
 @query()
 def fn_14_quotes_checked(spark, sf_dir):
-    items = F.broadcast(tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")))
-    held = tables.table(spark, sf_dir, "documents").join(items, T.quote_squashed("quote", "text"))
+    items = tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    held = documents.quoted(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), items)
     return held.select("doc_id", "item_id", T.quote_in_text("quote", "text").alias("quote_found"))
 
 
@@ -233,7 +233,7 @@ def rule_08_explanations(spark, sf_dir):
     d = dated(spark, sf_dir).withColumnRenamed("published", "day")
     ordered = rank.reading_order(d, ["series", "day"], F.lit(0), F.lit(0), F.col("n_chars"), 4)
     days = d.select("series", "day").distinct()
-    return documents.explanation_text(days, ordered.select("series", "day", "document_id", "place", "title", (F.col("document_id") % 3 != 0).alias("supports"))).select("series", "day", F.length("explanation").alias("chars"))
+    return documents.explanation_text(days, ordered.select("series", "day", "document_id", "place", "title", (F.col("document_id") % 3 != 0).alias("supports"))).select("series", "day", "explanation")
 
 
 @query()
@@ -337,8 +337,8 @@ def prj_16_size_matches(spark, sf_dir):
 def join_14_shifted_documents(spark, sf_dir):
     days = detect.move_record(detected(spark, sf_dir)).where("anomaly_flag AND direction IS NOT NULL").select("series", "date", "direction")
     pairs = joins.donors(days)
-    docs = dated(spark, sf_dir).select("document_id", "published", F.col("published").alias("date")).crossJoin(F.broadcast(days.select("series").distinct()))
-    return joins.shifted_documents(pairs, docs).select("series", "date", "donor", "document_id", "published")
+    docs = dated(spark, sf_dir).select("document_id", "published", F.col("published").alias("date"))
+    return joins.shifted_documents(pairs, docs, ()).select("series", "date", "donor", "document_id", "published")
 
 
 @query(as_text=("date",), sql="""d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders), cal(origin, ord, phase, a, b) AS (VALUES ('north', 1, 'harvest', 5, 8), ('north', 2, 'flowering', 8, 11), ('south', 1, 'rest', 1, 4))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shocklens.functions import dates
-from shocklens.functions.numbers import by_series, ratio
+from shocklens.functions.numbers import by_series, draw, ratio
 from shocklens.operators import brief, detect, evaluate, factors, forecast, joins, monthly, rank
 from shocklens.plans import BY, CONTROL, DETECTED, EVENTS, EVENTS_SQL, LINES, PRICES, RETURNS, query
 from shocklens.sources import tables
@@ -390,7 +390,7 @@ def dom_22_outlook_backtest(spark, sf_dir):
     frame = forecast.outlook_frame(tables.daily_prices(spark, sf_dir), 20)
     targets = rank.evenly_spaced(frame.where("rn > 400 AND forward IS NOT NULL"), 10, ["series"], F.col("rn")).select("series", "rn")
     leans = rank.analog_outlook(rank.analogs(frame, targets, ["ret_5", "ret_10", "vol_20", "ma_distance"])).select("series", F.col("target").alias("rn"), F.col("lean").alias("lean_analog"))
-    plain = frame.select("series", "rn", "forward", F.when(F.col("ret_10") > 0, "up").otherwise("down").alias("lean_momentum"), F.when(F.pmod(F.xxhash64(F.lit(11), "series", "rn"), F.lit(2)) == 0, "up").otherwise("down").alias("lean_random"))
+    plain = frame.select("series", "rn", "forward", F.when(F.col("ret_10") > 0, "up").otherwise("down").alias("lean_momentum"), F.when(draw(11, "series", "rn") % 2 == 0, "up").otherwise("down").alias("lean_random"))
     return forecast.lean_scores(leans.join(plain, ["series", "rn"]).select("forward", "lean_analog", "lean_momentum", "lean_random"))
 
 
