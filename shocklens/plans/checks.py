@@ -9,7 +9,7 @@ from shocklens.plans import DETECTED, EVENTS_SQL, PRICES, SQL
 from shocklens.plans.documents import _DATED, _SCORES
 from shocklens.plans.evaluation import _SCORED
 from shocklens.plans.more import _DOWN, _UP
-from shocklens.plans.prices import _C, _CASES, _FIT, _WEATHER, _WEEKLY, FLAGS, _det3
+from shocklens.plans.prices import _BENCH, _C, _CASES, _FIT, _WEATHER, _WEEKLY, FLAGS, _det3
 
 
 def put(sql: str, *names: str) -> None:
@@ -119,3 +119,29 @@ SELECT series, day, string_agg(line, chr(10) ORDER BY o, place) AS explanation F
 
 put("""e AS (SELECT CAST(user_id AS VARCHAR) AS series, ts FROM events WHERE event_type = 'error'), f AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 4 DAYS, true) AS fresh FROM e WINDOW w AS (PARTITION BY series ORDER BY ts)), g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f)
 SELECT series, min(ts) AS "start", max(ts) + INTERVAL 4 DAYS AS "end", count(*) AS flags FROM g GROUP BY series, s HAVING max(ts) + INTERVAL 4 DAYS <= (SELECT max(ts) FROM e) - INTERVAL 10 DAYS""", "str_06_flag_sessions")
+
+_KEYED = f"""{_DATED}, tk AS (SELECT *, regexp_extract_all(lower(regexp_replace(trim(title), '\\s+[-|–—]\\s+[^-|–—]+$', '')), '[\\p{{L}}\\p{{N}}]+') AS tw FROM dated), ky AS (SELECT *, CASE WHEN len(tw) >= 3 THEN array_to_string(tw, ' ') ELSE '' END AS title_key FROM tk)"""
+put(f"{_KEYED} SELECT document_id, title_key FROM ky", "fn_05_title_keys")
+_LINKS = """hx AS (SELECT *, regexp_replace(split_part(split_part(url, '://', 2), '/', 1), '^www\\.', '') AS host, regexp_extract_all(lower(text[1:1200]), '[\\p{L}\\p{N}]+') AS w FROM given),
+gs AS (SELECT *, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g0 FROM hx), gx AS (SELECT *, list_filter(g0, lambda x, i: list_position(g0, x) = i) AS g FROM gs), gk AS (SELECT *, md5(array_to_string(g, '|')) AS x FROM gx WHERE len(g) > 0),
+ho AS (SELECT series, host, x, min(document_id) AS id FROM gk GROUP BY 1, 2, 3), tx AS (SELECT series, x, min(id) AS a, min(host) AS lo, max(host) AS hi FROM ho GROUP BY 1, 2),
+sg AS (SELECT t.series, t.a AS id, lo, hi, unnest(gk.g) AS g, len(gk.g) AS n FROM tx t JOIN gk ON gk.document_id = t.a), cm AS (SELECT p.series, p.id AS a, q.id AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS c, any_value(p.lo) AS al, any_value(p.hi) AS ah, any_value(q.lo) AS bl, any_value(q.hi) AS bh FROM sg p JOIN sg q ON p.series = q.series AND p.g = q.g AND p.id < q.id GROUP BY 1, 2, 3),
+edges AS (SELECT series, min(document_id) OVER (PARTITION BY series, title_key) AS a, document_id AS b FROM given WHERE title_key <> '' QUALIFY a <> b UNION SELECT h.series, a, id FROM ho h JOIN tx USING (series, x) WHERE a <> id UNION SELECT series, a, b FROM cm WHERE c / (na + nb - c) >= 0.6 AND NOT (al = ah AND bl = bh AND al = bl))"""
+put(f"{_KEYED}, given AS (SELECT * FROM ky), {_LINKS} SELECT series, a, b FROM edges", "set_07_story_edges")
+_REACH = """both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(n, r) AS (SELECT document_id, document_id FROM given UNION SELECT w.b, reach.r FROM reach JOIN both_ways w ON w.a = reach.n), rt AS (SELECT n AS document_id, min(r) AS root FROM reach GROUP BY n),
+st AS (SELECT g.*, root, row_number() OVER (PARTITION BY root ORDER BY coalesce(text, '') = '', published, document_id) AS first FROM given g JOIN rt USING (document_id)),
+cp AS (SELECT root, count(*) AS n_copies, list(DISTINCT url) AS urls, list_sort(list(DISTINCT regexp_replace(split_part(split_part(url, '://', 2), '/', 1), '^www\\.', ''))) AS hosts FROM st GROUP BY root),
+stories AS (SELECT s.*, n_copies, len(list_filter(urls, lambda u: u <> s.url)) AS other_urls, array_to_string(hosts, ',') AS domains FROM st s JOIN cp USING (root) WHERE first = 1)"""
+SQL["set_07_stories"] = f"WITH RECURSIVE {_KEYED}, given AS (SELECT * FROM ky), {_LINKS}, {_REACH} SELECT series, document_id, n_copies, CAST(other_urls AS INTEGER) AS urls, domains FROM stories"
+put(f"""{_TREND}, {DETECTED[DETECTED.index('ret AS'):]}, mo AS (SELECT series, count(*) FILTER (flag) AS flags FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS back FROM det) WHERE back <= 7 GROUP BY series),
+{_BENCH[_BENCH.index('prices AS') + len(PRICES):].lstrip(', ')}, sj AS (SELECT p.series, p.date, 100 * (price - benchmark * (100 / 2.20462::DOUBLE)) / (benchmark * (100 / 2.20462::DOUBLE)) AS s FROM prices p ASOF LEFT JOIN bench b ON p.series = b.series AND p.date >= b.known_from), sp AS (SELECT series, arg_max(s, date) AS s FROM sj WHERE s IS NOT NULL GROUP BY series),
+ob AS (SELECT series, category, importance, text FROM trend UNION ALL SELECT series, 'moves', CAST(CASE WHEN flags > 0 THEN 1 ELSE 3 END AS INTEGER), flags || ' unusual of the last 7 sessions' FROM mo UNION ALL SELECT series, 'benchmark', CAST(CASE WHEN abs(s) > 10 THEN 1 ELSE 3 END AS INTEGER), format('{{:+.1f}}% against the benchmark', s) FROM sp)
+SELECT * FROM ob""", "dom_11_brief")
+put(f"""{SQL['dom_11_brief'][5:].rpartition('SELECT * FROM ob')[0].rstrip()}, rk2 AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY importance, category) AS rn2 FROM ob), hd AS (SELECT series, string_agg(text, '; ' ORDER BY rn2) AS headline FROM rk2 WHERE rn2 <= 3 AND importance <= 2 GROUP BY series),
+lv AS (SELECT series, CASE min(importance) WHEN 1 THEN 'high' WHEN 2 THEN 'normal' ELSE 'quiet' END AS level FROM ob GROUP BY series) SELECT series, level, headline FROM lv LEFT JOIN hd USING (series)""", "rank_18_alerts")
+put(f"""{PRICES}, {_WEATHER}, fr0 AS (SELECT *, price / nullif(lag(price) OVER w, 0) - 1 AS r1, price / nullif(lag(price, 5) OVER w, 0) - 1 AS ret_5, lead(price, 5) OVER w / nullif(price, 0) - 1 AS forward FROM prices WINDOW w AS (PARTITION BY series ORDER BY date)),
+fv AS (SELECT *, CASE WHEN count(r1) OVER m >= 20 THEN stddev_samp(r1) OVER m END AS vol_20 FROM fr0 WINDOW m AS (PARTITION BY series ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), dn AS (SELECT date, -rain_z AS dz FROM dry WHERE station_id = 'N'), j AS (SELECT fv.*, dz FROM fv LEFT JOIN dn USING (date)),
+c AS (SELECT *, avg(CAST(dz IS NOT NULL AS INTEGER)) OVER (PARTITION BY series) > 0.5 AS ok FROM j) SELECT series, date, round(ret_5, 6) AS ret_5, round(vol_20, 6) AS vol_20, round(CASE WHEN ok THEN last_value(dz IGNORE NULLS) OVER (PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING) END, 6) AS dryness_z, round(forward, 6) AS forward FROM c""", "dom_14_outlook_frame")
+put("""n AS (SELECT doc_id, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents), m AS (SELECT item_id, text AS quote, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS q FROM benchmark), h AS (SELECT doc_id, item_id, regexp_extract_all(lower(quote), '[\\p{L}\\p{N}]+') AS q, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM n JOIN m ON length(m.q) >= 15 AND contains(n.t, m.q)),
+g AS (SELECT *, list_transform(range(1, len(q) - 1), lambda i: q[i] || ' ' || q[i + 1] || ' ' || q[i + 2]) AS qg, list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS tg FROM h)
+SELECT doc_id, item_id, len(t) > 0 AND (len(q) >= 3 OR length(array_to_string(q, '')) >= 12) AND (contains(array_to_string(t, ''), array_to_string(q, '')) OR (len(q) >= 3 AND len(list_filter(qg, lambda x: list_contains(tg, x))) >= 0.8 * (len(q) - 2))) AS quote_found FROM g""", "fn_14_quotes_checked")

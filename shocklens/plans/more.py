@@ -46,14 +46,14 @@ def fn_03_content_words(spark, sf_dir):
     return dated(spark, sf_dir).select("document_id", F.size(T.content_tokens("text", _STOP)).cast("long").alias("words"))
 
 
-@query(f"""{_DATED}, w AS (SELECT document_id, regexp_extract_all(lower(trim(title)), '[\\p{{L}}\\p{{N}}]+') AS w FROM dated WHERE NOT regexp_matches(title, '\\s[-|–—]\\s')) SELECT document_id, CASE WHEN len(w) >= 3 THEN array_to_string(w, ' ') ELSE '' END AS title_key FROM w""")
+@query()
 def fn_05_title_keys(spark, sf_dir):
-    return dated(spark, sf_dir).where(~F.col("title").rlike(r"\s[-|–—]\s")).select("document_id", T.title_key("title").alias("title_key"))
+    return dated(spark, sf_dir).select("document_id", T.title_key("title").alias("title_key"))
 
 
-@query(f"""{_DATED}, n AS (SELECT document_id, list_sort(list_distinct(regexp_extract_all(replace(text, ',', '.'), '[0-9]+(?:\\.[0-9]+)?'))) AS n FROM dated) SELECT document_id, array_to_string(n, ' ') AS numbers FROM n WHERE len(n) > 0""")
+@query(f"""{_DATED}, n AS (SELECT document_id, list_sort(list_distinct(regexp_extract_all(replace(text, ',', '.'), '[0-9]+(?:\\.[0-9]+)?'))) AS n FROM dated) SELECT document_id, array_to_string(n, ' ') AS numbers FROM n""")
 def fn_11_numbers(spark, sf_dir):
-    return dated(spark, sf_dir).select("document_id", F.array_join(F.array_sort(T.numbers("text")), " ").alias("numbers")).where("numbers <> ''")
+    return dated(spark, sf_dir).select("document_id", F.array_join(F.array_sort(T.numbers("text")), " ").alias("numbers"))
 
 
 @query(f"""{_DATED}, w AS (SELECT document_id, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) AS a, regexp_extract_all(lower(text[1:400]), '[\\p{{L}}\\p{{N}}]+') AS b FROM dated)
