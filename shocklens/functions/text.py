@@ -102,6 +102,18 @@ def shingles(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None =
     return F.array_distinct(let(words, lambda w: _runs(w, width)))
 
 
+def shingle_hashes(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None = SHINGLE_CHARS) -> Column:
+    """``shingles`` as distinct 64-bit hashes, in the same order."""
+    whole = given(text)
+    words = word_tokens(F.substring(whole, 1, chars) if chars else whole)
+
+    def runs(w: Column) -> Column:
+        starts = F.slice(w, 1, F.greatest(F.size(w) - (width - 1), F.lit(0)))
+        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.element_at(w, i + k) for k in range(2, width + 1)]))
+
+    return F.array_distinct(let(words, runs))
+
+
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """0 where either is empty."""
     return F.coalesce(ratio(F.size(F.array_intersect(col(a), col(b))), F.when((F.size(col(a)) > 0) & (F.size(col(b)) > 0), F.size(F.array_union(col(a), col(b))))), F.lit(0.0))

@@ -12,6 +12,7 @@ from shocklens.functions.dates import trading_days_before
 from shocklens.functions.numbers import ratio
 from shocklens.operators.graph import connected_components
 from shocklens.operators.rank import top_by
+from shocklens.session import saved
 
 KEYWORD, SEMANTIC, FLOOR, NEAR = 0.4, 0.85, 0.05, 0.80
 FRESH = 2
@@ -97,24 +98,27 @@ def capped(docs: DataFrame, keys: list[str], n: int = 12) -> DataFrame:
 def story_edges(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> DataFrame:
     """Pairs (a, b) of documents of one key that tell one story: equal title keys, or shared shingles on different hosts.
 
-    Title edges go to the first document of the title; shingle pairs meet by
-    shared shingle, with a set-size filter, and are compared exactly.
+    Title edges go to the first document of the title; texts meet by a shared
+    rare shingle, with a set-size filter, and are compared by all 64-bit hashes
+    of their shingles. Texts without five words, null ones too, have no
+    shingles.
     """
-    d = docs.select(*keys, "document_id", T.title_key("title").alias("_t"), T.host("url").alias("_h"), T.shingles("text").alias("_s"))
+    d = docs.select(*keys, "document_id", T.title_key("title").alias("_t"), T.host("url").alias("_h"), T.shingle_hashes("text").alias("_s"))
     titled = d.where("_t <> ''")
     same = titled.withColumn("a", F.min("document_id").over(Window.partitionBy(*keys, "_t"))).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
     # Copies of one text are one on each host; a host's smallest id stands for them there.
-    hosts = d.where(F.size("_s") > 0).groupBy(*keys, "_h", F.xxhash64("_s").alias("_x")).agg(F.min("document_id").alias("document_id"), F.first("_s").alias("_s"))
+    # Kept, as four joins start from it.
+    hosts = saved(d.where(F.size("_s") > 0).groupBy(*keys, "_h", F.xxhash64("_s").alias("_x")).agg(F.min("document_id").alias("document_id"), F.first("_s").alias("_s")))
     # One text on several hosts is a star, whatever the number of hosts.
     texts = hosts.groupBy(*keys, "_x").agg(F.min("document_id").alias("a"), F.min("_h").alias("_low"), F.max("_h").alias("_high"), F.first("_s").alias("_s"))
     copies = hosts.join(texts.select(*keys, "_x", "a"), [*keys, "_x"]).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
     # Of two sets this alike, the rarest shingles of each include a common one: only they are indexed,
-    # and a shingle that many texts share comes last.
-    one = texts.select(*keys, F.col("a").alias("document_id"), F.explode(F.array_distinct(F.transform("_s", lambda x: F.xxhash64(x)))).alias("_g"))
-    often = one.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_f"))
-    ordered = one.join(often, [*keys, "_g"]).groupBy(*keys, "document_id").agg(F.array_sort(F.collect_list(F.struct("_f", "_g"))).alias("_o"))
-    size = F.size("_o")
-    index = ordered.select(*keys, "document_id", size.alias("_n"), F.explode(F.slice("_o", 1, (size - F.ceil(size * similar) + 1).cast("int"))).alias("_p")).where("_p._f > 1").select(*keys, "document_id", "_n", F.col("_p._g").alias("_g"))
+    # and a shingle that many texts share comes last. Those of one text alone are the rarest and join nothing.
+    one = texts.select(*keys, F.col("a").alias("document_id"), F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
+    often = one.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
+    ordered = one.join(often, [*keys, "_g"]).groupBy(*keys, "document_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_g"))).alias("_o"))
+    rarest = F.col("_n") - F.ceil(F.col("_n") * similar) + 1 - (F.col("_n") - F.size("_o"))
+    index = ordered.select(*keys, "document_id", "_n", F.explode(F.slice("_o", 1, F.greatest(rarest, F.lit(0)).cast("int"))).alias("_p")).select(*keys, "document_id", "_n", F.col("_p._g").alias("_g"))
     left, right = (index.select(*keys, "_g", F.col("document_id").alias(x), F.col("_n").alias(f"_n{x}")) for x in "ab")
     pairs = left.join(right, [*keys, "_g"]).where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= similar * F.greatest("_na", "_nb"))).select(*keys, "a", "b").distinct()
     sets = texts.select(*keys, F.col("a").alias("document_id"), "_s", "_low", "_high")

@@ -122,10 +122,10 @@ def prj_18_left_out(spark, sf_dir):
     return stage.left_out(r, r.where(F.dayofmonth("day") % 4 == 0).select("series", "day"))
 
 
-@query(as_text=("date",), sql=f"{PRICES}, q AS (SELECT series, date, CASE WHEN day(date) = 13 THEN 0 ELSE price / 1000 END AS v FROM prices) SELECT series AS name, date, round(CASE WHEN series = '1-URGENT' THEN 1 / v ELSE v END, 6) AS value FROM q WHERE v <> 0")
+@query(as_text=("date",), sql=f"{PRICES}, q AS (SELECT series, date, CASE WHEN day(date) = 13 THEN 0 ELSE price / 7000 END AS v FROM prices) SELECT series AS name, date, round(CASE WHEN series = '1-URGENT' THEN 1 / v ELSE v END, 6) AS value FROM q WHERE v <> 0")
 def fn_33_rate_direction(spark, sf_dir):
     p = tables.daily_prices(spark, sf_dir)
-    levels = p.select(F.col("series").alias("name"), "date", F.when(F.dayofmonth("date") == 13, 0.0).otherwise(F.col("price") / 1000).alias("value"))
+    levels = p.select(F.col("series").alias("name"), "date", F.when(F.dayofmonth("date") == 13, 0.0).otherwise(F.col("price") / 7000).alias("value"))
     return joins.per_dollar(levels, ["1-URGENT"])
 
 

@@ -28,12 +28,14 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``. Only where that is unset (local tests)
-    is a folder of this machine taken.
+    Read from ``spark.checkpoint.dir``. Where that is unset a folder of this
+    machine is taken in local mode, and a cluster is refused.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if folder is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shocklens-"))
     return folder or context._jsc.sc().getCheckpointDir().get()
 
