@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shocklens.functions.numbers import by_series, draw, let, rate, ratio
+from shocklens.functions.numbers import by_series, draw, rate, ratio
 from shocklens.operators.joins import in_events
 
 # The thresholds of a sweep.
@@ -160,15 +158,20 @@ def top_k_scores(df: DataFrame, group: str, k: int, order: list[Column], relevan
 def bootstrap_auc(df: DataFrame, group: str, samples: int = 2000, seed: int = 11, score: str = "score", relevant: str = "relevant") -> DataFrame:
     """2.5 and 97.5 % order statistics of the AUC over resamples of whole groups.
 
-    A group is in a resample as often as a seeded Poisson draw of mean one
-    says, so groups need no numbers and draws no common table. Each resample's AUC is from counts by score.
+    A resample is as many seeded draws of a group as there are groups; its AUC
+    is from counts by score. Groups get their numbers bucket by bucket, so no
+    task sees them all; the draws are samples times groups.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(group, score).agg(F.count_if(F.col(relevant)).alias("_p"), F.count_if(~F.col(relevant)).alias("_n"))
-    # The distribution of a Poisson count of mean one; above 12 it is below 1e-10.
-    steps = F.array(*[F.lit(math.exp(-1) * sum(1 / math.factorial(j) for j in range(n + 1))) for n in range(12)])
-    drawn = counts.select(group).distinct().withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    drawn = drawn.withColumn("_times", let(draw(seed, "sample", group) / F.lit(float(1 << 60)), lambda u: F.size(F.filter(steps, lambda s: u >= s)))).where("_times > 0")
-    rows = drawn.join(counts, group)
+    dealt = counts.select(group).distinct().withColumn("_b", draw(seed, group) % 1024)
+    # At most 1,024 rows.
+    sizes = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_size"))
+    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    groups = dealt.join(F.broadcast(ahead), "_b").select(group, (F.col("_ahead") + F.row_number().over(Window.partitionBy("_b").orderBy(group))).alias("_g"))
+    n = groups.count()
+    draws = df.sparkSession.range(1, samples + 1).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_j"))
+    drawn = draws.groupBy("sample", (draw(seed, "sample", "_j") % max(n, 1) + 1).alias("_g")).agg(F.count(F.lit(1)).alias("_times")).where("_g > 0")
+    rows = drawn.join(groups, "_g").join(counts, group)
     rows = rows.groupBy("sample", score).agg(F.sum(F.col("_p") * F.col("_times")).alias("_p"), F.sum(F.col("_n") * F.col("_times")).alias("_n"))
     below = Window.partitionBy("sample").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     won = F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from shocklens.operators.documents import MARKET_CUES, SHOP_WORDS
 from shocklens.plans import DETECTED, EVENTS_SQL, PRICES, SQL
 from shocklens.plans.documents import _DATED, _SCORES
@@ -38,9 +36,9 @@ put(f"""{_QUIET}, sh AS (SELECT series, r, row_number() OVER (PARTITION BY serie
 SELECT q.series, CAST(q.date AS VARCHAR) AS date, round(sh.r, 6) AS move, round(-sh.r, 6) AS mirror FROM quiet q JOIN sh ON sh.series = q.series AND sh.k = {seeded('q.series', 'q.date')} % sh.n + 1""", "rank_16_move_donors")
 put(f"{DETECTED}, s AS (SELECT series, date, row_number() OVER (PARTITION BY series ORDER BY {seeded('date')}, date) AS place FROM det WHERE flag) SELECT series, date, CAST(place AS INTEGER) AS place FROM s WHERE place <= 5", "rank_17_label_sample")
 
-_POISSON = " + ".join(f"CAST(u >= {math.exp(-1) * sum(1 / math.factorial(j) for j in range(n + 1))!r} AS INTEGER)" for n in range(12))
-put(f"""{_SCORED}, c AS (SELECT grp, score, count(*) FILTER (relevant) AS p, count(*) FILTER (NOT relevant) AS n FROM scored GROUP BY 1, 2), g AS (SELECT grp, sample, {seeded('sample', 'grp')} / pow(2::DOUBLE, 60) AS u FROM (SELECT DISTINCT grp FROM c), range(1, 2001) AS x(sample)),
-w AS (SELECT sample, score, sum(p * ({_POISSON})) AS p, sum(n * ({_POISSON})) AS n FROM g JOIN c USING (grp) WHERE ({_POISSON}) > 0 GROUP BY 1, 2),
+put(f"""{_SCORED}, c AS (SELECT grp, score, count(*) FILTER (relevant) AS p, count(*) FILTER (NOT relevant) AS n FROM scored GROUP BY 1, 2), g AS (SELECT grp, row_number() OVER (ORDER BY {seeded('grp')} % 1024, grp) AS i FROM (SELECT DISTINCT grp FROM c)), gn AS (SELECT count(*) AS n FROM g),
+j AS (SELECT n, unnest(range(1, n + 1)) AS j FROM gn), dr AS (SELECT sample, {seeded('sample', 'j')} % n + 1 AS i, count(*) AS times FROM j, range(1, 2001) AS x(sample) GROUP BY 1, 2),
+w AS (SELECT sample, score, sum(p * times) AS p, sum(n * times) AS n FROM dr JOIN g USING (i) JOIN c USING (grp) GROUP BY 1, 2),
 b AS (SELECT *, p * (coalesce(sum(n) OVER (PARTITION BY sample ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS won FROM w), a AS (SELECT sample, sum(won) / nullif(CAST(sum(p) AS DOUBLE) * sum(n), 0) AS auc FROM b GROUP BY sample)
 SELECT count(*) AS samples, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a WHERE auc IS NOT NULL""", "agg_26_bootstrap_auc")
 

