@@ -89,11 +89,11 @@ put(f"""{_DRY}, c AS (SELECT station_id, date, d, frost > 3 AS f, CASE WHEN mont
 SELECT station_id, date, concat_ws('; ', CASE WHEN tender THEN 'frost during ' || phase END, dry || ' during ' || phase, CASE WHEN NOT tender AND dry IS NULL THEN 'nothing unusual during ' || phase END) AS note FROM k""", "fn_32_weather_in_context")
 
 put(f"""{_DATED}, w AS (SELECT document_id, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS b FROM dated)
-SELECT document_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0), 6) AS support FROM w""", "fn_12_whole_text_support")
+SELECT document_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0), 6) AS support FROM w""", "fn_12_lexical_support", "fn_12_whole_text_support")
 _SHOWN = ", ".join(f"CAST(regexp_matches(t, '{c}') AS INTEGER)" for c in MARKET_CUES).replace("), CAST", ") + CAST")
 put(f"""{_DATED}, b AS (SELECT document_id, lower(title || ' ' || text) AS t FROM dated), s AS (SELECT document_id, {_SHOWN} AS n, regexp_matches(t, '{SHOP_WORDS}') AS shop FROM b) SELECT document_id, CAST(CASE WHEN shop THEN least(n, 2) ELSE n END AS INTEGER) AS report_score FROM s""", "fn_17_report_scores")
 
-put("""c AS (SELECT conv_id AS day, turn, text, CAST(turn AS VARCHAR) AS id FROM conversations), a AS (SELECT conv_id AS day, CAST(turn AS VARCHAR) AS id, [' UP', 'down', '?'][CAST(length(text) % 3 AS INTEGER) + 1] AS raw, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY turn) AS rn, text[1:40] AS quote FROM conversations WHERE turn % 3 <> 0),
+put("""c AS (SELECT conv_id AS day, turn, text, CAST(turn AS VARCHAR) AS id FROM conversations), a AS (SELECT conv_id AS day, CASE WHEN turn % 3 = 0 THEN 'not_shown' ELSE CAST(turn AS VARCHAR) END AS id, [' UP', 'down', '?'][CAST(length(text) % 3 AS INTEGER) + 1] AS raw, turn, row_number() OVER (PARTITION BY conv_id, CASE WHEN turn % 3 = 0 THEN NULL ELSE turn END ORDER BY turn) AS rn, text[1:40] AS quote FROM conversations),
 j AS (SELECT c.day, c.id, c.text, a.raw, a.quote, a.id IS NOT NULL AS read FROM c LEFT JOIN (SELECT * FROM a WHERE rn = 1) a USING (day, id)),
 w AS (SELECT *, regexp_extract_all(lower(coalesce(quote, '')), '[\\p{L}\\p{N}]+') AS q, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS t FROM j),
 g AS (SELECT *, list_transform(range(1, len(q) - 1), lambda i: q[i] || ' ' || q[i + 1] || ' ' || q[i + 2]) AS qg, list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS tg FROM w)

@@ -43,9 +43,9 @@ def set_05_keep_latest(spark, sf_dir):
     return documents.keep_latest(o.where("o_orderstatus = 'O'").drop("o_orderstatus"), o.where("o_orderstatus = 'F'").drop("o_orderstatus"), ["report_date"])
 
 
-@query("""SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, o.label FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) n FULL JOIN (SELECT doc_id, CAST(quality AS VARCHAR) AS label FROM labels) o USING (doc_id)""")
+@query("""SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, o.label FROM documents n FULL JOIN (SELECT doc_id, CAST(quality AS VARCHAR) AS label FROM labels) o USING (doc_id)""")
 def set_08_keep_labels(spark, sf_dir):
-    new = tables.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit("").alias("label"))
+    new = tables.table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("label"))
     old = tables.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     return documents.keep_labels(new, old, ["doc_id"])
 

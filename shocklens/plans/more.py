@@ -56,15 +56,14 @@ def fn_11_numbers(spark, sf_dir):
     return dated(spark, sf_dir).select("document_id", F.array_join(F.array_sort(T.numbers("text")), " ").alias("numbers"))
 
 
-@query(f"""{_DATED}, w AS (SELECT document_id, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) AS a, regexp_extract_all(lower(text[1:400]), '[\\p{{L}}\\p{{N}}]+') AS b FROM dated)
-SELECT document_id, round(coalesce(len(list_filter(a, lambda x: list_contains(b, x))) / nullif(len(a), 0), 0), 6) AS support FROM w""")
+@query()
 def fn_12_lexical_support(spark, sf_dir):
-    return dated(spark, sf_dir).select("document_id", T.lexical_support("title", F.substring("text", 1, 400)).alias("support"))
+    return dated(spark, sf_dir).select("document_id", T.lexical_support("title", "text").alias("support"))
 
 
 @query()
 def fn_12_whole_text_support(spark, sf_dir):
-    return dated(spark, sf_dir).select("document_id", T.lexical_support("title", "text").alias("support"))
+    return fn_12_lexical_support(spark, sf_dir)
 
 
 @query()
@@ -222,9 +221,10 @@ def rank_17_label_sample(spark, sf_dir):
 
 @query()
 def rule_05_normalised_readings(spark, sf_dir):
+    """Every turn is shown and answered; each third answer names a document that was not shown, so that one stays unread."""
     c = tables.table(spark, sf_dir, "conversations")
     shown = c.select(F.lit("all").alias("series"), F.col("conv_id").alias("day"), F.col("turn").cast("string").alias("document_id"), "text")
-    answers = c.where("turn % 3 <> 0").select(F.lit("all").alias("series"), F.col("conv_id").alias("day"), F.col("turn").alias("position"), F.concat(F.lit("doc_"), F.col("turn").cast("string")).alias("raw_id"), F.element_at(F.array(F.lit(" UP"), F.lit("down"), F.lit("?")), (F.length("text") % 3 + 1).cast("int")).alias("raw_direction"), F.lit("Report").alias("raw_kind"), F.lit("frost").alias("raw_cause"), F.lit("-3%").alias("raw_move"), F.substring("text", 1, 40).alias("raw_quote"))
+    answers = c.select(F.lit("all").alias("series"), F.col("conv_id").alias("day"), F.col("turn").alias("position"), F.concat(F.lit("doc_"), F.when(F.col("turn") % 3 == 0, F.lit("not_shown")).otherwise(F.col("turn").cast("string"))).alias("raw_id"), F.element_at(F.array(F.lit(" UP"), F.lit("down"), F.lit("?")), (F.length("text") % 3 + 1).cast("int")).alias("raw_direction"), F.lit("Report").alias("raw_kind"), F.lit("frost").alias("raw_cause"), F.lit("-3%").alias("raw_move"), F.substring("text", 1, 40).alias("raw_quote"))
     return documents.normalised_readings(shown, answers)
 
 

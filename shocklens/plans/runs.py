@@ -64,10 +64,12 @@ def agg_42_explained_rates(spark, sf_dir):
     return runs.explained_rates(all_runs(spark, sf_dir), "series").select("series", "explained", "n")
 
 
-@query(as_text=("day",), sql=f"{_RUNS}, p AS (SELECT DISTINCT series, day FROM sc) SELECT series, day, CASE WHEN verdict IS NULL THEN 'missing' WHEN least % 4 < 1 THEN 'stale' WHEN verdict = 'FAULT' THEN 'fault' ELSE 'current' END AS state FROM p LEFT JOIN (SELECT * FROM ve WHERE least % 5 <> 4) USING (series, day)")
+@query(as_text=("day",), sql=f"{_RUNS}, p AS (SELECT series, day FROM sc UNION SELECT series, CAST(day + INTERVAL 1 DAY AS DATE) FROM sc) SELECT series, day, CASE WHEN verdict IS NULL THEN 'missing' WHEN least % 4 < 1 THEN 'stale' WHEN verdict = 'FAULT' THEN 'fault' ELSE 'current' END AS state FROM p LEFT JOIN ve USING (series, day)")
 def prj_20_run_states(spark, sf_dir):
-    planned = with_scores(spark, sf_dir).select("series", "day").distinct()
-    stored = all_runs(spark, sf_dir).where("least % 5 <> 4").withColumn("pipeline_version", (F.col("least") % 4).cast("int"))
+    """Planned are the days with documents and the days after them; of the latter, those without documents have no run."""
+    days = with_scores(spark, sf_dir).select("series", "day")
+    planned = days.union(days.select("series", F.date_add("day", 1))).distinct()
+    stored = all_runs(spark, sf_dir).withColumn("pipeline_version", (F.col("least") % 4).cast("int"))
     return runs.run_state(planned, stored, 1).select("series", "day", "state")
 
 

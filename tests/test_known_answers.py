@@ -189,7 +189,8 @@ def test_support_is_found_in_the_whole_text(spark, monkeypatch):
 
     frame = spark.createDataFrame([(1, "late word", "x " * 400 + "late word"), (2, "none", "x " * 400)], "document_id long, title string, text string")
     monkeypatch.setattr(more, "dated", lambda *_: frame)
-    assert {r.document_id: r.support for r in more.fn_12_whole_text_support(spark, "").collect()} == {1: 1.0, 2: 0.0}
+    for held in (more.fn_12_lexical_support, more.fn_12_whole_text_support):
+        assert {r.document_id: r.support for r in held(spark, "").collect()} == {1: 1.0, 2: 0.0}
 
 
 def test_story_edges_against_brute_force(spark):
