@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shocklens.llm import decontaminate, license_scan, line_dedup, quality_rank, quality_rules, sentencepiece_codec, sharding, simhash, token_count, url_filter
+from shocklens.llm import decontaminate, license_scan, line_dedup, quality_rank, quality_rules, resampling, sentencepiece_codec, sharding, simhash, spelling, token_count, url_filter, vector_dedup
 
 # The rules of the URL filter's query.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -73,8 +73,26 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), model)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the benchmark's texts, and the drawn tenth."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words with their near words, forms and roots."""
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_url_filter, op2_simhash, op3_token_counts, op4_sharding, op5_quality_rules, op6_line_dedup, op7_quality_rank, op8_license_scan, op9_decontamination, op10_sentencepiece]
+    found = [
+        op1_url_filter, op2_simhash, op3_token_counts, op4_sharding, op5_quality_rules, op6_line_dedup, op7_quality_rank,
+        op8_license_scan, op9_decontamination, op10_sentencepiece, op11_resampling, op12_spelling, op13_vector_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -170,8 +188,68 @@ FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+# crc32(text) as a table macro cannot be registered here, so the CRC is worked out by folding the bytes of a text over a table that its rule builds.
+_CRC_TABLE = "crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS steps FROM range(256) AS r(b))"
+
+
+def _crc_sql(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of a text column's UTF-8 bytes, beside a column ``steps``."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || hex(encode({text}))[2 * i + 1 : 2 * i + 2] AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_RESAMPLING_SQL = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+vocabulary AS (SELECT word, {_crc_sql('word')} % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN vocabulary USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN vocabulary USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS s_all, (SELECT count(*) FROM bw)::DOUBLE AS t_all),
+gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000)))) AS gain FROM s LEFT JOIN t USING (bucket), n),
+weights AS (SELECT doc_id, floor(sum(gain) / count(*)) AS weight FROM dw JOIN vocabulary USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= floor(10 * n / 100) THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+_SPELLING_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+'))")} AS run FROM documents),
+hashed AS (SELECT run, count(*) AS n, {_crc_sql("(doc_id || ':' || run)")} AS h FROM runs, crc_table WHERE length(run) >= 6 GROUP BY doc_id, run, steps),
+slipped AS (SELECT CASE WHEN h % 199 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+gaps AS (SELECT word, n, i, word[: i] || chr(0) || word[i + 2 :] AS gap, word[: i] || word[i + 2 :] AS shorter FROM places),
+pairs AS (
+  SELECT a.word AS word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.shorter = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.shorter = b.word),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM pairs GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN near USING (word)),
+chain AS (SELECT word, word AS root FROM formed UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON chain.root = formed.word WHERE formed.form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN (SELECT chain.word, chain.root FROM chain JOIN formed ON chain.root = formed.word WHERE formed.form IS NULL) USING (word)
+"""
+
+_VECTOR_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= {vector_dedup.COSINE}),
+reached AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT reached.vec_id, links.b FROM reached JOIN links ON reached.other = links.a),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a),
+least AS (SELECT vec_id, min(other) AS other FROM reached GROUP BY vec_id)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id, vec_id <= coalesce(other, vec_id) AS kept
+FROM v LEFT JOIN counted USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filter": _URL_SQL, "op4_sharding": _SHARD_SQL, "op5_quality_rules": _QUALITY_SQL,
         "op6_line_dedup": _LINE_SQL, "op8_license_scan": _LICENSE_SQL, "op9_decontamination": _BENCHMARK_SQL,
+        "op11_resampling": _RESAMPLING_SQL, "op12_spelling": _SPELLING_SQL, "op13_vector_dedup": _VECTOR_SQL,
     }
