@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from shocklens.functions.numbers import col, let, ratio
 
 SHINGLE_WORDS = 5
-SHINGLE_CHARS = 1200
 
 
 def given(text: str | Column) -> Column:
@@ -95,14 +94,14 @@ def _runs(words: Column, width: int) -> Column:
     return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (width - 1), F.lit(0))), lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(width)), " "))
 
 
-def shingles(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None = SHINGLE_CHARS) -> Column:
-    """Distinct word runs of the text's opening; empty if it has too few words."""
+def shingles(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None = None) -> Column:
+    """Distinct word runs of the text, or of its first ``chars`` characters; empty if it has too few words."""
     whole = given(text)
     words = word_tokens(F.substring(whole, 1, chars) if chars else whole)
     return F.array_distinct(let(words, lambda w: _runs(w, width)))
 
 
-def shingle_hashes(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None = SHINGLE_CHARS) -> Column:
+def shingle_hashes(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None = None) -> Column:
     """``shingles`` as distinct 64-bit hashes, in the same order."""
     whole = given(text)
     words = word_tokens(F.substring(whole, 1, chars) if chars else whole)

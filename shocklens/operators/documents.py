@@ -12,6 +12,7 @@ from shocklens.functions.dates import trading_days_before
 from shocklens.functions.numbers import ratio
 from shocklens.operators.graph import connected_components
 from shocklens.operators.rank import top_by
+from shocklens.operators.similar import similar_links
 from shocklens.session import saved
 
 KEYWORD, SEMANTIC, FLOOR, NEAR = 0.4, 0.85, 0.05, 0.80
@@ -95,39 +96,35 @@ def capped(docs: DataFrame, keys: list[str], n: int = 12) -> DataFrame:
     return top_by(docs, keys, n, best_score().desc(), F.col("document_id"))
 
 
-def story_edges(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> DataFrame:
-    """Pairs (a, b) of documents of one key that tell one story: equal title keys, or shared shingles on different hosts.
+def story_links(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) of documents of one key whose components are its stories: equal title keys, or alike texts on different hosts.
 
-    Title edges go to the first document of the title; texts meet by a shared
-    rare shingle, with a set-size filter, and are compared by all 64-bit hashes
-    of their shingles. Texts without five words, null ones too, have no
-    shingles.
+    Titles and copies of one text are stars. Different texts link if the
+    Jaccard similarity of their shingles, over the whole texts, is at least
+    ``similar``, unless both are found on one and the same host only. Texts
+    without five words, null ones too, have no shingles; rows without an id
+    are in no link.
     """
-    d = docs.select(*keys, "document_id", T.title_key("title").alias("_t"), T.host("url").alias("_h"), T.shingle_hashes("text").alias("_s"))
+    d = docs.where("document_id IS NOT NULL").select(*keys, "document_id", T.title_key("title").alias("_t"), T.host("url").alias("_h"), T.shingle_hashes("text").alias("_s"))
     titled = d.where("_t <> ''")
     same = titled.withColumn("a", F.min("document_id").over(Window.partitionBy(*keys, "_t"))).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
     # Copies of one text are one on each host; a host's smallest id stands for them there.
-    # Kept, as four joins start from it.
-    hosts = saved(d.where(F.size("_s") > 0).groupBy(*keys, "_h", F.xxhash64("_s").alias("_x")).agg(F.min("document_id").alias("document_id"), F.first("_s").alias("_s")))
-    # One text on several hosts is a star, whatever the number of hosts.
-    texts = hosts.groupBy(*keys, "_x").agg(F.min("document_id").alias("a"), F.min("_h").alias("_low"), F.max("_h").alias("_high"), F.first("_s").alias("_s"))
-    copies = hosts.join(texts.select(*keys, "_x", "a"), [*keys, "_x"]).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
-    # Of two sets this alike, the rarest shingles of each include a common one: only they are indexed,
-    # and a shingle that many texts share comes last. Those of one text alone are the rarest and join nothing.
-    one = texts.select(*keys, F.col("a").alias("document_id"), F.size("_s").alias("_n"), F.explode("_s").alias("_g"))
-    often = one.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_f")).where("_f > 1")
-    ordered = one.join(often, [*keys, "_g"]).groupBy(*keys, "document_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_f", "_g"))).alias("_o"))
-    rarest = F.col("_n") - F.ceil(F.col("_n") * similar) + 1 - (F.col("_n") - F.size("_o"))
-    index = ordered.select(*keys, "document_id", "_n", F.explode(F.slice("_o", 1, F.greatest(rarest, F.lit(0)).cast("int"))).alias("_p")).select(*keys, "document_id", "_n", F.col("_p._g").alias("_g"))
-    left, right = (index.select(*keys, "_g", F.col("document_id").alias(x), F.col("_n").alias(f"_n{x}")) for x in "ab")
-    pairs = left.join(right, [*keys, "_g"]).where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= similar * F.greatest("_na", "_nb"))).select(*keys, "a", "b").distinct()
-    sets = texts.select(*keys, F.col("a").alias("document_id"), "_s", "_low", "_high")
-    first, second = (sets.withColumnsRenamed({"document_id": x, "_s": f"_s{x}", "_low": f"_low{x}", "_high": f"_high{x}"}) for x in "ab")
-    checked = pairs.join(first, [*keys, "a"]).join(second, [*keys, "b"])
-    # Alike texts of one and the same single host are that site's boilerplate.
-    apart = ~((F.col("_lowa") == F.col("_higha")) & (F.col("_lowb") == F.col("_highb")) & (F.col("_lowa") == F.col("_lowb")))
-    alike = checked.where(apart & (T.jaccard("_sa", "_sb") >= similar)).select(*keys, "a", "b")
-    return same.unionByName(copies).unionByName(alike).distinct()
+    hosts = saved(d.where(F.size("_s") > 0).groupBy(*keys, "_h", F.xxhash64(F.array_sort("_s")).alias("_x")).agg(F.min("document_id").alias("document_id"), F.first("_s").alias("_s")))
+    # One text on several hosts is a star, whatever the number of hosts; only a text of one host has a site.
+    site = F.when(F.min("_h") == F.max("_h"), F.min("_h"))
+    texts = saved(hosts.groupBy(*keys, "_x").agg(F.min("document_id").alias("id"), site.alias("site"), F.first("_s").alias("s")))
+    copies = hosts.drop("_s").join(texts.select(*keys, "_x", F.col("id").alias("a")), [*keys, "_x"]).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
+    return same.unionByName(copies).unionByName(similar_links(texts, keys, similar)).distinct()
+
+
+def stories(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> DataFrame:
+    """(keys, document_id, story), one row for each document; story is the smallest id that links reach.
+
+    A link lies within one key and ids name one document, so one graph serves
+    all keys.
+    """
+    roots = connected_components(story_links(docs, keys, similar)).withColumnsRenamed({"node": "document_id", "root": "story"})
+    return docs.select(*keys, "document_id").join(roots, "document_id", "left").select(*keys, "document_id", F.coalesce("story", "document_id").alias("story"))
 
 
 def collapse_stories(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> DataFrame:
@@ -135,11 +132,9 @@ def collapse_stories(docs: DataFrame, keys: list[str], similar: float = SIMILAR)
 
     The one with a text stands for its story, then that of the best score, the
     earliest date and the smallest id; a table without scores or dates has
-    none. Stories are connected components of title and text links. An edge
-    lies within one key, and ids name one document, so one graph serves all
-    keys.
+    none. Stories are connected components of title and text links.
     """
-    roots = connected_components(story_edges(docs, keys, similar)).withColumnsRenamed({"node": "document_id", "root": "_story"})
+    roots = connected_components(story_links(docs, keys, similar)).withColumnsRenamed({"node": "document_id", "root": "_story"})
     grouped = docs.join(roots, "document_id", "left").withColumn("_story", F.coalesce("_story", "document_id"))
     scored = {"keyword_score", "semantic_score"} <= set(docs.columns)
     dated = F.coalesce(F.col("published").cast("string"), F.lit("9999")) if "published" in docs.columns else F.lit("9999")

@@ -89,7 +89,7 @@ put(f"""{_DRY}, c AS (SELECT station_id, date, d, frost > 3 AS f, CASE WHEN mont
 SELECT station_id, date, concat_ws('; ', CASE WHEN tender THEN 'frost during ' || phase END, dry || ' during ' || phase, CASE WHEN NOT tender AND dry IS NULL THEN 'nothing unusual during ' || phase END) AS note FROM k""", "fn_32_weather_in_context")
 
 put(f"""{_DATED}, w AS (SELECT document_id, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS b FROM dated)
-SELECT document_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0), 6) AS support FROM w""", "fn_12_lexical_support", "fn_12_whole_text_support")
+SELECT document_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0), 6) AS support FROM w""", "fn_12_lexical_support")
 _SHOWN = ", ".join(f"CAST(regexp_matches(t, '{c}') AS INTEGER)" for c in MARKET_CUES).replace("), CAST", ") + CAST")
 put(f"""{_DATED}, b AS (SELECT document_id, lower(title || ' ' || text) AS t FROM dated), s AS (SELECT document_id, {_SHOWN} AS n, regexp_matches(t, '{SHOP_WORDS}') AS shop FROM b) SELECT document_id, CAST(CASE WHEN shop THEN least(n, 2) ELSE n END AS INTEGER) AS report_score FROM s""", "fn_17_report_scores")
 
@@ -120,16 +120,16 @@ SELECT series, min(ts) AS "start", max(ts) + INTERVAL 4 DAYS AS "end", count(*)
 
 _KEYED = f"""{_DATED}, tk AS (SELECT *, regexp_extract_all(lower(regexp_replace(trim(title), '\\s+[-|–—]\\s+[^-|–—]+$', '')), '[\\p{{L}}\\p{{N}}]+') AS tw FROM dated), ky AS (SELECT *, CASE WHEN len(tw) >= 3 THEN array_to_string(tw, ' ') ELSE '' END AS title_key FROM tk)"""
 put(f"{_KEYED} SELECT document_id, title_key FROM ky", "fn_05_title_keys")
-_LINKS = """hx AS (SELECT *, regexp_replace(split_part(split_part(url, '://', 2), '/', 1), '^www\\.', '') AS host, regexp_extract_all(lower(text[1:1200]), '[\\p{L}\\p{N}]+') AS w FROM given),
-gs AS (SELECT *, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g0 FROM hx), gx AS (SELECT *, list_filter(g0, lambda x, i: list_position(g0, x) = i) AS g FROM gs), gk AS (SELECT *, md5(array_to_string(g, '|')) AS x FROM gx WHERE len(g) > 0),
+_LINKS = """hx AS (SELECT *, regexp_replace(split_part(split_part(url, '://', 2), '/', 1), '^www\\.', '') AS host, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM given),
+gs AS (SELECT *, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g0 FROM hx), gx AS (SELECT *, list_sort(list_distinct(g0)) AS g FROM gs), gk AS (SELECT *, md5(array_to_string(g, '|')) AS x FROM gx WHERE len(g) > 0),
 ho AS (SELECT series, host, x, min(document_id) AS id FROM gk GROUP BY 1, 2, 3), tx AS (SELECT series, x, min(id) AS a, min(host) AS lo, max(host) AS hi FROM ho GROUP BY 1, 2),
 sg AS (SELECT t.series, t.a AS id, lo, hi, unnest(gk.g) AS g, len(gk.g) AS n FROM tx t JOIN gk ON gk.document_id = t.a), cm AS (SELECT p.series, p.id AS a, q.id AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS c, any_value(p.lo) AS al, any_value(p.hi) AS ah, any_value(q.lo) AS bl, any_value(q.hi) AS bh FROM sg p JOIN sg q ON p.series = q.series AND p.g = q.g AND p.id < q.id GROUP BY 1, 2, 3),
 edges AS (SELECT series, min(document_id) OVER (PARTITION BY series, title_key) AS a, document_id AS b FROM given WHERE title_key <> '' QUALIFY a <> b UNION SELECT h.series, a, id FROM ho h JOIN tx USING (series, x) WHERE a <> id UNION SELECT series, a, b FROM cm WHERE c / (na + nb - c) >= 0.6 AND NOT (al = ah AND bl = bh AND al = bl))"""
-put(f"{_KEYED}, given AS (SELECT * FROM ky), {_LINKS} SELECT series, a, b FROM edges", "set_07_story_edges")
 _REACH = """both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach(n, r) AS (SELECT document_id, document_id FROM given UNION SELECT w.b, reach.r FROM reach JOIN both_ways w ON w.a = reach.n), rt AS (SELECT n AS document_id, min(r) AS root FROM reach GROUP BY n),
 st AS (SELECT g.*, root, row_number() OVER (PARTITION BY root ORDER BY coalesce(text, '') = '', published, document_id) AS first FROM given g JOIN rt USING (document_id)),
 cp AS (SELECT root, count(*) AS n_copies, list(DISTINCT url) AS urls, list_sort(list(DISTINCT regexp_replace(split_part(split_part(url, '://', 2), '/', 1), '^www\\.', ''))) AS hosts FROM st GROUP BY root),
 stories AS (SELECT s.*, n_copies, len(list_filter(urls, lambda u: u <> s.url)) AS other_urls, array_to_string(hosts, ',') AS domains FROM st s JOIN cp USING (root) WHERE first = 1)"""
+SQL["set_07_story_edges"] = f"WITH RECURSIVE {_KEYED}, given AS (SELECT * FROM ky), {_LINKS}, {_REACH} SELECT series, g.document_id, root AS story FROM given g JOIN rt USING (document_id)"
 SQL["set_07_stories"] = f"WITH RECURSIVE {_KEYED}, given AS (SELECT * FROM ky), {_LINKS}, {_REACH} SELECT series, document_id, n_copies, CAST(other_urls AS INTEGER) AS urls, domains FROM stories"
 put(f"""{_TREND}, {DETECTED[DETECTED.index('ret AS'):]}, mo AS (SELECT series, count(*) FILTER (flag) AS flags FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS back FROM det) WHERE back <= 7 GROUP BY series),
 {_BENCH[_BENCH.index('prices AS') + len(PRICES):].lstrip(', ')}, sj AS (SELECT p.series, p.date, 100 * (price - benchmark * (100 / 2.20462::DOUBLE)) / (benchmark * (100 / 2.20462::DOUBLE)) AS s FROM prices p ASOF LEFT JOIN bench b ON p.series = b.series AND p.date >= b.known_from), sp AS (SELECT series, arg_max(s, date) AS s FROM sj WHERE s IS NOT NULL GROUP BY series),

@@ -56,13 +56,14 @@ def set_10_common_days(spark, sf_dir):
     return o.select(F.to_date("o_orderdate").alias("date")).intersect(li.select(F.to_date("l_shipdate").alias("date")))
 
 
-_SHINGLED = f"""{_DATED}, tok AS (SELECT document_id, series, split_part(split_part(url, '://', 2), '/', 1) AS host, regexp_extract_all(lower(text[1:1200]), '[\\p{{L}}\\p{{N}}]+') AS w FROM dated),
+_SHINGLED = f"""{_DATED}, tok AS (SELECT document_id, series, split_part(split_part(url, '://', 2), '/', 1) AS host, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM dated),
 sh AS (SELECT DISTINCT document_id, series, host, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM tok))"""
 
 
 @query()
 def set_07_story_edges(spark, sf_dir):
-    return documents.story_edges(dated(spark, sf_dir), ["series"])
+    """The story of every document: links within a family are not listed one by one."""
+    return documents.stories(dated(spark, sf_dir), ["series"])
 
 
 @query(f"{_SHINGLED} SELECT document_id, count(*) AS n_shingles FROM sh GROUP BY document_id")

@@ -61,11 +61,6 @@ def fn_12_lexical_support(spark, sf_dir):
     return dated(spark, sf_dir).select("document_id", T.lexical_support("title", "text").alias("support"))
 
 
-@query()
-def fn_12_whole_text_support(spark, sf_dir):
-    return fn_12_lexical_support(spark, sf_dir)
-
-
 @query()
 def fn_14_quotes_checked(spark, sf_dir):
     items = tables.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))

@@ -189,11 +189,10 @@ def test_support_is_found_in_the_whole_text(spark, monkeypatch):
 
     frame = spark.createDataFrame([(1, "late word", "x " * 400 + "late word"), (2, "none", "x " * 400)], "document_id long, title string, text string")
     monkeypatch.setattr(more, "dated", lambda *_: frame)
-    for held in (more.fn_12_lexical_support, more.fn_12_whole_text_support):
-        assert {r.document_id: r.support for r in held(spark, "").collect()} == {1: 1.0, 2: 0.0}
+    assert {r.document_id: r.support for r in more.fn_12_lexical_support(spark, "").collect()} == {1: 1.0, 2: 0.0}
 
 
-def test_story_edges_against_brute_force(spark):
+def test_story_links_against_brute_force(spark):
     rng = random.Random(4)
     base = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(6)]
     docs = []
@@ -205,7 +204,7 @@ def test_story_edges_against_brute_force(spark):
     df = spark.createDataFrame(docs, "document_id int, title string, text string, url string").withColumn("k", F.lit(1))
     sets = {i: {tuple(t.split()[j : j + 5]) for j in range(56)} for i, _, t, _ in docs}
     want = {(a, b) for a in sets for b in sets if a < b and a % 4 != b % 4 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
-    got = {(r.a, r.b) for r in documents.story_edges(df, ["k"]).collect()}
+    got = {(r.a, r.b) for r in documents.story_links(df, ["k"]).collect()}
     # Equal texts on one host are one node; its pairs are those of its first document.
     first = {}
     for i, _, t, _ in docs:

@@ -91,7 +91,7 @@ def test_stories(spark):
         (6, "z", body(), "https://b.example/6", None, None, None),
     ] + [(10 + i, "", f"{hot} " + " ".join(f"u{i}x{k}" for k in range(60)), f"https://h{i}.example/", None, None, None) for i in range(40)]
     docs = spark.createDataFrame([("s", *r) for r in rows], "series string, document_id long, title string, text string, url string, published string, keyword_score double, semantic_score double")
-    edges = {(r.a, r.b) for r in documents.story_edges(docs, ["series"]).collect()}
+    edges = {(r.a, r.b) for r in documents.story_links(docs, ["series"]).collect()}
     # Same site, same text: no link of their own; 4 and 5 are of one site too.
     assert edges == {(2, 3), (3, 4), (3, 5)}
     got = {r.document_id: r for r in documents.collapse_stories(docs, ["series"]).collect()}
