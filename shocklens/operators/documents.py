@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +45,17 @@ def by_priority(sources: list[DataFrame], url: str = "url") -> DataFrame:
     return first_by(both, url_key(url), F.col("priority"), F.col("position"))
 
 
-def keep_latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old and new rows, the newest batch's row of each key."""
+def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """Old and new rows, the newest batch's row of each key, in a batch the greatest by ``order``.
+
+    Missing values of ``order`` come last, and rows that it leaves tied are
+    told apart by the greatest text of the whole row, so the result does not
+    depend on their arrival.
+    """
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_batch").desc()))).where("_rn = 1").drop("_rn", "_batch")
+    whole = F.to_json(F.struct(*sorted(c for c in both.columns if c != "_batch")))
+    latest = Window.partitionBy(*keys).orderBy(F.col("_batch").desc(), *[F.desc_nulls_last(c) for c in order], whole.desc())
+    return both.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn", "_batch")
 
 
 def keep_labels(new: DataFrame, old: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
@@ -308,31 +313,6 @@ def packed(docs: DataFrame, keys: list[str], budget: int, steps: tuple[int, ...]
     return kept.select(*keys, "document_id", "place", F.substring("text", F.lit(1), F.col("chars")).alias("excerpt"), "chars")
 
 
-def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.15, top: int = 3, least_shown: int = 6, similarity: Callable[[Column, Column], Column] = T.lexical_support) -> DataFrame:
-    """For each cited claim: was the document shown, do words or numbers support the claim, and how does it rank among those shown.
-
-    A claim that shares a number with its document is never weak or low.
-    ``similarity`` scores (claim, text) from 0 to 1; the share of the claim's
-    words that the text has, or another one, as a product of vectors.
-    """
-    claims = citations.withColumn("_id", T.citation_id("cited_id"))
-    scored = claims.join(shown.withColumn("_doc", T.citation_id("document_id")), "run_id").withColumns({"_s": similarity(F.col("claim"), F.col("text")), "_n": F.size(F.array_intersect(T.numbers("claim"), T.numbers("text")))})
-    w = Window.partitionBy("run_id", "claim_id")
-    ranked = scored.withColumns({"_r": F.row_number().over(w.orderBy(F.col("_s").desc(), "_doc")), "_of": F.count(F.lit(1)).over(w)})
-    own = F.col("_doc") == F.col("_id")
-    found = ranked.groupBy("run_id", "claim_id").agg(F.max(F.when(own, F.col("_s"))).alias("support"), F.min(F.when(own, F.col("_r"))).alias("support_rank"), F.max("_of").alias("shown"), F.max(F.when(own, F.col("_n"))).alias("shared_numbers"))
-    out = claims.select("run_id", "claim_id", F.col("_id").alias("document_id")).join(found, ["run_id", "claim_id"], "left")
-    plain = F.col("shared_numbers") == 0
-    flag = F.when(F.col("support").isNull(), "missing_document").when(plain & (F.col("support") < weak), "weak_support").when(plain & (F.col("shown") >= least_shown) & (F.col("support_rank") > top), "low_rank").otherwise("ok")
-    return out.withColumn("flag", flag)
-
-
-def unresolved_inline(explanations: DataFrame, shown: DataFrame) -> DataFrame:
-    """Ids that an explanation names in its text although no such document was shown."""
-    named = explanations.select("run_id", F.explode(T.inline_sources("explanation")).alias("document_id"))
-    return named.join(shown.select("run_id", T.citation_id("document_id").alias("document_id")), ["run_id", "document_id"], "left_anti")
-
-
 def quoted(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """Pairs (doc_id, item_id) of documents that hold a quote (item_id, quote) by ``quote_squashed``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shocklens.functions import text as T
 from shocklens.functions.numbers import rate, ratio
-from shocklens.operators import documents
+from shocklens.operators import citations, documents
 from shocklens.operators.documents import FRESH
 
 KEYS = ["series", "day"]
@@ -24,7 +24,8 @@ def decision_stage(days: DataFrame, docs: DataFrame, readings: DataFrame, varian
     ``days`` is (series, day, direction, move, price_is_usable, retrieval_ran),
     ``docs`` has scores, age and text, ``readings`` one row for each document
     that was read. Only readings of candidates count. The causes of the
-    supporting readings are the claims, audited against the candidates' texts.
+    supporting readings are the claims, audited against the candidates' texts;
+    one without a cause is no claim.
     A day whose move cannot be computed is a fault and nothing of it is
     explained; a day without documents is refused, or a failed retrieval.
     """
@@ -39,7 +40,7 @@ def decision_stage(days: DataFrame, docs: DataFrame, readings: DataFrame, varian
     cited = documents.deciding_readings(days, read, variants, rule, fresh).where("along AND fitting")
     claims = cited.select(*KEYS, run.alias("run_id"), F.col("document_id").cast("string").alias("claim_id"), F.col("cause").alias("claim"), F.col("document_id").cast("string").alias("cited_id"))
     shown = candidates.select(run.alias("run_id"), F.col("document_id").cast("string").alias("document_id"), "text")
-    audit = documents.citation_audit(claims, shown, least_shown=least_shown).join(claims.select(*KEYS, "run_id").distinct(), "run_id")
+    audit = citations.citation_audit(claims, shown, least_shown=least_shown).join(claims.select(*KEYS, "run_id").distinct(), "run_id")
     audit = audit.groupBy(*KEYS).agg(F.count_if(F.col("flag") == "missing_document").alias("_missing"), F.count_if(F.col("flag").isin("weak_support", "low_rank")).alias("citations_flagged"))
 
     out = days.join(gated, KEYS).join(found, KEYS, "left").join(offered, KEYS, "left").join(decided, KEYS).join(audit, KEYS, "left")

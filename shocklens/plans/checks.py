@@ -99,14 +99,6 @@ w AS (SELECT *, regexp_extract_all(lower(coalesce(quote, '')), '[\\p{L}\\p{N}]+'
 g AS (SELECT *, list_transform(range(1, len(q) - 1), lambda i: q[i] || ' ' || q[i + 1] || ' ' || q[i + 2]) AS qg, list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS tg FROM w)
 SELECT 'all' AS series, day, id AS document_id, CASE raw WHEN ' UP' THEN 'up' WHEN 'down' THEN 'down' WHEN '?' THEN 'unclear' END AS direction, CASE WHEN read THEN 'report' END AS kind, CASE WHEN read THEN 'frost' END AS cause, CASE WHEN read THEN 3::DOUBLE END AS move_pct, read,
   coalesce(read AND len(t) > 0 AND (len(q) >= 3 OR length(array_to_string(q, '')) >= 12) AND (contains(array_to_string(t, ''), array_to_string(q, '')) OR (len(q) >= 3 AND len(list_filter(qg, lambda x: list_contains(tg, x))) >= 0.8 * (len(q) - 2))), false) AS quote_found FROM g""", "rule_05_normalised_readings")
-_AUDIT = f"""{_DATED}, d AS (SELECT series || '-' || published AS run_id, document_id, text, title[1:200] AS claim, list_distinct(regexp_extract_all(lower(title[1:200]), '[\\p{{L}}\\p{{N}}]+')) AS cw, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS tw, list_distinct(regexp_extract_all(replace(title[1:200], ',', '.'), '[0-9]+(?:\\.[0-9]+)?')) AS cn, list_distinct(regexp_extract_all(replace(text, ',', '.'), '[0-9]+(?:\\.[0-9]+)?')) AS tn FROM dated),
-sc AS (SELECT c.run_id, c.document_id AS claim_id, x.document_id AS doc, coalesce(len(list_intersect(c.cw, x.tw)) / nullif(len(c.cw), 0), 0) AS s, len(list_intersect(c.cn, x.tn)) AS n FROM d c JOIN d x ON x.run_id = c.run_id),
-rk AS (SELECT *, row_number() OVER (PARTITION BY run_id, claim_id ORDER BY s DESC, CAST(doc AS VARCHAR)) AS r, count(*) OVER (PARTITION BY run_id, claim_id) AS shown FROM sc),
-au AS (SELECT run_id, claim_id, CASE WHEN claim_id % 3 = 0 THEN 'none' ELSE CAST(claim_id AS VARCHAR) END AS document_id, CASE WHEN claim_id % 3 <> 0 THEN s END AS support, CASE WHEN claim_id % 3 <> 0 THEN r END AS support_rank, shown, CASE WHEN claim_id % 3 <> 0 THEN n END AS shared_numbers FROM rk WHERE doc = claim_id),
-fa AS (SELECT *, CASE WHEN support IS NULL THEN 'missing_document' WHEN shared_numbers = 0 AND support < 0.15 THEN 'weak_support' WHEN shared_numbers = 0 AND shown >= 6 AND support_rank > 3 THEN 'low_rank' ELSE 'ok' END AS flag FROM au)"""
-put(f"{_AUDIT} SELECT run_id, claim_id, document_id, round(support, 6) AS support, CAST(support_rank AS INTEGER) AS support_rank, shown, CAST(shared_numbers AS INTEGER) AS shared_numbers, flag FROM fa", "rule_06_citation_audit")
-put(f"{_AUDIT} SELECT run_id, claim_id, CAST(support_rank AS INTEGER) AS support_rank, shown FROM fa WHERE support_rank IS NOT NULL", "rank_09_support_rank")
-put(f"{_AUDIT} SELECT count(*) AS citations, count(*) FILTER (flag = 'missing_document') AS missing, count(*) FILTER (flag = 'weak_support') AS weak, count(*) FILTER (flag = 'low_rank') AS low_rank, round(min(support), 6) AS least_support, round(median(support), 6) AS median_support FROM fa", "agg_32_citation_statistics")
 _STEPS = "(VALUES (1500), (1100), (800), (600), (400), (300))"
 put(f"""{_DATED}, pl AS (SELECT series, published, document_id, text, row_number() OVER (PARTITION BY series, published ORDER BY n_chars DESC, document_id) AS place FROM dated), st AS (SELECT *, text[1:chars] AS e FROM pl, {_STEPS} AS s(chars)),
 co AS (SELECT *, length(regexp_replace(e, '[\\x{{0000}}-\\x{{024F}}]', '', 'g')) AS o FROM st), cs AS (SELECT *, CAST(floor((length(e) - o) / 3.2) AS BIGINT) + o + 1 AS cost FROM co),

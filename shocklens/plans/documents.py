@@ -36,11 +36,12 @@ def set_03_source_priority(spark, sf_dir):
     return documents.by_priority([d.where("series = 'en'"), d.where("series <> 'en'")]).select("document_id", "priority")
 
 
-@query(as_text=("report_date",), sql="""a AS (SELECT CAST(o_orderdate AS DATE) AS report_date, max(o_orderkey) AS k, 0 AS b FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 UNION ALL SELECT CAST(o_orderdate AS DATE), max(o_orderkey), 1 FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
-SELECT report_date, arg_max(k, b) AS k FROM a GROUP BY report_date""")
+@query(as_text=("report_date",), sql="""a AS (SELECT CAST(o_orderdate AS DATE) AS report_date, o_orderkey, o_totalprice, o_orderstatus = 'F' AS fresh FROM orders WHERE o_orderstatus IN ('O', 'F'))
+SELECT report_date, o_orderkey, o_totalprice, fresh FROM a QUALIFY row_number() OVER (PARTITION BY report_date ORDER BY fresh DESC, o_totalprice DESC, o_orderkey DESC) = 1""")
 def set_05_keep_latest(spark, sf_dir):
-    o = tables.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("report_date"), "o_orderstatus").agg(F.max("o_orderkey").alias("k"))
-    return documents.keep_latest(o.where("o_orderstatus = 'O'").drop("o_orderstatus"), o.where("o_orderstatus = 'F'").drop("o_orderstatus"), ["report_date"])
+    """Many rows of a key in each batch: of the newest batch that with the greatest price stands."""
+    o = tables.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("report_date"), "o_orderkey", "o_totalprice", (F.col("o_orderstatus") == "F").alias("fresh"), "o_orderstatus")
+    return documents.keep_latest(o.where("o_orderstatus = 'O'").drop("o_orderstatus"), o.where("o_orderstatus = 'F'").drop("o_orderstatus"), ["report_date"], ("o_totalprice", "o_orderkey"))
 
 
 @query("""SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, o.label FROM documents n FULL JOIN (SELECT doc_id, CAST(quality AS VARCHAR) AS label FROM labels) o USING (doc_id)""")

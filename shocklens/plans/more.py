@@ -11,6 +11,7 @@ from shocklens.operators import brief, detect, documents, factors, forecast, joi
 from shocklens.plans import BY, DETECTED, PRICES, query
 from shocklens.plans.documents import _DATED, _SCORES, dated, with_scores
 from shocklens.plans.prices import _BENCH, _CASES, _CHANGES, _WEATHER, FACTORS, _benchmark, _changes, cases, detected, factor_table, weather
+from shocklens.plans.runs import _AUDITED, rule_06_citation_audit
 from shocklens.sources import tables
 
 _STOP = ["the", "and", "that"]
@@ -202,10 +203,8 @@ def rank_04_gate_ranking(spark, sf_dir):
     return with_scores(spark, sf_dir).where(documents.passes()).select("series", "day", "document_id", F.rank().over(w).cast("long").alias("place"))
 
 
-@query()
+@query(f"{_AUDITED} SELECT run_id, claim_id, CAST(support_rank AS INTEGER) AS support_rank, shown FROM fa WHERE support_rank IS NOT NULL")
 def rank_09_support_rank(spark, sf_dir):
-    from shocklens.plans.runs import rule_06_citation_audit
-
     return rule_06_citation_audit(spark, sf_dir).where("support_rank IS NOT NULL").select("run_id", "claim_id", "support_rank", "shown")
 
 

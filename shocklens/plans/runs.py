@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shocklens.functions import text as T
-from shocklens.operators import documents, runs
+from shocklens.operators import citations, documents, runs
 from shocklens.plans import query
 from shocklens.plans.documents import _SCORES, dated, with_scores
 
@@ -122,14 +123,47 @@ def agg_47_term_coverage(spark, sf_dir):
     return dated(spark, sf_dir).select("document_id", runs.term_coverage(T.ascii_tokens("text"), wanted).alias("coverage"))
 
 
-@query()
+def audit_sql(claims: str, shown: str) -> str:
+    """Common tables up to fa: the audit of ``claims`` (run_id, claim_id, own, claim) against ``shown`` (run_id, doc, text), every claim beside every document of its run."""
+    words, figures = ("list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))", "list_distinct(regexp_extract_all(replace({}, ',', '.'), '[0-9]+(?:\\.[0-9]+)?'))")
+    return f"""cl AS (SELECT *, {words.format('claim')} AS cw, {figures.format('claim')} AS cn FROM ({claims})), sh AS (SELECT *, {words.format('text')} AS tw, {figures.format('text')} AS tn FROM ({shown})),
+sx AS (SELECT cl.run_id, claim_id, own, claim, doc, coalesce(len(list_intersect(cw, tw)) / nullif(len(cw), 0), 0) AS s, len(list_intersect(cn, tn)) AS n FROM cl JOIN sh USING (run_id)),
+rk AS (SELECT *, row_number() OVER w AS r, first(doc) OVER w AS closest, count(*) OVER (PARTITION BY run_id, claim_id) AS shown FROM sx WINDOW w AS (PARTITION BY run_id, claim_id ORDER BY s DESC, doc)),
+au AS (SELECT cl.run_id, cl.claim_id, cl.own AS document_id, s AS support, CASE WHEN cl.claim <> '' THEN r END AS support_rank, shown, n AS shared_numbers, CASE WHEN cl.claim <> '' THEN closest END AS closest FROM cl LEFT JOIN rk ON rk.run_id = cl.run_id AND rk.claim_id = cl.claim_id AND rk.doc = cl.own),
+fa AS (SELECT *, CASE WHEN support IS NULL THEN 'missing_document' WHEN shared_numbers = 0 AND support < 0.15 THEN 'weak_support' WHEN shared_numbers = 0 AND shown >= 6 AND support_rank > 3 THEN 'low_rank' ELSE 'ok' END AS flag FROM au)"""
+
+
+# Runs of a language and fortnight; claims are titles of the next document, of every fourth one its own; every seventh cites what was not shown.
+_AUDITED = f"""{_SCORES}, cx AS (SELECT *, series || '-' || (document_id % 60) // 14 AS run_id, CASE WHEN document_id % 4 = 0 THEN title ELSE lead(title, 1, title) OVER (PARTITION BY series ORDER BY document_id) END AS claim FROM dated),
+{audit_sql("SELECT run_id, document_id AS claim_id, CASE WHEN document_id % 7 = 0 THEN 'none' ELSE CAST(document_id AS VARCHAR) END AS own, claim FROM cx", "SELECT run_id, CAST(document_id AS VARCHAR) AS doc, text FROM cx")}"""
+
+
+def _cited(spark, sf_dir):
+    d = dated(spark, sf_dir)
+    following = F.lead("title", 1).over(Window.partitionBy("series").orderBy("document_id"))
+    d = d.withColumns({"run_id": F.concat_ws("-", "series", F.floor(F.col("document_id") % 60 / 14).cast("string")), "claim": F.when(F.col("document_id") % 4 == 0, F.col("title")).otherwise(F.coalesce(following, "title"))})
+    cited = F.when(F.col("document_id") % 7 == 0, F.lit("doc_none")).otherwise(F.concat(F.lit("doc_"), F.col("document_id").cast("string")))
+    return d.select("run_id", F.col("document_id").alias("claim_id"), "claim", cited.alias("cited_id")), d.select("run_id", F.col("document_id").cast("string").alias("document_id"), "text")
+
+
+@query(f"{_AUDITED} SELECT run_id, claim_id, document_id, round(support, 6) AS support, CAST(support_rank AS INTEGER) AS support_rank, shown, CAST(shared_numbers AS INTEGER) AS shared_numbers, closest, flag FROM fa")
 def rule_06_citation_audit(spark, sf_dir):
-    """Titles as claims on the documents of the language's day they appeared; every third cites a document not shown."""
-    d = dated(spark, sf_dir).withColumn("run_id", F.concat_ws("-", "series", "published"))
-    claims = d.select("run_id", F.col("document_id").alias("claim_id"), F.substring("title", 1, 200).alias("claim"), F.when(F.col("document_id") % 3 == 0, F.lit("doc_none")).otherwise(F.concat(F.lit("doc_"), F.col("document_id").cast("string"))).alias("cited_id"))
-    return documents.citation_audit(claims, d.select("run_id", F.col("document_id").cast("string").alias("document_id"), "text"))
+    """Claims that are mostly other documents' titles, on the documents of a language's fortnight."""
+    return citations.citation_audit(*_cited(spark, sf_dir))
+
+
+@query(f"""{_AUDITED}, un AS (SELECT run_id, count(DISTINCT CASE WHEN document_id % 5 = 0 THEN 'lost' || document_id % 3 END) AS n FROM cx GROUP BY run_id)
+SELECT run_id, count(*) AS n_citations, count(*) FILTER (flag = 'ok') AS n_ok, count(*) FILTER (flag = 'weak_support') AS n_weak_support, count(*) FILTER (flag = 'low_rank') AS n_low_rank, count(*) FILTER (flag = 'missing_document') AS n_missing_document,
+  any_value(un.n) AS n_unresolved, count(*) FILTER (flag = 'missing_document') = 0 AND any_value(un.n) = 0 AS citations_resolve, round(count(*) FILTER (flag = 'ok') / count(*), 6) AS ok_share FROM fa JOIN un USING (run_id) GROUP BY run_id""")
+def rule_06_citation_report(spark, sf_dir):
+    """The audit by run, with explanations that name the document itself and, every fifth, one that was not shown."""
+    claims, shown = _cited(spark, sf_dir)
+    i = F.col("claim_id")
+    said = F.concat(F.lit("It fell (source: doc_"), i.cast("string"), F.when(i % 5 == 0, F.concat(F.lit("; source: lost"), (i % 3).cast("string"))).otherwise(""), F.lit(")"))
+    loose = citations.unresolved_inline(claims.select("run_id", said.alias("explanation")), shown)
+    return citations.citation_report(citations.citation_audit(claims, shown), loose)
 
 
-@query()
+@query(f"{_AUDITED} SELECT count(*) AS citations, count(*) FILTER (flag = 'missing_document') AS missing, count(*) FILTER (flag = 'weak_support') AS weak, count(*) FILTER (flag = 'low_rank') AS low_rank, round(min(support), 6) AS least_support, round(median(support), 6) AS median_support FROM fa")
 def agg_32_citation_statistics(spark, sf_dir):
     return runs.citation_statistics(rule_06_citation_audit(spark, sf_dir))

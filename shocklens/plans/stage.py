@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shocklens.functions import text as T
-from shocklens.operators import brief, detect, documents, forecast, joins, rank, runs, stage
+from shocklens.operators import brief, citations, detect, forecast, joins, rank, runs, stage
 from shocklens.plans import DETECTED, PRICES, query
 from shocklens.plans.documents import _SCORES, dated, with_scores
 from shocklens.plans.prices import _WEEKLY, detected, weather
-from shocklens.plans.runs import _RUNS, all_runs
+from shocklens.plans.runs import _RUNS, all_runs, audit_sql
 from shocklens.sources import tables
 
+# Stand-in causes: the title of the next document of the language, of every fourth one the own.
 _STAGE = f"""{_SCORES}, dy AS (SELECT DISTINCT series, day, CASE WHEN day(day) % 2 = 0 THEN 'up' ELSE 'down' END AS way, CASE WHEN day(day) % 5 <> 0 THEN CAST(day(day) % 7 AS DOUBLE) END AS move, day(day) % 9 <> 0 AS usable, CASE day(day) % 3 WHEN 0 THEN 'EXPLAIN' WHEN 1 THEN 'REFUSE' END AS expected FROM sc),
-rd AS (SELECT document_id, series, published AS day, title, CASE n_chars % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'unclear' END AS direction, CASE WHEN document_id % 5 = 0 THEN 1 ELSE 0 END AS kind, CAST(document_id % 6 AS INTEGER) AS age, n_chars > 200 AS found FROM dated),
+rd AS (SELECT document_id, series, published AS day, title, CASE WHEN document_id % 4 = 0 THEN title ELSE lead(title, 1, title) OVER (PARTITION BY series ORDER BY document_id) END AS cause, CASE n_chars % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'unclear' END AS direction, CASE WHEN document_id % 5 = 0 THEN 1 ELSE 0 END AS kind, CAST(document_id % 6 AS INTEGER) AS age, n_chars > 200 AS found FROM dated),
 ca AS (SELECT sc.*, best >= 0.05 AND pass AS passed FROM sc WHERE (best >= 0.05 AND pass) OR coalesce(document_id % 6 BETWEEN 0 AND 3 AND sem >= 0.8, false))"""
 
 
@@ -26,14 +28,16 @@ def stage_days(spark, sf_dir):
 def stage_readings(spark, sf_dir):
     d = dated(spark, sf_dir)
     lean = F.pmod("n_chars", F.lit(3))
-    return d.select("series", F.col("published").alias("day"), "document_id", F.when(lean == 0, "up").when(lean == 1, "down").otherwise("unclear").alias("direction"), F.when(F.col("document_id") % 5 == 0, "pressure").otherwise("report").alias("kind"), F.pmod("document_id", F.lit(6)).cast("int").alias("age"), F.col("title").alias("cause"), (F.col("n_chars") > 200).alias("quote_found"), (F.col("document_id") % 8 != 0).alias("read"))
+    following = F.lead("title", 1).over(Window.partitionBy("series").orderBy("document_id"))
+    cause = F.when(F.col("document_id") % 4 == 0, F.col("title")).otherwise(F.coalesce(following, "title"))
+    return d.select("series", F.col("published").alias("day"), "document_id", F.when(lean == 0, "up").when(lean == 1, "down").otherwise("unclear").alias("direction"), F.when(F.col("document_id") % 5 == 0, "pressure").otherwise("report").alias("kind"), F.pmod("document_id", F.lit(6)).cast("int").alias("age"), cause.alias("cause"), (F.col("n_chars") > 200).alias("quote_found"), (F.col("document_id") % 8 != 0).alias("read"))
 
 
 def _rule_sql(name: str, evidence: str, rule: str, fresh: int, turned: bool = False) -> str:
     """Decision of every day from rows (series, day, direction, kind, age, found, title) as a common table."""
     way = "CASE way WHEN 'up' THEN 'down' ELSE 'up' END" if turned else "way"
     newest = "age * 2 + kind = best" if rule == "freshest" else "true"
-    return f"""{name}_e AS (SELECT e.*, {way} AS w, min(age * 2 + kind) OVER (PARTITION BY series, day) AS best FROM {evidence} e JOIN dy USING (series, day) WHERE direction IN ('up', 'down') AND coalesce(title, '') <> '' AND found AND age BETWEEN 0 AND {fresh}),
+    return f"""{name}_e AS (SELECT e.*, {way} AS w, min(age * 2 + kind) OVER (PARTITION BY series, day) AS best FROM {evidence} e JOIN dy USING (series, day) WHERE direction IN ('up', 'down') AND coalesce(cause, '') <> '' AND found AND age BETWEEN 0 AND {fresh}),
 {name}_d AS (SELECT * FROM {name}_e WHERE {newest}),
 {name}_p AS (SELECT series, day, count(*) AS pool, count(*) FILTER (direction = w) AS su, count(*) FILTER (direction <> w) AS op FROM {name}_d GROUP BY 1, 2),
 {name} AS (SELECT dy.series, dy.day, expected, usable, coalesce(pool, 0) AS pool, coalesce(su, 0) AS su, coalesce(op, 0) AS op, coalesce(su > 0 AND op <= su, false) AS yes FROM dy LEFT JOIN {name}_p USING (series, day))"""
@@ -42,7 +46,8 @@ def _rule_sql(name: str, evidence: str, rule: str, fresh: int, turned: bool = Fa
 @query(as_text=("day",), sql=f"""{_STAGE}, rc AS (SELECT rd.* FROM rd JOIN ca USING (series, day, document_id)), {_rule_sql('ru', 'rc', 'freshest', 2)},
 g AS (SELECT series, day, count(*) AS considered, count(*) FILTER (best >= 0.05) AS above, count(*) FILTER (best >= 0.05 AND pass) AS accepted, count(*) FILTER (document_id % 6 BETWEEN 0 AND 2) AS retrieved_recent FROM sc GROUP BY 1, 2),
 c AS (SELECT series, day, count(*) AS candidates, count(*) FILTER (passed) AS candidates_passed FROM ca GROUP BY 1, 2),
-fl AS (SELECT series, day, count(*) AS flagged FROM ru_d WHERE direction = w AND NOT regexp_matches(title, '[\\p{{L}}\\p{{N}}]') GROUP BY 1, 2),
+{audit_sql("SELECT series || '|' || day AS run_id, document_id AS claim_id, CAST(document_id AS VARCHAR) AS own, cause AS claim FROM ru_d WHERE direction = w", "SELECT ca.series || '|' || ca.day AS run_id, CAST(ca.document_id AS VARCHAR) AS doc, dated.text FROM ca JOIN dated USING (document_id)")},
+fl AS (SELECT ru_d.series, ru_d.day, count(*) FILTER (flag IN ('weak_support', 'low_rank')) AS flagged, count(*) FILTER (flag = 'weak_support') AS weak, count(*) FILTER (flag = 'low_rank') AS low FROM ru_d JOIN fa ON fa.claim_id = ru_d.document_id GROUP BY 1, 2),
 j AS (SELECT g.*, coalesce(candidates, 0) AS candidates, coalesce(candidates_passed, 0) AS candidates_passed, coalesce(flagged, 0) AS citations_flagged, pool, su, op, yes, usable, coalesce(candidates, 0) > 0 AND yes AS explained FROM g JOIN ru USING (series, day) LEFT JOIN c USING (series, day) LEFT JOIN fl USING (series, day))
 SELECT series, day, considered, accepted, candidates, candidates_passed, retrieved_recent, CASE WHEN accepted > 0 THEN 'EXPLAIN' ELSE 'INSUFFICIENT_EVIDENCE' END AS gate_decision, su AS supporting, op AS opposing, citations_flagged,
   CASE WHEN NOT usable THEN 'SYSTEM_ERROR' WHEN explained THEN 'EXPLAIN' ELSE 'INSUFFICIENT_EVIDENCE' END AS decision,
@@ -51,7 +56,7 @@ SELECT series, day, considered, accepted, candidates, candidates_passed, retriev
     WHEN su >= 2 AND op = 0 AND citations_flagged = 0 THEN 'EXPLAINED_STRONG' ELSE 'EXPLAINED_TENTATIVE' END AS tier FROM j""")
 def rule_09_decision_stage(spark, sf_dir):
     d = with_scores(spark, sf_dir).join(dated(spark, sf_dir).select("document_id", "text"), "document_id").withColumn("age", F.pmod("document_id", F.lit(6)).cast("int"))
-    out = stage.decision_stage(stage_days(spark, sf_dir), d, stage_readings(spark, sf_dir), least_shown=1 << 30)
+    out = stage.decision_stage(stage_days(spark, sf_dir), d, stage_readings(spark, sf_dir))
     return out.select("series", "day", "considered", "accepted", "candidates", "candidates_passed", "retrieved_recent", "gate_decision", "supporting", "opposing", "citations_flagged", "decision", "reason", "tier")
 
 
@@ -66,7 +71,7 @@ def agg_35_blind_settings(spark, sf_dir):
     return stage.blind_settings(stage_days(spark, sf_dir), stage_readings(spark, sf_dir)).drop("explained_rate", "flipped_rate")
 
 
-@query(f"""{_STAGE} SELECT series, count(*) AS shown, count(*) FILTER (document_id % 8 <> 0) AS read, count(*) FILTER (title <> '') AS reasons, count(*) FILTER (title <> '' AND found) AS verified FROM rd GROUP BY series""")
+@query(f"""{_STAGE} SELECT series, count(*) AS shown, count(*) FILTER (document_id % 8 <> 0) AS read, count(*) FILTER (cause <> '') AS reasons, count(*) FILTER (cause <> '' AND found) AS verified FROM rd GROUP BY series""")
 def agg_35_reading_statistics(spark, sf_dir):
     return stage.reading_statistics(stage_readings(spark, sf_dir), "series").drop("read_rate", "verified_rate")
 
@@ -129,12 +134,12 @@ def fn_33_rate_direction(spark, sf_dir):
     return joins.per_dollar(levels, ["1-URGENT"])
 
 
-@query(f"""{_SCORES}, w AS (SELECT document_id, list_distinct(regexp_extract_all(lower(title[1:200]), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS b FROM dated)
+@query(f"""{_SCORES}, w AS (SELECT document_id, list_distinct(regexp_extract_all(lower(title), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS b FROM dated)
 SELECT document_id AS claim_id, document_id % 3 = 0 AS missing, CASE WHEN document_id % 3 <> 0 THEN round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 6) END AS support FROM w""")
 def udf_01_audit_by_similarity(spark, sf_dir):
     d = dated(spark, sf_dir).withColumn("run_id", F.concat_ws("-", "series", "published"))
-    claims = d.select("run_id", F.col("document_id").alias("claim_id"), F.substring("title", 1, 200).alias("claim"), F.when(F.col("document_id") % 3 == 0, F.lit("doc_none")).otherwise(F.concat(F.lit("doc_"), F.col("document_id").cast("string"))).alias("cited_id"))
-    audit = documents.citation_audit(claims, d.select("run_id", F.col("document_id").cast("string").alias("document_id"), "text"), similarity=lambda a, b: T.jaccard(T.ascii_tokens(a), T.ascii_tokens(b)))
+    claims = d.select("run_id", F.col("document_id").alias("claim_id"), F.col("title").alias("claim"), F.when(F.col("document_id") % 3 == 0, F.lit("doc_none")).otherwise(F.concat(F.lit("doc_"), F.col("document_id").cast("string"))).alias("cited_id"))
+    audit = citations.citation_audit(claims, d.select("run_id", F.col("document_id").cast("string").alias("document_id"), "text"), similarity=lambda a, b: T.jaccard(T.ascii_tokens(a), T.ascii_tokens(b)))
     return audit.select("claim_id", (F.col("flag") == "missing_document").alias("missing"), "support")
 
 

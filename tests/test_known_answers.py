@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shocklens.functions import dates, numbers
 from shocklens.functions import text as T
-from shocklens.operators import brief, detect, documents, evaluate, factors, joins, monthly, rank, runs
+from shocklens.operators import brief, citations, detect, documents, evaluate, factors, joins, monthly, rank, runs
 from shocklens.sources import landing
 
 
@@ -266,9 +266,9 @@ def test_packing_takes_the_longest_step_that_fits(spark):
 def test_citation_audit(spark):
     shown = spark.createDataFrame([("r", "a1", "coffee rose on frost in the south 12"), ("r", "b2", "nothing of note")], "run_id string, document_id string, text string")
     claims = spark.createDataFrame([("r", 1, "frost in the south", "doc_a1"), ("r", 2, "wheat fell", "zz"), ("r", 3, "bulls were charging", "b2"), ("r", 4, "up 12 percent", "a1")], "run_id string, claim_id int, claim string, cited_id string")
-    assert {r.claim_id: r.flag for r in documents.citation_audit(claims, shown).collect()} == {1: "ok", 2: "missing_document", 3: "weak_support", 4: "ok"}
+    assert {r.claim_id: r.flag for r in citations.citation_audit(claims, shown).collect()} == {1: "ok", 2: "missing_document", 3: "weak_support", 4: "ok"}
     text = spark.createDataFrame([("r", "as said (source: doc_a1), and source: qq")], "run_id string, explanation string")
-    assert [r.document_id for r in documents.unresolved_inline(text, shown).collect()] == ["qq"]
+    assert [r.document_id for r in citations.unresolved_inline(text, shown).collect()] == ["qq"]
 
 
 def test_curves_against_brute_force(spark):
