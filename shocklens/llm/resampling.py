@@ -123,10 +123,22 @@ def _dictionary(name: str, sent: Broadcast) -> Dictionary:
 
 
 def frequent_words(texts: DataFrame, most: int = DICTIONARY_WORDS) -> list[str]:
-    """The ``most`` most frequent words of up to ``WORD_BYTES`` bytes over all texts; a list of bounded size."""
+    """The most frequent words of up to ``WORD_BYTES`` bytes over all texts, at most ``most`` of them.
+
+    Counts fall into classes, four to an octave, and the highest classes are
+    taken as far as they fit, so that the driver gets the words of the list and
+    a few hundred class sizes only.
+    """
     words = texts.select(F.explode(F.regexp_extract_all(ascii_lower(F.col("text").cast("string")), F.lit(_WORD), F.lit(0))).alias("word"))
     counted = words.where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = saved(counted.select("word", F.floor(4 * F.log2("n")).alias("class")))
+    room, least = most, None
+    for r in sorted(counted.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["class"]
+    return [] if least is None else [r.word for r in counted.where(F.col("class") >= least).select("word").collect()]
 
 
 Find = Callable[[str | None], tuple[np.ndarray, np.ndarray]]
