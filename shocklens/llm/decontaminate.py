@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 WINDOW = 13
-#: Benchmark text whose searchers are held at once.
-SLICE_BYTES = 2 << 20
+#: Benchmark text of a slice, slices whose searchers stay in a worker, and document text that is searched by slice after slice together.
+SLICE_BYTES, SLICES_HELD, GROUP_BYTES = 2 << 20, 3, 48 << 20
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_STATE = "struct<n_words long, n_hit long, items array<string>>"
+_STATE = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType()))])
 _STATE_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
 
 
@@ -85,14 +86,16 @@ _ready: dict[str, list[WuManber]] = {}
 
 
 def _searchers(name: str, sent: Broadcast) -> list[WuManber]:
-    """The searchers of one slice, built in the worker; the last two slices stay."""
-    if name not in _ready:
-        while len(_ready) > 1:
-            del _ready[next(iter(_ready))]
-        _ready[name] = build(sent.value)
-        if getattr(sent, "_path", None):
-            # A slice is read from the worker's file again when it is needed again.
-            vars(sent).pop("_value", None)
+    """The searchers of one slice, built in the worker; the last ones used stay."""
+    if name in _ready:
+        _ready[name] = _ready.pop(name)
+        return _ready[name]
+    while len(_ready) >= SLICES_HELD:
+        del _ready[next(iter(_ready))]
+    _ready[name] = build(sent.value)
+    if getattr(sent, "_path", None):
+        # A slice is read from the worker's file again when it is needed again.
+        vars(sent).pop("_value", None)
     return _ready[name]
 
 
@@ -127,26 +130,46 @@ def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str,
     yield group
 
 
-def overlap(benchmark: DataFrame, text: Column, slice_bytes: int = SLICE_BYTES) -> Column:
-    """struct(n_words, n_hit, items) of a text column.
+def search_batches(batches: Iterator[pa.RecordBatch], sent: list[Broadcast], name: str, group_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches (_row, _text) as (_row, _o), taken together up to ``group_bytes`` of text; every other group visits the slices in reverse."""
+    turn = 0
 
-    One Python step whatever the size of the benchmark: a batch of texts is
-    searched slice after slice. The driver and a worker hold one slice at a
-    time (a worker two searchers); what is sent waits on disk.
-    """
-    context, name = benchmark.sparkSession.sparkContext, uuid.uuid4().hex
-    sent = [context.broadcast(group) for group in _slices(benchmark, slice_bytes)]
-
-    def search(texts: pa.Array) -> pa.Array:
-        found = [Found() for _ in range(len(texts))]
-        for k, part in enumerate(sent):
+    def searched(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t for batch in group for t in batch.column(1)]
+        found = [Found() for _ in texts]
+        for k, part in list(enumerate(sent))[:: -1 if turn % 2 else 1]:
             searchers = _searchers(f"{name}-{k}", part)
             for f, t in zip(found, texts, strict=True):
                 f.search(t.as_py(), searchers)
-        return pa.array([f.state() for f in found], _STATE_ARROW)
+        at = 0
+        for batch in group:
+            states = pa.array([f.state() for f in found[at : at + batch.num_rows]], _STATE_ARROW)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), states], ["_row", "_o"])
 
-    # Not moved or copied by the optimizer: a filter on the result must not search twice.
-    return F.arrow_udf(search, _STATE).asNondeterministic()(text)
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.column(1).nbytes
+        if size >= group_bytes or len(sent) <= SLICES_HELD:
+            yield from searched(group)
+            group, size, turn = [], 0, turn + 1
+    if group:
+        yield from searched(group)
+
+
+def with_overlap(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(_row, _o): the rows of ``docs`` as structs, and struct(n_words, n_hit, items) of their texts.
+
+    One Python step whatever the size of the benchmark. A task searches groups
+    of batches slice after slice, so that a slice's tables are built once for
+    many batches. The driver and a worker hold one slice at a time (a worker
+    ``SLICES_HELD`` searchers); what is sent waits on disk.
+    """
+    context, name = docs.sparkSession.sparkContext, uuid.uuid4().hex
+    sent = [context.broadcast(group) for group in _slices(benchmark, slice_bytes)]
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("_text"))
+    return rows.mapInArrow(lambda it: search_batches(it, sent, name, group_bytes), StructType([rows.schema["_row"], StructField("_o", _STATE)]))
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -163,7 +186,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, slice_bytes: int =
     contaminated if at least a twentieth of its words is hit. Null and empty
     texts have no words. Other columns are ignored.
     """
-    found = docs.select("doc_id", overlap(benchmark, F.col("text").cast("string"), slice_bytes).alias("o"))
+    found = with_overlap(docs.select("doc_id", "text"), benchmark, slice_bytes).select("_row.doc_id", F.col("_o").alias("o"))
     return found.select(
         "doc_id", "o.n_words", "o.n_hit", F.size("o.items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("o.items"), ","), 256).alias("items_sha256"),
@@ -173,5 +196,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, slice_bytes: int =
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    judged = docs.select(F.struct("*").alias("_row"), overlap(benchmark, F.col("text").cast("string"), slice_bytes).alias("_o"))
+    judged = with_overlap(docs, benchmark, slice_bytes)
     return judged.where(~is_contaminated(F.col("_o.n_hit"), F.col("_o.n_words"))).select("_row.*")

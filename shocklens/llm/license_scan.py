@@ -12,11 +12,13 @@ Candidates are then compared shingle by shingle.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +166,17 @@ class Templates:
         return [best[k] for k in sorted(best)]
 
 
+_ready: dict[str, Templates] = {}
+
+
+def _index(name: str, sent: Broadcast) -> Templates:
+    """The templates of this broadcast, prepared once in a worker."""
+    if name not in _ready:
+        _ready.clear()
+        _ready[name] = Templates(sent.value)
+    return _ready[name]
+
+
 def template_table(templates: DataFrame, max_bytes: int = MAX_TEMPLATE_BYTES) -> dict[str, str]:
     """The templates of a table (license, text): rows without a name or text are left out, of two texts for a name the smaller string stands.
 
@@ -187,9 +200,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None
     """
     known = LICENSES if templates is None else template_table(templates) if isinstance(templates, DataFrame) else templates
     schema = "doc_id long, license string, first_word long, shared long, containment double"
+    name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(known)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Templates(known)
+        index = _index(name, sent)
         kind = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("first_word", pa.int64()), ("shared", pa.int64()), ("containment", pa.float64())])
         for batch in it:
             found = [(i.as_py(), *m) for i, t in zip(batch.column(0), batch.column(1), strict=True) for m in index.scan(t.as_py())]

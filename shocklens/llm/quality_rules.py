@@ -42,17 +42,20 @@ def with_metrics(docs: DataFrame) -> DataFrame:
     started = started.withColumn("_places", F.expr(
         "sort_array(transform(filter(transform(_sorted, (x, k) -> struct(x.i AS i, (k > 0 AND x.w = _sorted[greatest(k - 1, 0)].w) OR (k < size(_sorted) - 1 AND x.w = _sorted[least(k + 1, size(_sorted) - 1)].w) AS again)), x -> x.again), x -> x.i))"))
     covered = "transform(_places, (p, k) -> CASE WHEN k = size(_places) - 1 THEN 3L ELSE least(3, _places[least(k + 1, size(_places) - 1)] - p) END)"
-    measured = started.withColumns({
+    lengths, none = F.length("_text"), F.lit(0).cast("long")
+    measures = {
         "n_words": F.col("_n"),
         "word_chars": F.length(F.translate("_text", BLANKS, "")).cast("long"),
-        "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+        "n_symbols": (lengths - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(F.expr(_array_sum(covered)), F.lit(0).cast("long")),
-    }).drop("_text", "_words", "_lines", "_n", "_hashes", "_sorted", "_places")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    # The second condition always holds. As it is not deterministic, a filter on the result
-    # stays above these steps instead of being rewritten as one huge expression below them.
-    return measured.withColumn("base_failed", failed & (F.spark_partition_id() >= 0))
+        "n_repeat_words": F.coalesce(F.expr(_array_sum(covered)), none),
+    }
+    # The condition always holds. As it is not deterministic, the measures are worked out in this
+    # step: a filter on one of them stays above it and is not rewritten as one expression over the
+    # text, in which every step would be repeated for every word.
+    started = started.withColumn("_m", F.when(F.spark_partition_id() >= 0, F.struct(*[c.alias(k) for k, c in measures.items()])))
+    measured = started.select(*docs.columns, "_m.*")
+    return measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from shocklens.llm.common import saved
 
 LEVEL_BITS = 12
+#: Rows of a directory that is broadcast to write the shards.
+MAX_BROADCAST_SHARDS = 1_000_000
 HASH_BITS = 60
 
 
@@ -78,7 +80,21 @@ def _placed(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, limit: int, folder: str) -> None:
-    """Write every row of ``docs`` with one folder for each shard; a row finds its shard by its hash, which has one."""
-    shards = _placed(docs, limit).select(F.col("bits").alias("_bits"), "shard").distinct()
+    """Write every row of ``docs`` with one folder for each shard; a row finds its shard by its hash, which has one.
+
+    The directory has a row a shard. Up to ``MAX_BROADCAST_SHARDS`` of them it
+    is broadcast, and texts move once, to their shard; a longer one is joined.
+    """
+    placed = _placed(docs, limit)
+    shards = saved(placed.select("shard", "depth").distinct())
     rows = docs.drop("shard").withColumn("_bits", hash_bits(shard_key(F.col("doc_id"), F.col("text").cast("string"))))
-    rows.join(shards, "_bits").drop("_bits").repartition("shard").write.partitionBy("shard").parquet(folder)
+    if shards.count() <= MAX_BROADCAST_SHARDS:
+        # No shard's prefix begins another's, so of the few depths in use one finds the row's.
+        depths = sorted(r.depth for r in shards.select("depth").distinct().collect())
+        for d in depths:
+            listed = F.broadcast(shards.where(F.col("depth") == d).select(F.col("shard").alias(f"_s{d}")))
+            rows = rows.join(listed, F.substring("_bits", 1, d) == F.col(f"_s{d}"), "left")
+        rows = rows.withColumn("shard", F.coalesce(*[f"_s{d}" for d in depths]) if depths else F.lit("")).drop(*[f"_s{d}" for d in depths])
+    else:
+        rows = rows.join(placed.select(F.col("bits").alias("_bits"), "shard").distinct(), "_bits")
+    rows.drop("_bits").repartition("shard").write.partitionBy("shard").parquet(folder)

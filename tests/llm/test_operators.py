@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -315,6 +316,29 @@ def test_quality_rejects_bad_hosts(spark):
     assert 0.2 < rates["once"] < 1 and rates["bad"] > 0.5 > rates["host1"]
 
 
+def test_quality_query_rejects_a_host(spark, tmp_path):
+    """The registered query beside its SQL on a table in which a source is rejected."""
+    good, poor = " ".join(f"w{i}" for i in range(60)), "too short"
+    rows = [(i, good if i % 10 else poor, f"host{i % 7}") for i in range(300)] + [(1000 + i, poor if i % 5 else good, "bad") for i in range(100)] + [(2000, "a b c a b c " * 20, "host1"), (2001, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_quality_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    order = got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(order)} FROM ({queries.oracle_sql()['op5_quality_rules']})").fetchall())
+    assert not {r.doc_id for r in got.where("kept").collect()} & set(range(1000, 1100)) and got.where("kept").count() > 200
+
+
+@pytest.mark.parametrize("measure", ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+def test_quality_filters_stay_above_the_measures(spark, measure):
+    """A filter is not pushed into the steps over the text, where it would be repeated for every word."""
+    long = spark.createDataFrame([(1, "a b c d e f " * 5000, "s")], "doc_id long, text string, source string")
+    measured = quality_rules.with_metrics(long).where(measure if measure == "base_failed" else f"{measure} > 0")
+    plan = measured._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("split(") and plan.count("Filter") == 1
+    assert measured.count() == (measure not in ("n_symbols", "n_dup_lines"))
+
+
 def _lines(rows):
     first, out = {}, {}
     for i, t in sorted(((i, t) for i, t in rows if i is not None), key=lambda r: r[0]):
@@ -488,10 +512,23 @@ def test_decontamination_is_one_python_step(odd, spark):
     bench = spark.createDataFrame(rows, "item_id long, text string")
     found = decontaminate.find_contamination(odd.unionByName(spark.createDataFrame([(77, rows[7][1], "", "", 1)], odd.schema)), bench, 100)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
+    assert plan.count("MapInArrow") == 1
     assert {(r.doc_id, r.n_hit, tuple(r["items"])) for r in found.where("n_hit > 0").collect()} == {(77, 20, ("7",))}
 
 
+def test_slices_are_built_once_for_many_batches(monkeypatch):
+    """Ten slices over twelve batches: a build for each slice and group of batches, less what the turn of the order keeps."""
+    built, texts = [], [pa.array([f"t{i} " * 5]) for i in range(12)]
+    monkeypatch.setattr(decontaminate, "build", lambda items: built.append(items) or [])
+    sent = [type("Sent", (), {"value": k})() for k in range(10)]
+    for slices, group, builds in ((sent, 1 << 30, 10), (sent, 6 * texts[0].nbytes, 17), (sent[:3], 1, 3)):
+        decontaminate._ready.clear()
+        built.clear()
+        batches = (pa.RecordBatch.from_arrays([pa.array([{"a": 1}]), t], ["_row", "_text"]) for t in texts)
+        assert len(list(decontaminate.search_batches(batches, slices, "x", group))) == 12
+        assert len(built) == builds and len(decontaminate._ready) == decontaminate.SLICES_HELD
+
+
 def test_sentencepiece_refuses_other_models(tmp_path):
     import sentencepiece
 
@@ -558,11 +595,24 @@ def test_url_filter_ties(spark):
             assert got == {1: ("a.com/", "allow"), 2: ("com/ab", "block"), 3: ("a.com/", "allow")}
 
 
+def test_url_filter_shards(spark):
+    """A list cut into arrays by host gives the rows of one array; repeated urls and a host with a third of all rows too."""
+    rng = random.Random(4)
+    hosts = [".".join(rng.choices(["a", "b", "cc", "d"], k=rng.randint(1, 4))) for _ in range(60)]
+    path = lambda: "".join(rng.choices(["/x", "/yy", "/z"], k=rng.randint(0, 4)))
+    rules = [(rng.choice(hosts) + path(), rng.choice(["allow", "block"])) for _ in range(300)]
+    urls = [f"http://{rng.choice(hosts)}{path()}{rng.choice(['', '?q', '#f'])}" for _ in range(400)] + [f"http://a.b{path()}" for _ in range(300)] + [None, "", "x"]
+    pages = spark.createDataFrame([(i, u, "keep") for i, u in enumerate(urls)], "page_id long, url string, _salt string").repartition(3)
+    table = spark.createDataFrame(rules, "rule string, verdict string")
+    one, many, more = (sorted(map(str, url_filter.judge_urls(pages, table, max_bytes=n).collect())) for n in (1 << 20, 0, 3000))
+    assert one == many == more and len(one) == len(urls)
+
+
 def test_digest_array_collisions():
     entries = [f"host{i}.com/".encode() for i in range(2000)]
     weak = lambda x: len(x) % 7
     for digest in (weak, xxhash.xxh64_intdigest):
-        listed = url_filter.DigestArray.mapped(url_filter.DigestArray.pack(entries, digest), f"test-{digest(b'x')}")
+        listed = url_filter.DigestArray.mapped(url_filter.DigestArray.pack(entries, digest))
         found = listed.find([*entries, b"absent", b""], digest)
         assert [listed.entry(k) for k in found[:-2].tolist()] == entries and (found[-2:] == -1).all()
 
