@@ -45,8 +45,8 @@ def by_priority(sources: list[DataFrame], url: str = "url") -> DataFrame:
     return first_by(both, url_key(url), F.col("priority"), F.col("position"))
 
 
-def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
-    """Old and new rows, the newest batch's row of each key, in a batch the greatest by ``order``.
+def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], order: tuple[str, ...] = (), by_batch: bool = True) -> DataFrame:
+    """Old and new rows, the newest batch's row of each key, in a batch the greatest by ``order``; without ``by_batch`` the order decides first.
 
     Missing values of ``order`` come last, and rows that it leaves tied are
     told apart by the greatest text of the whole row, so the result does not
@@ -54,7 +54,8 @@ def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], order: tuple[st
     """
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
     whole = F.to_json(F.struct(*sorted(c for c in both.columns if c != "_batch")))
-    latest = Window.partitionBy(*keys).orderBy(F.col("_batch").desc(), *[F.desc_nulls_last(c) for c in order], whole.desc())
+    batch, ordered = [F.col("_batch").desc()], [F.desc_nulls_last(c) for c in order]
+    latest = Window.partitionBy(*keys).orderBy(*(batch + ordered if by_batch else ordered + batch), whole.desc())
     return both.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn", "_batch")
 
 

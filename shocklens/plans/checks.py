@@ -107,8 +107,8 @@ SELECT series, CAST(published AS VARCHAR) AS published, document_id, CAST(place
 put(f"""{_DATED}, pl AS (SELECT series, published AS day, document_id, title, row_number() OVER (PARTITION BY series, published ORDER BY n_chars DESC, document_id) AS place FROM dated), li AS (SELECT series, day, place, document_id % 3 = 0 AS o, CASE WHEN document_id % 3 = 0 THEN 'Against: ' ELSE '' END || title || ' (source: ' || document_id || ')' AS line FROM pl WHERE place <= 4)
 SELECT series, day, string_agg(line, chr(10) ORDER BY o, place) AS explanation FROM li GROUP BY 1, 2""", "rule_08_explanations")
 
-put("""e AS (SELECT CAST(user_id AS VARCHAR) AS series, ts FROM events WHERE event_type = 'error'), f AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 4 DAYS, true) AS fresh FROM e WINDOW w AS (PARTITION BY series ORDER BY ts)), g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f)
-SELECT series, min(ts) AS "start", max(ts) + INTERVAL 4 DAYS AS "end", count(*) AS flags FROM g GROUP BY series, s HAVING max(ts) + INTERVAL 4 DAYS <= (SELECT max(ts) FROM e) - INTERVAL 10 DAYS""", "str_06_flag_sessions")
+put("""e AS (SELECT CAST(user_id AS VARCHAR) AS series, ts FROM events), f AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 12 HOURS, true) AS fresh FROM e WINDOW w AS (PARTITION BY series ORDER BY ts)), g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f)
+SELECT series, min(ts) AS "start", max(ts) + INTERVAL 12 HOURS AS "end", count(*) AS flags FROM g GROUP BY series, s HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) FROM e) - INTERVAL 10 DAYS""", "str_06_flag_sessions")
 
 _KEYED = f"""{_DATED}, tk AS (SELECT *, regexp_extract_all(lower(regexp_replace(trim(title), '\\s+[-|–—]\\s+[^-|–—]+$', '')), '[\\p{{L}}\\p{{N}}]+') AS tw FROM dated), ky AS (SELECT *, CASE WHEN len(tw) >= 3 THEN array_to_string(tw, ' ') ELSE '' END AS title_key FROM tk)"""
 put(f"{_KEYED} SELECT document_id, title_key FROM ky", "fn_05_title_keys")
@@ -129,6 +129,7 @@ ob AS (SELECT series, category, importance, text FROM trend UNION ALL SELECT ser
 SELECT * FROM ob""", "dom_11_brief")
 put(f"""{SQL['dom_11_brief'][5:].rpartition('SELECT * FROM ob')[0].rstrip()}, rk2 AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY importance, category) AS rn2 FROM ob), hd AS (SELECT series, string_agg(text, '; ' ORDER BY rn2) AS headline FROM rk2 WHERE rn2 <= 3 AND importance <= 2 GROUP BY series),
 lv AS (SELECT series, CASE min(importance) WHEN 1 THEN 'high' WHEN 2 THEN 'normal' ELSE 'quiet' END AS level FROM ob GROUP BY series) SELECT series, level, headline FROM lv LEFT JOIN hd USING (series)""", "rank_18_alerts")
+put(f"{SQL['rank_18_alerts'][5:].rpartition(' SELECT series, level, headline')[0]} SELECT series, level, headline FROM lv LEFT JOIN hd USING (series) WHERE level <> 'quiet'", "str_05_alerts")
 put(f"""{PRICES}, {_WEATHER}, fr0 AS (SELECT *, price / nullif(lag(price) OVER w, 0) - 1 AS r1, price / nullif(lag(price, 5) OVER w, 0) - 1 AS ret_5, lead(price, 5) OVER w / nullif(price, 0) - 1 AS forward FROM prices WINDOW w AS (PARTITION BY series ORDER BY date)),
 fv AS (SELECT *, CASE WHEN count(r1) OVER m >= 20 THEN stddev_samp(r1) OVER m END AS vol_20 FROM fr0 WINDOW m AS (PARTITION BY series ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), dn AS (SELECT date, -rain_z AS dz FROM dry WHERE station_id = 'N'), j AS (SELECT fv.*, dz FROM fv LEFT JOIN dn USING (date)),
 c AS (SELECT *, avg(CAST(dz IS NOT NULL AS INTEGER)) OVER (PARTITION BY series) > 0.5 AS ok FROM j) SELECT series, date, round(ret_5, 6) AS ret_5, round(vol_20, 6) AS vol_20, round(CASE WHEN ok THEN last_value(dz IGNORE NULLS) OVER (PARTITION BY series ORDER BY date ROWS UNBOUNDED PRECEDING) END, 6) AS dryness_z, round(forward, 6) AS forward FROM c""", "dom_14_outlook_frame")
