@@ -1,4 +1,4 @@
-"""Walk-forward classifiers and their scoring. A fold is part of the key, so folds spread over tasks."""
+"""Walk-forward classifiers and their scoring: one ordered pass over each series, in which every fold starts from the one before."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shocklens.functions.numbers import by_series, guarded, ratio
 from shocklens.operators.detect import change
 
-BLOCK = 20
+BLOCK, RIDGE = 20, 1e-3
 FEATURES = ("ret_1", "ret_5", "ret_10", "vol_20", "ma_distance", "price_z")
 
 
@@ -33,39 +33,72 @@ def outlook_frame(prices: DataFrame, horizon: int, weather: DataFrame | None = N
     return joined.withColumn("dryness_z", F.when(covered, F.last("dryness_z", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.3, ridge: float = 1e-3) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def logistic_optimum(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float = RIDGE, rounds: int = 50) -> np.ndarray:
+    """Weights of least mean logistic loss plus ridge / 2 times their square, by Newton steps from ``start``.
+
+    The loss is strictly convex, so the weights do not depend on the start; a
+    near one saves steps. A step that does not lower the loss is halved.
+    """
+    def loss(w: np.ndarray) -> float:
+        t = x @ w
+        return float(np.mean(np.logaddexp(0, t) - y * t) + ridge / 2 * w @ w)
+
+    w, now = start, loss(start)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= rate * (x.T @ (p - y) / len(y) + ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (p - y) / len(y) + ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w)), slope)
+        size = 1.0
+        while (after := loss(w - size * step)) > now and size > 1e-6:
+            size /= 2
+        if after > now:
+            break
+        w, now = w - size * step, after
+        if np.abs(size * step).max() < 1e-10:
+            break
     return w
 
 
+def _walk(x: np.ndarray, forward: np.ndarray, horizon: int, least: int, large: float | None) -> list[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """(first row, end, probability, actual, majority) of each block from row ``least`` on.
+
+    Means and spreads of a fold's training rows, which are all rows up to one,
+    come from running sums.
+    """
+    centre = x.mean(axis=0)
+    sums, squares = np.cumsum(x - centre, axis=0), np.cumsum((x - centre) ** 2, axis=0)
+    size, out, weights = np.abs(forward), [], np.zeros(x.shape[1] + 1)
+    for at in range(-(-least // BLOCK) * BLOCK, len(x), BLOCK):
+        end, n = min(at + BLOCK, len(x)), at - horizon
+        if n < 1:
+            continue
+        mean = sums[n - 1] / n
+        spread = np.sqrt(np.maximum(squares[n - 1] / n - mean * mean, 0)) + 1e-9
+        scaled = np.column_stack([np.ones(end), (x[:end] - centre - mean) / spread])
+        y = (size[:end] >= np.quantile(size[:n], large)) if large is not None else forward[:end] > 0
+        weights = logistic_optimum(scaled[:n], y[:n].astype(float), weights)
+        p = 1 / (1 + np.exp(-np.clip(scaled[at:end] @ weights, -500, 500)))
+        out.append((at, end, p, y[at:end], bool(y[:n].mean() >= 0.5)))
+    return out
+
+
 def walk_forward(frame: DataFrame, horizon: int, features: tuple[str, ...] = FEATURES, least: int = 250, large: float | None = None) -> DataFrame:
-    """Probability for each row of each block, learned from rows at least ``horizon`` before the block.
+    """Probability for each row of each block of ``BLOCK`` rows, learned from rows at least ``horizon`` before the block.
 
-    Target: the forward return is positive, or with ``large`` its size is
-    above that quantile of the training rows. A fold takes its series' earlier
-    rows, whose number is bounded by the calendar.
+    Target: the forward return is positive, or with ``large`` its size is at
+    or above that quantile of the training rows. Every row of a series goes to
+    its task once; the calendar bounds their number.
     """
-    rows = frame.dropna(subset=[*features, "forward"]).withColumn("_i", F.row_number().over(by_series()) - 1)
-    rows = rows.withColumn("_block", F.floor(F.col("_i") / BLOCK))
-    ends = rows.where(F.col("_i") >= least).groupBy("series", "_block").agg(F.min("_i").alias("_from"))
-    folds = ends.withColumnRenamed("_block", "fold").join(rows, "series").where((F.col("_block") == F.col("fold")) | (F.col("_i") < F.col("_from") - horizon))
+    rows = frame.dropna(subset=[*features, "forward"]).select("series", "date", "forward", *features)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        test = pdf["_block"].to_numpy() == key[1]
-        x, fwd = pdf[list(features)].to_numpy(float), pdf["forward"].to_numpy(float)
-        mean, spread = x[~test].mean(axis=0), x[~test].std(axis=0) + 1e-9
-        x = np.hstack([np.ones((len(x), 1)), (x - mean) / spread])
-        bar = float(np.quantile(np.abs(fwd[~test]), large)) if large is not None else None
-        y = (np.abs(fwd) >= bar if large is not None else fwd > 0).astype(float)
-        p = 1 / (1 + np.exp(-np.clip(x[test] @ _logistic(x[~test], y[~test]), -30, 30)))
-        majority = float(y[~test].mean() >= 0.5)
-        return pd.DataFrame({"series": key[0], "fold": key[1], "date": pdf["date"].to_numpy()[test], "probability": p, "actual": y[test] > 0.5, "majority": majority > 0.5})
-
-    return folds.groupBy("series", "fold").applyInPandas(fit, "series string, fold long, date date, probability double, actual boolean, majority boolean")
+        pdf = pdf.sort_values("date")
+        blocks = _walk(pdf[list(features)].to_numpy(float), pdf["forward"].to_numpy(float), horizon, least, large)
+        dates = pdf["date"].to_numpy()
+        parts = [pd.DataFrame({"series": key[0], "fold": at // BLOCK, "date": dates[at:end], "probability": p, "actual": actual, "majority": majority}) for at, end, p, actual, majority in blocks]
+        return pd.concat(parts) if parts else pdf.iloc[:0][["series", "date"]].assign(fold=0, probability=0.0, actual=False, majority=False)
+
+    return rows.groupBy("series").applyInPandas(fit, "series string, fold long, date date, probability double, actual boolean, majority boolean")
 
 
 def walk_scores(predicted: DataFrame) -> DataFrame:
