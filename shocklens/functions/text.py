@@ -89,7 +89,7 @@ def lexical_support(claim: str | Column, text: str | Column) -> Column:
     return F.coalesce(ratio(F.size(F.array_intersect(own, word_tokens(text))), F.size(own)), F.lit(0.0))
 
 
-def _runs(words: Column, width: int) -> Column:
+def word_runs(words: Column, width: int) -> Column:
     """All runs of ``width`` words, in order; ``words`` must be cheap to name again."""
     return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (width - 1), F.lit(0))), lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(width)), " "))
 
@@ -98,7 +98,7 @@ def shingles(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None =
     """Distinct word runs of the text, or of its first ``chars`` characters; empty if it has too few words."""
     whole = given(text)
     words = word_tokens(F.substring(whole, 1, chars) if chars else whole)
-    return F.array_distinct(let(words, lambda w: _runs(w, width)))
+    return F.array_distinct(let(words, lambda w: word_runs(w, width)))
 
 
 def shingle_hashes(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None = None) -> Column:
@@ -123,7 +123,7 @@ def quote_in_text(quote: str | Column, text: str | Column, share: float = 0.8) -
     def check(q: Column, t: Column) -> Column:
         joined = F.array_join(q, "")
         allowed = (F.size(t) > 0) & ((F.size(q) >= 3) | (F.length(joined) >= 12))
-        found = let(_runs(t, 3), lambda have: F.size(F.filter(_runs(q, 3), lambda g: F.array_contains(have, g))))
+        found = let(word_runs(t, 3), lambda have: F.size(F.filter(word_runs(q, 3), lambda g: F.array_contains(have, g))))
         return allowed & (F.contains(F.array_join(t, ""), joined) | ((F.size(q) >= 3) & (found >= share * (F.size(q) - 2))))
 
     return let(word_tokens(quote), lambda q: let(word_tokens(text), lambda t: check(q, t)))

@@ -10,6 +10,7 @@ from shocklens.functions.dates import trading_days_before
 from shocklens.functions.numbers import ratio
 from shocklens.operators.graph import connected_components
 from shocklens.operators.rank import top_by
+from shocklens.operators.reports import report_scores
 from shocklens.operators.similar import similar_links
 from shocklens.session import saved
 
@@ -151,27 +152,17 @@ def collapse_stories(docs: DataFrame, keys: list[str], similar: float = SIMILAR)
     return chosen.withColumn("duplicate_urls", F.filter("_urls", lambda u: u != F.coalesce("url", F.lit("")))).drop("_urls")
 
 
-def prepared_candidates(docs: DataFrame, keys: list[str], before: int, terms: list[str], vocabulary: list[str]) -> DataFrame:
-    """Documents of the window, first of each url, one of each story, scored and aged, in this order."""
-    inside = age_window(docs, before).where("drop_reason IS NULL")
-    single = first_by(inside, F.concat_ws("|", *keys, url_key("url")), F.col("document_id"))
-    stories = collapse_stories(single, keys)
-    return stories.withColumns({"keyword_score": T.keyword_score("title", "text", terms, vocabulary), "report_score": market_report_score("title", "text"), "age": trading_days_before("published", "day")})
-
-
-# Cue families of market reports, and words of shop news.
-MARKET_CUES = (r"\bfutures?\b", r"\b(settled|closed|traded|opened)\b", r"\b\d+(\.\d+)?\s?(%|percent|cents?)", r"\b(ice|nymex|comex|cbot|lme)\b", r"\b(barrel|bushel|ounce|tonne|pound)s?\b", r"\b(analysts?|traders?|brokers?)\b", r"\b(rose|fell|gained|slipped|rallied|dropped)\b")
-SHOP_WORDS = r"\b(shoppers?|supermarkets?|retail prices?|cafes?|at the pump)\b"
+def prepared_candidates(docs: DataFrame, keys: list[str], before: int, terms: list[str], vocabulary: list[str], cues: DataFrame | None = None) -> DataFrame:
+    """Documents of the window, first of each url, one of each story, scored and aged, in this order.
 
-
-def market_report_score(title: str | Column, text: str | Column) -> Column:
-    """0 to 7 by what a report on a market says; news of shop prices is held below a report.
-
-    English cues only: exchange and contract words, price verbs with numbers, units, sessions.
+    ``cues`` are those of ``reports.report_scores``; a table without a market
+    is scored by the shared ones.
     """
-    both = F.lower(F.concat_ws(" ", T.given(title), T.given(text)))
-    score = sum((both.rlike(c).cast("int") for c in MARKET_CUES[1:]), both.rlike(MARKET_CUES[0]).cast("int"))
-    return F.when(both.rlike(SHOP_WORDS), F.least(score, F.lit(2))).otherwise(score)
+    inside = age_window(docs, before).where("drop_reason IS NULL")
+    single = first_by(inside, F.concat_ws("|", *keys, url_key("url")), F.col("document_id"))
+    told = collapse_stories(single, keys)
+    scored = report_scores(told if "market" in told.columns else told.withColumn("market", F.lit("*")), cues)
+    return scored.withColumns({"keyword_score": T.keyword_score("title", "text", terms, vocabulary), "age": trading_days_before("published", "day")})
 
 
 def price_direction(title: str | Column, text: str | Column, up: dict[str, float], down: dict[str, float]) -> Column:

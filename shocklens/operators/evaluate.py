@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shocklens.functions.numbers import by_series, draw, rate, ratio
+from shocklens.functions.numbers import by_series, draw, let, rate, ratio
 from shocklens.operators.joins import in_events
 
 # The thresholds of a sweep.
@@ -155,24 +157,28 @@ def top_k_scores(df: DataFrame, group: str, k: int, order: list[Column], relevan
     return by.select(group, (F.col("_hit") / k).alias("precision_at_k"), ratio("_hit", "_all").alias("recall_at_k"), (1 / F.col("_first")).alias("reciprocal_rank"))
 
 
+def poisson_steps(most: int = 18) -> list[int]:
+    """For k = 0, 1, ...: the draw of 60 bits from which on a Poisson variable of mean 1 is above k."""
+    terms = [math.exp(-1) / math.factorial(k) for k in range(most)]
+    return [round(math.fsum(terms[: k + 1]) * (1 << 60)) for k in range(most)]
+
+
 def bootstrap_auc(df: DataFrame, group: str, samples: int = 2000, seed: int = 11, score: str = "score", relevant: str = "relevant") -> DataFrame:
     """2.5 and 97.5 % order statistics of the AUC over resamples of whole groups.
 
-    A resample is as many seeded draws of a group as there are groups; its AUC
-    is from counts by score. Groups get their numbers bucket by bucket, so no
-    task sees them all; the draws are samples times groups.
+    A resample holds every group a Poisson number of times, which a seeded
+    draw from the group's own name gives wherever its rows lie: no draw is
+    dealt out or joined, and the counts by (sample, score) are summed before
+    they move. Resamples without both classes have no AUC and do not count.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(group, score).agg(F.count_if(F.col(relevant)).alias("_p"), F.count_if(~F.col(relevant)).alias("_n"))
-    dealt = counts.select(group).distinct().withColumn("_b", draw(seed, group) % 1024)
-    # At most 1,024 rows.
-    sizes = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_size"))
-    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    groups = dealt.join(F.broadcast(ahead), "_b").select(group, (F.col("_ahead") + F.row_number().over(Window.partitionBy("_b").orderBy(group))).alias("_g"))
-    n = groups.count()
-    draws = df.sparkSession.range(1, samples + 1).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_j"))
-    drawn = draws.groupBy("sample", (draw(seed, "sample", "_j") % max(n, 1) + 1).alias("_g")).agg(F.count(F.lit(1)).alias("_times")).where("_g > 0")
-    rows = drawn.join(groups, "_g").join(counts, group)
-    rows = rows.groupBy("sample", score).agg(F.sum(F.col("_p") * F.col("_times")).alias("_p"), F.sum(F.col("_n") * F.col("_times")).alias("_n"))
+    # Small counts make many rows: they are dealt out first, by number, so that they are not put back into one task.
+    dealt = counts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, score)
+    steps = F.array(*[F.lit(t).cast("long") for t in poisson_steps()])
+    times = let(draw(seed, "sample", group), lambda u: F.size(F.filter(steps, lambda t: u >= t)))
+    drawn = dealt.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("_times", times)
+    # Groups drawn no time add nothing, so no filter takes the draw apart.
+    rows = drawn.groupBy("sample", score).agg(F.sum(F.col("_p") * F.col("_times")).alias("_p"), F.sum(F.col("_n") * F.col("_times")).alias("_n"))
     below = Window.partitionBy("sample").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     won = F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2)
     each = rows.withColumn("_w", won).groupBy("sample").agg(ratio(F.sum("_w"), F.sum("_p").cast("double") * F.sum("_n")).alias("auc")).where("auc IS NOT NULL")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from shocklens.operators.documents import MARKET_CUES, SHOP_WORDS
+from shocklens.operators.reports import CUES, SHARE
+from shocklens.operators.evaluate import poisson_steps
 from shocklens.plans import DETECTED, EVENTS_SQL, PRICES, SQL
-from shocklens.plans.documents import _DATED, _SCORES
+from shocklens.plans.documents import _DATED, _SCORES, _share
 from shocklens.plans.evaluation import _SCORED
-from shocklens.plans.more import _DOWN, _UP
+from shocklens.plans.more import _DOWN, _UP, STAND_IN_CUES
 from shocklens.plans.prices import _BENCH, _C, _CASES, _FIT, _WEATHER, _WEEKLY, FLAGS, _det3
 
 
@@ -36,9 +37,9 @@ put(f"""{_QUIET}, sh AS (SELECT series, r, row_number() OVER (PARTITION BY serie
 SELECT q.series, CAST(q.date AS VARCHAR) AS date, round(sh.r, 6) AS move, round(-sh.r, 6) AS mirror FROM quiet q JOIN sh ON sh.series = q.series AND sh.k = {seeded('q.series', 'q.date')} % sh.n + 1""", "rank_16_move_donors")
 put(f"{DETECTED}, s AS (SELECT series, date, row_number() OVER (PARTITION BY series ORDER BY {seeded('date')}, date) AS place FROM det WHERE flag) SELECT series, date, CAST(place AS INTEGER) AS place FROM s WHERE place <= 5", "rank_17_label_sample")
 
-put(f"""{_SCORED}, c AS (SELECT grp, score, count(*) FILTER (relevant) AS p, count(*) FILTER (NOT relevant) AS n FROM scored GROUP BY 1, 2), g AS (SELECT grp, row_number() OVER (ORDER BY {seeded('grp')} % 1024, grp) AS i FROM (SELECT DISTINCT grp FROM c)), gn AS (SELECT count(*) AS n FROM g),
-j AS (SELECT n, unnest(range(1, n + 1)) AS j FROM gn), dr AS (SELECT sample, {seeded('sample', 'j')} % n + 1 AS i, count(*) AS times FROM j, range(1, 2001) AS x(sample) GROUP BY 1, 2),
-w AS (SELECT sample, score, sum(p * times) AS p, sum(n * times) AS n FROM dr JOIN g USING (i) JOIN c USING (grp) GROUP BY 1, 2),
+put(f"""{_SCORED}, c AS (SELECT grp, score, count(*) FILTER (relevant) AS p, count(*) FILTER (NOT relevant) AS n FROM scored GROUP BY 1, 2), gr AS (SELECT DISTINCT grp FROM c),
+dr AS (SELECT grp, sample, len(list_filter({poisson_steps()}, lambda t: u >= t)) AS times FROM (SELECT grp, sample, {seeded('sample', 'grp')} AS u FROM gr, range(1, 2001) AS x(sample))),
+w AS (SELECT sample, score, sum(p * times) AS p, sum(n * times) AS n FROM dr JOIN c USING (grp) WHERE times > 0 GROUP BY 1, 2),
 b AS (SELECT *, p * (coalesce(sum(n) OVER (PARTITION BY sample ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS won FROM w), a AS (SELECT sample, sum(won) / nullif(CAST(sum(p) AS DOUBLE) * sum(n), 0) AS auc FROM b GROUP BY sample)
 SELECT count(*) AS samples, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a WHERE auc IS NOT NULL""", "agg_26_bootstrap_auc")
 
@@ -90,8 +91,14 @@ SELECT station_id, date, concat_ws('; ', CASE WHEN tender THEN 'frost during ' |
 
 put(f"""{_DATED}, w AS (SELECT document_id, list_distinct(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS b FROM dated)
 SELECT document_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(a), 0), 0), 6) AS support FROM w""", "fn_12_lexical_support")
-_SHOWN = ", ".join(f"CAST(regexp_matches(t, '{c}') AS INTEGER)" for c in MARKET_CUES).replace("), CAST", ") + CAST")
-put(f"""{_DATED}, b AS (SELECT document_id, lower(title || ' ' || text) AS t FROM dated), s AS (SELECT document_id, {_SHOWN} AS n, regexp_matches(t, '{SHOP_WORDS}') AS shop FROM b) SELECT document_id, CAST(CASE WHEN shop THEN least(n, 2) ELSE n END AS INTEGER) AS report_score FROM s""", "fn_17_report_scores")
+_CUE_ROWS = ", ".join(f"('{m}', '{k}', '{f}', '{c}')" for m, k, _, f, c in CUES + STAND_IN_CUES)
+_SCORED_TITLES = f"""cu(market, kind, form, cue) AS (VALUES {_CUE_ROWS}),
+ti AS (SELECT document_id, lower(title) AS t, CASE series WHEN 'en' THEN 'coffee' WHEN 'de' THEN 'wheat' ELSE 'gold' END AS market, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+') AS w FROM dated),
+hi AS (SELECT document_id, t, kind FROM ti JOIN cu ON cu.market IN ('*', ti.market) AND CASE form WHEN 'word' THEN contains(' ' || array_to_string(w, ' ') || ' ', ' ' || cue || ' ') WHEN 'stem' THEN contains(' ' || array_to_string(w, ' '), ' ' || cue) ELSE contains(t, cue) END),
+ki AS (SELECT document_id, bool_or(kind = 'name') AS na, bool_or(kind = 'price') AS pr, bool_or(kind = 'exchange') AS ex, bool_or(kind = 'report') AS rp, bool_or(kind = 'move') AS mo, bool_or(kind = 'retail') AS re FROM hi GROUP BY document_id),
+po AS (SELECT ti.document_id, coalesce(ex, false) AS ex, coalesce(re, false) AS re, CAST(coalesce(na, false) AS INTEGER) + CAST(coalesce(pr, false) AS INTEGER) + CASE WHEN rp THEN 2 WHEN mo THEN 1 ELSE 0 END + CAST(regexp_matches(t, '{SHARE}') AS INTEGER) + 2 * CAST(coalesce(ex, false) AS INTEGER) AS n FROM ti LEFT JOIN ki USING (document_id)),
+report AS (SELECT document_id, CAST(CASE WHEN re AND NOT ex THEN least(n, 2) ELSE n END AS INTEGER) AS report_score FROM po)"""
+put(f"{_DATED}, {_SCORED_TITLES} SELECT document_id, report_score FROM report", "fn_17_report_scores")
 
 put("""c AS (SELECT conv_id AS day, turn, text, CAST(turn AS VARCHAR) AS id FROM conversations), a AS (SELECT conv_id AS day, CASE WHEN turn % 3 = 0 THEN 'not_shown' ELSE CAST(turn AS VARCHAR) END AS id, [' UP', 'down', '?'][CAST(length(text) % 3 AS INTEGER) + 1] AS raw, turn, row_number() OVER (PARTITION BY conv_id, CASE WHEN turn % 3 = 0 THEN NULL ELSE turn END ORDER BY turn) AS rn, text[1:40] AS quote FROM conversations),
 j AS (SELECT c.day, c.id, c.text, a.raw, a.quote, a.id IS NOT NULL AS read FROM c LEFT JOIN (SELECT * FROM a WHERE rn = 1) a USING (day, id)),
@@ -123,6 +130,10 @@ cp AS (SELECT root, count(*) AS n_copies, list(DISTINCT url) AS urls, list_sort(
 stories AS (SELECT s.*, n_copies, len(list_filter(urls, lambda u: u <> s.url)) AS other_urls, array_to_string(hosts, ',') AS domains FROM st s JOIN cp USING (root) WHERE first = 1)"""
 SQL["set_07_story_edges"] = f"WITH RECURSIVE {_KEYED}, given AS (SELECT * FROM ky), {_LINKS}, {_REACH} SELECT series, g.document_id, root AS story FROM given g JOIN rt USING (document_id)"
 SQL["set_07_stories"] = f"WITH RECURSIVE {_KEYED}, given AS (SELECT * FROM ky), {_LINKS}, {_REACH} SELECT series, document_id, n_copies, CAST(other_urls AS INTEGER) AS urls, domains FROM stories"
+SQL["rule_11_candidates"] = f"""WITH RECURSIVE {_KEYED}, {_SCORED_TITLES}, given AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, regexp_replace(split_part(url, '#', 1), '/+$', '') ORDER BY document_id) AS turn FROM ky WHERE datediff('day', published, DATE '1999-02-15') BETWEEN 0 AND 30) WHERE turn = 1), {_LINKS}, {_REACH},
+kw AS (SELECT *, regexp_extract_all(lower(title), '[a-z]+') AS th, regexp_extract_all(lower(text), '[a-z]+') AS tb FROM stories)
+SELECT series, document_id, n_copies, round(least((2 * {_share(['the', 'tion'], 'th')} + {_share(['the', 'tion'], 'tb')} + 2 * {_share(['and', 'was'], 'th')} + {_share(['and', 'was'], 'tb')}) / 6, 1), 4) AS keyword_score, report_score,
+  CAST(len(list_filter(range(1, datediff('day', published, DATE '1999-02-15') + 1), lambda i: isodow(published + CAST(i AS INTEGER)) < 6)) AS INTEGER) AS age FROM kw JOIN report USING (document_id)"""
 put(f"""{_TREND}, {DETECTED[DETECTED.index('ret AS'):]}, mo AS (SELECT series, count(*) FILTER (flag) AS flags FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS back FROM det) WHERE back <= 7 GROUP BY series),
 {_BENCH[_BENCH.index('prices AS') + len(PRICES):].lstrip(', ')}, sj AS (SELECT p.series, p.date, 100 * (price - benchmark * (100 / 2.20462::DOUBLE)) / (benchmark * (100 / 2.20462::DOUBLE)) AS s FROM prices p ASOF LEFT JOIN bench b ON p.series = b.series AND p.date >= b.known_from), sp AS (SELECT series, arg_max(s, date) AS s FROM sj WHERE s IS NOT NULL GROUP BY series),
 ob AS (SELECT series, category, importance, text FROM trend UNION ALL SELECT series, 'moves', CAST(CASE WHEN flags > 0 THEN 1 ELSE 3 END AS INTEGER), flags || ' unusual of the last 7 sessions' FROM mo UNION ALL SELECT series, 'benchmark', CAST(CASE WHEN abs(s) > 10 THEN 1 ELSE 3 END AS INTEGER), format('{{:+.1f}}% against the benchmark', s) FROM sp)

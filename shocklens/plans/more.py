@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shocklens.functions import text as T
 from shocklens.functions.numbers import by_series, one_sided_p, two_sided_p
-from shocklens.operators import brief, detect, documents, factors, forecast, joins, rank
+from shocklens.operators import brief, detect, documents, factors, forecast, joins, rank, reports
 from shocklens.plans import BY, DETECTED, PRICES, query
 from shocklens.plans.documents import _DATED, _SCORES, dated, with_scores
 from shocklens.plans.prices import _BENCH, _CASES, _CHANGES, _WEATHER, FACTORS, _benchmark, _changes, cases, detected, factor_table, weather
@@ -80,9 +80,17 @@ def fn_16_price_direction(spark, sf_dir):
     return d.select("document_id", "x.up", "x.down", "x.direction")
 
 
+# Stand-in cues: words that the given texts have.
+STAND_IN_CUES = [("wheat", "name", "de", "word", "der"), ("coffee", "name", "en", "word", "the"), ("gold", "name", "fr", "stem", "qu"), ("*", "price", "*", "part", "tion"), ("coffee", "exchange", "en", "word", "of the"), ("*", "report", "*", "stem", "vers"), ("*", "move", "*", "word", "and"), ("wheat", "retail", "de", "part", "ch"), ("*", "retail", "*", "word", "was")]
+
+
+def with_market(docs):
+    return docs.withColumn("market", F.when(F.col("series") == "en", "coffee").when(F.col("series") == "de", "wheat").otherwise("gold"))
+
+
 @query()
 def fn_17_report_scores(spark, sf_dir):
-    return dated(spark, sf_dir).select("document_id", documents.market_report_score("title", "text").alias("report_score"))
+    return reports.report_scores(with_market(dated(spark, sf_dir)), reports.cue_table(spark, reports.CUES + STAND_IN_CUES)).select("document_id", "report_score")
 
 
 @query()
@@ -296,8 +304,9 @@ def set_07_stories(spark, sf_dir):
 
 @query()
 def rule_11_candidates(spark, sf_dir):
-    d = dated(spark, sf_dir).withColumn("day", F.to_date(F.lit("1999-02-15")))
-    return documents.prepared_candidates(d, ["series"], 30, ["the", "tion"], ["and", "was"]).select("series", "document_id", "n_copies", "keyword_score", "report_score", "age")
+    d = with_market(dated(spark, sf_dir)).withColumn("day", F.to_date(F.lit("1999-02-15")))
+    cues = reports.cue_table(spark, reports.CUES + STAND_IN_CUES)
+    return documents.prepared_candidates(d, ["series"], 30, ["the", "tion"], ["and", "was"], cues).select("series", "document_id", "n_copies", "keyword_score", "report_score", "age")
 
 
 @query(f"{_SCORES} SELECT document_id FROM sc WHERE best >= 0.05")
