@@ -146,6 +146,18 @@ def token_estimate(text: str | Column) -> Column:
     return (F.floor((F.length(whole) - others) / F.lit(3.2)) + others + 1).cast("int")
 
 
+def query_text(query: str | Column) -> Column:
+    """What stands for a query before it is embedded."""
+    return F.concat(F.lit("query: "), F.trim(given(query)))
+
+
+def passage_text(title: str | Column, text: str | Column, chars: int | None = None) -> Column:
+    """What stands for a document before it is embedded: title and text, either alone where the other is empty; with ``chars`` the text's opening."""
+    body = F.trim(given(text))
+    body = F.substring(body, 1, chars) if chars else body
+    return F.concat(F.lit("passage: "), F.concat_ws(". ", F.nullif(F.trim(given(title)), F.lit("")), F.nullif(body, F.lit(""))))
+
+
 def clean_choice(value: str | Column, allowed: list[str], default: str | None) -> Column:
     plain = F.lower(F.trim(given(value)))
     return F.when(plain.isin(*allowed), plain).otherwise(F.lit(default))

@@ -104,10 +104,40 @@ def fn_19_posture(spark, sf_dir):
     return dated(spark, sf_dir).select("document_id", documents.posture("title", ["the", "of"], ["and", "that"], ["que", "der"]).alias("posture"))
 
 
-@query(f"""{_DATED} SELECT document_id, text[1:120] AS excerpt, CASE WHEN document_id % 2 = 0 THEN 'query: ' || title ELSE 'passage: ' || title || '. ' || text[1:40] END AS embedded FROM dated""")
+@query(f"""{_DATED} SELECT document_id, text[1:120] AS excerpt FROM dated""")
 def fn_22_excerpts(spark, sf_dir):
-    d = dated(spark, sf_dir)
-    return d.select("document_id", F.substring("text", 1, 120).alias("excerpt"), F.when(F.col("document_id") % 2 == 0, F.concat(F.lit("query: "), "title")).otherwise(F.concat(F.lit("passage: "), "title", F.lit(". "), F.substring("text", 1, 40))).alias("embedded"))
+    return dated(spark, sf_dir).select("document_id", F.substring("text", 1, 120).alias("excerpt"))
+
+
+@query(f"""{_DATED}, p AS (SELECT document_id, trim(title, ' ') AS t, trim(text, ' ') AS b FROM dated) SELECT document_id, 'query: ' || t AS query_text, sha256('passage: ' || concat_ws('. ', nullif(t, ''), nullif(b, ''))) AS passage_sha256 FROM p""")
+def fn_45_embedded_texts(spark, sf_dir):
+    return dated(spark, sf_dir).select("document_id", T.query_text("title").alias("query_text"), F.sha2(T.passage_text("title", "text"), 256).alias("passage_sha256"))
+
+
+@query(as_text=("date",), sql=f"""{DETECTED}, m AS (SELECT *, lag(price) OVER (PARTITION BY series ORDER BY date) AS before FROM det) SELECT series, date, CASE kind WHEN 'shock' THEN format('{{:+.1f}}% on the day', 100 * r) WHEN 'trend' THEN format('{{:+.1f}}% over ten sessions', 100 * c) ELSE format('{{:+.1f}}% on the day, {{:+.1f}}% over ten sessions', 100 * r, 100 * c) END AS description FROM m WHERE flag""")
+def prj_05_move_descriptions(spark, sf_dir):
+    return detect.move_record(detected(spark, sf_dir)).where("anomaly_flag").select("series", "date", "description")
+
+
+@query("""e AS (SELECT event_id, ts + INTERVAL 0 HOUR AS t FROM events) SELECT event_id, strftime(date_trunc('second', t) - CASE event_id % 3 WHEN 1 THEN INTERVAL 330 MINUTE ELSE INTERVAL 0 MINUTE END, '%Y-%m-%d %H:%M:%S') AS at FROM e""")
+def fn_25_feed_times(spark, sf_dir):
+    """Times written in RFC 822, with and without a weekday, by zone name or offset."""
+    i, t = F.col("event_id"), F.col("ts").cast("timestamp")
+    plain = F.date_format(t, "d MMM yyyy HH:mm:ss")
+    said = F.when(i % 3 == 0, F.concat(F.date_format(t, "EEE"), F.lit(", "), plain, F.lit(" GMT"))).when(i % 3 == 1, F.concat(plain, F.lit(" +0530"))).otherwise(F.concat(F.lit(" "), F.date_format(t, "EEE"), F.lit(", "), plain, F.lit(" +0000 ")))
+    from shocklens.functions.dates import feed_time
+
+    return tables.table(spark, sf_dir, "events").select("event_id", F.date_format(feed_time(said), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("""SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts <= (SELECT max(ts) FROM events)""")
+def prj_09_closed_window(spark, sf_dir):
+    """From a time to the last one, both included."""
+    from shocklens.functions.dates import in_window
+
+    e = tables.table(spark, sf_dir, "events")
+    last = e.agg(F.max("ts").alias("_last"))
+    return e.crossJoin(F.broadcast(last)).where(in_window("ts", F.to_timestamp(F.lit("2024-01-02")), "_last", closed=True)).select("event_id")
 
 
 @query(f"{PRICES} SELECT series, count(*) AS days, min(year(date)) AS first_year, max(year(date)) AS last_year, max(year(date)) - min(year(date)) + 1 AS chunks FROM prices GROUP BY series")

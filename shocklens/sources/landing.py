@@ -51,15 +51,41 @@ sources ARRAY<STRUCT<document_id: STRING, title: STRING, url: STRING, publicatio
 explanation_result STRUCT<decision: STRING, confidence: STRING, reason: STRING, explanation: STRING, model_used: STRING, citations: ARRAY<STRUCT<document_id: STRING, supports: STRING>>>"""
 
 
-def stored_runs(spark: SparkSession, path: str, many_lines: bool = True) -> DataFrame:
-    """Run documents (JSON, one to a file or one to a line) as rows the evaluation takes; series from a folder series=… or the file's name; unreadable ones go."""
-    raw = spark.read.schema(f"{RUN}, series STRING").option("multiLine", many_lines).option("mode", "DROPMALFORMED").json(path)
-    named = F.regexp_extract(F.col("_metadata.file_path"), r"pipeline_output_(.+)_\d{4}-\d{2}-\d{2}\.json$", 1)
-    return raw.select(
-        F.coalesce("series", F.nullif(named, F.lit(""))).alias("series"), F.to_date("anomaly.date").alias("day"), F.col("pipeline_version").try_cast("int").alias("pipeline_version"), F.coalesce("decision_mode", F.lit("legacy")).alias("decision_mode"),
+def scanned_runs(spark: SparkSession, path: str, many_lines: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(runs, rejects): run documents, one to a file or one to a line, and those that are none.
+
+    Every document is in one of the two tables, so a rate over runs knows what
+    it left out. rejects is (file, reason, record): "empty file", "not a JSON
+    object", "a field of another type", or "no day". The series is that of the
+    document, of a folder series=… or of the file's name.
+    """
+    raw = spark.read.schema(f"{RUN}, series STRING, _corrupt STRING").option("multiLine", many_lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    file = F.col("_metadata.file_path")
+    named = F.regexp_extract(file, r"pipeline_output_(.+)_\d{4}-\d{2}-\d{2}\.json$", 1)
+    bare = F.coalesce(*[F.when(F.col(c).isNotNull(), True) for c in raw.columns if c not in ("series", "_corrupt")], F.lit(False))
+    day = F.to_date(F.try_to_timestamp("anomaly.date"))
+    reason = F.when(F.col("_corrupt").isNotNull() & ~bare, "not a JSON object").when(F.col("_corrupt").isNotNull(), "a field of another type").when(day.isNull(), "no day")
+    judged = raw.withColumns({"_reason": reason, "_file": file})
+    runs = judged.where("_reason IS NULL").select(
+        F.coalesce("series", F.nullif(named, F.lit(""))).alias("series"), day.alias("day"), F.col("pipeline_version").try_cast("int").alias("pipeline_version"), F.coalesce("decision_mode", F.lit("legacy")).alias("decision_mode"),
         "anomaly.direction", F.col("anomaly.pct_move").alias("move"), F.coalesce("anomaly.price_is_usable", F.lit(True)).alias("price_is_usable"), "outcome.tier", F.coalesce("outcome.is_fault", F.lit(False)).alias("is_fault"), F.coalesce("outcome.is_refusal", F.lit(False)).alias("is_refusal"),
         F.col("gate_result.decision").alias("gate_decision"), F.col("gate_result.reason").alias("gate_reason"), F.coalesce("gate_result.accepted_document_count", F.size("gate_result.accepted_document_ids")).alias("accepted"), F.coalesce("gate_result.total_documents_considered", "documents_retrieved").alias("considered"),
         "direction_summary.consistent", "direction_summary.inconsistent", "explanation_result.decision", "explanation_result.confidence", F.col("explanation_result.model_used").alias("model"), "sources", "explanation_result.citations")
+    kept = [c for c in raw.columns if c != "_corrupt"]
+    rejects = judged.where("_reason IS NOT NULL").select(F.col("_file").alias("file"), F.col("_reason").alias("reason"), F.coalesce("_corrupt", F.to_json(F.struct(*kept))).alias("record"))
+    if many_lines:
+        # Of the files that the scan lists, on the driver as ever, those that gave no row.
+        listed = spark.createDataFrame([(f,) for f in raw.inputFiles()], "file string")
+        # A local path has one slash in a row's metadata and three in the list.
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        empty = listed.select(plain("file").alias("file")).join(judged.select(plain("_file").alias("file")), "file", "left_anti")
+        rejects = rejects.unionByName(empty.select("file", F.lit("empty file").alias("reason"), F.lit("").alias("record")))
+    return runs, rejects
+
+
+def stored_runs(spark: SparkSession, path: str, many_lines: bool = True) -> DataFrame:
+    """The runs of ``scanned_runs``."""
+    return scanned_runs(spark, path, many_lines)[0]
 
 
 def configured(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,12 +160,12 @@ def positioning(spark: SparkSession, path: str, code: str, name_part: str) -> Da
     return kept.select(F.expr("try_cast(report_date AS DATE)").alias("report_date"), *(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in numeric)).dropna(subset=["report_date"])
 
 
-def weather_json(raw: DataFrame, column: str = "body") -> DataFrame:
-    """Nested {parameter: {yyyymmdd: value}} to a row for each day."""
-    parsed = raw.select(F.from_json(column, "map<string,map<string,double>>").alias("p"))
-    long = parsed.select(F.explode("p").alias("name", "days")).select("name", F.explode("days").alias("day", "value"))
+def weather_json(raw: DataFrame, column: str = "body", *keys: str) -> DataFrame:
+    """Nested {parameter: {yyyymmdd: value}} to a row for each day, by ``keys`` (a station) beside the document."""
+    parsed = raw.select(*keys, F.from_json(column, "map<string,map<string,double>>").alias("p"))
+    long = parsed.select(*keys, F.explode("p").alias("name", "days")).select(*keys, "name", F.explode("days").alias("day", "value"))
     known = long.withColumn("value", F.when(F.col("value") != WEATHER_FILL, F.col("value")))
-    return known.groupBy(F.to_date("day", "yyyyMMdd").alias("date")).pivot("name", ["PRECTOTCORR", "T2M_MAX", "T2M_MIN"]).agg(F.first("value")).withColumnsRenamed({"PRECTOTCORR": "prcp_mm", "T2M_MAX": "tmax_c", "T2M_MIN": "tmin_c"})
+    return known.groupBy(*keys, F.to_date("day", "yyyyMMdd").alias("date")).pivot("name", ["PRECTOTCORR", "T2M_MAX", "T2M_MIN"]).agg(F.first("value")).withColumnsRenamed({"PRECTOTCORR": "prcp_mm", "T2M_MAX": "tmax_c", "T2M_MIN": "tmin_c"})
 
 
 def station_wide(records: DataFrame) -> DataFrame:
@@ -180,10 +206,13 @@ def feed_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manual_articles(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lists by series and day (…/series/day.json); entries without url or dated after the day go."""
+    """JSON lists by series and day (…/series/day.json, or folders series=…/day=…); entries without url or dated after the day go."""
     rows = spark.read.option("multiLine", True).schema("title STRING, url STRING, date STRING, text STRING").json(path)
     where = F.col("_metadata.file_path")
-    keyed = rows.select("*", F.regexp_extract(where, r"([^/]+)/[^/]+$", 1).alias("series"), F.to_date(F.regexp_extract(where, r"(\d{4}-\d{2}-\d{2})", 1)).alias("day"))
+    # A folder series=… or day=… is a column already.
+    series = F.col("series") if "series" in rows.columns else F.regexp_extract(where, r"([^/]+)/[^/]+$", 1)
+    day = F.to_date("day") if "day" in rows.columns else F.to_date(F.regexp_extract(where, r"(\d{4}-\d{2}-\d{2})", 1))
+    keyed = rows.select("title", "url", "date", "text", series.alias("series"), day.alias("day"))
     forms = [F.to_date(F.try_to_timestamp("date", F.lit(f))) for f in ("yyyy-MM-dd", "d MMM yyyy", "yyyyMMdd")]
     dated = keyed.withColumn("published", F.coalesce(*forms))
     return dated.where((F.coalesce("url", F.lit("")) != "") & F.coalesce(F.col("published") <= F.col("day"), F.lit(True)))
@@ -227,6 +256,40 @@ def write_sheet(df: DataFrame, folder: str, round_to: int = 2) -> None:
     df.select(*[F.round(c, round_to).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]).write.mode("overwrite").option("header", True).csv(folder)
 
 
+# Columns of the sheet that people label, in their order; the last is filled in by hand.
+LABEL_SHEET = ("document_id", "anomaly_date", "anomaly_move", "title", "url", "publication_date", "days_before_anomaly", "n_copies", "text_snippet", "keyword_score", "semantic_score", "anomaly_query_score", "human_label")
+
+
+def label_sheet(rows: DataFrame, old: DataFrame | None = None, keys: tuple[str, ...] = ("document_id", "anomaly_date"), snippet: int = 300) -> DataFrame:
+    """Rows as a sheet of ``LABEL_SHEET``, all texts; what a row lacks, and a label not given yet, is an empty text.
+
+    Rows of ``old``, an earlier sheet, give their labels; its labelled rows
+    that are not among the new ones stay as they were.
+    """
+    text = {"text_snippet": F.regexp_replace(F.substring(F.col("text"), 1, snippet), "\n", " ")} if "text" in rows.columns else {}
+    rounded = {c: F.round(c, 4) for c, t in rows.dtypes if t == "double"}
+    given = rows.withColumns(text | rounded)
+    blank = lambda df: df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in LABEL_SHEET])
+    new = blank(given.drop("human_label"))
+    if old is None:
+        return new
+    marked = blank(old).where(F.trim("human_label") != "")
+    labels = marked.select(*keys, F.col("human_label").alias("_given"))
+    kept = new.join(labels, list(keys), "left").withColumn("human_label", F.coalesce("_given", F.lit(""))).select(*LABEL_SHEET)
+    return kept.unionByName(marked.join(new.select(*keys), list(keys), "left_anti").select(*LABEL_SHEET))
+
+
+def read_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """A sheet as it was written; empty cells are empty texts."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
+    return rows.fillna("")
+
+
+def write_label_sheet(sheet: DataFrame, folder: str) -> None:
+    """CSV with a header, empty columns among the others."""
+    sheet.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+
+
 def write_shown(df: DataFrame, folder: str) -> None:
     """The text given to a reader, by series and day, in order."""
     df.repartition("series", "date").sortWithinPartitions("series", "date", "place").write.mode("overwrite").partitionBy("series", "date").json(folder)
