@@ -84,13 +84,18 @@ def gate(docs: DataFrame, keys: list[str], mode: str = "dual") -> DataFrame:
     accepted = counted & passes(mode)
     out = docs.groupBy(*keys).agg(
         F.count("document_id").alias("considered"), F.count_if(counted).alias("above_floor"), F.count_if(accepted).alias("accepted"),
-        F.coalesce(F.max(F.when(counted, best_score())), F.lit(0.0)).alias("best_score"),
-        F.transform(F.array_sort(F.collect_list(F.when(accepted, F.struct((-best_score()).alias("s"), F.col("document_id").alias("id"))))), lambda x: x["id"]).alias("accepted_ids"))
+        F.coalesce(F.max(F.when(counted, best_score())), F.lit(0.0)).alias("best_score"))
     reason = F.when(F.col("considered") == 0, "no_documents_retrieved").when(F.col("above_floor") == 0, "all_documents_below_noise_floor").when(F.col("accepted") == 0, "documents_retrieved_but_below_relevance_threshold").otherwise(
         F.concat(F.col("accepted").cast("string"), F.lit("_document(s)_above_threshold")))
     return out.withColumns({"decision": F.when(F.col("accepted") > 0, "EXPLAIN").otherwise("INSUFFICIENT_EVIDENCE"), "reason": reason})
 
 
+def accepted_documents(docs: DataFrame, keys: list[str], mode: str = "dual") -> DataFrame:
+    """The documents behind a gate's decision, with their place: the best score first, ties by id."""
+    held = docs.where(F.col("document_id").isNotNull() & (best_score() >= FLOOR) & passes(mode))
+    return held.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(best_score().desc(), "document_id")))
+
+
 def reading_candidates(docs: DataFrame, age: str = "age") -> DataFrame:
     """Documents the gate accepts, and recent ones just under its bar, marked."""
     passed = (best_score() >= FLOOR) & passes()

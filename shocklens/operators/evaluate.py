@@ -124,12 +124,16 @@ def best_thresholds(curve: DataFrame, *keys: str, precision: float = 0.9, least:
 def left_out_selection(df: DataFrame, fold: str, score: str = "score", relevant: str = "relevant") -> DataFrame:
     """Best-F1 threshold of all other folds, applied to the fold left out, pooled into one confusion row.
 
-    Counts by (fold, score) come first; a fold's curve adds up those of all other folds, so its
-    work is folds times distinct scores and folds, not rows.
+    The curve of all other folds is the whole curve less the fold's own counts,
+    which differ at the fold's own scores only: rows are distinct scores times
+    folds, and the own counts meet them by fold and score.
     """
     steps = df.where(F.col(score).isNotNull()).groupBy(fold, score).agg(F.count(F.lit(1)).alias("_n"), F.count_if(relevant).alias("_r"))
-    folds = steps.select(F.col(fold).alias("_out")).distinct()
-    train = folds.join(steps, F.col("_out") != F.col(fold)).groupBy("_out", score).agg(F.sum("_n").alias("_n"), F.sum("_r").alias("_r"))
+    whole = steps.groupBy(score).agg(F.sum("_n").alias("_wn"), F.sum("_r").alias("_wr"))
+    names = steps.agg(F.collect_set(fold).alias("_folds"))  # one row with the stated folds
+    every = whole.crossJoin(F.broadcast(names)).select(score, "_wn", "_wr", F.explode("_folds").alias("_out"))
+    own = steps.select(F.col(fold).alias("_out"), score, "_n", "_r")
+    train = every.join(own, ["_out", score], "left").select("_out", score, (F.col("_wn") - F.coalesce("_n", F.lit(0))).alias("_n"), (F.col("_wr") - F.coalesce("_r", F.lit(0))).alias("_r")).where("_n > 0")
     above = Window.partitionBy("_out").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
     curve = train.withColumns({"_flagged": F.sum("_n").over(above), "_tp": F.sum("_r").over(above), "_all": F.sum("_r").over(Window.partitionBy("_out"))})
     chosen = curve.groupBy("_out").agg(F.max_by(score, F.struct(ratio(2 * F.col("_tp"), F.col("_flagged") + F.col("_all")).alias("f"), F.col(score).alias("s"))).alias("_cut"))

@@ -159,7 +159,12 @@ def prj_10_relevance(spark, sf_dir):
 SELECT series, day, considered, above_floor, accepted, round(best_score, 6) AS best_score, CASE WHEN accepted > 0 THEN 'EXPLAIN' ELSE 'INSUFFICIENT_EVIDENCE' END AS decision,
   CASE WHEN considered = 0 THEN 'no_documents_retrieved' WHEN above_floor = 0 THEN 'all_documents_below_noise_floor' WHEN accepted = 0 THEN 'documents_retrieved_but_below_relevance_threshold' ELSE accepted || '_document(s)_above_threshold' END AS reason FROM g""")
 def rule_02_gate(spark, sf_dir):
-    return documents.gate(with_scores(spark, sf_dir), ["series", "day"]).drop("accepted_ids")
+    return documents.gate(with_scores(spark, sf_dir), ["series", "day"])
+
+
+@query(as_text=("day",), sql=f"{_SCORES} SELECT series, day, document_id, CAST(row_number() OVER (PARTITION BY series, day ORDER BY best DESC, document_id) AS INTEGER) AS place FROM sc WHERE best >= 0.05 AND pass")
+def rule_02_accepted(spark, sf_dir):
+    return documents.accepted_documents(with_scores(spark, sf_dir), ["series", "day"]).select("series", "day", "document_id", "place")
 
 
 @query(f"{_SCORES}, c AS (SELECT *, CAST(document_id % 6 AS INTEGER) AS age FROM sc) SELECT document_id, best >= 0.05 AND pass AS passed_gate FROM c WHERE (best >= 0.05 AND pass) OR (age BETWEEN 0 AND 3 AND coalesce(sem >= 0.8, false))")

@@ -17,6 +17,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -43,8 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder; its lineage ends there.
 
-    Any executor can read it again after another one is lost, and Spark's
-    cleaner removes it once nothing refers to it.
+    Any executor can read it again after another one is lost. Spark removes it
+    once nothing refers to it if the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints, as ``local_session``
+    sets; without it the files stay until the folder's owner clears it.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
