@@ -32,9 +32,10 @@ def rare_index(sets: DataFrame, keys: list[str], similar: float) -> DataFrame:
     on; those of one text alone come first and meet nothing.
     """
     one = sets.select(*keys, "id", "site", F.size("s").alias("n"), F.explode("s").alias("g"))
-    often = one.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy(*keys, "g"))).where("f > 1")
+    # Counted before they move, then met: a shingle of very many texts is split by the join and not held by a task.
+    often = one.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # As many entries as the text has shingles.
-    ordered = often.groupBy(*keys, "id", "site", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
+    ordered = one.join(often, [*keys, "g"]).groupBy(*keys, "id", "site", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
     alone = F.col("n") - F.size("o")
     most = F.greatest(F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1 - alone, F.lit(0)).cast("int")
     held = ordered.select(*keys, "id", "site", "n", alone.alias("alone"), F.posexplode(F.slice("o", 1, most)).alias("i", "x"))
@@ -91,7 +92,8 @@ def similar_links(sets: DataFrame, keys: list[str], similar: float) -> DataFrame
 
     Two texts of one key link if the Jaccard similarity of their shingle sets
     is at least ``similar`` and they are not of one site (a null site is none).
-    Sets must be distinct and not empty within a key, ids within the table. A
+    Sets must be distinct and not empty within a key, ids within the table;
+    rows with a null among the keys link with nothing. A
     family around a centre costs its size; texts under one shingle that leave
     room for the similarity but do not reach it cost the square of their number
     over ``SHARE`` in rows.
@@ -99,10 +101,14 @@ def similar_links(sets: DataFrame, keys: list[str], similar: float) -> DataFrame
     sets = saved(sets.select(*keys, "id", "site", "s"))
     index = saved(rare_index(sets, keys, similar))
     # Alike texts differ in size by a factor of 1 / similar at most: a centre for each class of sizes, and one of another site.
-    sized = Window.partitionBy(*keys, "g", F.floor(F.log("n") / float(-np.log(similar))))
-    met = index.withColumn("_c", F.min(F.struct("id", "site")).over(sized)).withColumn("_far", F.coalesce(F.col("site") != F.col("_c.site"), F.lit(True)))
-    met = met.withColumn("_d", F.min(F.when(F.col("_far") & (F.col("id") != F.col("_c.id")), F.col("id"))).over(sized))
-    met = met.withColumn("c", F.when(F.col("_far"), F.col("_c.id")).otherwise(F.col("_d"))).where("c <> id")
+    sized = index.withColumn("size", F.floor(F.log("n") / float(-np.log(similar))))
+    firsts = saved(sized.groupBy(*keys, "g", "size", "site").agg(F.min("id").alias("id")))
+    near = firsts.groupBy(*keys, "g", "size").agg(F.min(F.struct("id", "site")).alias("_c"))
+    other = firsts.join(near, [*keys, "g", "size"]).where("id <> _c.id AND coalesce(site <> _c.site, true)").groupBy(*keys, "g", "size").agg(F.min("id").alias("_d"))
+    centres = near.select(*keys, "g", "size", "_c", F.lit(None).cast(dict(sets.dtypes)["id"]).alias("_d")).unionByName(other.select(*keys, "g", "size", F.lit(None).cast(dict(near.dtypes)["_c"]).alias("_c"), "_d"))
+    centres = centres.groupBy(*keys, "g", "size").agg(F.max("_c").alias("_c"), F.max("_d").alias("_d"))
+    met = sized.join(centres, [*keys, "g", "size"])
+    met = met.withColumn("c", F.when(F.coalesce(F.col("site") != F.col("_c.site"), F.lit(True)), F.col("_c.id")).otherwise(F.col("_d"))).where("c <> id")
     # A text goes to the centres that it meets most often; what that leaves apart is settled below.
     met = met.groupBy(*keys, "id", "c").agg(F.count(F.lit(1)).alias("often"))
     best = F.row_number().over(Window.partitionBy(*keys, "id").orderBy(F.desc("often"), "c"))
@@ -110,10 +116,10 @@ def similar_links(sets: DataFrame, keys: list[str], similar: float) -> DataFrame
     first = saved(_confirmed(met.select(*keys, F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), sets, keys, similar))
     roots = connected_components(first).withColumnRenamed("node", "id")
     rooted = index.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    whole = Window.partitionBy(*keys, "g")
-    apart = F.min("root").over(whole) != F.max("root").over(whole)
-    sites = F.coalesce(F.min("site").over(whole) != F.max("site").over(whole), F.lit(True)) | (F.count("site").over(whole) < F.count(F.lit(1)).over(whole))
-    crowd = saved(rooted.withColumns({"_apart": apart & sites, "f": F.count(F.lit(1)).over(whole)}).where("_apart").drop("_apart"))
+    rooted = saved(rooted)
+    sites = (F.min("site") != F.max("site")) | (F.count("site") < F.count(F.lit(1)))
+    apart = rooted.groupBy(*keys, "g").agg((F.min("root") != F.max("root")).alias("_apart"), F.coalesce(sites, F.lit(True)).alias("_sites"), F.count(F.lit(1)).alias("f")).where("_apart AND _sites")
+    crowd = saved(rooted.drop("f").join(apart.drop("_apart", "_sites"), [*keys, "g"]))
     rest = _few(crowd, keys, similar).unionByName(_many(crowd, keys, similar)).distinct()
     return first.unionByName(_confirmed(rest, sets, keys, similar))
 
