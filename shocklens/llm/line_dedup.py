@@ -141,9 +141,10 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataF
     def kept(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
         return pa.array((t if b is None else kept_lines(t, b)[2] for t, b in ((t.as_py(), b.as_py()) for t, b in zip(texts, bitmaps, strict=True))), pa.string())
 
-    rows = docs.select("doc_id", F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    # The text travels once, beside the other columns.
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"))
     joined = rows.join(keep_bitmaps(docs, min_chars), "doc_id", "left").select("row", kept("text", "bitmap").alias("text"))
-    row = F.col("row").withField("text", F.col("text"))
-    if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return joined.select(row.alias("row")).select("row.*")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    new = {"text": F.col("text")} | ({"n_chars": size.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
