@@ -164,6 +164,17 @@ def _usable() -> Column:
     return F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def _sampled(distinct: DataFrame, n: int, most: int) -> np.ndarray:
+    """The vectors of smallest hash, ``most`` of them at most; only rows below a bar on the hash come to the driver."""
+    h = F.shiftrightunsigned(F.xxhash64("embedding"), 1)
+    rows = distinct.select("embedding", h.alias("h"))
+    if n > most:
+        # Some more than wanted are expected, so that the smallest ones are among them.
+        rows = rows.where(F.col("h") <= min((1 << 63) - 1, int((1 << 63) * ((most + 4 * most**0.5) / n))))
+    held = rows.toArrow().sort_by("h").slice(0, most).column("embedding").combine_chunks()
+    return held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+
+
 def link_vectors(distinct: DataFrame, cosine: float = COSINE, deviations: float = DEVIATIONS, lists: int | None = None, tile: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """(node, linked, a, b) over distinct vectors (node, m, embedding) of one length.
 
@@ -180,9 +191,7 @@ def link_vectors(distinct: DataFrame, cosine: float = COSINE, deviations: float
         return spark.createDataFrame([], schema)
     root = int(np.ceil(n**0.5))
     lists, tile = lists or min(root, MAX_LISTS), tile or max(TILE, root)
-    drawn = distinct.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(min(sample, 32 * lists)).toArrow().column("embedding").combine_chunks()
-    drawn = drawn.flatten().to_numpy(zero_copy_only=False).reshape(len(drawn), -1)
-    sent = spark.sparkContext.broadcast(Quantizer.fit(drawn, lists))
+    sent = spark.sparkContext.broadcast(Quantizer.fit(drawn := _sampled(distinct, n, min(sample, 32 * lists)), lists))
     # A vector at the bound lies sqrt(1 - cosine^2) off, in a direction of which a border sees one of as many parts as there are dimensions.
     reach = min((2 - 2 * cosine) ** 0.5, deviations * (1 - cosine**2) ** 0.5 / drawn.shape[1] ** 0.5)
 
