@@ -278,7 +278,8 @@ def test_curves_against_brute_force(spark):
     p, n = [s for s, r, _ in data if r], [s for s, r, _ in data if not r]
     assert one(evaluate.auc(df)).auc == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in p for b in n) / len(p) / len(n))
     boot = one(evaluate.bootstrap_auc(df, "grp", 300))
-    assert boot.lo <= one(evaluate.auc(df)).auc <= boot.hi and boot.samples == 300
+    # Groups count a Poisson number of times: of 300 resamples of four groups some 300 e^-4 hold none and have no AUC.
+    assert boot.lo <= one(evaluate.auc(df)).auc <= boot.hi and 285 <= boot.samples <= 300
 
 
 def test_stratified_and_nearest(spark):
