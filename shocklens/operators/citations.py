@@ -21,8 +21,13 @@ def better_documents(claims: DataFrame, shown: DataFrame) -> DataFrame:
     a claim's k words as its own one, own_held, holds one of any k - own_held +
     1 of them. So only the posting lists of the rarest as many are read; a
     well supported claim reads one or two short lists, and no claim meets
-    documents with which it shares no word.
+    documents with which it shares no word. A claim that its document holds by
+    half or less would read most lists: there the common words are counted
+    from the lists themselves, and no set of words is looked at.
     """
+    weak = F.col("own_held") * 2 <= F.size("words")
+    counted = _counted(claims.where(weak), shown)
+    claims = claims.where(~weak)
     posted = shown.select("run_id", "doc", F.explode("words").alias("w"))
     often = posted.groupBy("run_id", "w").agg(F.count(F.lit(1)).alias("f"))
     asked = claims.select(*CLAIM, "own_held", F.size("words").alias("k"), F.explode("words").alias("w")).join(often, ["run_id", "w"])
@@ -32,7 +37,14 @@ def better_documents(claims: DataFrame, shown: DataFrame) -> DataFrame:
     met = asked.select(*CLAIM, "w").join(posted, ["run_id", "w"]).select(*CLAIM, "doc").distinct()
     both = met.join(claims.withColumnRenamed("words", "_c"), CLAIM).join(shown.withColumnRenamed("words", "_d"), ["run_id", "doc"])
     both = both.select(*CLAIM, "doc", "own", "own_held", F.size(F.array_intersect("_c", "_d")).alias("held"))
-    return both.where("held >= own_held").select(*CLAIM, "doc", "own", "own_held", "held")
+    return both.where("held >= own_held").select(*CLAIM, "doc", "own", "own_held", "held").unionByName(counted)
+
+
+def _counted(claims: DataFrame, shown: DataFrame) -> DataFrame:
+    """The same by counting the lists of all words of a claim."""
+    posted = shown.select("run_id", "doc", F.explode("words").alias("w"))
+    held = claims.select(*CLAIM, F.explode("words").alias("w")).join(posted, ["run_id", "w"]).groupBy(*CLAIM, "doc").agg(F.count(F.lit(1)).alias("held"))
+    return held.join(claims.drop("words"), CLAIM).where("held >= own_held").select(*CLAIM, "doc", "own", "own_held", "held")
 
 
 def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.15, top: int = 3, least_shown: int = 6, similarity: Callable[[Column, Column], Column] = T.lexical_support) -> DataFrame:
