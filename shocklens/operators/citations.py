@@ -2,49 +2,109 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shocklens.functions import text as T
 from shocklens.functions.numbers import ratio
+from shocklens.session import saved
 
 CLAIM = ["run_id", "claim_id"]
+#: Documents of a block, claims of a chunk, and the most words of a block that are rows of bytes.
+BLOCK, CHUNK, DENSE = 16_384, 65_536, 4_096
 
 
 def better_documents(claims: DataFrame, shown: DataFrame) -> DataFrame:
-    """(run_id, claim_id, better, ahead, doc, held): per claim and document, for documents that support it as well as its own or better.
+    """(run_id, claim_id, better, tied, top, near), one row a claim: documents of its run that hold more of its words than its own one, and as many with a smaller id; the most words that one holds, and the first that does.
 
     ``claims`` is (run_id, claim_id, words, own, own_held), ``shown`` (run_id,
-    doc, words) with distinct words. A document that holds at least as many of
-    a claim's k words as its own one, own_held, holds one of any k - own_held +
-    1 of them. So only the posting lists of the rarest as many are read; a
-    well supported claim reads one or two short lists, and no claim meets
-    documents with which it shares no word. A claim that its document holds by
-    half or less would read most lists: there the common words are counted
-    from the lists themselves, and no set of words is looked at.
+    doc, words) with distinct words without spaces, ids distinct in a run. A
+    run's documents are dealt to blocks and its claims to chunks of bounded
+    size by hash. Each block meets each chunk in one task, which adds up the
+    words' rows of documents, one byte a document, and sends one row a claim;
+    no pair is shuffled. Pairs of a run are looked at all, so its time grows
+    with their number.
     """
-    weak = F.col("own_held") * 2 <= F.size("words")
-    counted = _counted(claims.where(weak), shown)
-    claims = claims.where(~weak)
-    posted = shown.select("run_id", "doc", F.explode("words").alias("w"))
-    often = posted.groupBy("run_id", "w").agg(F.count(F.lit(1)).alias("f"))
-    asked = claims.select(*CLAIM, "own_held", F.size("words").alias("k"), F.explode("words").alias("w")).join(often, ["run_id", "w"])
-    # Words that no document has come first and have empty lists.
-    asked = asked.withColumn("place", F.row_number().over(Window.partitionBy(*CLAIM).orderBy("f", "w")) + F.col("k") - F.count(F.lit(1)).over(Window.partitionBy(*CLAIM)))
-    asked = asked.where(F.col("place") <= F.col("k") - F.greatest(F.col("own_held"), F.lit(1)) + 1)
-    met = asked.select(*CLAIM, "w").join(posted, ["run_id", "w"]).select(*CLAIM, "doc").distinct()
-    both = met.join(claims.withColumnRenamed("words", "_c"), CLAIM).join(shown.withColumnRenamed("words", "_d"), ["run_id", "doc"])
-    both = both.select(*CLAIM, "doc", "own", "own_held", F.size(F.array_intersect("_c", "_d")).alias("held"))
-    return both.where("held >= own_held").select(*CLAIM, "doc", "own", "own_held", "held").unionByName(counted)
-
-
-def _counted(claims: DataFrame, shown: DataFrame) -> DataFrame:
-    """The same by counting the lists of all words of a claim."""
-    posted = shown.select("run_id", "doc", F.explode("words").alias("w"))
-    held = claims.select(*CLAIM, F.explode("words").alias("w")).join(posted, ["run_id", "w"]).groupBy(*CLAIM, "doc").agg(F.count(F.lit(1)).alias("held"))
-    return held.join(claims.drop("words"), CLAIM).where("held >= own_held").select(*CLAIM, "doc", "own", "own_held", "held")
+    parts = F.ceil(F.col("count") / CHUNK).alias("chunks")
+    sizes = shown.groupBy("run_id").count().select("run_id", F.ceil(F.col("count") / BLOCK).alias("blocks")).join(claims.groupBy("run_id").count().select("run_id", parts), "run_id")
+    sizes = saved(sizes)
+    groups = sizes.agg(F.sum(F.col("blocks") * F.col("chunks"))).first()[0] or 1
+    zero, keys = F.lit(0).cast("long"), ["run_id", "block", "chunk"]
+    joined = F.array_join("words", " ").alias("words")
+    docs = shown.select("run_id", "doc", joined).join(sizes, "run_id").select("run_id", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"), "doc", "words")
+    asked = claims.select(*CLAIM, joined, "own", F.col("own_held").cast("long").alias("own_held")).join(sizes, "run_id")
+    # Claims of the same words are in one chunk and counted once there.
+    asked = asked.select(*CLAIM, "own", "own_held", "words", F.pmod(F.xxhash64("words"), F.col("chunks")).alias("chunk"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"))
+    kinds = dict(claims.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in CLAIM) + ", better long, tied long, top long, near string"
+    spread = max(groups, int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = asked.repartition(min(spread, 4096), *keys).groupBy(*keys).cogroup(docs.repartition(min(spread, 4096), *keys).groupBy(*keys)).applyInArrow(_counted, schema)
+    found = met.groupBy(*CLAIM).agg(F.sum("better").alias("better"), F.sum("tied").alias("tied"), F.min(F.struct((-F.col("top")).alias("h"), "near")).alias("_n"))
+    return found.select(*CLAIM, "better", "tied", (-F.col("_n.h")).alias("top"), "_n.near")
+
+
+def _split(words: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """(words, row of each) of space-joined words."""
+    lists = pc.split_pattern(words.combine_chunks(), " ")
+    flat, row = lists.flatten(), pc.list_parent_indices(lists)
+    given = pc.not_equal(flat, "")
+    return flat.filter(given), row.filter(given).to_numpy()
+
+
+def _counted(claims: pa.Table, shown: pa.Table) -> pa.Table:
+    """Counts of one chunk of claims over one block of documents."""
+    out: list[list] = [[], [], [], []]
+    if len(claims) and len(shown):
+        shown = shown.take(pc.sort_indices(shown.column("doc")))
+        names, n = shown.column("doc").to_pylist(), len(shown)
+        alike = claims.column("words").combine_chunks().dictionary_encode()
+        flat, row = _split(pa.chunked_array([alike.dictionary]))
+        coded = flat.dictionary_encode()
+        word, vocabulary = coded.indices.to_numpy(), len(coded.dictionary)
+        starts = np.searchsorted(row, np.arange(len(alike.dictionary) + 1))
+        held, at = _split(shown.column("words"))
+        code = pc.index_in(held, value_set=coded.dictionary)
+        known = pc.is_valid(code)
+        code, at = code.filter(known).to_numpy(), at[known.to_numpy(zero_copy_only=False)]
+        # Frequent words are rows of bytes, the others lists of documents.
+        often = np.bincount(code, minlength=vocabulary)
+        dense = np.argsort(-often, kind="stable")[:DENSE]
+        dense = dense[often[dense] > n / 32]
+        line = np.full(vocabulary, -1)
+        line[dense] = np.arange(len(dense))
+        rows = np.zeros((len(dense), n), np.uint8)
+        common = line[code] >= 0
+        rows[line[code[common]], at[common]] = 1
+        code, at = code[~common], at[~common]
+        order = np.argsort(code, kind="stable")
+        listed, ends = at[order], np.searchsorted(code[order], np.arange(vocabulary + 1))
+        of = alike.indices.to_numpy()
+        turn = np.argsort(of, kind="stable")
+        own, least, last, count = claims.column("own").to_pylist(), claims.column("own_held").to_numpy(), -1, np.zeros(0)
+        result = np.zeros((3, len(claims)), np.int64)
+        near: list = [None] * len(claims)
+        for i in turn.tolist():
+            if of[i] != last:
+                last = of[i]
+                wanted = word[starts[last] : starts[last + 1]]
+                count = np.zeros(n, np.uint8 if len(wanted) < 256 else np.int32)
+                for w in wanted.tolist():
+                    if line[w] >= 0:
+                        np.add(count, rows[line[w]], out=count)
+                    else:
+                        count[listed[ends[w] : ends[w + 1]]] += 1
+                first = int(count.argmax())
+            result[:, i] = np.count_nonzero(count > least[i]), np.count_nonzero(count[: bisect_left(names, own[i])] == least[i]), count[first]
+            near[i] = names[first]
+        out = [*result, near]
+    ids = {c: claims.column(c).slice(0, len(out[0])) for c in CLAIM}
+    return pa.table(ids | {c: pa.array(x, pa.string() if c == "near" else pa.int64()) for c, x in zip(("better", "tied", "top", "near"), out, strict=True)})
 
 
 def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.15, top: int = 3, least_shown: int = 6, similarity: Callable[[Column, Column], Column] = T.lexical_support) -> DataFrame:
@@ -59,24 +119,19 @@ def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.15, t
     shown, has no rank. A claim that shares a number with its document is
     never weak or low.
     """
-    docs = shown.groupBy("run_id", T.citation_id("document_id").alias("doc")).agg(F.max(T.given("text")).alias("text"))
-    order = Window.partitionBy("run_id").orderBy("doc")
-    docs = docs.withColumns({"turn": F.row_number().over(order), "shown": F.count(F.lit(1)).over(Window.partitionBy("run_id")), "first": F.first("doc").over(order)})
+    held = shown.select("run_id", T.citation_id("document_id").alias("doc"), T.given("text").alias("text"))
+    docs = held.groupBy("run_id", "doc").agg(F.max("text").alias("text"))
     claims = citations.select(*CLAIM, "claim", T.citation_id("cited_id").alias("own"))
-    joined = claims.join(docs.withColumnRenamed("doc", "own"), ["run_id", "own"], "left").withColumn("found", F.col("turn").isNotNull())
-    own = joined.where("found").withColumns({
-        "support": similarity(F.col("claim"), F.col("text")), "shared_numbers": F.size(F.array_intersect(T.numbers("claim"), T.numbers("text"))), "words": F.array_distinct(T.word_tokens("claim")),
-    })
-    own = own.withColumn("own_held", F.size(F.array_intersect("words", T.word_tokens("text"))))
-    ranked = own.where(T.given("claim") != "")
-    near = better_documents(ranked.select(*CLAIM, "words", "own", "own_held"), docs.select("run_id", "doc", F.array_distinct(T.word_tokens("text")).alias("words")))
-    counts = near.groupBy(*CLAIM).agg(
-        F.count_if(F.col("held") > F.col("own_held")).alias("better"), F.count_if((F.col("held") == F.col("own_held")) & (F.col("doc") < F.col("own"))).alias("tied"),
-        F.count_if(F.col("doc") < F.col("own")).alias("before"), F.min(F.struct((-F.col("held")).alias("h"), "doc"))["doc"].alias("near"))
-    # Without a common word every document that shares none comes by id, after all that do.
-    place = F.when(F.col("own_held") > 0, F.coalesce("tied", F.lit(0))).otherwise(F.col("turn") - 1 - F.coalesce("before", F.lit(0)))
-    ranks = ranked.join(counts, CLAIM, "left").select(*CLAIM, (1 + F.coalesce("better", F.lit(0)) + place).cast("int").alias("support_rank"), F.coalesce("near", "first").alias("closest"))
-    out = joined.select(*CLAIM, F.col("own").alias("document_id"), "shown").join(own.select(*CLAIM, "support", "shared_numbers"), CLAIM, "left").join(ranks, CLAIM, "left")
+    joined = claims.join(docs.withColumnRenamed("doc", "own"), ["run_id", "own"], "left")
+    words = F.array_distinct(T.word_tokens("claim"))
+    own = saved(joined.select(
+        *CLAIM, "own", F.col("text").isNotNull().alias("found"), (T.given("claim") != "").alias("said"), similarity(F.col("claim"), F.col("text")).alias("support"),
+        F.size(F.array_intersect(T.numbers("claim"), T.numbers("text"))).alias("shared_numbers"), words.alias("words"), F.size(F.array_intersect(words, T.word_tokens("text"))).alias("own_held")))
+    near = better_documents(own.where("found AND said").select(*CLAIM, "words", "own", "own_held"), docs.select("run_id", "doc", F.array_distinct(T.word_tokens("text")).alias("words")))
+    ranks = near.select(*CLAIM, (1 + F.col("better") + F.col("tied")).cast("int").alias("support_rank"), F.col("near").alias("closest"))
+    numbers = held.select("run_id", "doc").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("shown"))
+    known = own.join(numbers, "run_id", "left").select(*CLAIM, F.col("own").alias("document_id"), *[F.when(F.col("found"), F.col(c)).alias(c) for c in ("shown", "support", "shared_numbers")])
+    out = known.join(ranks, CLAIM, "left")
     plain = F.col("shared_numbers") == 0
     flag = F.when(F.col("support").isNull(), "missing_document").when(plain & (F.col("support") < weak), "weak_support").when(plain & (F.col("shown") >= least_shown) & (F.col("support_rank") > top), "low_rank").otherwise("ok")
     return out.select(*CLAIM, "document_id", "support", "support_rank", "shown", "shared_numbers", "closest", flag.alias("flag"))

@@ -56,6 +56,26 @@ def test_a_supported_claim_reads_short_lists(spark):
     assert citations.better_documents(asked, docs).count() == 400
 
 
+def test_weak_claims_send_one_row_each(spark):
+    docs = spark.createDataFrame([("r", f"d{i:03}", f"the of u{i}") for i in range(300)], "run_id string, doc string, text string").selectExpr("run_id", "doc", "split(text, ' ') AS words")
+    asked = spark.createDataFrame([("r", i, f"the of x{i} y{i}", f"d{i:03}") for i in range(300)], "run_id string, claim_id long, claim string, own string").selectExpr("run_id", "claim_id", "split(claim, ' ') AS words", "own", "2 AS own_held")
+    got = citations.better_documents(asked, docs).collect()
+    assert len(got) == 300 and all((r.better, r.tied, r.top, r.near) == (0, r.claim_id, 2, "d000") for r in got)
+
+
+@pytest.mark.parametrize(("block", "chunk", "dense"), [(3, 4, 2), (7, 1000, 0), (1000, 2, 1)])
+def test_blocks_and_chunks_leave_the_ranks(spark, monkeypatch, block, chunk, dense):
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("DENSE", dense)):
+        monkeypatch.setattr(citations, name, value)
+    rng = random.Random(5)
+    text = lambda most: " ".join(rng.choices([f"w{chr(97 + i)}" for i in range(26)], [1 / (1 + i) for i in range(26)], k=rng.randrange(most)))
+    shown = [(f"r{i % 2}", f"d{i // 2}", text(30)) for i in range(50)]
+    claims = [(f"r{i % 2}", i, " ".join(f"{a}{b}" for a in "xyz" for b in range(120)) + " wa" if i == 9 else text(8), f"d{rng.randrange(25)}") for i in range(40)]
+    got = citations.citation_audit(spark.createDataFrame(claims, "run_id string, claim_id long, claim string, cited_id string"), spark.createDataFrame(shown, "run_id string, document_id string, text string")).collect()
+    have = [(r.run_id, r.claim_id, None if r.support is None else round(r.support, 9), r.support_rank, r.shared_numbers, r.closest, r.flag) for r in got]
+    assert sorted(have, key=str) == _audit(claims, shown)
+
+
 def test_report_counts_flags_and_loose_ids(spark):
     audit = spark.createDataFrame([("r", "ok"), ("r", "weak_support"), ("s", "ok")], "run_id string, flag string")
     loose = spark.createDataFrame([("s", "zz"), ("s", "zz"), ("t", "y")], "run_id string, document_id string")
