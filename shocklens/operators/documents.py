@@ -171,18 +171,22 @@ def prepared_candidates(docs: DataFrame, keys: list[str], before: int, terms: li
 
 
 def price_direction(title: str | Column, text: str | Column, up: dict[str, float], down: dict[str, float]) -> Column:
-    """struct(up, down, direction, confidence) from weighted word counts, the title twice."""
+    """struct(up, down, direction, confidence) from weighted word counts, the title twice.
+
+    Weights count to a millionth and are added as whole numbers, so equal sums
+    are equal whatever words they come from.
+    """
     def weight(words: dict[str, float]) -> Column:
-        values = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+        values = F.create_map(*[F.lit(x) for k, w in words.items() for x in (k, round(w * 1_000_000))]).cast("map<string,bigint>")
 
         def inside(x: Column) -> Column:
-            return F.aggregate(T.word_tokens(x), F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(values, t), F.lit(0.0)))
+            return F.aggregate(T.word_tokens(x), F.lit(0).cast("long"), lambda s, t: s + F.coalesce(F.try_element_at(values, t), F.lit(0).cast("long")))
 
         return 2 * inside(F.col(title) if isinstance(title, str) else title) + inside(F.col(text) if isinstance(text, str) else text)
 
     u, d = weight(up), weight(down)
     lean = F.when(u > d, "up").when(d > u, "down").otherwise("neutral")
-    return F.struct(u.alias("up"), d.alias("down"), lean.alias("direction"), F.coalesce(ratio(F.abs(u - d), u + d), F.lit(0.0)).alias("confidence"))
+    return F.struct((u / 1_000_000).alias("up"), (d / 1_000_000).alias("down"), lean.alias("direction"), F.coalesce(ratio(F.abs(u - d), u + d), F.lit(0.0)).alias("confidence"))
 
 
 def usable_readings(readings: DataFrame, variants: tuple[str, ...] = (), fresh: int = FRESH) -> DataFrame:

@@ -151,3 +151,10 @@ def test_scans_refuse_and_sinks_round(spark, tmp_path):
     manual.mkdir(parents=True)
     (manual / "2020-01-05.json").write_text('[{"title": "t", "url": "u", "date": "4 Jan 2020"}, {"title": "late", "url": "v", "date": "20200109"}, {"title": "none", "date": "2020-01-01"}]')
     assert [(r.series, str(r.day), r.title, str(r.published)) for r in landing.manual_articles(spark, str(tmp_path / "manual/*/*.json")).collect()] == [("coffee", "2020-01-05", "t", "2020-01-04")]
+
+
+def test_equal_word_weights_have_no_direction(spark):
+    df = spark.createDataFrame([("", "that " * 20 + "and " * 7), ("that", "with " * 2), ("", "that " * 20 + "and " * 6)], "title string, text string")
+    got = [tuple(r.x) for r in df.select(documents.price_direction("title", "text", {"the": 1.0, "that": 0.35}, {"and": 1.0, "with": 0.35}).alias("x")).collect()]
+    assert [g[:3] for g in got] == [(7.0, 7.0, "neutral"), (0.7, 0.7, "neutral"), (7.0, 6.0, "up")]
+    assert got[0][3] == 0.0 and abs(got[2][3] - 1 / 13) < 1e-12
