@@ -158,3 +158,13 @@ def test_equal_word_weights_have_no_direction(spark):
     got = [tuple(r.x) for r in df.select(documents.price_direction("title", "text", {"the": 1.0, "that": 0.35}, {"and": 1.0, "with": 0.35}).alias("x")).collect()]
     assert [g[:3] for g in got] == [(7.0, 7.0, "neutral"), (0.7, 0.7, "neutral"), (7.0, 6.0, "up")]
     assert got[0][3] == 0.0 and abs(got[2][3] - 1 / 13) < 1e-12
+
+
+def test_excerpts_have_the_embedded_text_too(spark, sf_dir):
+    rows = plans.QUERIES["fn_22_excerpts"](spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.document_id]
+        title = text and text.split("\n")[0]
+        assert r.embedded == (text if text is None else f"query: {title}" if r.document_id % 2 == 0 else f"passage: {title}. {text[:40]}")
