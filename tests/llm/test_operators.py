@@ -429,6 +429,21 @@ def test_quality_rank_against_plain_python(spark, docs, sf_dir):
         assert abs(one[i][1] - s) < 1e-9 and one[i][2] == (s >= 0.3) and one[i][0] == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
+def test_quality_rank_learns_from_every_label(spark, monkeypatch):
+    monkeypatch.setattr(quality_rank, "SHARE", 300)
+    rows = [(i, ("12 34 " if i % 2 else "plain words ") * (3 + i % 7)) for i in range(900)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    whole = [{r.doc_id: r.score for r in quality_rank.rank_quality(docs.repartition(n), labels.repartition(n)).collect()} for n in (1, 5)]
+    assert whole[0] == whole[1] and all((s >= 0.3) == bool(i % 2) for i, s in whole[0].items())
+    seen = []
+    monkeypatch.setattr(quality_rank, "fit_whole", lambda labelled, share: seen.append((labelled.count(), share)))
+    quality_rank.rank_quality(docs, labels)
+    assert seen[0][0] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)
+    for g, p in ((3, 40), (40, 3), (50, 30), (30, 50), (1, 1)):
+        a, b = quality_rank._matched(g, p)
+        assert set(a) == set(range(g)) and set(b) == set(range(p)) and len(set(zip(a, b))) == len(a)
+
+
 def test_quality_rank_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(6, 1), (7, 0), (10, 0), (None, 1), (12, 0), (11, None), (14, 1), (14, 1)], "doc_id long, quality int")
     rows = quality_rank.rank_quality(odd, labels).collect()
