@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,15 +105,31 @@ def shingles(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None =
 
 
 def shingle_hashes(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None = None) -> Column:
-    """``shingles`` as distinct 64-bit hashes, in the same order."""
+    """``shingles`` as distinct 64-bit hashes, ascending; each word is hashed once, runs of them batch by batch."""
     whole = given(text)
     words = word_tokens(F.substring(whole, 1, chars) if chars else whole)
 
-    def runs(w: Column) -> Column:
-        starts = F.slice(w, 1, F.greatest(F.size(w) - (width - 1), F.lit(0)))
-        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.element_at(w, i + k) for k in range(2, width + 1)]))
-
-    return F.array_distinct(let(words, runs))
+    @F.arrow_udf("array<long>")
+    def runs(hashed: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(hashed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, row = hashed.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(size)), size)
+        mixed = np.zeros(len(flat), np.uint64)
+        for k in range(width):
+            # Powers of an odd number, so that the order of the words counts.
+            mixed[: len(flat) - k] += flat[k:] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64))
+        whole_run = np.arange(len(flat)) + width <= np.repeat(np.cumsum(size), size)
+        mixed, row = mixed[whole_run], row[whole_run]
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        found = (mixed ^ (mixed >> np.uint64(33))).view(np.int64)
+        order = np.lexsort((found, row))
+        found, row = found[order], row[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+        ends = np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(size)))]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found[new]))
+
+    return runs(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:

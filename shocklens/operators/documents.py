@@ -121,7 +121,8 @@ def story_links(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> D
     titled = d.where("_t <> ''")
     same = titled.withColumn("a", F.min("document_id").over(Window.partitionBy(*keys, "_t"))).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
     # Copies of one text are one on each host; a host's smallest id stands for them there.
-    hosts = saved(d.where(F.size("_s") > 0).groupBy(*keys, "_h", F.xxhash64(F.array_sort("_s")).alias("_x")).agg(F.min("document_id").alias("document_id"), F.first("_s").alias("_s")))
+    # Texts without shingles go after the grouping, so that no filter works the shingles out a second time.
+    hosts = saved(d.groupBy(*keys, "_h", F.xxhash64("_s").alias("_x")).agg(F.min("document_id").alias("document_id"), F.first("_s").alias("_s")).where(F.size("_s") > 0))
     # One text on several hosts is a star, whatever the number of hosts; only a text of one host has a site.
     site = F.when(F.min("_h") == F.max("_h"), F.min("_h"))
     texts = saved(hosts.groupBy(*keys, "_x").agg(F.min("document_id").alias("id"), site.alias("site"), F.first("_s").alias("s")))

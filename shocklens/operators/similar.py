@@ -31,11 +31,13 @@ def rare_index(sets: DataFrame, keys: list[str], similar: float) -> DataFrame:
     ``sets`` is (keys, id, site, s). Places are counted from the rarest shingle
     on; those of one text alone come first and meet nothing.
     """
-    one = sets.select(*keys, "id", "site", F.size("s").alias("n"), F.explode("s").alias("g"))
+    # Three numbers move for each shingle; keys of equal hash share counts only, texts of two keys never meet.
+    one = sets.dropna(subset=keys).select("id", F.xxhash64(*keys).alias("k"), F.explode("s").alias("g"))
     # Counted before they move, then met: a shingle of very many texts is split by the join and not held by a task.
-    often = one.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    often = one.groupBy("k", "g").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # As many entries as the text has shingles.
-    ordered = one.join(often, [*keys, "g"]).groupBy(*keys, "id", "site", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
+    ordered = one.join(often, ["k", "g"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("o"))
+    ordered = ordered.join(sets.select(*keys, "id", "site", F.size("s").alias("n")), "id")
     alone = F.col("n") - F.size("o")
     most = F.greatest(F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1 - alone, F.lit(0)).cast("int")
     held = ordered.select(*keys, "id", "site", "n", alone.alias("alone"), F.posexplode(F.slice("o", 1, most)).alias("i", "x"))

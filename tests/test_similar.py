@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shocklens.functions import text as T
 from shocklens.operators import similar
 from shocklens.operators.graph import connected_components
 
@@ -100,3 +101,25 @@ def test_index_places_count_from_the_rarest(spark):
     df = spark.createDataFrame([("a", 1, None, [1, 2, 3]), ("a", 2, None, [2, 3, 4]), ("a", 3, None, [3, 2])], "k string, id long, site string, s array<long>")
     index = similar.rare_index(df, ["k"], 0.1)
     assert {(r.id, r.g, r.place) for r in index.where(F.col("id") < 3).collect()} == {(1, 2, 1), (1, 3, 2), (2, 2, 1), (2, 3, 2)}
+
+
+def test_shingle_hashes_stand_for_shingles(spark):
+    rng = random.Random(3)
+    texts = [None, "", "a b c d", "a b c d e", "e d c b a", "A b, c d e! a b c d e", *(" ".join(rng.choices("abcd", k=rng.randrange(40))) for _ in range(200))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(T.shingles("text").alias("s"), T.shingle_hashes("text").alias("h")).collect()
+    named = {}
+    for r in rows:
+        assert len(r.s) == len(r.h) and r.h == sorted(r.h)
+        for g in r.h:
+            named.setdefault(g, []).append(set(r.s))
+    # A number stands for one run of words in all texts that have it, and for no other.
+    meant = [set.intersection(*x) for x in named.values()]
+    assert all(meant) and len(named) == len(set().union(*(r.s for r in rows)))
+
+
+def test_an_index_row_moves_numbers_only(spark):
+    df = spark.createDataFrame([("a", 1, "h", [1, 2]), ("a", 2, "h", [2, 3]), ("b", 3, "h", [2]), (None, 4, "h", [2])], "k string, id long, site string, s array<long>")
+    assert {(r.k, r.id, r.g, r.f) for r in similar.rare_index(df, ["k"], 0.1).collect()} == {("a", 1, 2, 2), ("a", 2, 2, 2)}
+    moved = similar.rare_index(df, ["k"], 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in moved.splitlines() if "Generate explode" in x)
+    assert "site" not in line
