@@ -134,7 +134,10 @@ def shingle_hashes(text: str | Column, width: int = SHINGLE_WORDS, chars: int |
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """0 where either is empty."""
-    return F.coalesce(ratio(F.size(F.array_intersect(col(a), col(b))), F.when((F.size(col(a)) > 0) & (F.size(col(b)) > 0), F.size(F.array_union(col(a), col(b))))), F.lit(0.0))
+    def share(x: Column, y: Column) -> Column:
+        return F.coalesce(ratio(F.size(F.array_intersect(x, y)), F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_union(x, y)))), F.lit(0.0))
+
+    return let(col(a), lambda x: let(col(b), lambda y: share(x, y)))
 
 
 def quote_in_text(quote: str | Column, text: str | Column, share: float = 0.8) -> Column:

@@ -107,6 +107,24 @@ def _counted(claims: pa.Table, shown: pa.Table) -> pa.Table:
     return pa.table(ids | {c: pa.array(x, pa.string() if c == "near" else pa.int64()) for c, x in zip(("better", "tied", "top", "near"), out, strict=True)})
 
 
+def _cited_texts(citations: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows shown, documents with their greatest text, claims beside the text they cite, null if it was not shown)."""
+    held = shown.select("run_id", T.citation_id("document_id").alias("doc"), T.given("text").alias("text"))
+    docs = held.groupBy("run_id", "doc").agg(F.max("text").alias("text"))
+    claims = citations.select(*CLAIM, "claim", T.citation_id("cited_id").alias("own"))
+    return held, docs, claims.join(docs.withColumnRenamed("doc", "own"), ["run_id", "own"], "left")
+
+
+def citation_support(citations: DataFrame, shown: DataFrame, similarity: Callable[[Column, Column], Column] = T.lexical_support) -> DataFrame:
+    """(run_id, claim_id, document_id, support) of each cited claim as ``citation_audit`` has them; support is null if the document was not shown.
+
+    A claim meets only the text it cites, so the time grows with the rows; the
+    other documents of its run matter for its rank alone.
+    """
+    _, _, joined = _cited_texts(citations, shown)
+    return joined.select(*CLAIM, F.col("own").alias("document_id"), F.when(F.col("text").isNotNull(), similarity(F.col("claim"), F.col("text"))).alias("support"))
+
+
 def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.15, top: int = 3, least_shown: int = 6, similarity: Callable[[Column, Column], Column] = T.lexical_support) -> DataFrame:
     """For each cited claim: was the document shown, do words or numbers support the claim, and how does it rank among those shown.
 
@@ -119,10 +137,7 @@ def citation_audit(citations: DataFrame, shown: DataFrame, weak: float = 0.15, t
     shown, has no rank. A claim that shares a number with its document is
     never weak or low.
     """
-    held = shown.select("run_id", T.citation_id("document_id").alias("doc"), T.given("text").alias("text"))
-    docs = held.groupBy("run_id", "doc").agg(F.max("text").alias("text"))
-    claims = citations.select(*CLAIM, "claim", T.citation_id("cited_id").alias("own"))
-    joined = claims.join(docs.withColumnRenamed("doc", "own"), ["run_id", "own"], "left")
+    held, docs, joined = _cited_texts(citations, shown)
     words = F.array_distinct(T.word_tokens("claim"))
     own = saved(joined.select(
         *CLAIM, "own", F.col("text").isNotNull().alias("found"), (T.given("claim") != "").alias("said"), similarity(F.col("claim"), F.col("text")).alias("support"),

@@ -5,6 +5,8 @@ import re
 
 import pytest
 
+from shocklens import plans
+from shocklens.functions import text as T
 from shocklens.operators import citations, documents
 
 
@@ -76,6 +78,19 @@ def test_blocks_and_chunks_leave_the_ranks(spark, monkeypatch, block, chunk, den
     assert sorted(have, key=str) == _audit(claims, shown)
 
 
+def test_support_of_any_similarity_needs_no_ranks(spark, sf_dir):
+    claims = spark.createDataFrame([("r", 1, "Frost in May", "doc_a"), ("r", 2, "no frost", "b"), ("r", 3, "frost", "c"), ("r", 4, None, "a"), ("s", 5, "frost", "a"), ("r", 6, "", "a")], "run_id string, claim_id long, claim string, cited_id string")
+    shown = spark.createDataFrame([("r", "a", "frost, may"), ("r", "a", None), ("r", "b", None), ("r", "d", "no frost")], "run_id string, document_id string, text string")
+    similar = lambda a, b: T.jaccard(T.ascii_tokens(a), T.ascii_tokens(b))
+    for f in (T.lexical_support, similar):
+        want = {r.claim_id: (r.run_id, r.document_id, r.support) for r in citations.citation_audit(claims, shown, similarity=f).collect()}
+        assert {r.claim_id: (r.run_id, r.document_id, r.support) for r in citations.citation_support(claims, shown, f).collect()} == want
+    assert {i: w[2] for i, w in want.items()} == {1: 2 / 3, 2: 0.0, 3: None, 4: 0.0, 5: None, 6: 0.0}
+    # The query asks for support alone, so no claim may meet the other documents of its run.
+    plans.load()
+    assert "CoGroups" not in plans.QUERIES["udf_01_audit_by_similarity"](spark, sf_dir)._jdf.queryExecution().toString()
+
+
 def test_report_counts_flags_and_loose_ids(spark):
     audit = spark.createDataFrame([("r", "ok"), ("r", "weak_support"), ("s", "ok")], "run_id string, flag string")
     loose = spark.createDataFrame([("s", "zz"), ("s", "zz"), ("t", "y")], "run_id string, document_id string")
