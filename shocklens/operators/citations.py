@@ -16,8 +16,8 @@ from shocklens.functions.numbers import ratio
 from shocklens.session import saved
 
 CLAIM = ["run_id", "claim_id"]
-#: Documents of a block, claims of a chunk, and the most words of a block that are rows of bytes.
-BLOCK, CHUNK, DENSE = 16_384, 65_536, 4_096
+#: Documents of a block, claims of a chunk, the most words of a block that are rows of bytes, and documents whose words are split at once.
+BLOCK, CHUNK, DENSE, SLICE = 16_384, 65_536, 4_096, 1_024
 
 
 def better_documents(claims: DataFrame, shown: DataFrame) -> DataFrame:
@@ -68,10 +68,14 @@ def _counted(claims: pa.Table, shown: pa.Table) -> pa.Table:
         coded = flat.dictionary_encode()
         word, vocabulary = coded.indices.to_numpy(), len(coded.dictionary)
         starts = np.searchsorted(row, np.arange(len(alike.dictionary) + 1))
-        held, at = _split(shown.column("words"))
-        code = pc.index_in(held, value_set=coded.dictionary)
-        known = pc.is_valid(code)
-        code, at = code.filter(known).to_numpy(), at[known.to_numpy(zero_copy_only=False)]
+        codes, places = [], []
+        for k in range(0, n, SLICE):
+            held, at = _split(shown.column("words").slice(k, SLICE))
+            found = pc.index_in(held, value_set=coded.dictionary)
+            known = pc.is_valid(found)
+            codes.append(found.filter(known).to_numpy())
+            places.append((at[known.to_numpy(zero_copy_only=False)] + k).astype(np.int32))
+        code, at = np.concatenate(codes), np.concatenate(places)
         # Frequent words are rows of bytes, the others lists of documents.
         often = np.bincount(code, minlength=vocabulary)
         dense = np.argsort(-often, kind="stable")[:DENSE]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shocklens.functions import text as T
 from shocklens.operators import citations, documents, runs
 from shocklens.plans import query
-from shocklens.plans.documents import _SCORES, dated, with_scores
+from shocklens.plans.documents import _SCORES, dated, with_next_title, with_scores
 
 _RUNS = f"""{_SCORES}, g AS (SELECT series, day, count(*) AS considered, count(*) FILTER (best >= 0.05) AS above, count(*) FILTER (best >= 0.05 AND pass) AS accepted,
   count(*) FILTER (document_id % 3 = 0) AS consistent, count(*) FILTER (document_id % 3 = 2) AS inconsistent, min(document_id) AS least FROM sc GROUP BY 1, 2),
@@ -139,11 +138,10 @@ _AUDITED = f"""{_SCORES}, cx AS (SELECT *, series || '-' || (document_id % 60) /
 
 
 def _cited(spark, sf_dir):
-    d = dated(spark, sf_dir)
-    following = F.lead("title", 1).over(Window.partitionBy("series").orderBy("document_id"))
-    d = d.withColumns({"run_id": F.concat_ws("-", "series", F.floor(F.col("document_id") % 60 / 14).cast("string")), "claim": F.when(F.col("document_id") % 4 == 0, F.col("title")).otherwise(F.coalesce(following, "title"))})
+    d = dated(spark, sf_dir).withColumn("run_id", F.concat_ws("-", "series", F.floor(F.col("document_id") % 60 / 14).cast("string")))
+    said = with_next_title(d).withColumn("claim", F.when(F.col("document_id") % 4 == 0, F.col("title")).otherwise(F.col("next_title")))
     cited = F.when(F.col("document_id") % 7 == 0, F.lit("doc_none")).otherwise(F.concat(F.lit("doc_"), F.col("document_id").cast("string")))
-    return d.select("run_id", F.col("document_id").alias("claim_id"), "claim", cited.alias("cited_id")), d.select("run_id", F.col("document_id").cast("string").alias("document_id"), "text")
+    return said.select("run_id", F.col("document_id").alias("claim_id"), "claim", cited.alias("cited_id")), d.select("run_id", F.col("document_id").cast("string").alias("document_id"), "text")
 
 
 @query(f"{_AUDITED} SELECT run_id, claim_id, document_id, round(support, 6) AS support, CAST(support_rank AS INTEGER) AS support_rank, shown, CAST(shared_numbers AS INTEGER) AS shared_numbers, closest, flag FROM fa")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from shocklens import plans
 from shocklens.functions.numbers import draw, two_sided_p
 from shocklens.operators import brief, documents, evaluate, rank, stage
+from shocklens.plans import documents as plan_documents
+from shocklens.plans import stage as plan_stage
 from shocklens.sources import landing
 
 plans.load()
@@ -120,6 +122,27 @@ def test_stage_marks_faults(spark):
     assert stage.decision_stage(days.limit(0), docs, readings).count() == 0
 
 
+def test_next_titles_need_no_whole_series(spark, sf_dir, monkeypatch, tmp_path):
+    monkeypatch.setattr(plan_documents, "IDS", 8)
+    rows = [(s, i, None if i % 7 == 3 else f"{s}{i}") for s, step in (("a", 1), ("b", 5), (None, 40), ("c", 900)) for i in range(-20, 60, step)]
+    want = {}
+    for s in {r[0] for r in rows}:
+        own = sorted((i, t) for x, i, t in rows if x == s)
+        want |= {(s, i): own[min(k + 1, len(own) - 1)][1] for k, (i, _) in enumerate(own)}
+    df = spark.createDataFrame(rows, "series string, document_id long, title string").repartition(3)
+    got = plan_documents.with_next_title(df)
+    assert got.columns == [*df.columns, "next_title"] and {(r.series, r.document_id): r.next_title for r in got.collect()} == want
+    assert got.count() == len(rows)
+    # The readings of the largest series are dealt to several tasks.
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held = plan_stage.stage_readings(spark, str(tmp_path)).groupBy("series", F.spark_partition_id().alias("p")).agg(F.count("cause").alias("k")).groupBy("series").agg(F.max("k").alias("most"), F.sum("k").alias("n")).orderBy(F.desc("n")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert held.most < held.n
+
+
 def test_signature_needs_every_field(spark):
     trials = spark.createDataFrame([(1, "x", 1, "a"), (2, "x", None, "a"), (3, "y", 1, "a"), (4, "x", 1, "b")], "id int, provider string, seed int, experiment string")
     own, others = stage.with_signature(trials, {"provider": "x", "seed": 1}, ["a"])
