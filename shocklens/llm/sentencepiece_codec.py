@@ -1,20 +1,22 @@
 """SentencePiece BPE encoding by suffix-array matching, and decoding.
 
-The distinct words of a batch that are new to the worker are joined to one
-text. Its suffix array is searched for every piece of the model by binary
-search; each occurrence is an edge from its first to its last character. Sorted
-by position, the edges are relaxed word by word: of the edges that span exactly
-two neighbouring symbols each word takes the one with the best score, leftmost
-first, until none is left. That is the model's own merge order, so the ids are
-those of the library. Characters that no piece covers become their bytes.
+The distinct words of a batch that are new to the worker (runs of letters or of
+other characters, as no piece mixes them) are joined to one text. Its suffix array is searched for every piece of the model by binary
+search; each occurrence is an edge from its first to its last character, kept
+by position and length. The edges are relaxed word by word: of the edges that
+span exactly two neighbouring symbols each word takes the one with the best
+score, leftmost first, until none is left. That is the model's own merge order,
+so the ids are those of the library. Characters that no piece covers become
+their bytes.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,40 +25,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Characters indexed in one go, words relaxed side by side, words a worker remembers.
+#: Characters indexed in one go, characters of words relaxed side by side, words and ids a worker remembers.
 INDEXED = 1 << 19
 SIDE_BY_SIDE = 128
 REMEMBERED = 400_000
+REMEMBERED_IDS = 1 << 22
+#: The rank of a span that is no piece.
+NONE = 1 << 30
 #: Characters of documents whose ids are put together in one go.
 PENDING = 1 << 21
 
 
-def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
-    """Suffix order by the first ``width`` characters at least.
+def words_of(pieces: list[str]) -> re.Pattern[str]:
+    """What no piece goes beyond: words, each with the spaces before it, and if no piece mixes letters with other characters, runs of either."""
+    letters = {x for piece in pieces for x in piece if x.isalpha()}
+    if not letters or any((a in letters) != (b in letters) for piece in pieces for a, b in itertools.pairwise(piece.lstrip(SPACE))):
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    own = "".join(sorted(letters))
+    return re.compile(f"{SPACE}*[{own}]+|{SPACE}*[^{own}{SPACE}]+|{SPACE}+")
 
-    The characters, numbered densely, are packed as many to a word as fit; one
-    sort orders suffixes by that many, and prefix doubling does the rest.
+
+def packed(columns: Iterable[np.ndarray], bits: int) -> np.ndarray:
+    """Columns of numbers of so many bits, the first one highest, as one number a row."""
+    key = None
+    for x in columns:
+        key = x.astype(np.int64) if key is None else key << bits | x
+    return key
+
+
+def suffix_array(dense: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffix order by the first ``width`` numbers at least.
+
+    The numbers, of so many bits each, are packed as many to a word as fit; one
+    sort orders suffixes by that many, and sorts by the ranks of the suffixes
+    that follow do the rest. Also returned are the packed words by position,
+    with zeros behind the end, and how many numbers each holds.
     """
-    seen = np.zeros(int(codes.max()) + 1, bool)
-    seen[codes] = True
-    dense = np.cumsum(seen)[codes].astype(np.int64)
-    bits = int(dense.max()).bit_length()
-    step = min(width, 62 // bits)
-    key = np.zeros(len(dense), np.int64)
+    n, step = len(dense), min(width, 62 // bits)
+    key = np.zeros(n + width, np.int64)
     for i in range(step):
-        key <<= bits
-        key[: max(len(dense) - i, 0)] |= dense[i:]
-    order = np.argsort(key)
-    while step < width:
-        sorted_key = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
-        key = rank * (len(rank) + 2)
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key)
-        step *= 2
-    return order
+        key[:n] <<= bits
+        key[: max(n - i, 0)] |= dense[i:]
+    order = np.argsort(key[:n])
+    by, reach = key[:n], step
+    each = (n + 1).bit_length()
+    while reach < width:
+        ordered = by[order]
+        rank = np.zeros(n + width, np.int64)
+        rank[order] = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]])
+        ahead = range(0, min(width, reach * (62 // each)), reach)
+        by = packed((rank[k : n + k] for k in ahead), each)
+        order = np.argsort(by)
+        reach *= len(ahead)
+    return order, key, step
+
+
+def utf8_size(codes: np.ndarray) -> np.ndarray:
+    """Bytes of each character."""
+    return 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+
+
+class Numbers(dict):
+    """The number of each word; a word that is new gets the next one and is listed."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
 
 
 class Codec:
@@ -67,20 +105,26 @@ class Codec:
         names = [model.id_to_piece(i) for i in self.pieces]
         if any(SPACE in x.lstrip(SPACE) for x in names):
             raise ValueError("pieces that go on after a space are not supported")
+        self.word = words_of(names)
         score = np.array([model.get_score(i) for i in self.pieces])
         self.longest = max(map(len, names))
         self.size = np.array([len(x) for x in names], np.int64)
         # Equal scores get equal ranks, so that of them the leftmost goes first.
-        self.rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)
-        self.ids = np.array(self.pieces, np.int64)
-        self.low = np.array(names, f"U{self.longest}")
-        self.high = np.array([x.ljust(self.longest, "\U0010ffff") for x in names], f"U{self.longest}")
-        self.of_byte = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
+        self.rank = np.r_[np.unique(-score, return_inverse=True)[1].astype(np.int64), NONE]
+        self.ids = np.array(self.pieces, "<i4")
+        # The characters of pieces, numbered from 1; each piece is a row of numbers, then zeros.
+        letters = np.unique(np.frombuffer("".join(names).encode("utf-32-le"), np.uint32))
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[letters] = np.arange(1, len(letters) + 1)
+        self.spelled = self.number[np.array(names, f"U{self.longest}").view(np.uint32).reshape(len(names), -1)]
+        of_byte = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         self.unknown = model.unk_id()
+        self.of_byte = np.array([of_byte.get(b, self.unknown) for b in range(256)], "<i4") if of_byte else None
         self.shown = [b"" if model.is_control(i) else bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         if self.unknown >= 0:
             self.shown[self.unknown] = " ⁇ ".encode()
-        self.known: dict[str, bytes] = {}
+        self.shown_size = np.array([len(x) for x in self.shown], np.int64)
+        self._forget()
         self._check(model, names)
 
     def _check(self, model: sentencepiece.SentencePieceProcessor, names: list[str]) -> None:
@@ -92,106 +136,118 @@ class Codec:
             if next(self.encode(iter([text]))).tolist() != model.encode(text):
                 raise ValueError("only BPE models without a normalizer and without user-defined pieces are supported")
 
-    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start * width + length, index of the piece) of every occurrence of every piece, by position."""
-        order = suffix_array(codes, self.longest)
-        padded = np.r_[codes, np.zeros(self.longest, np.uint32)]
-        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.longest)[order]).view(f"U{self.longest}")[:, 0]
-        first, end = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
+    def _forget(self) -> None:
+        self.known = Numbers()
+        #: By word: where its ids begin (the last entry is where they end), and whether they decode to the word.
+        self.begins, self.faithful, self.learned = np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, "<i4")
+
+    def edges(self, codes: np.ndarray) -> np.ndarray:
+        """By position and length, flat: index of the piece that occurs there, -1 where none does."""
+        width, numbers = self.longest, self.number[codes]
+        seen = np.zeros(int(self.number.max()) + 1, bool)
+        seen[numbers] = True
+        seen[0] = False
+        dense = np.cumsum(seen) * seen
+        bits = max(int(dense.max()).bit_length(), 1)
+        order, key, step = suffix_array(dense[numbers], bits, width)
+        # Pieces with a character that the text lacks do not occur.
+        piece = np.flatnonzero((dense[self.spelled] > 0).sum(1) == self.size)
+        spelled = np.zeros((len(piece), -(-width // step) * step), np.int64)
+        spelled[:, :width] = dense[self.spelled[piece]]
+        size = self.size[piece]
+        low = packed(spelled[:, :step].T, bits)
+        ordered = key[order]
+        first, end = np.searchsorted(ordered, low, "left"), np.searchsorted(ordered, low | self._open(size, step, bits), "right")
+        for k in range(step, width, step):
+            # Longer pieces: in the range of what came before, suffixes stand in the order of what follows.
+            more = np.flatnonzero((size > k) & (first < end))
+            low = packed(spelled[more, k : k + step].T, bits)
+            high = low | self._open(size[more] - k, step, bits)
+            bounds = [self._bound(key, order, k, x, first[more], end[more]) for x in (low, high + 1)]
+            first[more], end[more] = bounds
         counts = end - first
-        piece = np.repeat(np.arange(len(counts)), counts)
-        within = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = order[first[piece] + within]
-        key = start * (self.longest + 1) + self.size[piece]
-        by_place = np.argsort(key)
-        return key[by_place], piece[by_place]
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = order[np.repeat(first, counts) + within] * (width + 1) + np.repeat(size, counts)
+        found = np.full(len(codes) * (width + 1), -1, np.int32)
+        found[at] = np.repeat(piece, counts)
+        return found
+
+    @staticmethod
+    def _open(size: np.ndarray, step: int, bits: int) -> np.ndarray:
+        """Ones at the places of a packed word that a piece of so many numbers leaves open."""
+        return (np.int64(1) << bits * np.maximum(step - size, 0)) - 1
+
+    @staticmethod
+    def _bound(key: np.ndarray, order: np.ndarray, ahead: int, least: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The first place from low to high whose suffix has ``least`` or more so many characters ahead, else high."""
+        low, high = low.copy(), high.copy()
+        while (going := low < high).any():
+            middle = (low + high) // 2
+            less = going & (key[order[np.where(going, middle, 0)] + ahead] < least)
+            low = np.where(less, middle + 1, low)
+            high = np.where(going & ~less, middle, high)
+        return low
 
     def _learn(self, words: list[str]) -> None:
-        joined = "\0".join(words)
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        keys, piece = self.edges(codes)
-        if not len(keys):
-            keys, piece = np.array([-1]), np.array([0])
+        # The marks around words are in no piece, so nothing spans them.
+        codes = np.frombuffer("\0".join(["", *words, ""]).encode("utf-32-le"), np.uint32)
+        found = self.edges(codes)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        begins = np.cumsum(sizes + 1) - sizes - 1
+        begins = np.cumsum(sizes + 1) - sizes
+        end, symbol = np.arange(1, len(codes) + 1), np.ones(len(codes), bool)
         short = sizes <= SIDE_BY_SIDE
-        self._side_by_side([w for w, s in zip(words, short, strict=True) if s], begins[short], sizes[short], codes, keys, piece)
-        for w, b, n in zip(np.flatnonzero(~short).tolist(), begins[~short].tolist(), sizes[~short].tolist(), strict=True):
-            self.known[words[w]] = self._one(codes, b, n, keys, piece)
-
-    def _found(self, start: np.ndarray, end: np.ndarray, keys: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Index of the piece that spans start to end, -1 where none does."""
-        size = end - start
-        key = start * (self.longest + 1) + size
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where((size <= self.longest) & (keys[at] == key), piece[at], -1)
-
-    def _side_by_side(self, words: list[str], begins: np.ndarray, sizes: np.ndarray, codes: np.ndarray, keys: np.ndarray, piece: np.ndarray) -> None:
-        row = np.repeat(np.arange(len(words)), sizes)
-        start = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
-        end = start + 1
-        none = len(self.rank) + 1
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        span = np.r_[self._found(start[:-1], end[1:], keys, piece), -1]
-        span[np.r_[row[1:] != row[:-1], True]] = -1
-        while len(row):
-            rank = np.where(span >= 0, self.rank[span], none)
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            lengths = np.diff(np.r_[first, len(row)])
-            place = np.arange(len(row))
-            best = np.minimum.reduceat(rank * (len(row) + 1) + place, first)
-            over = best // (len(row) + 1) == none
-            gone = np.repeat(over, lengths)
-            if over.any():
-                done.append((row[gone], start[gone], end[gone]))
-            left = (best % (len(row) + 1))[~over]
-            end[left] = end[left + 1]
-            stay = ~gone
-            stay[left + 1] = False
-            moved = np.cumsum(stay) - 1
-            row, start, end, span = row[stay], start[stay], end[stay], span[stay]
-            if not len(row):
+        self._side_by_side(begins[short], sizes[short], found, end, symbol)
+        for b, n in zip(begins[~short].tolist(), sizes[~short].tolist(), strict=True):
+            self._one(b, n, found, end, symbol)
+        symbol[begins - 1] = symbol[-1] = False
+        start = np.flatnonzero(symbol)
+        ids, counts = self._ids(found[start * (self.longest + 1) + end[start] - start], codes[start])
+        cuts = np.r_[0, np.cumsum(counts)][np.searchsorted(start, np.r_[begins, len(codes)])]
+        self.faithful = np.r_[self.faithful, self._decodes(words, ids, cuts)]
+        self.begins = np.r_[self.begins, self.begins[-1] + cuts[1:]]
+        self.learned = np.r_[self.learned, ids]
+
+    def _side_by_side(self, begins: np.ndarray, sizes: np.ndarray, found: np.ndarray, end: np.ndarray, symbol: np.ndarray) -> None:
+        """Merges each word in its own order: ``end`` gets the ends of symbols, ``symbol`` is cleared inside of them."""
+        width, n = self.longest + 1, len(end)
+        before = np.arange(-1, n - 1)
+        each = n.bit_length()
+        none = NONE << each
+
+        def offers(a: np.ndarray) -> np.ndarray:
+            """Rank and place of the piece that the symbol at a and the next one make."""
+            size = end[end[a]] - a
+            return self.rank[np.where(size < width, found[a * width + np.minimum(size, width - 1)], -1)] << each | a
+
+        # A segment is a word that still merges, with the mark before it, which offers nothing.
+        segment = sizes + 1
+        place = np.repeat(begins - 1 - np.cumsum(segment) + segment, segment) + np.arange(segment.sum())
+        offered, slot = offers(place), np.zeros(n, np.int64)
+        slot[place] = np.arange(len(place))
+        while len(segment):
+            best = np.minimum.reduceat(offered, np.cumsum(segment) - segment)
+            goes = best < none
+            best = best[goes]
+            if 4 * len(best) < 3 * len(goes):
+                stay = np.repeat(goes, segment)
+                place, offered, segment = place[stay], offered[stay], segment[goes]
+                slot[place] = np.arange(len(place))
+            if not len(best):
                 break
+            left = best & ((1 << each) - 1)
+            gone = end[left]
+            after = end[gone]
+            end[left], before[after], symbol[gone] = after, left, False
+            offered[slot[gone]] = none
             # Only the merged symbols and their left neighbours span something new.
-            at = moved[left]
-            changed = np.zeros(len(row), bool)
-            changed[at] = changed[np.maximum(at - 1, 0)] = True
-            at = np.flatnonzero(changed)
-            inner = at[at + 1 < len(row)]
-            inner = inner[row[inner] == row[inner + 1]]
-            span[at] = -1
-            span[inner] = self._found(start[inner], end[inner + 1], keys, piece)
-        row, start, end = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
-        # Words lie in the text in the order of their rows.
-        order = np.argsort(start)
-        row, start, end = row[order], start[order], end[order]
-        index = self._found(start, end, keys, piece)
-        ids = np.where(index >= 0, self.ids[index], -1)
-        cuts = np.searchsorted(row, np.arange(len(words) + 1)).tolist()
-        whole = ids.astype("<u4").tobytes()
-        self.known.update((w, whole[4 * a : 4 * b]) for w, a, b in zip(words, cuts, cuts[1:], strict=False))
-        for w in np.unique(row[ids < 0]).tolist():
-            a, b = cuts[w], cuts[w + 1]
-            self.known[words[w]] = self._bytes(ids[a:b], codes, start[a:b])
-
-    def _bytes(self, ids: np.ndarray, codes: np.ndarray, start: np.ndarray) -> bytes:
-        if (ids >= 0).all():
-            return ids.astype("<u4").tobytes()
-        out: list[int] = []
-        for i, s in zip(ids.tolist(), start.tolist(), strict=True):
-            if i >= 0:
-                out.append(i)
-            elif self.of_byte:
-                out += [self.of_byte[b] for b in chr(codes[s]).encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
-
-    def _one(self, codes: np.ndarray, begin: int, n: int, keys: np.ndarray, piece: np.ndarray) -> bytes:
+            for a in (left, before[left]):
+                offered[slot[a]] = offers(a)
+
+    def _one(self, begin: int, n: int, found: np.ndarray, ends: np.ndarray, symbol: np.ndarray) -> None:
         """A long word: the same merges from a heap."""
         width = self.longest + 1
-        lo, hi = np.searchsorted(keys, [begin * width, (begin + n) * width])
-        span = dict(zip(keys[lo:hi].tolist(), piece[lo:hi].tolist(), strict=True))
+        at = np.flatnonzero(found[begin * width : (begin + n) * width] >= 0) + begin * width
+        span = dict(zip(at.tolist(), found[at].tolist(), strict=True))
         end = {begin + i: begin + i + 1 for i in range(n)}
         before = {begin + i + 1: begin + i for i in range(n)}
         heap: list[tuple[int, int, int]] = []
@@ -215,36 +271,75 @@ class Codec:
             offer(a)
             if a > begin:
                 offer(before[a])
-        start = np.array(sorted(end), np.int64)
-        index = self._found(start, np.array([end[s] for s in start.tolist()], np.int64), keys, piece)
-        return self._bytes(np.where(index >= 0, self.ids[index], -1), codes, start)
-
-    def _settle(self, pending: list[list[str]]) -> Iterator[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new, size = [], 0
-        for word in {w for words in pending for w in words}.difference(self.known):
-            new.append(word)
-            size += len(word) + 1
-            if size > INDEXED:
-                self._learn(new)
-                new, size = [], 0
-        if new:
-            self._learn(new)
-        for words in pending:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
-
-    def encode(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, as the library gives them."""
+        start = np.fromiter(end.keys(), np.int64, len(end))
+        symbol[begin : begin + n] = False
+        symbol[start] = True
+        ends[start] = np.fromiter(end.values(), np.int64, len(end))
+
+    def _ids(self, index: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, and how many each has; a symbol without a piece is one character."""
+        bare = index < 0
+        counts = np.ones(len(index), np.int64)
+        ids = self.ids[index]
+        if bare.any():
+            rest = codes[bare]
+            other = self.unknown
+            if self.of_byte is not None:
+                counts[bare] = utf8_size(rest)
+                other = self.of_byte[np.frombuffer(rest.tobytes().decode("utf-32-le").encode(), np.uint8)]
+            ids = np.repeat(ids, counts)
+            ids[np.repeat(bare, counts)] = other
+        return ids, counts
+
+    def _decodes(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Whether the ids of each word, from one cut to the next, decode to it."""
+        given = "".join(words).replace(SPACE, " ")
+        codes = np.frombuffer(given.encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        want = np.r_[0, np.cumsum(utf8_size(codes))][np.r_[0, np.cumsum(sizes)]]
+        got = np.r_[0, np.cumsum(self.shown_size[ids])][cuts]
+        raw, shown = given.encode(), b"".join(map(self.shown.__getitem__, ids.tolist()))
+        if raw == shown and (want == got).all():
+            return np.ones(len(words), bool)
+        want, got = want.tolist(), got.tolist()
+        return np.array([raw[a:b] == shown[c:d] for a, b, c, d in zip(want, want[1:], got, got[1:], strict=False)], bool)
+
+    def _settle(self, pending: list[tuple[str, list[str]]]) -> Iterator[tuple[np.ndarray, bool]]:
+        if len(self.known) > REMEMBERED or len(self.learned) > REMEMBERED_IDS:
+            self._forget()
+        numbers = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for _, words in pending]
+        new, self.known.new = self.known.new, []
+        group = np.cumsum(np.fromiter((len(w) + 1 for w in new), np.int64, len(new))) // INDEXED
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(new)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                self._learn(new[a:b])
+        for (text, _), k in zip(pending, numbers, strict=True):
+            begin = self.begins[k]
+            counts = self.begins[k + 1] - begin
+            ids = self.learned[np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+            yield ids, (SPACE not in text and bool(self.faithful[k].all())) or self.decode(ids) == text
+
+    def coded(self, texts: Iterator[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """Ids of each text, as the library gives them, and whether they decode to it.
+
+        Each distinct word is decoded once. Where all words of a text decode to
+        themselves and it lacks the model's space mark, so does the text; any
+        other text is decoded as a whole.
+        """
         pending, size = [], 0
         for text in texts:
-            pending.append(WORD.findall(SPACE + text.replace(" ", SPACE)) if text else [])
+            pending.append((text, self.word.findall(SPACE + text.replace(" ", SPACE)) if text else []))
             size += len(text)
             if size > PENDING:
                 yield from self._settle(pending)
                 pending, size = [], 0
         yield from self._settle(pending)
 
+    def encode(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
+        """Ids of each text alone."""
+        return (ids for ids, _ in self.coded(texts))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, without the space that encoding puts first."""
         whole = b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -272,12 +367,11 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     @F.arrow_udf(kind)
     def coded(texts: pa.Array) -> pa.Array:
         own = codec(model)
-        plain = [t.as_py() or "" for t in texts]
         ends, parts, same = [0], [], []
-        for text, ids in zip(plain, own.encode(iter(plain)), strict=True):
-            parts.append(ids.astype(np.int32))
+        for ids, lossless in own.coded(t.as_py() or "" for t in texts):
+            parts.append(ids)
             ends.append(ends[-1] + len(ids))
-            same.append(own.decode(ids) == text)
+            same.append(lossless)
         values = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(same, pa.bool_())], ["token_ids", "lossless"])
 

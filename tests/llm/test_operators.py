@@ -588,6 +588,57 @@ def test_sentencepiece_random_text():
         assert codec.decode(ids) == text == own.decode(ids.tolist())
 
 
+def test_sentencepiece_work_grows_with_distinct_runs(monkeypatch):
+    """Words are learned without the marks behind them, and what decodes word by word is not decoded again as a text."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, codec, rng = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path), random.Random(6)
+    codec._forget()
+    words = ["".join(rng.choices(["th", "er", "on", "ou", "in", "é"], k=rng.randint(1, 6))) for _ in range(80)]
+    marks = ["", ",", ".", "!!", "$$$", ".%%%", "):", "1", "²."]
+    texts = [" ".join(w + m for w in words) for m in marks] + [f"{w}{m}{v}" for w, v in zip(words, words[1:], strict=False) for m in marks[1:]] + [""]
+    assert [ids.tolist() for ids in codec.encode(iter(texts))] == [own.encode(t) for t in texts]
+    assert len(codec.known) <= 2 * len(set(words)) + len(marks)
+    decoded, whole = [], sentencepiece_codec.Codec.decode
+    monkeypatch.setattr(sentencepiece_codec.Codec, "decode", lambda self, ids: decoded.append(1) or whole(self, ids))
+    assert [same for _, same in codec.coded(iter([*texts, "a▁b"]))] == [True] * len(texts) + [False]
+    assert len(decoded) == 1
+    # A piece that decodes to something else is told, in the texts that hold it only.
+    codec._forget()
+    codec.shown[own.piece_to_id("▁of")] = b" off"
+    codec.shown_size[own.piece_to_id("▁of")] = 4
+    assert [same for _, same in codec.coded(iter(["one of two", "two", "of", "x"]))] == [False, True, False, True]
+
+
+def test_suffix_array():
+    """By as many numbers as asked for at least, whether one sort, two or three do it."""
+    rng = random.Random(8)
+    for bits, width, n in ((2, 5, 300), (3, 16, 2000), (20, 16, 2000), (31, 16, 5000), (3, 16, 1), (20, 16, 2)):
+        text = [rng.choice([0, 1, 2, 2, 3]) for _ in range(n)]
+        order, key, step = sentencepiece_codec.suffix_array(np.array(text), bits, width)
+        heads = [(text[i : i + width] + [0] * width)[:width] for i in order.tolist()]
+        assert sorted(order.tolist()) == list(range(n)) and heads == sorted(heads)
+        assert all(int(k) == sum(x << bits * (step - 1 - j) for j, x in enumerate(text[i : i + step])) for i, k in enumerate(key.tolist()))
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "etaoin▁", "".join(map(chr, range(0x21, 0x17F))), "".join(map(chr, range(0x4E00, 0x9FA0, 3))) + "erth"])
+def test_sentencepiece_edges(alphabet):
+    """Every occurrence of every piece, whether one packed word, two or more hold the longest one."""
+    codec, rng = sentencepiece_codec.Codec(public_tokenizers.path("piece_bpe_32k.model")), random.Random(7)
+    names = ["".join(map(chr, row[row > 0])) for row in np.r_[0, np.flatnonzero(codec.number)][codec.spelled]]
+    assert [len(x) for x in names] == codec.size.tolist()
+    fit = [x for x in names if frozenset(alphabet).issuperset(x)] if len(alphabet) < 999 else names
+    long = [x for x in fit if len(x) > 6] or fit
+    for n in (0, 1, 3, 400):
+        text = "\0" + "\0".join("".join(rng.choice([rng.choice(alphabet), rng.choice(fit), rng.choice(long)]) for _ in range(rng.randint(1, 9))) for _ in range(n)) + "\0"
+        index = {x: i for i, x in enumerate(names)}
+        want = {(a, k): index[text[a : a + k]] for a in range(len(text)) for k in range(1, codec.longest + 1) if text[a : a + k] in index and a + k <= len(text)}
+        found = codec.edges(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        at = np.flatnonzero(found >= 0)
+        assert {divmod(i, codec.longest + 1): p for i, p in zip(at.tolist(), found[at].tolist(), strict=True)} == want
+
+
 def test_url_filter(spark):
     rules = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"), (None, "block"), ("org", "block"), ("com/", "block")]
     urls = ["http://Example.COM/en/x?y", "https://www.example.com/en/", "https://a.www.example.com/en/z#q", "http://example.com", "http://x.net/es/1", "http://net/fr/", "http://xnet/fr/", None, "", "no scheme", "a://b://c.com/d", "http://u.org?x", "ftp://com/EN/", "http://notexample.com/en/"]
