@@ -104,32 +104,41 @@ def shingles(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None =
     return F.array_distinct(let(words, lambda w: word_runs(w, width)))
 
 
+def run_hashes(hashed: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes of all runs of ``width`` words, ascending in each row, and the rows' bounds; ``hashed`` has a list of word hashes a row."""
+    size = pc.fill_null(pc.list_value_length(hashed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = hashed.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    mixed = np.zeros(len(flat), np.uint64)
+    for k in range(min(width, len(flat))):
+        # Powers of an odd number, so that the order of the words counts.
+        mixed[: len(flat) - k] += flat[k:] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64))
+    mixed = mixed[np.arange(len(flat)) + width <= np.repeat(np.cumsum(size), size)]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    found = (mixed ^ (mixed >> np.uint64(33))).view(np.int64)
+    runs = np.maximum(size - width + 1, 0)
+    ends = np.cumsum(runs)
+    new = np.ones(len(found), bool)
+    for start, end in zip((ends - runs).tolist(), ends.tolist(), strict=True):
+        found[start:end].sort()
+    new[1:] = found[1:] != found[:-1]
+    new[(ends - runs)[runs > 0]] = True
+    return np.r_[0, np.cumsum(new)][np.r_[0, ends]], found[new]
+
+
+def word_hashes(text: str | Column) -> Column:
+    """A hash of each word, in order."""
+    return F.transform(word_tokens(given(text)), lambda w: F.xxhash64(w))
+
+
 def shingle_hashes(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None = None) -> Column:
     """``shingles`` as distinct 64-bit hashes, ascending; each word is hashed once, runs of them batch by batch."""
-    whole = given(text)
-    words = word_tokens(F.substring(whole, 1, chars) if chars else whole)
-
     @F.arrow_udf("array<long>")
     def runs(hashed: pa.Array) -> pa.Array:
-        size = pc.fill_null(pc.list_value_length(hashed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, row = hashed.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.repeat(np.arange(len(size)), size)
-        mixed = np.zeros(len(flat), np.uint64)
-        for k in range(width):
-            # Powers of an odd number, so that the order of the words counts.
-            mixed[: len(flat) - k] += flat[k:] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64))
-        whole_run = np.arange(len(flat)) + width <= np.repeat(np.cumsum(size), size)
-        mixed, row = mixed[whole_run], row[whole_run]
-        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-        found = (mixed ^ (mixed >> np.uint64(33))).view(np.int64)
-        order = np.lexsort((found, row))
-        found, row = found[order], row[order]
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-        ends = np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(size)))]
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found[new]))
-
-    return runs(F.transform(words, lambda w: F.xxhash64(w)))
+        bounds, found = run_hashes(hashed, width)
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))
+
+    return runs(word_hashes(F.substring(given(text), 1, chars) if chars else text))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shocklens.functions import text as T
 from shocklens.functions.dates import trading_days_before
 from shocklens.functions.numbers import ratio
+from shocklens.operators import meetings
 from shocklens.operators.graph import connected_components
 from shocklens.operators.rank import top_by
 from shocklens.operators.reports import report_scores
@@ -117,17 +120,41 @@ def story_links(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> D
     without five words, null ones too, have no shingles; rows without an id
     are in no link.
     """
-    d = docs.where("document_id IS NOT NULL").select(*keys, "document_id", T.title_key("title").alias("_t"), T.host("url").alias("_h"), T.shingle_hashes("text").alias("_s"))
-    titled = d.where("_t <> ''")
+    docs = docs.where("document_id IS NOT NULL")
+    rows = saved(_with_counts(docs, keys, similar))
+    titled = rows.where("_t IS NOT NULL")
     same = titled.withColumn("a", F.min("document_id").over(Window.partitionBy(*keys, "_t"))).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
     # Copies of one text are one on each host; a host's smallest id stands for them there.
-    # Texts without shingles go after the grouping, so that no filter works the shingles out a second time.
-    hosts = saved(d.groupBy(*keys, "_h", F.xxhash64("_s").alias("_x")).agg(F.min("document_id").alias("document_id"), F.first("_s").alias("_s")).where(F.size("_s") > 0))
+    hosts = rows.where("_n > 0").groupBy(*keys, "_h", "_x").agg(F.min("document_id").alias("document_id"), F.first("_n").alias("_n"))
     # One text on several hosts is a star, whatever the number of hosts; only a text of one host has a site.
     site = F.when(F.min("_h") == F.max("_h"), F.min("_h"))
-    texts = saved(hosts.groupBy(*keys, "_x").agg(F.min("document_id").alias("id"), site.alias("site"), F.first("_s").alias("s")))
-    copies = hosts.drop("_s").join(texts.select(*keys, "_x", F.col("id").alias("a")), [*keys, "_x"]).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
-    return same.unionByName(copies).unionByName(similar_links(texts, keys, similar)).distinct()
+    texts = saved(hosts.groupBy(*keys, "_x").agg(F.min("document_id").alias("id"), site.alias("site"), F.first("_n").alias("_n")))
+    copies = hosts.join(texts.select(*keys, "_x", F.col("id").alias("a")), [*keys, "_x"]).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
+    # Only texts that share enough with others are read again, and only their sets move.
+    near = saved(texts.join(meetings.counts(rows).withColumnRenamed("x", "_x"), "_x").where(F.col("c") >= meetings.least_met(F.col("_n"), similar)).select(*keys, "id", "site"))
+    chosen = meetings.chosen(near.select(F.xxhash64("id").alias("h")))
+    sets = docs.where(chosen(F.xxhash64("document_id"))).select(F.col("document_id").alias("id"), T.shingle_hashes("text").alias("s")).join(near, "id")
+    return same.unionByName(copies).unionByName(similar_links(sets, keys, similar)).distinct()
+
+
+def _with_counts(docs: DataFrame, keys: list[str], similar: float) -> DataFrame:
+    """(keys, document_id, title digest, host, number of shingles, hash of them), and the packed counts of ``meetings.met``."""
+    title = T.title_key("title")
+    d = docs.select(*keys, "document_id", F.when(title != "", F.unhex(F.md5(title))).alias("_t"), T.host("url").alias("_h"), F.xxhash64(*keys).alias("_k"), T.word_hashes("text").alias("_w"))
+    kept = [*keys, "document_id", "_t", "_h"]
+
+    def read(batch: pa.RecordBatch) -> tuple:
+        k = batch.column("_k").to_numpy()
+        bounds, found = T.run_hashes(batch.column("_w"))
+        x = meetings.set_hashes(k, bounds, found)
+        rows = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.diff(bounds)), pa.array(x)], names=[*kept, "_n", "_x"])
+        return rows, x, k, bounds, found
+
+    kinds = dict(d.dtypes)
+    carried = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "_n long", "_x long"])
+    # A word has some six characters with what parts it from the next.
+    words = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    return meetings.met(d, read, carried, similar, words)
 
 
 def stories(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> DataFrame:
@@ -148,12 +175,13 @@ def collapse_stories(docs: DataFrame, keys: list[str], similar: float = SIMILAR)
     none. Stories are connected components of title and text links.
     """
     roots = connected_components(story_links(docs, keys, similar)).withColumnsRenamed({"node": "document_id", "root": "_story"})
-    grouped = docs.join(roots, "document_id", "left").withColumn("_story", F.coalesce("_story", "document_id"))
     scored = {"keyword_score", "semantic_score"} <= set(docs.columns)
     dated = F.coalesce(F.col("published").cast("string"), F.lit("9999")) if "published" in docs.columns else F.lit("9999")
     order = F.struct((F.coalesce("text", F.lit("")) == "").alias("t"), (-best_score() if scored else F.lit(0.0)).alias("s"), dated.alias("d"), F.col("document_id").alias("id"))
+    # What orders the documents is worked out ahead of the join, so that texts do not move for it.
+    grouped = docs.select("document_id", "url", order.alias("_o")).join(roots, "document_id", "left").withColumn("_story", F.coalesce("_story", "document_id"))
     # As many urls as a story has distinct ones.
-    copies = grouped.groupBy("_story").agg(F.min(order)["id"].alias("document_id"), F.count(F.lit(1)).alias("n_copies"), F.array_sort(F.collect_set("url")).alias("_urls"), F.array_sort(F.collect_set(F.nullif(T.host("url"), F.lit("")))).alias("syndication_domains"))
+    copies = grouped.groupBy("_story").agg(F.min("_o")["id"].alias("document_id"), F.count(F.lit(1)).alias("n_copies"), F.array_sort(F.collect_set("url")).alias("_urls"), F.array_sort(F.collect_set(F.nullif(T.host("url"), F.lit("")))).alias("syndication_domains"))
     chosen = docs.join(copies.drop("_story"), "document_id")
     return chosen.withColumn("duplicate_urls", F.filter("_urls", lambda u: u != F.coalesce("url", F.lit("")))).drop("_urls")
 

@@ -1,8 +1,9 @@
 """Texts that share most of their shingles: classes by exact Jaccard similarity, without the pairs of a family.
 
-Two sets of a similarity t share one of their rarest (1 - t) shingles, so only
-those are indexed. In a first pass every text meets a few centres, which joins
-a family of n copies with work in n. In a second one
+In a first pass every text meets a few centres with the same least hashes, which
+joins a family of n copies with work in n. Then texts that share enough with
+other classes go on. Two sets of a similarity t share one of their rarest
+(1 - t) shingles, so only those are indexed. In a second pass
 texts that are still in different classes meet under a shared shingle if the
 places of that shingle in both orders leave room for the similarity. Every
 link is decided by the two whole sets, and no link is left out that would join
@@ -16,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shocklens.operators import meetings
 from shocklens.operators.graph import connected_components
 from shocklens.session import saved
 
 #: Texts under one shingle up to which their pairs are looked at in one row, and those of a share beyond.
 FEW, SHARE = 48, 1024
-#: Centres that a text is compared with in the first pass.
-CENTRES = 3
+#: Centres that a text is compared with in the first pass, and the pairs of least hashes by which it finds them.
+CENTRES, BANDS = 3, 12
 
 
 def rare_index(sets: DataFrame, keys: list[str], similar: float) -> DataFrame:
@@ -100,35 +102,59 @@ def similar_links(sets: DataFrame, keys: list[str], similar: float) -> DataFrame
     room for the similarity but do not reach it cost the square of their number
     over ``SHARE`` in rows.
     """
-    sets = saved(sets.select(*keys, "id", "site", "s"))
-    index = saved(rare_index(sets, keys, similar))
-    # Alike texts differ in size by a factor of 1 / similar at most: a centre for each class of sizes, and one of another site.
-    sized = index.withColumn("size", F.floor(F.log("n") / float(-np.log(similar))))
-    firsts = saved(sized.groupBy(*keys, "g", "size", "site").agg(F.min("id").alias("id")))
-    near = firsts.groupBy(*keys, "g", "size").agg(F.min(F.struct("id", "site")).alias("_c"))
-    other = firsts.join(near, [*keys, "g", "size"]).where("id <> _c.id AND coalesce(site <> _c.site, true)").groupBy(*keys, "g", "size").agg(F.min("id").alias("_d"))
-    centres = near.select(*keys, "g", "size", "_c", F.lit(None).cast(dict(sets.dtypes)["id"]).alias("_d")).unionByName(other.select(*keys, "g", "size", F.lit(None).cast(dict(near.dtypes)["_c"]).alias("_c"), "_d"))
-    centres = centres.groupBy(*keys, "g", "size").agg(F.max("_c").alias("_c"), F.max("_d").alias("_d"))
-    met = sized.join(centres, [*keys, "g", "size"])
-    met = met.withColumn("c", F.when(F.coalesce(F.col("site") != F.col("_c.site"), F.lit(True)), F.col("_c.id")).otherwise(F.col("_d"))).where("c <> id")
+    sets = saved(sets.dropna(subset=keys).select(*keys, "id", "site", "s"))
+    banded = saved(sets.select(*keys, "id", "site", F.size("s").alias("n"), F.explode(F.arrow_udf(_bands, "array<long>")("s")).alias("g")))
+    firsts = banded.groupBy(*keys, "g", "site").agg(F.min(F.struct("id", "n")).alias("_e"))
+    near = firsts.groupBy(*keys, "g").agg(F.min(F.struct("_e.id", "_e.n", "site")).alias("_c"))
+    other = firsts.join(near, [*keys, "g"]).where("_e.id <> _c.id AND coalesce(site <> _c.site, true)").groupBy(*keys, "g").agg(F.min("_e").alias("_d"))
+    met = banded.join(near, [*keys, "g"]).join(other, [*keys, "g"], "left")
+    met = met.withColumn("c", F.when(F.coalesce(F.col("site") != F.col("_c.site"), F.lit(True)), F.struct("_c.id", "_c.n")).otherwise(F.col("_d")))
+    met = met.where(f"c.id <> id AND least(n, c.n) >= {similar}D * greatest(n, c.n) - 1e-9D").withColumn("c", F.col("c.id"))
     # A text goes to the centres that it meets most often; what that leaves apart is settled below.
     met = met.groupBy(*keys, "id", "c").agg(F.count(F.lit(1)).alias("often"))
     best = F.row_number().over(Window.partitionBy(*keys, "id").orderBy(F.desc("often"), "c"))
     met = met.withColumn("place", best).where(F.col("place") <= CENTRES)
     first = saved(_confirmed(met.select(*keys, F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), sets, keys, similar))
     roots = connected_components(first).withColumnRenamed("node", "id")
-    rooted = index.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = saved(rooted)
+    rooted = sets.select("id", F.size("s").alias("n")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    left = saved(sets.join(_left(sets, rooted, keys, similar), "id"))
+    rooted = saved(rare_index(left, keys, similar).join(left.select("id", "root"), "id"))
     sites = (F.min("site") != F.max("site")) | (F.count("site") < F.count(F.lit(1)))
     apart = rooted.groupBy(*keys, "g").agg((F.min("root") != F.max("root")).alias("_apart"), F.coalesce(sites, F.lit(True)).alias("_sites"), F.count(F.lit(1)).alias("f")).where("_apart AND _sites")
     crowd = saved(rooted.drop("f").join(apart.drop("_apart", "_sites"), [*keys, "g"]))
     rest = _few(crowd, keys, similar).unionByName(_many(crowd, keys, similar)).distinct()
-    return first.unionByName(_confirmed(rest, sets, keys, similar))
+    return first.unionByName(_confirmed(rest, left, keys, similar))
+
+
+def _bands(s: pa.Array) -> pa.Array:
+    """``BANDS`` numbers of each set, each from the least of its shingles in two orders."""
+    flat, starts = s.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), s.offsets.to_numpy()[:-1] - s.offsets.to_numpy()[0]
+    least = [np.minimum.reduceat(meetings.mixed(flat + np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 2**64))), starts) for j in range(2 * BANDS)]
+    bands = np.stack([meetings.mixed(a ^ meetings.mixed(b + np.uint64(i))) for i, (a, b) in enumerate(zip(least[::2], least[1::2], strict=True))], axis=1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+
+
+def _left(sets: DataFrame, rooted: DataFrame, keys: list[str], similar: float) -> DataFrame:
+    """(id, root) of the sets that share enough with those of other roots to be similar to one; ``rooted`` is (id, n, root)."""
+    def read(batch: pa.RecordBatch) -> tuple:
+        s = batch.column("s")
+        bounds = s.offsets.to_numpy().astype(np.int64)
+        found = s.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(s)), np.diff(bounds))
+        return None, batch.column("x").to_numpy(), batch.column("k").to_numpy(), bounds - bounds[0], found[np.lexsort((found, row))]
+
+    words = sets.agg(F.sum(F.size("s"))).first()[0] or 0
+    looked = sets.join(rooted.select("id", F.xxhash64("root").alias("x")), "id").select("x", F.xxhash64(*keys).alias("k"), "s")
+    found = meetings.counts(meetings.met(looked, read, "", similar, words, similar))
+    return rooted.join(found, F.xxhash64("root") == F.col("x")).where(F.col("c") >= meetings.least_met(F.col("n"), similar, similar)).select("id", "root")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, keys: list[str], similar: float) -> DataFrame:
     """Those pairs of different sites that are similar by their whole sets."""
-    a, b = (sets.select(*keys, F.col("id").alias(x), F.col("site").alias(f"_h{x}"), F.col("s").alias(f"_{x}")) for x in "ab")
+    pairs = saved(pairs)
+    # Only sets of some pair move.
+    met = {x: meetings.chosen(pairs.select(F.xxhash64(x).alias("h"))) for x in "ab"}
+    a, b = (sets.where(met[x](F.xxhash64("id"))).select(*keys, F.col("id").alias(x), F.col("site").alias(f"_h{x}"), F.col("s").alias(f"_{x}")) for x in "ab")
     both = pairs.join(a, [*keys, "a"]).join(b, [*keys, "b"]).where(F.coalesce(F.col("_ha") != F.col("_hb"), F.lit(True)))
     both = both.withColumn("_n", F.size(F.array_intersect("_a", "_b")))
     return both.where(F.col("_n") / (F.size("_a") + F.size("_b") - F.col("_n")) >= similar).select(*keys, "a", "b")
