@@ -106,6 +106,9 @@ def shingles(text: str | Column, width: int = SHINGLE_WORDS, chars: int | None =
 
 def run_hashes(hashed: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit hashes of all runs of ``width`` words, ascending in each row, and the rows' bounds; ``hashed`` has a list of word hashes a row."""
+    if len(hashed) > 1 and len(hashed.flatten()) > 1 << 18:
+        (first, found), (second, others) = (run_hashes(half, width) for half in (hashed[: len(hashed) // 2], hashed[len(hashed) // 2 :]))
+        return np.r_[first, first[-1] + second[1:]], np.concatenate([found, others])
     size = pc.fill_null(pc.list_value_length(hashed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = hashed.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     mixed = np.zeros(len(flat), np.uint64)

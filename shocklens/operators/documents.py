@@ -14,7 +14,7 @@ from shocklens.operators import meetings
 from shocklens.operators.graph import connected_components
 from shocklens.operators.rank import top_by
 from shocklens.operators.reports import report_scores
-from shocklens.operators.similar import similar_links
+from shocklens.operators.similar import links_among
 from shocklens.session import saved
 
 KEYWORD, SEMANTIC, FLOOR, NEAR = 0.4, 0.85, 0.05, 0.80
@@ -128,13 +128,14 @@ def story_links(docs: DataFrame, keys: list[str], similar: float = SIMILAR) -> D
     hosts = rows.where("_n > 0").groupBy(*keys, "_h", "_x").agg(F.min("document_id").alias("document_id"), F.first("_n").alias("_n"))
     # One text on several hosts is a star, whatever the number of hosts; only a text of one host has a site.
     site = F.when(F.min("_h") == F.max("_h"), F.min("_h"))
-    texts = saved(hosts.groupBy(*keys, "_x").agg(F.min("document_id").alias("id"), site.alias("site"), F.first("_n").alias("_n")))
+    texts = saved(hosts.groupBy(*keys, "_x").agg(F.min("document_id").alias("id"), site.alias("site"), F.first("_n").alias("n")))
     copies = hosts.join(texts.select(*keys, "_x", F.col("id").alias("a")), [*keys, "_x"]).where("a <> document_id").select(*keys, "a", F.col("document_id").alias("b"))
     # Only texts that share enough with others are read again, and only their sets move.
-    near = saved(texts.join(meetings.counts(rows).withColumnRenamed("x", "_x"), "_x").where(F.col("c") >= meetings.least_met(F.col("_n"), similar)).select(*keys, "id", "site"))
+    near = texts.dropna(subset=keys).join(meetings.counts(rows).withColumnRenamed("x", "_x"), "_x")
+    near = saved(near.where(F.col("c") >= meetings.least_met(F.col("n"), similar)).select(*keys, "id", "site", "n"))
     chosen = meetings.chosen(near.select(F.xxhash64("id").alias("h")))
-    sets = docs.where(chosen(F.xxhash64("document_id"))).select(F.col("document_id").alias("id"), T.shingle_hashes("text").alias("s")).join(near, "id")
-    return same.unionByName(copies).unionByName(similar_links(sets, keys, similar)).distinct()
+    sets = saved(docs.where(chosen(F.xxhash64("document_id"))).select(F.col("document_id").alias("id"), T.shingle_hashes("text").alias("s")).where(F.size("s") > 0))
+    return same.unionByName(copies).unionByName(links_among(near, sets, keys, similar)).distinct()
 
 
 def _with_counts(docs: DataFrame, keys: list[str], similar: float) -> DataFrame:

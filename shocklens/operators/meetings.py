@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Shingles that are looked at beyond (1 - t) n, as a share of n.
 MORE = 0.2
-#: Shingles of a bucket, which a task holds; those packed at a time; the least number of buckets.
-BUCKET, FLUSH, BUCKETS = 1 << 23, 1 << 22, 64
+#: Shingles of a bucket, which a task holds; those packed at a time; the least number of buckets; bytes of a batch that are read at a time.
+BUCKET, FLUSH, BUCKETS, PIECE = 5 << 20, 1 << 19, 64, 1 << 21
 #: Members of a slice of the filter, its bits for each and probes.
 SLICE, BITS, PROBES = 1 << 16, 16, 4
 
@@ -71,7 +71,8 @@ def _shared(v: np.ndarray, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np
     h[:, :6] = v.reshape(-1, 6)
     h = h.view(np.uint64).ravel()
     order = np.argsort(h)
-    same = np.diff(h[order]) == 0
+    ranked = h[order]
+    same = ranked[1:] == ranked[:-1]
     order = order[np.r_[same, False] | np.r_[False, same]]
     h, x = h[order], x[np.searchsorted(np.cumsum(c), order, "right")]
     order = np.lexsort((x, h))
@@ -98,8 +99,16 @@ def met(given: DataFrame, read: Callable[[pa.RecordBatch], tuple], carried: str,
             columns = list(zip(*_dealt(held, buckets), strict=True))
             return pa.RecordBatch.from_arrays([*(pa.nulls(len(columns[0]), f.type) for f in kinds), pa.array(columns[0], pa.int32()), *(pa.array(x, pa.binary()) for x in columns[1:])], names=[*(f.name for f in kinds), *"bvxc"])
 
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                step = max(batch.num_rows * PIECE // max(batch.nbytes, 1), 1)
+                yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+                del batch
+                # A worker lives on after its task and would keep what it took.
+                pa.default_memory_pool().release_unused()
+
         held, size, kinds = [], 0, []
-        for batch in batches:
+        for batch in pieces(batches):
             rows, *sets = read(batch)
             if rows is not None and rows.num_rows:
                 kinds = list(rows.schema)

@@ -103,7 +103,13 @@ def similar_links(sets: DataFrame, keys: list[str], similar: float) -> DataFrame
     over ``SHARE`` in rows.
     """
     sets = saved(sets.dropna(subset=keys).select(*keys, "id", "site", "s"))
-    banded = saved(sets.select(*keys, "id", "site", F.size("s").alias("n"), F.explode(F.arrow_udf(_bands, "array<long>")("s")).alias("g")))
+    return links_among(sets.select(*keys, "id", "site", F.size("s").alias("n")), sets.select("id", "s"), keys, similar)
+
+
+def links_among(texts: DataFrame, sets: DataFrame, keys: list[str], similar: float) -> DataFrame:
+    """The same from ``texts`` (keys, id, site, n), without null keys, and ``sets`` (id, s), which may hold further ids; both are read several times."""
+    bands = sets.select("id", F.arrow_udf(_bands, "array<long>")("s").alias("g"))
+    banded = saved(texts.join(bands, "id").withColumn("g", F.explode("g")))
     firsts = banded.groupBy(*keys, "g", "site").agg(F.min(F.struct("id", "n")).alias("_e"))
     near = firsts.groupBy(*keys, "g").agg(F.min(F.struct("_e.id", "_e.n", "site")).alias("_c"))
     other = firsts.join(near, [*keys, "g"]).where("_e.id <> _c.id AND coalesce(site <> _c.site, true)").groupBy(*keys, "g").agg(F.min("_e").alias("_d"))
@@ -116,8 +122,8 @@ def similar_links(sets: DataFrame, keys: list[str], similar: float) -> DataFrame
     met = met.withColumn("place", best).where(F.col("place") <= CENTRES)
     first = saved(_confirmed(met.select(*keys, F.least("c", "id").alias("a"), F.greatest("c", "id").alias("b")).distinct(), sets, keys, similar))
     roots = connected_components(first).withColumnRenamed("node", "id")
-    rooted = sets.select("id", F.size("s").alias("n")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    left = saved(sets.join(_left(sets, rooted, keys, similar), "id"))
+    left = saved(_left(texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), sets, keys, similar))
+    left = saved(_among(sets, left).join(left, "id"))
     rooted = saved(rare_index(left, keys, similar).join(left.select("id", "root"), "id"))
     sites = (F.min("site") != F.max("site")) | (F.count("site") < F.count(F.lit(1)))
     apart = rooted.groupBy(*keys, "g").agg((F.min("root") != F.max("root")).alias("_apart"), F.coalesce(sites, F.lit(True)).alias("_sites"), F.count(F.lit(1)).alias("f")).where("_apart AND _sites")
@@ -134,8 +140,13 @@ def _bands(s: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
 
 
-def _left(sets: DataFrame, rooted: DataFrame, keys: list[str], similar: float) -> DataFrame:
-    """(id, root) of the sets that share enough with those of other roots to be similar to one; ``rooted`` is (id, n, root)."""
+def _among(sets: DataFrame, texts: DataFrame, name: str = "id") -> DataFrame:
+    """Of ``sets`` those whose id ``texts`` hold, and few others, so that few sets move in a join."""
+    return sets.where(meetings.chosen(texts.select(F.xxhash64(name).alias("h")))(F.xxhash64("id")))
+
+
+def _left(rooted: DataFrame, sets: DataFrame, keys: list[str], similar: float) -> DataFrame:
+    """Those of ``rooted`` (keys, id, site, n, root) that share enough with sets of other roots to be similar to one."""
     def read(batch: pa.RecordBatch) -> tuple:
         s = batch.column("s")
         bounds = s.offsets.to_numpy().astype(np.int64)
@@ -144,17 +155,14 @@ def _left(sets: DataFrame, rooted: DataFrame, keys: list[str], similar: float) -
         return None, batch.column("x").to_numpy(), batch.column("k").to_numpy(), bounds - bounds[0], found[np.lexsort((found, row))]
 
     words = sets.agg(F.sum(F.size("s"))).first()[0] or 0
-    looked = sets.join(rooted.select("id", F.xxhash64("root").alias("x")), "id").select("x", F.xxhash64(*keys).alias("k"), "s")
+    looked = sets.join(rooted.select("id", F.xxhash64("root").alias("x"), F.xxhash64(*keys).alias("k")), "id").select("x", "k", "s")
     found = meetings.counts(meetings.met(looked, read, "", similar, words, similar))
-    return rooted.join(found, F.xxhash64("root") == F.col("x")).where(F.col("c") >= meetings.least_met(F.col("n"), similar, similar)).select("id", "root")
+    return rooted.join(found, F.xxhash64("root") == F.col("x")).where(F.col("c") >= meetings.least_met(F.col("n"), similar, similar)).select(*keys, "id", "site", "root")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, keys: list[str], similar: float) -> DataFrame:
-    """Those pairs of different sites that are similar by their whole sets."""
+    """Those pairs that are similar by their whole sets."""
     pairs = saved(pairs)
-    # Only sets of some pair move.
-    met = {x: meetings.chosen(pairs.select(F.xxhash64(x).alias("h"))) for x in "ab"}
-    a, b = (sets.where(met[x](F.xxhash64("id"))).select(*keys, F.col("id").alias(x), F.col("site").alias(f"_h{x}"), F.col("s").alias(f"_{x}")) for x in "ab")
-    both = pairs.join(a, [*keys, "a"]).join(b, [*keys, "b"]).where(F.coalesce(F.col("_ha") != F.col("_hb"), F.lit(True)))
-    both = both.withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+    a, b = (_among(sets, pairs, x).select(F.col("id").alias(x), F.col("s").alias(f"_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
     return both.where(F.col("_n") / (F.size("_a") + F.size("_b") - F.col("_n")) >= similar).select(*keys, "a", "b")

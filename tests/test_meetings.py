@@ -77,11 +77,11 @@ def test_sets_of_texts_without_partners_never_move(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "series string, document_id long, title string, text string, url string")
     seen = []
 
-    def spied(sets, keys, bar):
+    def spied(texts, sets, keys, bar):
         seen.extend(r.id for r in sets.select("id").collect())
-        return similar.similar_links(sets, keys, bar)
+        return similar.links_among(texts, sets, keys, bar)
 
-    monkeypatch.setattr(documents, "similar_links", spied)
+    monkeypatch.setattr(documents, "links_among", spied)
     links = {(r.a, r.b) for r in documents.story_links(docs, ["series"]).collect()}
     assert sorted(seen) == [0, 1, 2, 3]
     assert {x for e in links for x in e} == {0, 1, 2, 3}
