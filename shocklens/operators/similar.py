@@ -134,6 +134,8 @@ def links_among(texts: DataFrame, sets: DataFrame, keys: list[str], similar: flo
 
 def _bands(s: pa.Array) -> pa.Array:
     """``BANDS`` numbers of each set, each from the least of its shingles in two orders."""
+    if len(s) > 1 and len(s.flatten()) > 1 << 18:
+        return pa.concat_arrays([_bands(s[: len(s) // 2]), _bands(s[len(s) // 2 :])])
     flat, starts = s.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), s.offsets.to_numpy()[:-1] - s.offsets.to_numpy()[0]
     least = [np.minimum.reduceat(meetings.mixed(flat + np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 2**64))), starts) for j in range(2 * BANDS)]
     bands = np.stack([meetings.mixed(a ^ meetings.mixed(b + np.uint64(i))) for i, (a, b) in enumerate(zip(least[::2], least[1::2], strict=True))], axis=1)
